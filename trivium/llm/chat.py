@@ -62,6 +62,14 @@ LAYOUTS = (
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
+def _has(name: str):
+    return lambda x: x[name].isNotNull()
+
+
+def _turn_of(layout: Layout):
+    return lambda m: _turn(*layout.turns[0], at=lambda p: m[p])
+
+
 def present_paths(schema: T.StructType) -> dict[str, Column]:
     """Nested field paths of a schema, each with a test that a record has it."""
     paths: dict[str, Column] = {}
@@ -76,7 +84,7 @@ def present_paths(schema: T.StructType) -> dict[str, Column]:
             paths[f"{path}[]"] = paths.pop(path)
             if isinstance(kind.elementType, T.StructType):
                 for f in kind.elementType.fields:
-                    paths[f"{path}[].{f.name}"] = F.coalesce(F.exists(column, lambda x, n=f.name: x[n].isNotNull()), F.lit(False))
+                    paths[f"{path}[].{f.name}"] = F.coalesce(F.exists(column, _has(f.name)), F.lit(False))
 
     walk(schema, None, "")
     return paths
@@ -125,7 +133,7 @@ def canonical(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame
     for x in reversed(usable):
         hashes = [path_hash(F.array(*map(F.lit, paths))) for paths in _expected(x)]
         if x.each:
-            made = F.transform(F.col(x.each), lambda m, x=x: _turn(*x.turns[0], at=lambda p: m[p]))
+            made = F.transform(F.col(x.each), _turn_of(x))
         else:
             made = F.array(*[_turn(*t) for t in x.turns])
         hit = print_.isin(hashes)

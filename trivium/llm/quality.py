@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trivium.llm.store import materialize
-from trivium.llm.text import WHITE, WORD, let, whole
+from trivium.llm.text import WHITE, WORD, let, once, whole
 
 BUCKETS, TRUSTED, THRESHOLD = 1 << 14, 50_000, -0.35
 SYMBOLS = "#*$%&|<>"
@@ -32,55 +32,46 @@ OWN = {"word_chars", "n_words", "n_symbols", "n_dup_lines", "n_repeat_words", "b
 
 def repeated_words(hashes: Column) -> Column:
     """Words within three-word windows that occur twice or more, from the array of the words' hashes."""
-    n = F.size(hashes)
-    windows = F.transform(
-        F.slice(hashes, 1, F.greatest(n - 2, F.lit(0))),
-        lambda h, i: F.struct(F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)).alias("h"), i.alias("i")),
-    )
+    inner = F.slice(hashes, 1, F.greatest(F.size(hashes) - 2, F.lit(0)))
+    window = lambda h, i: F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2))
     # the positions of windows whose neighbour in the sorted order is equal
-    again = let(F.array_sort(windows), lambda ordered: F.filter(
+    again = let(F.array_sort(F.transform(inner, lambda h, i: F.struct(window(h, i).alias("h"), i.alias("i")))), lambda ordered: F.filter(
         F.transform(ordered, lambda w, k: F.when(
             (w["h"] == F.get(ordered, k - 1)["h"]) | (w["h"] == F.get(ordered, k + 1)["h"]), w["i"])),
         lambda i: i.isNotNull(),
     ))
-    starts = F.array_sort(again)
-    return F.aggregate(
-        starts, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")),
+    covered = F.aggregate(
+        F.array_sort(again), F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")),
         lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"],
     )
+    # without two equal windows, as in most texts, the sort is spared
+    return F.when(F.size(F.array_distinct(F.transform(inner, window))) < F.size(hashes) - 2, covered).otherwise(F.lit(0).cast("long"))
 
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the base counts and base_failed; _whole holds the text."""
-    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in OWN and not c.startswith("_q_")]
-    body = F.col("_q_text")
-    worded = docs.select(*kept, whole(text).alias("_q_text")).withColumn(
-        "_q_hashes", F.transform(F.regexp_extract_all(body, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)))
+    """docs with the base counts and base_failed."""
+    body = whole(text)
+    words = F.transform(F.regexp_extract_all(body, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
     lines = F.filter(F.split(body, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(WHITE))) > 0)
-    # without two equal windows, as in most texts, the sort is spared
-    windows = F.transform(F.slice("_q_hashes", 1, F.greatest(F.size("_q_hashes") - 2, F.lit(0))), lambda h, i: F.xxhash64(
-        h, F.get("_q_hashes", i + 1), F.get("_q_hashes", i + 2)))
-    counted = worded.withColumns({
-        "n_words": F.size("_q_hashes").cast("long"),
-        "word_chars": F.length(F.translate(body, WHITE, "")).cast("long"),
-        "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "n_repeat_words": F.when(F.size(F.array_distinct(windows)) < F.size("_q_hashes") - 2, repeated_words(F.col("_q_hashes"))).otherwise(F.lit(0).cast("long")),
-    })
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return counted.withColumn("base_failed", failed).drop("_q_hashes")
-
-
-def buckets(text: Column, count: int = BUCKETS) -> tuple[Column, Column]:
-    """(token hashes, function from the hash array to the buckets of its one- and two-token n-grams)."""
-    hashes = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
+    counted = once(
+        docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in OWN and not c.startswith("_q_")]),
+        _q_words=let(words, lambda h: F.struct(F.size(h).cast("long").alias("n_words"), repeated_words(h).alias("n_repeat_words"))),
+        word_chars=F.length(F.translate(body, WHITE, "")).cast("long"),
+        n_symbols=(F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
+        n_dup_lines=let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+    ).select("*", "_q_words.*").drop("_q_words")
+    return counted.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+
+
+def buckets(text: Column, count: int = BUCKETS) -> Column:
+    """Buckets of the one- and two-token n-grams of a text."""
 
     def grams(h: Column) -> Column:
         one = F.transform(h, lambda x: F.pmod(x, F.lit(count)).cast("int"))
         two = F.transform(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: F.pmod(F.xxhash64(x, F.get(h, i + 1)), F.lit(count)).cast("int"))
         return F.concat(one, two)
 
-    return hashes, grams
+    return let(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t)), grams)
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", count: int = BUCKETS, trusted: int = TRUSTED) -> DataFrame:
@@ -89,9 +80,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", count: int = BUC
         labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted).withColumnRenamed("doc_id", "_good")
     )
-    hashes, grams = buckets(F.col("_t"), count)
     texts = docs.select("doc_id", whole(text).alias("_t")).join(F.broadcast(good), F.col("doc_id") == F.col("_good"), "left")
-    each = texts.select(F.col("_good").isNotNull().alias("good"), hashes.alias("_h")).select("good", F.explode(grams(F.col("_h"))).alias("bucket"))
+    each = texts.select(F.col("_good").isNotNull().alias("good"), F.explode(buckets(F.col("_t"), count)).alias("bucket"))
     counts = each.groupBy("bucket").agg(F.count("*").alias("all"), F.count_if("good").alias("target"))
     slots = docs.sparkSession.range(count).select(F.col("id").cast("int").alias("bucket"))
     full = slots.join(counts, "bucket", "left").select("bucket", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("all", "target")])
@@ -102,13 +92,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", count: int = BUC
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = THRESHOLD, **how) -> DataFrame:
     """docs with the base counts, base_failed, score and kept."""
-    model = fit(docs, labels, text, **how).select(F.lit(0).alias("_q_key"), F.col("ratio").alias("_q_ratio"))
-    counted = base_counts(docs, text)
-    hashes, grams = buckets(F.col("_q_text"), how.get("count", BUCKETS))
-    shown = [F.col(f"`{c}`") for c in counted.columns if not c.startswith("_q_")]
-    hashed = counted.select(*shown, hashes.alias("_q_h"), F.lit(0).alias("_q_key"))
-    met = hashed.join(F.broadcast(model), "_q_key", "left")  # one row of a fixed size
-    total = F.aggregate(grams(F.col("_q_h")), F.lit(0.0), lambda a, g: a + F.get("_q_ratio", g))
-    number = F.greatest(2 * F.size("_q_h") - 1, F.lit(1))
-    scored = met.select(*shown, (total / number).alias("score"))
+    model = fit(docs, labels, text, **how).select(F.lit(0).cast("long").alias("_q_key"), F.col("ratio").alias("_q_ratio"))
+    met = base_counts(docs, text).withColumn("_q_key", F.pmod("n_words", F.lit(1))).join(F.broadcast(model), "_q_key", "left")  # one row of a fixed size
+    score = let(buckets(whole(text), how.get("count", BUCKETS)), lambda grams: F.aggregate(
+        grams, F.lit(0.0), lambda a, g: a + F.get(F.col("_q_ratio"), g)) / F.greatest(F.size(grams), F.lit(1)))
+    scored = once(met, score=score).drop("_q_key", "_q_ratio")
     return scored.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(True)))
