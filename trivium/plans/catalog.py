@@ -1,2 +1,410 @@
-QUERIES, ORACLES = {}, {}
-def own_accuracy(spark, d): return spark.range(1)
+"""The queries over the derived fixtures, each with the DuckDB SQL that must give the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trivium.functions import stats
+from trivium.operators import agreement, cluster, compare, geometry, layout, predict, quality
+from trivium.plans import fixtures as fx
+from trivium.plans.fixtures import WITH
+from trivium.sources import trials as io
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+#: Degrees of freedom for which the interval query's SQL has a quantile: one less than the fixtures' participants.
+DEGREES = (14, 149, 1499)
+
+
+def query(sql: str | None = None):
+    """Register a function as a query of its name, with the SQL that follows the fixtures' expressions."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = WITH + sql.strip()
+        return f
+
+    return add
+
+
+def _r(column: str):
+    return F.round(column, 6).alias(column)
+
+
+def own_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    return predict.hoacc(fx.trials(spark, d), fx.embeddings(spark, d), "test", by=("worker_id",)).select("worker_id", _r("acc"), "n")
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    t = fx.trials(spark, d)
+    other = F.when(F.col("Answer") == F.col("Left"), F.col("Right")).otherwise(F.col("Left"))
+    return t.withColumns({"head": F.col("Center"), "winner": F.col("Answer"), "loser": other})
+
+
+_LABELLED = """lab AS (SELECT *, Center AS head, Answer AS winner, CASE WHEN Answer = "Left" THEN "Right" ELSE "Left" END AS loser FROM trials)"""
+
+
+@query("k AS (SELECT worker_id FROM trials GROUP BY 1 HAVING count(*) >= 60) SELECT worker_id, trial_ix FROM trials SEMI JOIN k USING (worker_id)")
+def filter_incomplete(spark, d):
+    return quality.filter_incomplete(fx.trials(spark, d), 60).select("worker_id", "trial_ix")
+
+
+@query("k AS (SELECT worker_id FROM trials GROUP BY 1 HAVING avg(rt) >= 4500) SELECT worker_id, trial_ix FROM trials SEMI JOIN k USING (worker_id)")
+def filter_fast_responders(spark, d):
+    return quality.filter_fast_responders(fx.trials(spark, d), 4500).select("worker_id", "trial_ix")
+
+
+@query(_LABELLED + """, bad AS (SELECT worker_id FROM lab GROUP BY 1
+  HAVING sum(CAST(head = loser AS INT)) > 0.2 * sum(CAST(head = loser OR head = winner AS INT)))
+SELECT worker_id, trial_ix FROM trials ANTI JOIN bad USING (worker_id)""")
+def filter_failed_catch(spark, d):
+    return quality.filter_failed_catch(_labelled(spark, d), 0.2).select("worker_id", "trial_ix")
+
+
+@query(_LABELLED + """ SELECT trial_ix, CASE WHEN head = winner OR head = loser THEN 'check' WHEN sampleAlg = 'validation' THEN 'validation' ELSE 'random' END AS sampleAlg FROM lab""")
+def assign_sample_alg(spark, d):
+    marked = _labelled(spark, d).withColumn("validation", F.col("sampleAlg") == "validation").drop("sampleAlg")
+    return quality.assign_sample_alg(marked).select("trial_ix", "sampleAlg")
+
+
+_SPLIT = "CAST('0x' || substr(md5('{seed}:' || worker_id || ':' || {row}), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE)"
+
+
+@query(f"""s AS (SELECT trial_ix, sampleAlg, {_SPLIT.format(seed=42, row='trial_ix')} AS u FROM trials)
+SELECT trial_ix, CASE WHEN sampleAlg = 'check' THEN NULL WHEN sampleAlg = 'random' AND u <= 0.2 THEN 'test' ELSE 'train' END AS sampleSet FROM s""")
+def assign_sample_sets(spark, d):
+    return quality.assign_sample_sets(fx.trials(spark, d).drop("sampleSet"), 0.2).select("trial_ix", "sampleSet")
+
+
+_SUMMARY = """s AS (SELECT worker_id, count(*) AS ndat,
+  CASE WHEN count(*) FILTER (WHERE rt = 0) > 0 THEN CAST('-Infinity' AS DOUBLE) ELSE avg(ln(rt / 1000)) FILTER (WHERE rt > 0) END AS lrt,
+  CASE WHEN count(*) FILTER (WHERE sampleAlg = 'check') > 1 THEN avg(CAST(Answer = Center AS DOUBLE)) FILTER (WHERE sampleAlg = 'check') END AS cacc FROM trials GROUP BY 1)"""
+
+
+@query(_SUMMARY + """ SELECT worker_id AS tripfile, worker_id, ndat, round(lrt, 6) AS lrt, round(cacc, 6) AS cacc,
+  NOT (cacc <= 0.8 OR lrt <= 1.2 OR ndat < 60) AS keep FROM s""")
+def participant_summary(spark, d):
+    s = quality.participant_summary(fx.trials(spark, d), mintrial=60, accthresh=0.8, rtthresh=1.2)
+    return s.select("tripfile", "worker_id", "ndat", _r("lrt"), _r("cacc"), "keep")
+
+
+@query("""t AS (SELECT *, row_number() OVER (PARTITION BY worker_id ORDER BY trial_ix) AS k FROM trials)
+SELECT worker_id, count(*) AS ndat, round(avg(rt), 6) AS mean_rt FROM t WHERE k BETWEEN 2 AND 40 GROUP BY 1""")
+def participant_range(spark, d):
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("worker_id").orderBy("trial_ix"))
+    part = fx.trials(spark, d).withColumn("k", place).where("k between 2 and 40")
+    return part.groupBy("worker_id").agg(F.count("*").alias("ndat"), F.round(F.avg("rt"), 6).alias("mean_rt"))
+
+
+@query("""SELECT trial_ix, "Left" || ',' || "Right" AS choices FROM trials""".replace("SELECT", "one AS (SELECT 1) SELECT", 1))
+def process_choices(spark, d):
+    return fx.raw_export(spark, d).select(F.col("trial_index").cast("long").alias("trial_ix"), io.process_choices("choices").alias("choices"))
+
+
+@query("""one AS (SELECT 1) SELECT trial_ix, "Left" AS first, "Right" AS second FROM trials""")
+def split_choices(spark, d):
+    a, b = io.split_first(io.process_choices("choices"))
+    return fx.raw_export(spark, d).select(F.col("trial_index").cast("long").alias("trial_ix"), a.alias("first"), b.alias("second"))
+
+
+@query("""one AS (SELECT 1) SELECT trial_ix, "Left" AS part, 1 AS n FROM trials UNION ALL SELECT trial_ix, "Right", 2 FROM trials""")
+def strsplit1(spark, d):
+    parts = io.strsplit1(F.concat_ws(",", "Left", "Right", F.lit("")), ",")
+    return fx.trials(spark, d).select("trial_ix", F.posexplode(parts).alias("k", "part")).select("trial_ix", "part", (F.col("k") + 1).alias("n"))
+
+
+_LEVELS = """items AS (SELECT head AS item FROM lab UNION SELECT winner FROM lab UNION SELECT loser FROM lab),
+lev AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS item_ix FROM items WHERE item IS NOT NULL)"""
+
+
+@query(_LABELLED + ", " + _LEVELS + """ SELECT trial_ix, a.item_ix AS head, b.item_ix AS winner, c.item_ix AS loser
+FROM lab LEFT JOIN lev a ON a.item = head LEFT JOIN lev b ON b.item = winner LEFT JOIN lev c ON c.item = loser""")
+def encode_levels(spark, d):
+    lab = _labelled(spark, d).select("trial_ix", F.col("head").alias("h"), F.col("winner").alias("w"), F.col("loser").alias("l"))
+    return io.encode(lab, io.item_levels(lab, "h", "w", "l"), head="h", winner="w", loser="l").select("trial_ix", "head", "winner", "loser")
+
+
+@query(_LABELLED + ", " + _LEVELS + " SELECT item_ix, item, 'resources/' || item || '.png' AS path FROM lev")
+def item_levels(spark, d):
+    lab = _labelled(spark, d)
+    return io.item_levels(lab, "head", "winner", "loser").withColumn("path", F.concat(F.lit("resources/"), "item", F.lit(".png")))
+
+
+@query(_LABELLED + f""", big AS (SELECT worker_id FROM trials GROUP BY 1 HAVING count(*) >= 60),
+slow AS (SELECT worker_id FROM trials SEMI JOIN big USING (worker_id) GROUP BY 1 HAVING avg(rt) >= 4500),
+bad AS (SELECT worker_id FROM lab GROUP BY 1 HAVING sum(CAST(head = loser AS INT)) > 0.3 * sum(CAST(head = loser OR head = winner AS INT))),
+kept AS (SELECT * FROM lab SEMI JOIN slow USING (worker_id) ANTI JOIN bad USING (worker_id)),
+items AS (SELECT head AS item FROM kept UNION SELECT winner FROM kept UNION SELECT loser FROM kept),
+lev AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS item_ix FROM items)
+SELECT trial_ix, a.item_ix AS head, b.item_ix AS winner, c.item_ix AS loser, worker_id, rt, Center, "Left", "Right", Answer, sampleAlg,
+  CASE WHEN sampleAlg = 'check' THEN NULL WHEN sampleAlg = 'random' AND {_SPLIT.format(seed=42, row='trial_ix')} <= 0.1 THEN 'test' ELSE 'train' END AS sampleSet
+FROM kept LEFT JOIN lev a ON a.item = head LEFT JOIN lev b ON b.item = winner LEFT JOIN lev c ON c.item = loser""")
+def raw_standardise(spark, d):
+    return io.standardise_raw(fx.raw_export(spark, d), 60, 4500, 0.3)[0]
+
+
+@query(_LABELLED + ", " + _LEVELS + f""", numbered AS (SELECT *, CASE sampleAlg WHEN 'check' THEN 'check' ELSE sampleAlg END AS alg FROM lab)
+SELECT worker_id AS p_id, Center, "Left", "Right", Answer, a.item_ix AS head, b.item_ix AS winner, c.item_ix AS loser, CAST(NULL AS DOUBLE) AS RT, alg AS sampleAlg,
+  CASE WHEN {_SPLIT.format(seed=2025, row='trial_ix')} < 0.9 THEN 'train' ELSE 'test' END AS sampleSet
+FROM numbered LEFT JOIN lev a ON a.item = head LEFT JOIN lev b ON b.item = winner LEFT JOIN lev c ON c.item = loser""")
+def legacy_standardise(spark, d):
+    return io.standardise_legacy(fx.legacy(spark, d), order="trial_ix")[0]
+
+
+_TRIPLET = """trip AS (SELECT *, replace(Center, ' ', '') || '_' || least(replace("Left", ' ', ''), replace("Right", ' ', '')) || '_' || greatest(replace("Left", ' ', ''), replace("Right", ' ', '')) AS triplet FROM trials)"""
+
+
+@query(_TRIPLET + " SELECT trial_ix, triplet FROM trip")
+def make_tripnames(spark, d):
+    return agreement.make_tripnames(fx.trials(spark, d)).select("trial_ix", "triplet")
+
+
+_MAJORITY = _TRIPLET + """, last AS (SELECT worker_id, triplet, arg_max_null(Answer, trial_ix) AS Answer FROM trip WHERE sampleAlg = 'validation' GROUP BY 1, 2),
+counts AS (SELECT triplet, Answer, count(Answer) AS n FROM last GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY triplet ORDER BY n DESC, Answer) AS r, n / sum(n) OVER (PARTITION BY triplet) AS share FROM counts),
+maj AS (SELECT triplet, Answer AS majority, CAST(share AS DOUBLE) AS pmaj FROM ranked WHERE r = 1)"""
+
+
+@query(_MAJORITY + " SELECT triplet, majority, round(pmaj, 6) AS pmaj FROM maj")
+def vmat_majority(spark, d):
+    return agreement.majority(fx.trials(spark, d)).select("triplet", "majority", _r("pmaj"))
+
+
+@query(_MAJORITY + """ SELECT w.worker_id, m.triplet, CAST(l.Answer = m.majority AS INT) AS agree FROM (SELECT DISTINCT worker_id FROM trials) w CROSS JOIN maj m
+LEFT JOIN last l ON l.worker_id = w.worker_id AND l.triplet = m.triplet""")
+def vmat_bysbj(spark, d):
+    return agreement.by_subject(fx.trials(spark, d))
+
+
+_AGREE = _MAJORITY + """, agreed AS (SELECT worker_id, avg(CAST(Answer = majority AS DOUBLE)) AS agreement, count(*) AS n FROM last JOIN maj USING (triplet) GROUP BY 1)"""
+
+
+@query(_AGREE + " SELECT worker_id, round(agreement, 6) AS agreement, n FROM agreed")
+def vmat_worker_agreement(spark, d):
+    return agreement.worker_agreement(fx.trials(spark, d)).select("worker_id", _r("agreement"), "n")
+
+
+@query(_AGREE + """ SELECT least(CAST(floor((agreement - 0.0) * 10) AS BIGINT) + 1, 10) AS bin, count(*) AS n FROM agreed GROUP BY 1""")
+def agreement_histogram(spark, d):
+    return stats.histogram(agreement.worker_agreement(fx.trials(spark, d)), "agreement", 0, 1)
+
+
+_DIST = """pred AS (SELECT t.*, (c.dim_0 - l.dim_0) * (c.dim_0 - l.dim_0) + (c.dim_1 - l.dim_1) * (c.dim_1 - l.dim_1) AS d1,
+  (c.dim_0 - r.dim_0) * (c.dim_0 - r.dim_0) + (c.dim_1 - r.dim_1) * (c.dim_1 - r.dim_1) AS d2
+  FROM trials t LEFT JOIN emb c ON c.worker_id = t.worker_id AND c.item = t.Center LEFT JOIN emb l ON l.worker_id = t.worker_id AND l.item = t."Left"
+  LEFT JOIN emb r ON r.worker_id = t.worker_id AND r.item = t."Right")"""
+
+
+@query(_DIST + """ SELECT trial_ix, worker_id, CASE WHEN d1 < d2 THEN "Left" ELSE "Right" END AS ModPred FROM pred""")
+def test_model(spark, d):
+    return predict.test_model(fx.trials(spark, d), fx.embeddings(spark, d), by=("worker_id",)).select("trial_ix", "worker_id", "ModPred")
+
+
+@query(_DIST + """ SELECT trial_ix, worker_id, CASE WHEN sqrt(d1) < sqrt(d2) THEN "Left" ELSE "Right" END AS ModPred FROM pred""")
+def test_model_distances(spark, d):
+    table = geometry.pairwise_dist(fx.embeddings(spark, d))
+    return predict.test_model(fx.trials(spark, d), table, by=("worker_id",), distances=True).select("trial_ix", "worker_id", "ModPred")
+
+
+@query(_DIST + """ SELECT worker_id, round(avg(CAST(CASE WHEN d1 < d2 THEN "Left" ELSE "Right" END = Answer AS DOUBLE)), 6) AS acc, count(*) AS n FROM pred WHERE sampleSet = 'test' GROUP BY 1""")
+def hoacc(spark, d):
+    return own_accuracy(spark, d)
+
+
+_STRENGTH = _DIST + """, strong AS (SELECT *, greatest(sqrt(d1), sqrt(d2)) / nullif(sqrt(d1) + sqrt(d2), 0) AS strength FROM pred)"""
+
+
+@query(_STRENGTH + " SELECT trial_ix, round(strength, 6) AS strength FROM strong")
+def model_strength(spark, d):
+    return predict.model_strength(fx.trials(spark, d), fx.embeddings(spark, d), by=("worker_id",)).select("trial_ix", _r("strength"))
+
+
+@query(_MAJORITY + ", " + _STRENGTH + """, both_ AS (SELECT s.strength AS x, m.pmaj AS y FROM strong s JOIN trip t USING (trial_ix) JOIN maj m ON m.triplet = t.triplet WHERE s.sampleAlg = 'validation' AND s.strength IS NOT NULL)
+SELECT round(corr(y, x), 6) AS r, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, count(*) AS n FROM both_""")
+def strength_vs_agreement(spark, d):
+    t = fx.trials(spark, d)
+    strong = predict.model_strength(t.where("sampleAlg = 'validation'"), fx.embeddings(spark, d), by=("worker_id",))
+    met = agreement.make_tripnames(strong).join(agreement.majority(t), "triplet")
+    return stats.fit_line(met, "strength", "pmaj").select(_r("r"), _r("slope"), _r("intercept"), "n")
+
+
+_PRED = """tt AS (SELECT worker_id AS judge_id, Center, "Left" AS l, "Right" AS r, Answer FROM trials WHERE sampleSet = 'test'),
+hits AS (SELECT t.judge_id, c.worker_id AS model_id, CASE WHEN (c.dim_0 - a.dim_0) * (c.dim_0 - a.dim_0) + (c.dim_1 - a.dim_1) * (c.dim_1 - a.dim_1)
+  < (c.dim_0 - b.dim_0) * (c.dim_0 - b.dim_0) + (c.dim_1 - b.dim_1) * (c.dim_1 - b.dim_1) THEN l ELSE r END = Answer AS hit
+  FROM tt t JOIN emb c ON c.item = t.Center JOIN emb a ON a.item = t.l AND a.worker_id = c.worker_id JOIN emb b ON b.item = t.r AND b.worker_id = c.worker_id),
+pm AS (SELECT judge_id, model_id, sum(CAST(hit AS INT)) / count(*) AS acc, count(*) AS n FROM hits GROUP BY 1, 2)"""
+
+
+def _matrix(spark, d):
+    return predict.prediction_matrix(fx.embeddings(spark, d), fx.trials(spark, d), dims=2)
+
+
+@query(_PRED + " SELECT judge_id, model_id, round(acc, 6) AS acc, n FROM pm")
+def prediction_matrix(spark, d):
+    return _matrix(spark, d).select("judge_id", "model_id", _r("acc"), "n")
+
+
+_EACH = ", each AS (SELECT judge_id, max(acc) FILTER (WHERE judge_id = model_id) AS own, avg(acc) FILTER (WHERE judge_id <> model_id) AS others, stddev_samp(acc) FILTER (WHERE judge_id <> model_id) AS s FROM pm GROUP BY 1)"
+
+
+@query(_PRED + _EACH + """ SELECT (SELECT round(avg(acc) FILTER (WHERE judge_id = model_id), 6) FROM pm) AS diag, (SELECT round(avg(acc) FILTER (WHERE judge_id <> model_id), 6) FROM pm) AS offdiag,
+round(avg(CAST(own > others AS DOUBLE)), 6) AS share_above FROM each""")
+def prediction_diag_offdiag(spark, d):
+    return compare.diag_offdiag(_matrix(spark, d)).select(_r("diag"), _r("offdiag"), _r("share_above"))
+
+
+@query(_PRED + _EACH + " SELECT judge_id, round((own - others) / nullif(s, 0), 6) AS z FROM each")
+def z_pred_mat(spark, d):
+    return compare.z_pred_mat(_matrix(spark, d)).select("judge_id", _r("z"))
+
+
+_CLUSTERED = ", cl AS (SELECT pm.*, a.cluster AS jc, b.cluster AS mc FROM pm JOIN clusters a ON a.worker_id = judge_id JOIN clusters b ON b.worker_id = model_id)"
+_SAMEDIFF = _PRED + _CLUSTERED + """, sd AS (SELECT judge_id, max(acc) FILTER (WHERE judge_id = model_id) AS self, avg(acc) FILTER (WHERE judge_id <> model_id AND jc = mc) AS same,
+  avg(acc) FILTER (WHERE jc <> mc) AS other FROM cl GROUP BY 1)"""
+
+
+def _samediff(spark, d):
+    return compare.pacc_samediff(_matrix(spark, d), fx.clusters(spark, d), strict=False)
+
+
+@query(_SAMEDIFF + " SELECT judge_id, round(self, 6) AS self, round(same, 6) AS same, round(other, 6) AS other FROM sd")
+def pacc_samediff(spark, d):
+    return _samediff(spark, d).select("judge_id", _r("self"), _r("same"), _r("other"))
+
+
+@query(_SAMEDIFF + " SELECT round(avg(self), 6) AS self, round(avg(same), 6) AS same, round(avg(other), 6) AS other FROM sd")
+def pacc_means(spark, d):
+    return stats.column_means(_samediff(spark, d), ["self", "same", "other"]).select(_r("self"), _r("same"), _r("other"))
+
+
+@query(_PRED + _CLUSTERED + """ SELECT judge_id, mc AS cluster, round(max(max(acc) FILTER (WHERE judge_id = model_id)) OVER (PARTITION BY judge_id), 6) AS self,
+round(avg(acc) FILTER (WHERE judge_id <> model_id), 6) AS acc FROM cl GROUP BY judge_id, mc""")
+def pacc_by_cluster(spark, d):
+    return compare.pacc_by_cluster(_matrix(spark, d), fx.clusters(spark, d), strict=False).select("judge_id", "cluster", _r("self"), _r("acc"))
+
+
+def _t_rows() -> str:
+    return ", ".join(f"({n}, CAST({stats.t_quantile(0.975, n)!r} AS DOUBLE))" for n in DEGREES)
+
+
+@query(_SUMMARY + f""", q(df, t) AS (VALUES {_t_rows()}), w AS (SELECT worker_id, CAST(ndat AS DOUBLE) AS ndat, avg(rt) OVER () AS x FROM s JOIN trials USING (worker_id)),
+long AS (SELECT 'ndat' AS "column", CAST(ndat AS DOUBLE) AS v FROM s UNION ALL SELECT 'mean_rt', avg(rt) FROM trials GROUP BY worker_id),
+m AS (SELECT "column", avg(v) AS mean, stddev_samp(v) AS sd, count(*) AS n FROM long GROUP BY 1)
+SELECT "column", round(mean, 5) AS mean, round(mean - t * sd / sqrt(n), 5) AS lower_ci, round(mean + t * sd / sqrt(n), 5) AS upper_ci, n FROM m JOIN q ON q.df = m.n - 1""")
+def column_cis(spark, d):
+    each = fx.trials(spark, d).groupBy("worker_id").agg(F.count("*").alias("ndat"), F.avg("rt").alias("mean_rt"))
+    made = stats.column_cis(each, ["ndat", "mean_rt"])
+    return made.select("column", *[F.round(c, 5).alias(c) for c in ("mean", "lower_ci", "upper_ci")], "n")
+
+
+_PAIRS = """pd AS (SELECT a.worker_id, a.item AS item_a, b.item AS item_b, b.item_ix AS ix,
+  sqrt((a.dim_0 - b.dim_0) * (a.dim_0 - b.dim_0) + (a.dim_1 - b.dim_1) * (a.dim_1 - b.dim_1)) AS dist FROM emb a JOIN emb b ON a.worker_id = b.worker_id)"""
+
+
+@query(_PAIRS + " SELECT worker_id, item_a, item_b, round(dist, 6) AS dist FROM pd")
+def pairwise_dist(spark, d):
+    return geometry.pairwise_dist(fx.embeddings(spark, d)).select("worker_id", "item_a", "item_b", _r("dist"))
+
+
+@query(_PAIRS + """, rk AS (SELECT *, row_number() OVER (PARTITION BY worker_id, item_a ORDER BY dist, item_b) AS k FROM pd)
+SELECT worker_id, item_a, item_b, round(dist, 6) AS dist, k - 1 AS rank FROM rk WHERE k BETWEEN 2 AND 6""")
+def nearest_k(spark, d):
+    near = geometry.nearest_k(geometry.pairwise_dist(fx.embeddings(spark, d)), 5, by=("worker_id",))
+    return near.select("worker_id", "item_a", "item_b", _r("dist"), "rank")
+
+
+@query("""e AS (SELECT 'item_' || lpad(CAST(vec_id AS VARCHAR), 3, '0') AS item, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id < 200),
+pd AS (SELECT a.item AS item_a, b.item AS item_b, list_distance(a.v, b.v) AS dist FROM e a CROSS JOIN e b),
+rk AS (SELECT *, row_number() OVER (PARTITION BY item_a ORDER BY dist, item_b) AS k FROM pd)
+SELECT item_a, item_b, round(dist, 6) AS dist, k - 1 AS rank FROM rk WHERE k BETWEEN 2 AND 6""")
+def nearest_k_64d(spark, d):
+    near = geometry.nearest_k(geometry.pairwise_dist(fx.embeddings64(spark, d)), 5)
+    return near.select("item_a", "item_b", _r("dist"), "rank")
+
+
+_NORMED = """ctr AS (SELECT worker_id, worker_ix, item_ix, item, dim_0 - avg(dim_0) OVER w AS x, dim_1 - avg(dim_1) OVER w AS y FROM emb WINDOW w AS (PARTITION BY worker_id)),
+nrm AS (SELECT worker_id, worker_ix, item_ix, item, x / sqrt(sum(x * x + y * y) OVER w) AS x, y / sqrt(sum(x * x + y * y) OVER w) AS y FROM ctr WINDOW w AS (PARTITION BY worker_id))"""
+_REP = _NORMED + """, cross_ AS (SELECT a.worker_id AS wa, b.worker_id AS wb, sum(a.x * b.x) AS m00, sum(a.x * b.y) AS m01, sum(a.y * b.x) AS m10, sum(a.y * b.y) AS m11
+  FROM nrm a JOIN nrm b ON a.item_ix = b.item_ix AND a.worker_id < b.worker_id GROUP BY 1, 2),
+tr AS (SELECT wa, wb, sqrt(m00 * m00 + m01 * m01 + m10 * m10 + m11 * m11 + 2 * abs(m00 * m11 - m01 * m10)) AS t FROM cross_),
+rd AS (SELECT wa AS worker_a, wb AS worker_b, {0} AS dist FROM tr UNION ALL SELECT wb, wa, {0} FROM tr UNION ALL SELECT DISTINCT worker_id, worker_id, CAST(0 AS DOUBLE) FROM nrm)
+SELECT worker_a, worker_b, round(dist, 6) + 0.0 AS dist FROM rd"""
+
+
+@query(_REP.format("1 - t"))
+def rep_dist(spark, d):
+    return geometry.rep_dist(fx.embeddings(spark, d), dims=2).select("worker_a", "worker_b", (F.round("dist", 6) + 0.0).alias("dist"))
+
+
+@query(_REP.format("1 - t * t"))
+def rep_dist_ss(spark, d):
+    return geometry.rep_dist(fx.embeddings(spark, d), rootflag=False, dims=2).select("worker_a", "worker_b", (F.round("dist", 6) + 0.0).alias("dist"))
+
+
+_ALIGN = _NORMED + """, base AS (SELECT {by} * FROM nrm {where}),
+ms AS (SELECT a.worker_id, sum(b.x * a.x) AS m00, sum(b.x * a.y) AS m01, sum(b.y * a.x) AS m10, sum(b.y * a.y) AS m11 FROM nrm a JOIN base b ON a.item_ix = b.item_ix {on} GROUP BY 1),
+sg AS (SELECT *, CASE WHEN m00 * m11 - m01 * m10 < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS s FROM ms),
+al AS (SELECT a.worker_id, a.worker_ix, a.item_ix, a.item, a.x * (m00 + s * m11) + a.y * (m01 - s * m10) AS x, a.x * (m10 - s * m01) + a.y * (m11 + s * m00) AS y FROM nrm a JOIN sg USING (worker_id))"""
+
+
+@query(_ALIGN.format(by="", where="WHERE worker_ix = (SELECT min(worker_ix) FROM nrm)", on="") + """
+SELECT worker_id, item_ix, item, round(x, 6) + 0.0 AS dim_0, round(y, 6) + 0.0 AS dim_1 FROM al""")
+def align_embeddings_2d(spark, d):
+    made = geometry.align_embeddings(fx.embeddings(spark, d), dims=2)
+    return made.select("worker_id", "item_ix", "item", *[(F.round(F.get("coords", k), 6) + 0.0).alias(f"dim_{k}") for k in range(2)])
+
+
+_GROUPED = _ALIGN.format(by="c.cluster,", where="JOIN clusters c USING (worker_id) WHERE worker_ix = (SELECT min(n.worker_ix) FROM nrm n JOIN clusters k ON k.worker_id = n.worker_id WHERE k.cluster = c.cluster)",
+                         on="JOIN clusters k ON k.worker_id = a.worker_id AND k.cluster = b.cluster")
+
+
+@query(_GROUPED + """ SELECT cluster, item_ix, item, round(avg(x), 6) + 0.0 AS dim_0, round(avg(y), 6) + 0.0 AS dim_1 FROM al JOIN clusters USING (worker_id) GROUP BY 1, 2, 3""")
+def group_mean_aligned_2d(spark, d):
+    made = geometry.group_mean_aligned(fx.embeddings(spark, d), fx.clusters(spark, d), dims=2)
+    return made.select("cluster", "item_ix", "item", *[(F.round(F.get("coords", k), 6) + 0.0).alias(f"dim_{k}") for k in range(2)])
+
+
+@query(f"""p AS (SELECT * FROM emb WHERE worker_ix = (SELECT min(worker_ix) FROM emb)), r AS (SELECT (max(dim_0) - min(dim_0)) * 0.05 AS w, (max(dim_1) - min(dim_1)) * 0.05 AS h FROM p),
+u AS (SELECT p.*, {_SPLIT.format(seed=42, row="''").replace("worker_id || ':' || ''", 'item')} AS u FROM p)
+SELECT item, round(dim_0 - w, 6) AS x0, round(dim_1 - h, 6) AS y0, round(dim_0 + w, 6) AS x1, round(dim_1 + h, 6) AS y1, 'black' AS color FROM u, r WHERE u <= 0.5""")
+def plot_layout(spark, d):
+    e = fx.embeddings(spark, d)
+    first = e.join(F.broadcast(e.agg(F.min("worker_ix").alias("worker_ix"))), "worker_ix", "left_semi")
+    return layout.plot_layout(first, pr=0.5, pc="black").select("item", *map(_r, ("x0", "y0", "x1", "y1")), "color")
+
+
+@query()
+def hclust_ward_cut(spark, d):
+    return cluster.hclust_cut(geometry.rep_dist(fx.embeddings(spark, d), dims=2), 3)
+
+
+@query()
+def hclust_merges(spark, d):
+    return cluster.hclust(geometry.rep_dist(fx.embeddings(spark, d), dims=2))
+
+
+@query()
+def group_mean_rotated(spark, d):
+    return geometry.group_list_mean(fx.embeddings(spark, d), fx.clusters(spark, d), dims=2)
+
+
+@query()
+def tip_coords(spark, d):
+    e = fx.embeddings(spark, d)
+    first = e.join(F.broadcast(e.agg(F.min("worker_ix").alias("worker_ix"))), "worker_ix", "left_semi")
+    return cluster.tip_coords(geometry.pairwise_dist(first))
+
+
+@query()
+def rep_dist_64d(spark, d):
+    """General dimension, through the singular values of d * d cross products."""
+    e = fx.embeddings64(spark, d).where("item_ix < 120")
+    group = (F.col("item_ix") % 3).cast("string")
+    parts = e.select(group.alias("worker_id"), (F.col("item_ix") % 3).alias("worker_ix"), F.floor(F.col("item_ix") / 3).alias("item_ix"), F.floor(F.col("item_ix") / 3).cast("string").alias("item"), F.slice("coords", 1, 5).alias("coords"))
+    return geometry.rep_dist(parts, dims=5)
