@@ -70,10 +70,14 @@ def column_cis(d: DataFrame, columns: list[str], level: float = 0.95) -> DataFra
 
 
 def fit_line(d: DataFrame, x: str, y: str) -> DataFrame:
-    """(r, slope, intercept, n) over complete pairs."""
+    """(r, slope, intercept, n) over complete pairs; a constant column leaves null what it makes undefined."""
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
-    return d.where(a.isNotNull() & b.isNotNull()).agg(
-        F.corr(a, b).alias("r"), F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"), F.count("*").alias("n"))
+    sums = d.where(a.isNotNull() & b.isNotNull()).agg(
+        F.covar_pop(a, b).alias("c"), F.var_pop(a).alias("va"), F.var_pop(b).alias("vb"), F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.count("*").alias("n"))
+    zero = F.lit(0.0)
+    slope = F.col("c") / F.nullif(F.col("va"), zero)
+    r = F.col("c") / F.nullif(F.sqrt(F.col("va")) * F.sqrt(F.col("vb")), zero)
+    return sums.select(r.alias("r"), slope.alias("slope"), (F.col("mb") - slope * F.col("ma")).alias("intercept"), "n")
 
 
 def histogram(d: DataFrame, column: str, low: float, high: float, bins: int = 10) -> DataFrame:
