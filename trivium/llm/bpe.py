@@ -13,10 +13,11 @@ column that clashes with an output column is replaced by it.
 
 from __future__ import annotations
 
-import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from trivium.llm.text import whole
 
 #: Words that a worker remembers, and code points that it encodes before it hands rows on.
-MEMORY, SLICE_CHARS = 200_000, 2_000_000
+MEMORY, SLICE_CHARS = 300_000, 2_000_000
 
 
 def byte_alphabet() -> list[str]:
@@ -36,27 +37,57 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in kept else chr(next(spare)) for b in range(256)]
 
 
-def merge_word(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Merge adjacent symbols by rank. ranks: pair of ids -> (rank, id of the merged symbol)."""
-    n = len(symbols)
-    left, right, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
-    queue = [(*ranks[pair], i, pair) for i in range(n - 1) if (pair := (symbols[i], symbols[i + 1])) in ranks]
-    heapq.heapify(queue)
-    queue = [(rank, i, new, pair) for rank, new, i, pair in queue]
-    heapq.heapify(queue)
+def merge_word(symbols: list[int], merges: dict[int, int]) -> list[int]:
+    """Merge adjacent symbols by rank.
+
+    merges: pair (left << 20 | right) -> rank << 20 | merged symbol. An entry of the queue is that value and the
+    pair's position in one integer, so the order is by rank, then from the left. An entry is stale if its
+    symbol has gone (-1) or its pair is no longer the one it was made for.
+    """
+    n, get = len(symbols), merges.get
+    queue = []
+    for i in range(n - 1):
+        found = get(symbols[i] << 20 | symbols[i + 1])
+        if found is not None:
+            queue.append(found << 32 | i)
+    if not queue:
+        return symbols
+    heapify(queue)
+    left, right = list(range(-1, n - 1)), list(range(1, n + 1))
     while queue:
-        _, i, new, pair = heapq.heappop(queue)
-        j = right[i]
-        if not alive[i] or j >= n or (symbols[i], symbols[j]) != pair:
+        entry = heappop(queue)
+        i, made = entry & 0xFFFFFFFF, entry >> 32
+        j, symbol = right[i], symbols[i]
+        if symbol < 0 or j >= n or get(symbol << 20 | symbols[j]) != made:
             continue
-        symbols[i], alive[j], right[i] = new, False, right[j]
-        if right[i] < n:
-            left[right[i]] = i
-        for a, b in ((left[i], i), (i, right[i])):
-            if a >= 0 and b < n and (pair := (symbols[a], symbols[b])) in ranks:
-                rank, merged = ranks[pair]
-                heapq.heappush(queue, (rank, a, merged, pair))
-    return [s for s, here in zip(symbols, alive, strict=True) if here]
+        symbol = symbols[i] = made & 0xFFFFF
+        symbols[j] = -1
+        after = right[i] = right[j]
+        if after < n:
+            left[after] = i
+            found = get(symbol << 20 | symbols[after])
+            if found is not None:
+                heappush(queue, found << 32 | i)
+        before = left[i]
+        if before >= 0:
+            found = get(symbols[before] << 20 | symbol)
+            if found is not None:
+                heappush(queue, found << 32 | before)
+    return [s for s in symbols if s >= 0]
+
+
+class Words(dict):
+    """Word -> ids, computed when first met."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> list[int]:
+        ids = self.make(word)
+        if len(word) < 100:
+            self[word] = ids
+        return ids
 
 
 class BPE:
@@ -71,42 +102,37 @@ class BPE:
         self.suffix = model.get("end_of_word_suffix") or ""
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         v = self.vocab
-        self.ranks = {(v[a], v[b]): (r, v[a + b]) for r, (a, b) in enumerate(merges)}
+        self.merges = {v[a] << 20 | v[b]: r << 20 | v[a + b] for r, (a, b) in enumerate(merges)}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in (v | self.added).items()}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
         first = spec["pre_tokenizer"]["pretokenizers"][0]
         self.pattern = regex.compile(first["pattern"]["Regex"])
-        self.space = regex.compile(r"\s+")
         alphabet = byte_alphabet()
         self.first = [v.get(c) for c in alphabet]
         self.last = [v.get(c + self.suffix) for c in alphabet]
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Words(self.word)
 
     def normalize(self, text: str) -> str:
-        """NFC, runs of white space to one space, lower case character by character (no final-sigma rule)."""
-        text = self.space.sub(" ", unicodedata.normalize("NFC", text))
-        return text.replace("Σ", "σ").lower()
-
-    def word(self, word: str) -> tuple[int, ...]:
-        ids = self.known.get(word)
-        if ids is None:
-            raw = word.encode()
-            ids = tuple(merge_word([self.first[b] for b in raw[:-1]] + [self.last[raw[-1]]], self.ranks))
-            if len(self.known) >= MEMORY:
-                self.known.clear()
-            if len(word) < 100:
-                self.known[word] = ids
-        return ids
+        """NFC, then lower case character by character (no final-sigma rule).
+
+        The file also turns runs of white space into one space; no word holds white space, so that changes nothing.
+        """
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+    def word(self, word: str) -> list[int]:
+        raw = word.encode()
+        return merge_word([self.first[b] for b in raw[:-1]] + [self.last[raw[-1]]], self.merges)
 
     def encode(self, text: str) -> list[int]:
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        look, find = self.known.__getitem__, self.pattern.findall
+        if "<|" not in text:
+            return list(chain.from_iterable(map(look, find(self.normalize(text)))))
         ids: list[int] = []
-        for part in self.specials.split(text) if "<|" in text else (text,):
-            if part in self.added:
-                ids.append(self.added[part])
-            elif part:
-                for w in self.pattern.findall(self.normalize(part)):
-                    ids += self.word(w)
+        for part in self.specials.split(text):
+            ids += [self.added[part]] if part in self.added else chain.from_iterable(map(look, find(self.normalize(part))))
         return ids
 
     def decode(self, ids) -> str:
