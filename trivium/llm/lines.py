@@ -57,15 +57,15 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 2, min_char
     keys = line_keys(docs, text, min_chars)
     common = materialize(frequent(keys, min_docs), "common_lines")
     gone = (
-        keys.join(common, ["h1", "h2"]).where("doc_id <> first")
+        keys.join(common.hint("merge"), ["h1", "h2"]).where("doc_id <> first")
         .groupBy("doc_id", "row").agg(F.collect_set("at").alias("_gone"))
         .withColumnsRenamed({"doc_id": "_doc", "row": "_row"})
     )
     gone = materialize(gone, "dropped_lines")
     kept = [c for c in docs.columns if c.lower() not in {"n_lines", "n_dropped", "_gone", "_doc", "_row"}]
     body = whole(text)
-    joined = docs.select(*[F.col(f"`{c}`") for c in kept]).join(
-        gone, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64(body) == F.col("_row")), "left"
+    joined = docs.select(*[F.col(f"`{c}`") for c in kept]).join(  # by merging at every size: what is dropped grows with the corpus
+        gone.hint("merge"), (F.col("doc_id") == F.col("_doc")) & (F.xxhash64(body) == F.col("_row")), "left"
     )
     return joined.select(
         *[kept_text(body, F.col("_gone")).alias(c) if c == text else F.col(f"`{c}`") for c in kept],

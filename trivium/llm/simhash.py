@@ -184,7 +184,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     """
     found = materialize(groups(docs, **how), "groups")
     copies = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti")
+    kept = docs.join(copies.hint("merge"), "doc_id", "left_anti")  # at every size: the copies grow with the corpus
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if repeated.isEmpty():
         return kept
