@@ -75,7 +75,7 @@ def buckets(text: Column, count: int = BUCKETS) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", count: int = BUCKETS, trusted: int = TRUSTED) -> DataFrame:
-    """One row: ratio, array of log(target / corpus) by bucket, each smoothed by adding one."""
+    """One row: key 0 and ratio, array of log(target / corpus) by bucket, each smoothed by adding one."""
     good = (
         labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted).withColumnRenamed("doc_id", "_good")
@@ -87,12 +87,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", count: int = BUC
     full = slots.join(counts, "bucket", "left").select("bucket", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("all", "target")])
     row = full.agg(F.array_sort(F.collect_list(F.struct("bucket", "all", "target"))).alias("c"), F.sum("all").alias("a"), F.sum("target").alias("t"))
     ratio = F.transform("c", lambda x: F.when(F.col("t") > 0, F.ln((x["target"] + 1) / (F.col("t") + count)) - F.ln((x["all"] + 1) / (F.col("a") + count))).otherwise(0.0))
-    return materialize(row.select(ratio.alias("ratio")), "quality_model")
+    return materialize(row.select(F.lit(0).cast("long").alias("key"), ratio.alias("ratio")), "quality_model")
 
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = THRESHOLD, **how) -> DataFrame:
     """docs with the base counts, base_failed, score and kept."""
-    model = fit(docs, labels, text, **how).select(F.lit(0).cast("long").alias("_q_key"), F.col("ratio").alias("_q_ratio"))
+    model = fit(docs, labels, text, **how).select(F.col("key").alias("_q_key"), F.col("ratio").alias("_q_ratio"))
     met = base_counts(docs, text).withColumn("_q_key", F.pmod("n_words", F.lit(1))).join(F.broadcast(model), "_q_key", "left")  # one row of a fixed size
     score = let(buckets(whole(text), how.get("count", BUCKETS)), lambda grams: F.aggregate(
         grams, F.lit(0.0), lambda a, g: a + F.get(F.col("_q_ratio"), g)) / F.greatest(F.size(grams), F.lit(1)))
