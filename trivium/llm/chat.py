@@ -184,7 +184,7 @@ def format_turns(df: DataFrame, key: str, order: str) -> DataFrame:
     """
     each = df.select(key, F.col(order).alias("_o"), F.posexplode("turns").alias("_k", "_t"))
     made = each.select(key, F.struct("_o", "_k", segment(F.col("_t")).alias("s")).alias("_s"))
-    rows = made.groupBy(key).agg(F.array_sort(F.collect_list("_s")).alias("_s"))
+    rows = made.groupBy(key).agg(F.sort_array(F.collect_list("_s")).alias("_s"))
     loss = F.transform("_s", lambda s, i: F.struct(i.alias("turn"), s["s"]["loss_start"].alias("start"), s["s"]["loss_end"].alias("end")))
     return rows.select(
         key, F.array_join(F.transform("_s", lambda s: s["s"]["segment"]), "").alias("formatted"),

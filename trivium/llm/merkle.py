@@ -52,7 +52,7 @@ def tree(leaves: DataFrame, fanout: int = FANOUT, name: str = "tree", depth: int
     """
     levels = [materialize(leaves.select("file", "ix", "hash"), f"{name}_0")]
     while len(levels) <= depth if depth is not None else not levels[-1].where("ix > 0").isEmpty():
-        up = levels[-1].groupBy("file", F.expr(f"ix div {fanout}").alias("p")).agg(F.array_sort(F.collect_list(F.struct("ix", "hash"))).alias("c"))
+        up = levels[-1].groupBy("file", F.expr(f"ix div {fanout}").alias("p")).agg(F.sort_array(F.collect_list(F.struct("ix", "hash"))).alias("c"))
         parent = F.sha2(F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["ix"].cast("string"), F.coalesce(x["hash"], F.lit("-")))), "\n"), 256)
         levels.append(materialize(up.select("file", F.col("p").alias("ix"), parent.alias("hash")), f"{name}_{len(levels)}"))
     return levels

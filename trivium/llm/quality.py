@@ -24,7 +24,7 @@ from trivium.llm.store import materialize
 from trivium.llm.text import WHITE, WORD, let, once, whole
 
 BUCKETS, TRUSTED, THRESHOLD = 1 << 14, 50_000, -0.35
-SYMBOLS = "#*$%&|<>"
+SYMBOL = r"[#*$%&|<>]"
 #: Words, and runs of other visible characters.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x20\x09-\x0D]+"
 OWN = {"word_chars", "n_words", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"}
@@ -32,20 +32,22 @@ OWN = {"word_chars", "n_words", "n_symbols", "n_dup_lines", "n_repeat_words", "b
 
 def repeated_words(hashes: Column) -> Column:
     """Words within three-word windows that occur twice or more, from the array of the words' hashes."""
-    inner = F.slice(hashes, 1, F.greatest(F.size(hashes) - 2, F.lit(0)))
-    window = lambda h, i: F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2))
-    # the positions of windows whose neighbour in the sorted order is equal
-    again = let(F.array_sort(F.transform(inner, lambda h, i: F.struct(window(h, i).alias("h"), i.alias("i")))), lambda ordered: F.filter(
-        F.transform(ordered, lambda w, k: F.when(
-            (w["h"] == F.get(ordered, k - 1)["h"]) | (w["h"] == F.get(ordered, k + 1)["h"]), w["i"])),
-        lambda i: i.isNotNull(),
-    ))
-    covered = F.aggregate(
-        F.array_sort(again), F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")),
-        lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"],
-    )
+    windows = F.transform(
+        F.slice(hashes, 1, F.greatest(F.size(hashes) - 2, F.lit(0))), lambda h, i: F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)))
+
+    def again(ordered: Column) -> Column:
+        """Positions of windows whose neighbour in the sorted order is equal."""
+        found = F.transform(ordered, lambda w, k: F.when((w["h"] == F.get(ordered, k - 1)["h"]) | (w["h"] == F.get(ordered, k + 1)["h"]), w["i"]))
+        return F.sort_array(F.array_compact(found))
+
+    def covered(w: Column) -> Column:
+        return F.aggregate(
+            let(F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), again),
+            F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")),
+            lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
+
     # without two equal windows, as in most texts, the sort is spared
-    return F.when(F.size(F.array_distinct(F.transform(inner, window))) < F.size(hashes) - 2, covered).otherwise(F.lit(0).cast("long"))
+    return let(windows, lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), covered(w)).otherwise(F.lit(0).cast("long")))
 
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -56,8 +58,8 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     counted = once(
         docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in OWN and not c.startswith("_q_")]),
         _q_words=let(words, lambda h: F.struct(F.size(h).cast("long").alias("n_words"), repeated_words(h).alias("n_repeat_words"))),
-        word_chars=F.length(F.translate(body, WHITE, "")).cast("long"),
-        n_symbols=(F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
+        word_chars=F.length(F.regexp_replace(body, r"[\x20\x09-\x0D]+", "")).cast("long"),
+        n_symbols=F.regexp_count(body, F.lit(SYMBOL)).cast("long"),
         n_dup_lines=let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
     ).select("*", "_q_words.*").drop("_q_words")
     return counted.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
@@ -85,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", count: int = BUC
     counts = each.groupBy("bucket").agg(F.count("*").alias("all"), F.count_if("good").alias("target"))
     slots = docs.sparkSession.range(count).select(F.col("id").cast("int").alias("bucket"))
     full = slots.join(counts, "bucket", "left").select("bucket", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("all", "target")])
-    row = full.agg(F.array_sort(F.collect_list(F.struct("bucket", "all", "target"))).alias("c"), F.sum("all").alias("a"), F.sum("target").alias("t"))
+    row = full.agg(F.sort_array(F.collect_list(F.struct("bucket", "all", "target"))).alias("c"), F.sum("all").alias("a"), F.sum("target").alias("t"))
     ratio = F.transform("c", lambda x: F.when(F.col("t") > 0, F.ln((x["target"] + 1) / (F.col("t") + count)) - F.ln((x["all"] + 1) / (F.col("a") + count))).otherwise(0.0))
     return materialize(row.select(F.lit(0).cast("long").alias("key"), ratio.alias("ratio")), "quality_model")
 

@@ -69,7 +69,7 @@ def scan(docs: DataFrame, owner: str = "source") -> DataFrame:
         _spans("text", ASSIGN, 0, value_group=2, least=6).alias("assign"), _spans("text", ACCESS, 1).alias("access"),
         _spans("text", HEX, 2).alias("hex"), _spans("text", CANDIDATE, 3).alias("more"),
     )
-    based = kinds.select("doc_id", "owner", "row", F.array_sort(F.concat("assign", "access", "hex")).alias("base"), "more")
+    based = kinds.select("doc_id", "owner", "row", F.sort_array(F.concat("assign", "access", "hex")).alias("base"), "more")
     apart = F.filter("more", lambda c: _looks_live(c["value"]) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     return based.select("doc_id", "owner", "row", "base", apart.alias("candidates"))
 
@@ -103,7 +103,7 @@ def find_secrets(docs: DataFrame, owner: str = "source", max_owners: int = MAX_O
     both = scanned.drop("owner", "candidates").join(owned, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row")), "left")
     count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     return both.select(
-        "doc_id", "base", F.array_sort(F.concat("base", F.coalesce("owned", F.slice("base", 1, 0)))).alias("spans"),
+        "doc_id", "base", F.sort_array(F.concat("base", F.coalesce("owned", F.slice("base", 1, 0)))).alias("spans"),
         count("live").alias("n_live"), count("copied").alias("n_copied"),
     )
 
