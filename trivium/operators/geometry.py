@@ -74,10 +74,10 @@ def packed(embeddings: DataFrame, dims: int, strict: bool = True) -> DataFrame:
     require(embeddings, "worker_id", "item", "coords", "item_ix")
     rows = embeddings.groupBy("worker_id").agg(
         F.min("worker_ix").alias("worker_ix") if "worker_ix" in embeddings.columns else F.min("worker_id").alias("worker_ix"),
-        F.array_sort(F.collect_list(F.struct("item_ix", "item", "coords"))).alias("r"))
+        F.sort_array(F.collect_list(F.struct("item_ix", "item", "coords"))).alias("r"))
     flat = rows.select("worker_id", "worker_ix", F.transform("r", lambda x: x["item"]).alias("items"), *[
         F.transform("r", _at(k)).alias(f"r{k}") for k in range(dims)])
-    if strict and flat.agg(F.count_distinct(F.array_sort("items")).alias("n")).first().n > 1:
+    if strict and flat.agg(F.count_distinct(F.sort_array("items")).alias("n")).first().n > 1:
         raise ValueError("all embeddings need the same items")
     centred = flat.select("worker_id", "worker_ix", "items", *[(_sum(F.col(f"r{k}")) / F.size("items")).alias(f"m{k}") for k in range(dims)], *[f"r{k}" for k in range(dims)]).select(
         "worker_id", "worker_ix", "items", *[F.transform(f"r{k}", _minus(f"m{k}")).alias(f"r{k}") for k in range(dims)])
