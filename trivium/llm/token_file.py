@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -95,15 +96,18 @@ def _block(part: int, block: int, first: int, doc_ids: list, parts: list[np.ndar
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
 
 
-def _writer(spec, end_id: int):
-    state: list[Encoder] = []
+@lru_cache(1)
+def encoder_of(spec: str) -> Encoder:
+    """One encoder for each Python worker, whatever the number of its tasks."""
+    return Encoder(spec)
+
 
+def _writer(spec, end_id: int):
     def blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = state[0] if state else Encoder(spec.value)
-        state[:] = [encoder]
+        encoder = encoder_of(spec.value)
         end = np.array([end_id], np.uint32)
         block = first = held = 0
         doc_ids, parts = [], []
