@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -152,13 +153,16 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+@lru_cache(1)
+def bpe_of(spec: str) -> BPE:
+    """One tokenizer, and its memory of words, for each Python worker, whatever the number of its tasks."""
+    return BPE(spec)
+
+
 def _run(spec, column: str, encode: bool, decode: bool):
     """A mapInArrow function that appends ids (from the text in column) and, or, their decoded string."""
-    state: list[BPE] = []
-
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = state[0] if state else BPE(spec.value)
-        state[:] = [bpe]
+        bpe = bpe_of(spec.value)
         for batch in rows:
             source = batch.column(batch.schema.get_field_index(column)).to_pylist() if encode else batch.column(
                 batch.schema.get_field_index("ids"))
