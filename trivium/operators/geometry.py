@@ -3,7 +3,7 @@
 An embedding is packed as one row before pairs are formed: its coordinates by dimension, ordered by item,
 centred, with unit sum of squares. Pairs then move one small row a participant, and each pair costs
 d * d sums, from which the Procrustes distance follows: 1 - (sum of the singular values of the cross
-products). Two dimensions have a closed form in plain expressions; beyond, numpy sees d * d numbers
+products). Two dimensions have a closed form in plain arithmetic; beyond, numpy sees d * d numbers
 a pair.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,23 +107,54 @@ def nuclear_norm(dims: int) -> Column:
     return values(*[F.col(f"m{i}{j}") for i in range(dims) for j in range(dims)])
 
 
-def rep_dist(embeddings: DataFrame, rootflag: bool = True, dims: int | None = None, strict: bool = True) -> DataFrame:
+def _tiles(p: DataFrame, dims: int, workers: int) -> DataFrame:
+    """(tile, ids, xs): packed embeddings by tiles of about so many participants, each row flat by dimension and item."""
+    flat = F.flatten(F.array(*[F.col(f"c{k}") for k in range(dims)]))
+    n = p.count()
+    tile = F.pmod(F.xxhash64("worker_id"), F.lit(max(1, -(-n // workers)))).cast("int")
+    return p.select(tile.alias("tile"), F.struct("worker_id", flat.alias("x")).alias("r")).groupBy("tile").agg(F.sort_array(F.collect_list("r")).alias("r")).select(
+        "tile", F.transform("r", lambda x: x["worker_id"]).alias("ids"), F.transform("r", lambda x: x["x"]).alias("xs"))
+
+
+def _traces(a: np.ndarray, b: np.ndarray, dims: int) -> np.ndarray:
+    """Sums of the singular values of all cross products of two stacks of embeddings (n, dims * items)."""
+    a, b = a.reshape(len(a), dims, -1), b.reshape(len(b), dims, -1)
+    m = np.stack([a[:, i] @ b[:, j].T for i in range(dims) for j in range(dims)], axis=-1)
+    if dims == 1:
+        return np.abs(m[:, :, 0])
+    if dims == 2:
+        return np.sqrt((m * m).sum(-1) + 2 * np.abs(m[:, :, 0] * m[:, :, 3] - m[:, :, 1] * m[:, :, 2]))
+    return np.linalg.svd(m.reshape(*m.shape[:2], dims, dims), compute_uv=False).sum(-1)
+
+
+def rep_dist(embeddings: DataFrame, rootflag: bool = True, dims: int | None = None, strict: bool = True, tile: int = 256) -> DataFrame:
     """(worker_a, worker_b, dist): symmetric Procrustes distances, both ways, 0 from oneself.
 
-    rootflag: 1 - root of the explained share; else 1 - the share itself.
+    rootflag: 1 - root of the explained share; else 1 - the share itself. All pairs are the result, so packed
+    embeddings are gathered in tiles and a task multiplies two of them; a tile holds some hundred participants.
     """
     dims = dims or dimensions(embeddings)
-    p = packed(embeddings, dims, strict)
-    side = lambda s: p.select(*[F.col(c).alias(f"{s}_{c}") for c in ("worker_id", *[f"c{k}" for k in range(dims)])])
-    left = side("a").repartition("a_worker_id")
-    pairs = left.join(small(side("b"), 20_000), F.col("a_worker_id") < F.col("b_worker_id")).select(
-        F.col("a_worker_id").alias("worker_a"), F.col("b_worker_id").alias("worker_b"), *_cross(dims))
-    t = F.col("t")
-    upper = pairs.withColumn("t", nuclear_norm(dims)).select("worker_a", "worker_b", ((1 - t) if rootflag else (1 - t * t)).alias("dist"))
-    both = upper.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("turn")).select(
-        F.when(F.col("turn"), F.col("worker_b")).otherwise(F.col("worker_a")).alias("worker_a"),
-        F.when(F.col("turn"), F.col("worker_a")).otherwise(F.col("worker_b")).alias("worker_b"), "dist")
-    return both.unionByName(p.select(F.col("worker_id").alias("worker_a"), F.col("worker_id").alias("worker_b"), F.lit(0.0).alias("dist")))
+    tiles = _tiles(packed(embeddings, dims, strict), dims, tile)
+    side = lambda s: tiles.select(*[F.col(c).alias(f"{s}_{c}") for c in ("tile", "ids", "xs")])
+    pairs = side("a").join(side("b"), F.col("a_tile") <= F.col("b_tile"))
+
+    def distances(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                at, ids_a, xs_a, bt, ids_b, xs_b = (c[0] for c in batch.slice(k, 1).to_pydict().values())
+                t = _traces(np.array(xs_a), np.array(xs_b), dims)
+                d = (1 - t) if rootflag else (1 - t * t)
+                i, j = np.triu_indices(len(ids_a), 1) if at == bt else (x.ravel() for x in np.indices(d.shape))
+                a, b = pa.array(ids_a, pa.string()).take(pa.array(i)), pa.array(ids_b, pa.string()).take(pa.array(j))
+                names, v = ["worker_a", "worker_b", "dist"], pa.array(d[i, j])
+                yield pa.RecordBatch.from_arrays([a, b, v], names=names)
+                yield pa.RecordBatch.from_arrays([b, a, v], names=names)
+                if at == bt:
+                    own = pa.array(ids_a, pa.string())
+                    yield pa.RecordBatch.from_arrays([own, own, pa.array(np.zeros(len(ids_a)))], names=names)
+
+    dealt = pairs.repartition(max(1, pairs.sparkSession.sparkContext.defaultParallelism))
+    return dealt.mapInArrow(distances, "worker_a string, worker_b string, dist double")
 
 
 def _rotation(dims: int, scale: bool) -> Column:
