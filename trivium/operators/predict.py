@@ -75,11 +75,13 @@ def item_codes(embeddings: DataFrame) -> DataFrame:
     return once.select("item", (F.row_number().over(Window.orderBy("item_ix", "item")) - 1).alias("code"))
 
 
-def packed_models(embeddings: DataFrame, codes: DataFrame, items: int) -> DataFrame:
-    """(model_id, points): each model's coordinates as one array by item code, null where it lacks an item."""
+def packed_models(embeddings: DataFrame, codes: DataFrame, items: int, dims: int) -> DataFrame:
+    """(model_id, points): each model's coordinates in one flat array, dims for each item code, null where it lacks an item."""
     pairs = embeddings.join(F.broadcast(codes), "item").groupBy(F.col("worker_id").alias("model_id")).agg(
         F.map_from_entries(F.collect_list(F.struct("code", "coords"))).alias("m"))
-    return pairs.select("model_id", F.transform(F.sequence(F.lit(0), F.lit(items - 1)), lambda i: F.try_element_at(F.col("m"), i)).alias("points"))
+    none = F.array(*[F.lit(None).cast("double")] * dims)
+    points = F.transform(F.sequence(F.lit(0), F.lit(items - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), none))
+    return pairs.select("model_id", F.flatten(points).alias("points"))
 
 
 def prediction_matrix(embeddings: DataFrame, trials: DataFrame, trialtype: str = "test", dims: int | None = None) -> DataFrame:
@@ -100,16 +102,24 @@ def prediction_matrix(embeddings: DataFrame, trials: DataFrame, trialtype: str =
         coded = coded.join(F.broadcast(codes.select(F.col("item").alias(side), F.col("code").alias(f"{side}_"))), side, "left")
     left = F.when(F.col("Answer").isNotNull(), F.col("Answer") == F.col("Left"))
     right = F.when(F.col("Answer").isNotNull(), F.col("Answer") == F.col("Right"))
-    coded = coded.select("judge_id", "Center_", "Left_", "Right_", left.alias("is_left"), right.alias("is_right"))
-    once = coded.groupBy("judge_id", "Center_", "Left_", "Right_", "is_left", "is_right").agg(F.count("*").alias("k"))
-    models = packed_models(embeddings, codes, items)
-    met = once.repartition("judge_id", "Center_", "Left_").join(small(models, 20_000), F.lit(True))
-    point = lambda side: F.get("points", F.col(f"{side}_"))
-    d1, d2 = squared_distance(point("Center"), point("Left"), dims), squared_distance(point("Center"), point("Right"), dims)
-    hit = F.when(d1 < d2, F.col("is_left")).when(d1 >= d2, F.col("is_right"))
+    at = lambda side: (F.col(f"{side}_") * dims).alias(side)
+    once = coded.select("judge_id", at("Center"), at("Left"), at("Right"), left.cast("int").alias("l"), right.cast("int").alias("r")).groupBy(
+        "judge_id", "Center", "Left", "Right", "l", "r").agg(F.count("*").alias("k"))
+    models = packed_models(embeddings, codes, items, dims)
+    # a number of its own: the few packed trials would else be coalesced into one task before the product
+    spark = trials.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    met = once.repartition(tasks, "judge_id", "Center", "Left").join(small(models, 20_000), F.lit(True))
+
+    def squared(side: str) -> Column:
+        gaps = [F.get("points", F.col("Center") + k) - F.get("points", F.col(side) + k) for k in range(dims)]
+        return reduce(lambda s, g: s + g * g, gaps, F.lit(0.0))
+
     # whole numbers: sums don't depend on the order of rows
-    summed = met.select("judge_id", "model_id", "k", hit.alias("hit")).groupBy("judge_id", "model_id").agg(
-        F.sum("k").alias("n"), F.sum(F.when(F.col("hit"), F.col("k")).otherwise(0)).alias("right"), F.count_if(F.col("hit").isNull()).alias("unknown"))
+    hits = met.select("judge_id", "model_id", "k", "l", "r", (squared("Left") < squared("Right")).alias("nearer")).select(
+        "judge_id", "model_id", "k", F.when(F.col("nearer"), F.col("l")).when(~F.col("nearer"), F.col("r")).alias("hit"))
+    summed = hits.groupBy("judge_id", "model_id").agg(
+        F.sum("k").alias("n"), F.sum(F.col("k") * F.col("hit")).alias("right"), F.count_if(F.col("hit").isNull()).alias("unknown"))
     return summed.select("judge_id", "model_id", F.when(F.col("unknown") == 0, F.col("right") / F.col("n")).alias("acc"), "n")
 
 
