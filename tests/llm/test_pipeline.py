@@ -19,7 +19,8 @@ def _documents():
 
 def test_each_stage_and_the_whole(spark, tmp_path):
     rows = _documents()
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, size int, n_lines string, _row int"
+    rows = [(*r, f"k{r[0]}", r[0], f"n{r[0]}", -r[0]) for r in rows]
     spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     labels = [(k, 1, 0) for k in range(0, 60, 4)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -28,6 +29,7 @@ def test_each_stage_and_the_whole(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         seen[name] = docs
         if name != "bpe":
+            assert docs.where("kept <> concat('k', doc_id) or size <> doc_id or n_lines <> concat('n', doc_id) or _row <> -doc_id").isEmpty()
             assert docs.dtypes == spark.createDataFrame([], schema).dtypes
     judged = brute.quality([r[:2] for r in rows], {k for k, *_ in labels}, quality.BUCKETS, quality.THRESHOLD)
     good = [r for r, (_, _, kept) in zip(rows, judged, strict=True) if kept]

@@ -39,8 +39,8 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     """df with columns that come out of a generator: no later filter or projection makes Spark compute them again."""
     row = F.struct(*[c.alias(name) for name, c in columns.items()])
     kept = [c for c in df.columns if c not in columns]
-    made = df.select(*[F.col(f"`{c}`") for c in kept], F.explode(F.array(row)).alias("_once"))
-    return made.select(*[F.col(f"`{c}`") for c in kept], "_once.*")
+    made = df.select(*[F.col(f"`{c}`") for c in kept], F.explode(F.array(row)).alias("_trivium_once"))
+    return made.select(*[F.col(f"`{c}`") for c in kept], "_trivium_once.*")
 
 
 def prefix_sums(values: Column) -> Column:
