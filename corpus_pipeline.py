@@ -7,7 +7,7 @@ doc_id, source, ids and the decoded string for each document that is taken, repe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trivium.llm import bpe, lines, mixing, quality, simhash
@@ -16,14 +16,28 @@ from trivium.llm.store import materialize
 from trivium.llm.text import read
 
 
+def carried(docs: DataFrame, *used: str) -> DataFrame:
+    """docs with the columns that a stage doesn't use in one struct, where no operator's column can clash with them."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*used, F.struct(F.lit(0).alias("_"), *rest).alias("_carried"))
+
+
+def restored(done: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of docs again, in their order; new ones in place of their namesakes."""
+    inner = done.schema["_carried"].dataType.names
+    return done.select(*[(new[c] if c in new else F.col("_carried")[c] if c in inner else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or the likelihood ratio go."""
-    return quality.judge(docs, read(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    judged = quality.judge(carried(docs, "doc_id", "text"), read(spark, sf_dir, "labels"))
+    return restored(judged.where("kept"), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; n_chars follows the text."""
-    return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    done = lines.dedup_lines(carried(docs, "doc_id", "text"))
+    return restored(done, docs, n_chars=F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +47,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as its source's rate and its own chance say."""
-    return mixing.emit(mixing.mix(docs)).select(*docs.columns)
+    return restored(mixing.emit(mixing.mix(carried(docs, "doc_id", "source", "text"))), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
