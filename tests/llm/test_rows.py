@@ -139,7 +139,7 @@ def test_merkle_finds_exactly_the_damage(spark):
         head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{'' if i is None else i}>\r\nWARC-Target-URI: {url or ''}\r\nContent-Length: {len((html or '').encode())}\r\n\r\n"
         return head + (html or "") + "\r\n\r\n"
 
-    real = {(r[0], brute.sha(record(*r)), brute.sha(record(r[0], r[1], "\0" + (r[2] or "")[1:]))) for r in rows if hit(r[0])}
+    real = {(r[0], brute.sha(record(*r)), brute.sha(record(r[0], r[1], "\1" + (r[2] or "")[1:]))) for r in rows if hit(r[0])}
     assert {(r.page_id, r.master_sha256, r.replica_sha256) for r in got} == real and len(got) == len(real)
     assert merkle.audit_pages(pages.limit(0)).count() == 0
 

@@ -79,7 +79,7 @@ def damaged(page_id: Column, url: Column, body: Column, one_in: int = 97) -> tup
     For audits without a second archive at hand.
     """
     hit = F.pmod(F.conv(F.substring(F.md5(F.coalesce(page_id.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long"), F.lit(one_in)) == 0
-    return hit, F.when(hit, F.concat(F.lit("\x00"), F.substring(whole(body), 2, 2_000_000_000))).otherwise(whole(body))
+    return hit, F.when(hit, F.concat(F.lit("\x01"), F.substring(whole(body), 2, 2_000_000_000))).otherwise(whole(body))
 
 
 def audit_pages(pages: DataFrame, per_file: int = RECORDS_PER_FILE, one_in: int = 97) -> DataFrame:

@@ -130,4 +130,41 @@ least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
 degree AS (SELECT a AS vec_id, count(*) AS n FROM pairs GROUP BY a)
 SELECT v.vec_id, coalesce(n, 0) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN least USING (vec_id) LEFT JOIN degree USING (vec_id)"""
 
-ORACLES: dict[str, str] = {"op2_chat_format": _CHAT, "op7_line_dedup": _LINES, "op8_mix": _MIX, "op9_embedding_dedup": _COSINE}
+_AUDIT = """
+WITH pages_ AS (SELECT page_id, coalesce(CAST(page_id AS VARCHAR), '') AS id, coalesce(url, '') AS url, coalesce(html, '') AS body FROM pages),
+both_ AS (SELECT *, CASE WHEN CAST('0x' || substr(md5(id), 1, 8) AS BIGINT) % 97 = 0 THEN chr(1) || substr(body, 2) ELSE body END AS other FROM pages_),
+made AS (SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || id || '>' || chr(13) || chr(10)
+  || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' AS head, chr(13) || chr(10) || chr(13) || chr(10) AS gap, body, other FROM both_),
+hashed AS (SELECT page_id, head || strlen(body) || gap || body || gap AS record, sha256(head || strlen(other) || gap || other || gap) AS rsha FROM made),
+once AS (SELECT page_id, sha256(record) AS sha, CAST(strlen(record) AS BIGINT) AS length, count(*) AS copies, min(rsha) AS rsha FROM hashed GROUP BY 1, 2, 3),
+placed AS (SELECT *, CAST('0x' || substr(sha, 1, 12) AS BIGINT) % (SELECT greatest(1, CAST(ceil(count(*) / 512) AS BIGINT)) FROM pages) AS file FROM once),
+laid AS (SELECT *, CAST(sum(length * copies) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, sha) - length * copies AS BIGINT) AS start FROM placed)
+SELECT page_id, file, start AS "offset", length, copies, sha AS master_sha256, rsha AS replica_sha256 FROM laid WHERE sha <> rsha"""
+
+
+def _secret_sql() -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    kinds = ((secrets.ASSIGN, 2), (secrets.ACCESS, 0), (secrets.HEX, 0), (secrets.CANDIDATE, 0))
+    found = " UNION ALL ".join(
+        f"SELECT rid, {k} AS kind, unnest(range(len(regexp_extract_all(text, {quoted(p)})))) AS k, unnest(regexp_extract_all(text, {quoted(p)})) AS m, "
+        f"unnest(regexp_extract_all(text, {quoted(p)}, {g})) AS v, unnest(string_split_regex(text, {quoted(p)})) AS g FROM docs" for k, (p, g) in enumerate(kinds))
+    names = "CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'owned' END || ':' || a || ':' || b"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, chr(1)) AS owner, coalesce(text, '') AS text FROM documents),
+found AS ({found}),
+placed AS (SELECT rid, kind, v, CAST(sum(length(g) + length(m)) OVER (PARTITION BY rid, kind ORDER BY k) AS BIGINT) AS b, length(m) AS n FROM found WHERE m IS NOT NULL),
+spans AS (SELECT rid, kind, v, b - n AS a, b FROM placed WHERE kind <> 0 OR length(v) >= 6),
+base AS (SELECT * FROM spans WHERE kind < 3),
+more AS (SELECT * FROM spans s WHERE kind = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')
+  AND len(list_distinct(string_split(v, ''))) >= 10 AND NOT EXISTS (SELECT 1 FROM base x WHERE x.rid = s.rid AND x.a < s.b AND s.a < x.b)),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM more),
+held AS (SELECT v, count(DISTINCT owner) AS owners FROM every JOIN docs USING (rid) GROUP BY 1),
+known AS (SELECT e.*, owners <= {secrets.MAX_OWNERS} AS own FROM every e JOIN held USING (v)),
+told AS (SELECT rid, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+  string_agg({names}, ',' ORDER BY a, kind) FILTER (WHERE kind < 3) AS base, string_agg({names}, ',' ORDER BY a, kind) FILTER (WHERE kind < 3 OR own) AS spans,
+  count(*) FILTER (WHERE own) AS n_live, count(*) FILTER (WHERE NOT own) AS n_copied FROM known GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM docs LEFT JOIN told USING (rid)"""
+
+
+ORACLES: dict[str, str] = {"op1_merkle_audit": _AUDIT, "op3_secret_scan": _secret_sql(), "op2_chat_format": _CHAT, "op7_line_dedup": _LINES, "op8_mix": _MIX, "op9_embedding_dedup": _COSINE}

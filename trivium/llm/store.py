@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,7 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/trivium-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/trivium-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return f"{folder}/{name}"
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that this application has written so far; results that still read them must be stored before."""
+    jvm, folders = spark.sparkContext._jvm, _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(folders)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
