@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trivium.schema import require
+from trivium.shipping import ship
 
 MAX_ITEMS = 5_000
 MERGES = "step int, left int, right int, height double"
@@ -88,6 +89,7 @@ def _matrix(rows: pd.DataFrame) -> tuple[list, np.ndarray]:
 
 def _on_one_task(dist: DataFrame, a: str, b: str, work, schema: str) -> DataFrame:
     require(dist, a, b, "dist")
+    ship(dist.sparkSession)
     n = dist.select(a).distinct().limit(MAX_ITEMS + 1).count()
     if n > MAX_ITEMS:
         raise ValueError(f"a dendrogram of more than {MAX_ITEMS} items")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from trivium.operators.predict import squared_distance
 from trivium.schema import require, small
+from trivium.shipping import ship
 
 
 def pairwise_dist(embeddings: DataFrame) -> DataFrame:
@@ -73,6 +74,7 @@ def packed(embeddings: DataFrame, dims: int, strict: bool = True) -> DataFrame:
     strict: raise if participants have different items.
     """
     require(embeddings, "worker_id", "item", "coords", "item_ix")
+    ship(embeddings.sparkSession)
     rows = embeddings.groupBy("worker_id").agg(
         F.min("worker_ix").alias("worker_ix") if "worker_ix" in embeddings.columns else F.min("worker_id").alias("worker_ix"),
         F.sort_array(F.collect_list(F.struct("item_ix", "item", "coords"))).alias("r"))

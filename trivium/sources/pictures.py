@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trivium.shipping import ship
+
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 CLEAR, OPAQUE = "#00000000", "#000000FF"
 
@@ -87,6 +89,8 @@ def read_pictures(spark: SparkSession, folder: str) -> DataFrame:
 
 def rasters(pictures: DataFrame, colour: str = OPAQUE) -> DataFrame:
     """(name, raster) of pictures(name, content)."""
+    ship(pictures.sparkSession)
+
     @F.pandas_udf("array<array<string>>")
     def decoded(content: pd.Series) -> pd.Series:
         return content.map(lambda b: raster(b, colour))
