@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trivium.llm.text import whole
+from trivium.shipping import ship
 
 #: Words that a worker remembers, and code points that it encodes before it hands rows on.
 MEMORY, SLICE_CHARS = 300_000, 2_000_000
@@ -183,6 +184,7 @@ def _run(spec, column: str, encode: bool, decode: bool):
 
 def _vocabulary(df: DataFrame, path: str):
     """The tokenizer file, read once by the driver: a few MB whatever the size of the data."""
+    ship(df.sparkSession)
     with open(path, encoding="utf-8") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from trivium.llm.components import components
 from trivium.llm.store import materialize
+from trivium.shipping import ship
 
 TILE, STEP, SLACK = 1024, 16, 1e-9
 #: Vectors of other lengths than the commonest are compared too, without the turn: the basis is then the identity.
@@ -193,6 +194,7 @@ def compare(axes, threshold: float):
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors."""
+    ship(vectors.sparkSession)
     rows = _rows(vectors, vec_id, embedding, label)
     keyed = materialize(rows.where("good").select("vec_id", "label", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v").alias("h2"), "v"), "usable_vectors")
     classes = materialize(keyed.groupBy("label", "h1", "h2").agg(F.min(F.struct("vec_id", "v")).alias("m"), F.count("*").alias("weight")).select(

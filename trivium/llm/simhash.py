@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from trivium.llm.components import components
 from trivium.llm.store import materialize
 from trivium.llm.text import whole
+from trivium.shipping import ship
 
 #: Generator polynomial of the code: fixed value.
 GENERATOR = 0b101011100011
@@ -113,6 +114,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
                 [batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["doc_id", "print"]
             )
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text")).mapInArrow(
         batches, "doc_id long, print long"
     )

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from trivium.llm.bpe import byte_alphabet
 from trivium.llm.text import whole
+from trivium.shipping import ship
 
 #: Ids after which a block is closed, and code points without white space (or of it) that make a long run.
 BLOCK_IDS, LONG_RUN = 1 << 20, 400
@@ -127,6 +128,7 @@ def _writer(spec, end_id: int):
 
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> None:
     """Write docs (doc_id, text) as a token file in ascending doc_id order at path."""
+    ship(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     ordered = (
