@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from trivium.schema import require, small
 
+#: Models up to which they are broadcast to the trials.
+BROADCAST_MODELS = 20_000
+
 
 def squared_distance(a: Column, b: Column, dims: int | None = None) -> Column:
     """Squared Euclidean distance; with dims given, unrolled into plain arithmetic, which is compiled."""
@@ -93,7 +96,7 @@ def prediction_matrix(embeddings: DataFrame, trials: DataFrame, trialtype: str =
     Spark deals both sides out.
     """
     used = require(trials, "worker_id", "sampleSet", "Center", "Left", "Right", "Answer").where(F.col("sampleSet") == trialtype)
-    codes = item_codes(embeddings)
+    codes = item_codes(embeddings).persist()  # read four times; one row an item
     items = codes.count()
     if dims is None:
         dims = (embeddings.select(F.size("coords").alias("d")).first() or [0])[0]
@@ -106,10 +109,11 @@ def prediction_matrix(embeddings: DataFrame, trials: DataFrame, trialtype: str =
     once = coded.select("judge_id", at("Center"), at("Left"), at("Right"), left.cast("int").alias("l"), right.cast("int").alias("r")).groupBy(
         "judge_id", "Center", "Left", "Right", "l", "r").agg(F.count("*").alias("k"))
     models = packed_models(embeddings, codes, items, dims)
+    few = embeddings.select("worker_id").distinct().limit(BROADCAST_MODELS + 1).count() <= BROADCAST_MODELS
     # a number of its own: the few packed trials would else be coalesced into one task before the product
     spark = trials.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    met = once.repartition(tasks, "judge_id", "Center", "Left").join(small(models, 20_000), F.lit(True))
+    met = once.repartition(tasks, "judge_id", "Center", "Left").join(F.broadcast(models) if few else models, F.lit(True))
 
     def squared(side: str) -> Column:
         gaps = [F.get("points", F.col("Center") + k) - F.get("points", F.col(side) + k) for k in range(dims)]

@@ -103,7 +103,7 @@ def standardise_raw(
         "worker_id", F.expr("try_cast(trial_index as long)").alias("trial_ix"), F.expr("try_cast(rt as double)").alias("rt"), "head",
         pick(left, right).alias("winner"), pick(right, left).alias("loser"), left.alias("Left"), right.alias("Right"), F.col("trial_category").alias("sampleAlg"))
     kept = filter_failed_catch(named, max_prop_wrong)
-    levels = item_levels(kept, "head", "winner", "loser")
+    levels = item_levels(kept, "head", "winner", "loser").persist()  # read four times; one row an item
     labelled = kept.select("trial_ix", "worker_id", "rt", F.col("head").alias("Center"), "Left", "Right", F.col("winner").alias("Answer"), F.col("loser").alias("_lost"), "sampleAlg")
     coded = encode(labelled, levels, head="Center", winner="Answer", loser="_lost").drop("_lost")
     trials = assign_sample_sets(coded, test_prop, seed).select("trial_ix", "head", "winner", "loser", "worker_id", "rt", "Center", "Left", "Right", "Answer", "sampleAlg", "sampleSet")
@@ -162,7 +162,7 @@ def standardise_legacy(data: DataFrame, order: str | None = None) -> tuple[DataF
         known.alias("sampleAlg"), text(at["sampleSet"]).alias("sampleSet"))
     if not at["sampleSet"]:
         base = base.withColumn("sampleSet", F.when(hash_uniform(2025, "p_id", "_row") < 0.9, "train").otherwise("test"))
-    levels = item_levels(base, "Center", "Left", "Right")
+    levels = item_levels(base, "Center", "Left", "Right").persist()
     other = F.when(F.col("Answer") == F.col("Left"), F.col("Right")).when(F.col("Answer") == F.col("Right"), F.col("Left"))
     coded = encode(base.withColumn("_lost", other), levels, head="Center", winner="Answer", loser="_lost")
     trials = coded.select("p_id", "Center", "Left", "Right", "Answer", "head", "winner", "loser", "RT", "sampleAlg", "sampleSet")
