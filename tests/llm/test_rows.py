@@ -145,10 +145,12 @@ def test_merkle_finds_exactly_the_damage(spark):
 
 
 def test_merkle_descends_only_where_replicas_differ(spark):
-    leaves = spark.createDataFrame([(f, k, f"{f}-{k}") for f in range(3) for k in range(300)], "file long, ix long, hash string")
+    leaves = spark.createDataFrame([(f, k, 10 * k, 10 * k + 10, f"{f}-{k}") for f in range(3) for k in range(300)], "file long, ix long, start long, stop long, hash string")
     other = leaves.withColumn("hash", F.when((F.col("file") == 1) & (F.col("ix") == 250), "bad").otherwise(F.col("hash"))).where("not (file = 2 and ix = 299)")
     master = merkle.tree(leaves)
     assert len(master) == 4 and master[-1].count() == 3
     bad = merkle.audit(master, merkle.tree(other, depth=3)).collect()
-    assert {(r.file, r.ix, r.master_hash, r.replica_hash) for r in bad} == {(1, 250, "1-250", "bad"), (2, 299, "2-299", None)}
+    assert {(r.file, r.ix, r.start, r.stop, r.master_hash, r.replica_hash) for r in bad} == {(1, 250, 2500, 2510, "1-250", "bad"), (2, 299, 2990, 3000, "2-299", None)}
+    root = master[-1].where("file = 0").first()
+    assert (root.start, root.stop) == (0, 3000)
     assert merkle.audit(master, merkle.tree(leaves, depth=3)).count() == 0

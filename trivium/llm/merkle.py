@@ -46,30 +46,35 @@ def layout(records: DataFrame, n_files: int) -> DataFrame:
 
 
 def tree(leaves: DataFrame, fanout: int = FANOUT, name: str = "tree", depth: int | None = None) -> list[DataFrame]:
-    """Levels (file, ix, hash) from the leaves to the roots, each level a table; parents hash their children in order.
+    """Levels (file, ix, start, stop, hash) from the leaves to the roots, each level a table.
+
+    A node covers the byte range from start to stop; parents hash the ranges and hashes of their children in order.
 
     depth: the number of levels above the leaves, to give a replica that lacks records its master's.
     """
-    levels = [materialize(leaves.select("file", "ix", "hash"), f"{name}_0")]
+    levels = [materialize(leaves.select("file", "ix", "start", "stop", "hash"), f"{name}_0")]
     while len(levels) <= depth if depth is not None else not levels[-1].where("ix > 0").isEmpty():
-        up = levels[-1].groupBy("file", F.expr(f"ix div {fanout}").alias("p")).agg(F.sort_array(F.collect_list(F.struct("ix", "hash"))).alias("c"))
-        parent = F.sha2(F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["ix"].cast("string"), F.coalesce(x["hash"], F.lit("-")))), "\n"), 256)
-        levels.append(materialize(up.select("file", F.col("p").alias("ix"), parent.alias("hash")), f"{name}_{len(levels)}"))
+        up = levels[-1].groupBy("file", F.expr(f"ix div {fanout}").alias("p")).agg(
+            F.min("start").alias("start"), F.max("stop").alias("stop"), F.sort_array(F.collect_list(F.struct("ix", "start", "stop", "hash"))).alias("c"))
+        parent = F.sha2(F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["start"], x["stop"], F.coalesce(x["hash"], F.lit("-")))), "\n"), 256)
+        levels.append(materialize(up.select("file", F.col("p").alias("ix"), "start", "stop", parent.alias("hash")), f"{name}_{len(levels)}"))
     return levels
 
 
 def audit(master: list[DataFrame], replica: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """(file, ix, master_hash, replica_hash) of the leaves that differ, by descent from the roots."""
+    """(file, ix, start, stop, master_hash, replica_hash) of the leaves that differ, by descent from the roots."""
     if len(master) != len(replica):
         raise ValueError("both trees need the same depth")
     bad = None
     for k in range(len(master) - 1, -1, -1):
-        a = master[k].select("file", "ix", F.col("hash").alias("master_hash"))
-        b = replica[k].select("file", "ix", F.col("hash").alias("replica_hash"))
+        a = master[k].select("file", "ix", "start", "stop", F.col("hash").alias("master_hash"))
+        b = replica[k].select("file", "ix", F.col("start").alias("_start"), F.col("stop").alias("_stop"), F.col("hash").alias("replica_hash"))
         if bad is not None:
             parents = bad.select("file", F.col("ix").alias("p"))
             a, b = (x.withColumn("p", F.expr(f"ix div {fanout}")).join(parents, ["file", "p"], "left_semi").drop("p") for x in (a, b))
-        bad = materialize(a.join(b, ["file", "ix"], "full").where(~F.col("master_hash").eqNullSafe(F.col("replica_hash"))), f"differing_{k}")
+        differing = a.join(b, ["file", "ix"], "full").where(~F.col("master_hash").eqNullSafe(F.col("replica_hash")))
+        bad = materialize(differing.select(
+            "file", "ix", F.coalesce("start", "_start").alias("start"), F.coalesce("stop", "_stop").alias("stop"), "master_hash", "replica_hash"), f"differing_{k}")
     return bad
 
 
@@ -94,10 +99,11 @@ def audit_pages(pages: DataFrame, per_file: int = RECORDS_PER_FILE, one_in: int
         pages.select("page_id", F.sha2(record, 256).alias("sha"), F.octet_length(record).cast("long").alias("length"),
                      F.sha2(warc_record(page[0], page[1], body), 256).alias("replica_sha")), "record_hashes")
     n_files = max(1, -(-hashed.count() // per_file))
-    laid = materialize(layout(hashed.select("page_id", "sha", "length"), n_files), "archive_index")
+    index = layout(hashed.select("page_id", "sha", "length"), n_files).withColumns({"start": F.col("offset"), "stop": F.col("offset") + F.col("length") * F.col("copies")})
+    laid = materialize(index, "archive_index")
     read = hashed.groupBy("page_id", "sha").agg(F.min("replica_sha").alias("replica_sha"))
-    held = laid.join(read, laid.page_id.eqNullSafe(read.page_id) & (laid.sha == read.sha)).select("file", "ix", F.col("replica_sha").alias("hash"))
+    held = laid.join(read, laid.page_id.eqNullSafe(read.page_id) & (laid.sha == read.sha)).select("file", "ix", "start", "stop", F.col("replica_sha").alias("hash"))
     master = tree(laid.withColumn("hash", F.col("sha")), name="master")
     bad = audit(master, tree(held, name="replica", depth=len(master) - 1))
-    return laid.join(bad, ["file", "ix"]).select(
+    return laid.join(bad.drop("start", "stop"), ["file", "ix"]).select(
         "page_id", "file", "offset", "length", "copies", F.col("master_hash").alias("master_sha256"), F.col("replica_hash").alias("replica_sha256"))
