@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivium.llm import bpe, lines, mixing, quality, simhash
+from trivium.llm import bpe, lines, mixing, quality, shingles
 from trivium.llm.queries import tokenizer
 from trivium.llm.store import materialize
 from trivium.llm.text import read
@@ -41,8 +41,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
-    return simhash.keep_one(docs).select(*docs.columns)
+    """One document of each group of texts with a similarity of 0.8 or more on five-word shingles stays."""
+    return shingles.keep_one(docs).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
