@@ -35,6 +35,37 @@ def nearest_k(dist: DataFrame, k: int = 5, by: tuple[str, ...] = (), order: str
     return ranked.where((F.col("place") >= 2) & (F.col("place") <= k + 1)).select(*by, "item_a", "item_b", "dist", (F.col("place") - 1).alias("rank"))
 
 
+def nearest_k_blocks(embedding: DataFrame, k: int = 5, block: int = 1024) -> DataFrame:
+    """nearest_k of the distances within one embedding(item, coords), without a row for each pair.
+
+    A task meets two blocks of items and keeps the k + 1 nearest of the second for each item of the first; exact
+    distances are taken of all that the products leave as near as those.
+    """
+    ship(embedding.sparkSession)
+    e = require(embedding, "item", "coords").select("item", "coords")
+    n_blocks = max(1, -(-e.count() // block))
+    blocks = e.groupBy(F.pmod(F.xxhash64("item"), F.lit(n_blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("item", "coords"))).alias("r"))
+    side = lambda s: blocks.select(F.col("r.item").alias(f"item_{s}"), F.col("r.coords").alias(s))
+
+    def nearest(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                names_a, a, names_b, b = (c[0] for c in batch.slice(r, 1).to_pydict().values())
+                a, b = np.array(a), np.array(b)
+                square_a, square_b, kept = (a * a).sum(1), (b * b).sum(1), min(k, len(b) - 1)
+                rough = square_a[:, None] + square_b - 2 * (a @ b.T)
+                limit = np.partition(rough, kept, axis=1)[:, kept] + 1e-9 * (square_a + square_b.max())
+                out = []
+                for i in range(len(a)):
+                    at = np.nonzero(rough[i] <= limit[i])[0]
+                    dist = np.sqrt(((b[at] - a[i]) ** 2).sum(1))
+                    out += [(names_a[i], names_b[at[j]], dist[j]) for j in np.argsort(dist, kind="stable")[: k + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["item_a", "item_b", "dist"])
+
+    met = side("a").crossJoin(side("b")).repartition(max(1, e.sparkSession.sparkContext.defaultParallelism))
+    return nearest_k(met.mapInArrow(nearest, "item_a string, item_b string, dist double"), k)
+
+
 def nearest_to(dist: DataFrame, item: str, k: int = 5) -> DataFrame:
     """nearest_k of one item; raises if there is none of that name."""
     own = dist.where(F.col("item_a") == item)

@@ -324,7 +324,17 @@ pd AS (SELECT a.item AS item_a, b.item AS item_b, list_distance(a.v, b.v) AS dis
 rk AS (SELECT *, row_number() OVER (PARTITION BY item_a ORDER BY dist, item_b) AS k FROM pd)
 SELECT item_a, item_b, round(dist, 6) AS dist, k - 1 AS rank FROM rk WHERE k BETWEEN 2 AND 6""")
 def nearest_k_64d(spark, d):
-    near = geometry.nearest_k(geometry.pairwise_dist(fx.embeddings64(spark, d)), 5)
+    # the SQL's bound; nearest_k_64d_all has the whole table
+    near = geometry.nearest_k(geometry.pairwise_dist(fx.embeddings64(spark, d).where("item_ix < 200")), 5)
+    return near.select("item_a", "item_b", _r("dist"), "rank")
+
+
+@query("""e AS (SELECT 'item_' || CASE WHEN vec_id < 100 THEN lpad(CAST(vec_id AS VARCHAR), 3, '0') ELSE CAST(vec_id AS VARCHAR) END AS item, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+pd AS (SELECT a.item AS item_a, b.item AS item_b, list_distance(a.v, b.v) AS dist FROM e a CROSS JOIN e b),
+rk AS (SELECT *, row_number() OVER (PARTITION BY item_a ORDER BY dist, item_b) AS k FROM pd)
+SELECT item_a, item_b, round(dist, 6) AS dist, k - 1 AS rank FROM rk WHERE k BETWEEN 2 AND 6""")
+def nearest_k_64d_all(spark, d):
+    near = geometry.nearest_k_blocks(fx.embeddings64(spark, d), 5)
     return near.select("item_a", "item_b", _r("dist"), "rank")
 
 

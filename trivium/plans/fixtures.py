@@ -52,8 +52,10 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embeddings64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 200")
-    item = F.concat(F.lit("item_"), F.lpad(F.col("vec_id").cast("string"), 3, "0"))
+    """The whole table; names have three digits or, beyond 999, as many as the number."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    name = F.col("vec_id").cast("string")
+    item = F.concat(F.lit("item_"), F.when(F.length(name) < 3, F.lpad(name, 3, "0")).otherwise(name))
     return e.select(F.lit(0).cast("long").alias("worker_ix"), F.lit("group").alias("worker_id"), F.col("vec_id").alias("item_ix"), item.alias("item"), F.col("embedding").cast("array<double>").alias("coords"))
 
 
