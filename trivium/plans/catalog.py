@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trivium.functions import stats
@@ -411,10 +411,16 @@ def tip_coords(spark, d):
     return cluster.tip_coords(geometry.pairwise_dist(first))
 
 
+def thirds(e: DataFrame) -> DataFrame:
+    """Three participants who are dealt all vectors in turn; where the number isn't a multiple of three, the first ones fill the last item."""
+    n = e.count()
+    at = e.withColumn("at", F.row_number().over(Window.orderBy("item_ix")) - 1)
+    slots = at.unionByName(at.where(F.col("at") < -n % 3).withColumn("at", F.col("at") + n))
+    item = F.expr("at div 3")
+    return slots.select((F.col("at") % 3).cast("string").alias("worker_id"), (F.col("at") % 3).alias("worker_ix"), item.alias("item_ix"), item.cast("string").alias("item"), "coords")
+
+
 @query()
 def rep_dist_64d(spark, d):
     """General dimension, through the singular values of d * d cross products."""
-    e = fx.embeddings64(spark, d).where("item_ix < 120")
-    group = (F.col("item_ix") % 3).cast("string")
-    parts = e.select(group.alias("worker_id"), (F.col("item_ix") % 3).alias("worker_ix"), F.floor(F.col("item_ix") / 3).alias("item_ix"), F.floor(F.col("item_ix") / 3).cast("string").alias("item"), F.slice("coords", 1, 5).alias("coords"))
-    return geometry.rep_dist(parts, dims=5)
+    return geometry.rep_dist(thirds(fx.embeddings64(spark, d)), dims=64)
