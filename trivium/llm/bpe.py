@@ -3,7 +3,8 @@
 A word is a doubly linked list of symbols. A priority queue holds (merge rank, position); the
 lowest rank is merged first, leftmost first, and entries that a former merge has made stale are
 skipped when they surface. Decoding concatenates vocabulary strings, joined as the tokenizer file
-says. Words repeat, so each Python worker remembers the pieces of a bounded number of them; the
+says. Texts are normalised and split in words by the tokenizers library. Words repeat, so each distinct
+piece of a batch is encoded once and a Python worker remembers a bounded number of them; the
 memory changes no result.
 
 Defined results: null and empty texts have no ids and decode to the empty string; texts of any
@@ -14,23 +15,23 @@ column that clashes with an output column is replaced by it.
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trivium.llm import pieces
+from trivium.llm.pieces import MEMORY, REMEMBERED, Memory
 from trivium.llm.text import whole
 from trivium.shipping import ship
 
-#: Words that a worker remembers, and code points that it encodes before it hands rows on.
-MEMORY, SLICE_CHARS = 300_000, 2_000_000
-
 
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
@@ -78,80 +79,77 @@ def merge_word(symbols: list[int], merges: dict[int, int]) -> list[int]:
     return [s for s in symbols if s >= 0]
 
 
-class Words(dict):
-    """Word -> ids, computed when first met."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.make(word)
-        if len(word) < 100:
-            self[word] = ids
-        return ids
-
-
 class BPE:
-    """The tokenizer that a tokenizers-library JSON text describes (BPE over byte-level words)."""
+    """The tokenizer that a tokenizers-library JSON text describes: BPE over words that hold no white space.
+
+    Normalizing and splitting in words are the library's own, so letters, cases and canonical forms are its too; the
+    merges are ours. Raises ValueError for files whose tokens can reach across white space.
+    """
 
     def __init__(self, spec: str):
         import regex
-
-        spec = json.loads(spec)
-        model = spec["model"]
-        self.vocab = model["vocab"]
-        self.suffix = model.get("end_of_word_suffix") or ""
+        from tokenizers import Tokenizer
+
+        library, spec = Tokenizer.from_str(spec), json.loads(spec)
+        if spec["normalizer"] is None:
+            raise ValueError("the file's tokens can hold white space")
+        model, added = spec["model"], spec["added_tokens"]
+        self.normalize, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.vocab, self.suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+        self.added = {t["content"]: t["id"] for t in added}
+        if self.split("a b")[-1][0] != "b" or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].split() != [t["content"]] for t in added):
+            raise ValueError("the file's tokens can hold white space")
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         v = self.vocab
         self.merges = {v[a] << 20 | v[b]: r << 20 | v[a + b] for r, (a, b) in enumerate(merges)}
-        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: t for t, i in (v | self.added).items()}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
-        first = spec["pre_tokenizer"]["pretokenizers"][0]
-        self.pattern = regex.compile(first["pattern"]["Regex"])
-        alphabet = byte_alphabet()
-        self.first = [v.get(c) for c in alphabet]
-        self.last = [v.get(c + self.suffix) for c in alphabet]
-        self.known = Words(self.word)
-
-    def normalize(self, text: str) -> str:
-        """NFC, then lower case character by character (no final-sigma rule).
-
-        The file also turns runs of white space into one space; no word holds white space, so that changes nothing.
-        """
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        names = {i: t for t, i in (v | self.added).items()}
+        self.names = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
+        self.words: dict[str, list[int]] = {}
+        self.memory = Memory(self.pieces)
 
     def word(self, word: str) -> list[int]:
-        raw = word.encode()
-        return merge_word([self.first[b] for b in raw[:-1]] + [self.last[raw[-1]]], self.merges)
-
-    def encode(self, text: str) -> list[int]:
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        look, find = self.known.__getitem__, self.pattern.findall
-        if "<|" not in text:
-            return list(chain.from_iterable(map(look, find(self.normalize(text)))))
-        ids: list[int] = []
-        for part in self.specials.split(text):
-            ids += [self.added[part]] if part in self.added else chain.from_iterable(map(look, find(self.normalize(part))))
+        """The ids of one word, in the characters that stand for its bytes."""
+        ids = self.words.get(word)
+        if ids is None:
+            ids = merge_word([self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + self.suffix]], self.merges)
+            if len(word) <= REMEMBERED:
+                self.words[word] = ids
         return ids
 
-    def decode(self, ids) -> str:
-        """Vocabulary strings, joined by a space where the file names no decoder; special tokens stay."""
-        names = self.names
-        return " ".join([names[i] for i in ids if i in names])
-
-
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start = chars = 0
-    for i, t in enumerate(texts):
-        chars += len(t)
-        if chars >= SLICE_CHARS:
-            yield start, i + 1
-            start, chars = i + 1, 0
-    if start < len(texts) or not texts:
-        yield start, len(texts)
+    def pieces(self, texts: list[str]) -> list[list[int]]:
+        """The ids of texts without ASCII white space: all are split in words at once, with a space between them."""
+        if len(self.words) > MEMORY:
+            self.words.clear()
+        parts = [p for t in texts for p in self.specials.split(t)] if self.added else texts
+        # specials.split gives plain and special parts by turns, one plain part more than special ones
+        plain = [self.normalize("" if p in self.added else p) for p in parts]
+        ends = np.cumsum([len(p) + 1 for p in plain])
+        found: list[list[int]] = [[self.added[p]] if p in self.added else [] for p in parts]
+        split = self.split(" ".join(plain))
+        for k, (word, _) in zip(np.searchsorted(ends, [at for _, (at, _) in split], "right").tolist(), split, strict=True):
+            found[k] += self.word(word)
+        if len(parts) == len(texts):
+            return found
+        out, k = [], 0
+        for t in texts:
+            n = len(self.specials.split(t))
+            out.append(list(chain.from_iterable(found[k : k + n])))
+            k += n
+        return out
+
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """Lists of ids for a string array without nulls."""
+        offsets, ids = pieces.encode(texts, pieces.cut_words, self.memory)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+
+    def decode(self, lists: pa.Array) -> pa.Array:
+        """Vocabulary strings, joined by a space where the file names no decoder; special tokens stay, unknown ids go."""
+        ids, offsets = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+        known = (ids >= 0) & (ids < len(self.names))
+        known[known] = self.names.take(pa.array(ids[known])).is_valid().to_numpy(zero_copy_only=False)
+        strings = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(known)])[offsets], pa.int32()), self.names.take(pa.array(ids[known])))
+        return pc.binary_join(strings, " ")
 
 
 @lru_cache(1)
@@ -165,18 +163,17 @@ def _run(spec, column: str, encode: bool, decode: bool):
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = bpe_of(spec.value)
         for batch in rows:
-            source = batch.column(batch.schema.get_field_index(column)).to_pylist() if encode else batch.column(
-                batch.schema.get_field_index("ids"))
-            for a, b in _slices(source) if encode else [(0, len(source))]:
+            source = batch.column(batch.schema.get_field_index(column if encode else "ids"))
+            for a, b in pieces.slices(source) if encode else [(0, len(source))]:
                 part = batch.slice(a, b - a)
-                ids = [bpe.encode(t) for t in source[a:b]] if encode else source.to_pylist()
+                ids = bpe.encode(source.slice(a, b - a)) if encode else part.column(part.schema.get_field_index("ids"))
                 columns, names = list(part.columns), list(part.schema.names)
                 if encode:
                     drop = names.index(column)
                     columns.pop(drop), names.pop(drop)
-                    columns.append(pa.array(ids, pa.list_(pa.int32()))), names.append("ids")
+                    columns.append(ids), names.append("ids")
                 if decode:
-                    columns.append(pa.array([bpe.decode(x or ()) for x in ids], pa.string())), names.append("decoded")
+                    columns.append(bpe.decode(ids)), names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return batches
