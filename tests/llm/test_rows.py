@@ -127,30 +127,107 @@ def test_quality(spark):
     assert quality.judge(df.limit(0), labels).count() == 0
 
 
-def test_merkle_finds_exactly_the_damage(spark):
-    rows = [(k, f"http://h{k % 3}/x", "<p>é " * (k % 9)) for k in range(900)] + [(5, "http://h2/x", "<p>é " * 5)] * 3 + [(None, None, None), (7, "http://h1/x", None)]
-    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, offset int")
-    got = merkle.audit_pages(pages, per_file=64).collect()
-
-    def hit(i):
-        return int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:8], 16) % 97 == 0
-
-    def record(i, url, html):
-        head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{'' if i is None else i}>\r\nWARC-Target-URI: {url or ''}\r\nContent-Length: {len((html or '').encode())}\r\n\r\n"
-        return head + (html or "") + "\r\n\r\n"
-
-    real = {(r[0], brute.sha(record(*r)), brute.sha(record(r[0], r[1], "\1" + (r[2] or "")[1:]))) for r in rows if hit(r[0])}
-    assert {(r.page_id, r.master_sha256, r.replica_sha256) for r in got} == real and len(got) == len(real)
-    assert merkle.audit_pages(pages.limit(0)).count() == 0
+def _scan(content):
+    """(record, its id) of a WARC file that isn't damaged, by its Content-Length fields."""
+    at, out = 0, []
+    while at < len(content):
+        head = content.index(b"\r\n\r\n", at)
+        stop = head + 8 + int(content[at:head].split(b"Content-Length: ")[1])
+        out.append((content[at:stop], content[at:head].split(b"<urn:page:")[1].split(b">")[0].decode()))
+        at = stop
+    return out
+
+
+PAGES = [(k, f"http://h{k % 3}/x", "<p>é " * (k % 9)) for k in range(900)] + [(5, "http://h2/x", "<p>é " * 5)] * 3 + [(None, None, None), (7, "http://h1/x", None), (950, "a\r\n\r\nb", "WARC/1.0\r\n\r\n" * 9), (951, "", "x" * 3_000_000)]
+
+
+def _pages(spark, rows=PAGES):
+    return spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, file int")
+
+
+def _files(df):
+    return {r.file: bytes(r.content) for r in df.collect()}
+
+
+def _located(spark, change, per_file=64):
+    """Rows that locate() gives for a replica made by change(list of (record, id)), and both archives."""
+    def rewrite(content, records):
+        return b"".join(change([(content[a:b], merkle.page_of(i)) for a, b, i in records]))
+
+    master = merkle.archive(_pages(spark), per_file)
+    replica = merkle.rewritten(master, rewrite)
+    return merkle.locate(master, replica, 4).collect(), _files(master), _files(replica)
+
+
+def test_an_archive_holds_every_record_at_its_range(spark):
+    files = _files(merkle.archive(_pages(spark), 64))
+    held = sorted(r for c in files.values() for r, _ in _scan(c))
+    assert held == sorted(merkle.warc_record(i, u or "", h or "") for i, u, h in PAGES) and len(files) > 5
+    for c in files.values():
+        assert [c[a:b] for a, b, _ in merkle.read_records(c)] == [r for r, _ in _scan(c)]
+    assert merkle.archive(_pages(spark).limit(0)).count() == 0
+
+
+FAULTS = {
+    "flip in the body": (lambda r: [x[:-9] + b"#" + x[-8:] if i == "13" else x for x, i in r], [(13, "changed")]),
+    "flip in the length": (lambda r: [x.replace(b"Length: ", b"Length: 9") if i == "13" else x for x, i in r], [(13, "changed")]),
+    "flip in the id": (lambda r: [x.replace(b"urn:page:13>", b"urn:page:xx>") if i == "13" else x for x, i in r], [(13, "missing"), (None, "extra")]),
+    "cut at the end": (lambda r: [x for x, _ in r][:-1] + [r[-1][0][:-6]] if "13" in [i for _, i in r] else [x for x, _ in r], None),
+    "missing": (lambda r: [x for x, i in r if i != "13"], [(13, "missing")]),
+    "twice": (lambda r: [x for x, i in r for _ in range(1 + (i == "13"))], [(13, "extra")]),
+    "one of several copies": (lambda r: [x[:-9] + b"#" + x[-8:] if i == "5" and k == [j for _, j in r].index("5") else x for k, (x, i) in enumerate(r)], [(5, "changed")]),
+    "reordered": (lambda r: [x for x, i in sorted(r, key=lambda y: y[1] != "13")], []),
+    "none": (lambda r: [x for x, _ in r], []),
+}
+
+
+@pytest.mark.parametrize("fault", FAULTS)
+def test_each_fault_is_located(spark, fault):
+    change, expected = FAULTS[fault]
+    rows, master, replica = _located(spark, change)
+    if expected is not None:
+        assert sorted((str(r.page_id), r.kind) for r in rows if r.kind != "moved") == sorted((str(p), k) for p, k in expected)
+    else:
+        assert [r.kind for r in rows] == ["changed"]
+    assert bool(rows) == (fault != "none") and len({r.file for r in rows}) <= 1
+    for r in rows:  # what is reported lies there in the stored bytes
+        for files, at, length, sha in ((master, r.offset, r.length, r.master_sha256), (replica, r.replica_offset, r.replica_length, r.replica_sha256)):
+            assert sha is None or hashlib.sha256(files[r.file][at : at + length]).hexdigest() == sha
+    if fault in ("missing", "twice", "reordered"):  # each record behind the fault is moved, none before it
+        f = rows[0].file
+        a, b = [x for x, _ in _scan(master[f])], [x for x, _ in _scan(replica[f])]
+        assert len([r for r in rows if r.kind == "moved"]) >= len([k for k in range(min(len(a), len(b))) if a[k] != b[k]]) - 1
+
+
+def test_simulated_damage_is_found_and_a_lost_file_too(spark):
+    rows = merkle.audit_pages(_pages(spark), per_file=64, flip=20, rare=50).collect()
+    hit = lambda i: int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:8], 16)
+    ids = {r[0] for r in PAGES}
+    kinds = {k: {r.page_id for r in rows if r.kind == k} for k in ("changed", "missing", "extra", "moved")}
+    assert kinds["missing"] >= {i for i in ids if hit(i) % 50 == 1 and i not in (5, 7)} and kinds["extra"] >= {i for i in ids if hit(i) % 50 == 2 and i not in (5, 7)}
+    assert kinds["changed"] >= {i for i in ids if hit(i) % 20 == 0 and hit(i) % 50 not in (1, 2)} and kinds["moved"]
+    assert merkle.audit_pages(_pages(spark).limit(0)).count() == 0
+    master = merkle.archive(_pages(spark), 64)
+    lost = merkle.locate(master, master.where("file <> 3")).collect()
+    assert len(lost) == len(_scan(_files(master)[3])) and {(r.file, r.kind) for r in lost} == {(3, "missing")}
+
+
+def test_copies_of_a_page_do_not_fill_one_file(spark):
+    files = _files(merkle.archive(_pages(spark, [(1, "u", "same")] * 2000 + PAGES[:900]), 100))
+    assert sum(len(_scan(c)) for c in files.values()) == 2900 and max(sum(i == "1" for _, i in _scan(c)) for c in files.values()) <= 6 * merkle.COPIES
 
 
 def test_merkle_descends_only_where_replicas_differ(spark):
     leaves = spark.createDataFrame([(f, k, 10 * k, 10 * k + 10, f"{f}-{k}") for f in range(3) for k in range(300)], "file long, ix long, start long, stop long, hash string")
     other = leaves.withColumn("hash", F.when((F.col("file") == 1) & (F.col("ix") == 250), "bad").otherwise(F.col("hash"))).where("not (file = 2 and ix = 299)")
-    master = merkle.tree(leaves)
-    assert len(master) == 4 and master[-1].count() == 3
-    bad = merkle.audit(master, merkle.tree(other, depth=3)).collect()
-    assert {(r.file, r.ix, r.start, r.stop, r.master_hash, r.replica_hash) for r in bad} == {(1, 250, 2500, 2510, "1-250", "bad"), (2, 299, 2990, 3000, "2-299", None)}
+    other = other.withColumn("stop", F.when((F.col("file") == 2) & (F.col("ix") == 298), 2991).otherwise(F.col("stop")))
+    depth = merkle.depth_of(300)
+    master, levels = merkle.tree(leaves, depth), merkle.tree(other, depth)
+    assert depth == 3 and master[-1].count() == 3
+    compared = merkle.audit(master, levels)
+    # 3 roots; below, the 2 children of the differing files' roots each; the 16 (or last) ones of those
+    assert [c.count() for c in compared] == [3, 4, 16 + 3, 16 + 12]
+    assert sorted((r.file, r.ix) for r in compared[-1].where("differ").collect()) == [(1, 250), (2, 298), (2, 299)]
     root = master[-1].where("file = 0").first()
     assert (root.start, root.stop) == (0, 3000)
-    assert merkle.audit(master, merkle.tree(leaves, depth=3)).count() == 0
+    assert [c.count() for c in merkle.audit(master, merkle.tree(leaves, depth))] == [3, 0, 0, 0]

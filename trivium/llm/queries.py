@@ -131,15 +131,27 @@ degree AS (SELECT a AS vec_id, count(*) AS n FROM pairs GROUP BY a)
 SELECT v.vec_id, coalesce(n, 0) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN least USING (vec_id) LEFT JOIN degree USING (vec_id)"""
 
 _AUDIT = """
-WITH pages_ AS (SELECT page_id, coalesce(CAST(page_id AS VARCHAR), '') AS id, coalesce(url, '') AS url, coalesce(html, '') AS body FROM pages),
-both_ AS (SELECT *, CASE WHEN CAST('0x' || substr(md5(id), 1, 8) AS BIGINT) % 97 = 0 THEN chr(1) || substr(body, 2) ELSE body END AS other FROM pages_),
-made AS (SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || id || '>' || chr(13) || chr(10)
-  || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' AS head, chr(13) || chr(10) || chr(13) || chr(10) AS gap, body, other FROM both_),
-hashed AS (SELECT page_id, head || strlen(body) || gap || body || gap AS record, sha256(head || strlen(other) || gap || other || gap) AS rsha FROM made),
-once AS (SELECT page_id, sha256(record) AS sha, CAST(strlen(record) AS BIGINT) AS length, count(*) AS copies, min(rsha) AS rsha FROM hashed GROUP BY 1, 2, 3),
-placed AS (SELECT *, CAST('0x' || substr(sha, 1, 12) AS BIGINT) % (SELECT greatest(1, CAST(ceil(count(*) / 512) AS BIGINT)) FROM pages) AS file FROM once),
-laid AS (SELECT *, CAST(sum(length * copies) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, sha) - length * copies AS BIGINT) AS start FROM placed)
-SELECT page_id, file, start AS "offset", length, copies, sha AS master_sha256, rsha AS replica_sha256 FROM laid WHERE sha <> rsha"""
+WITH pages_ AS (SELECT page_id, coalesce(CAST(page_id AS VARCHAR), '') AS id, replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') AS url, coalesce(html, '') AS body FROM pages),
+parts AS (SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || id || '>' || chr(13) || chr(10)
+  || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+  || 'Content-Length: ' || strlen(body) || chr(13) || chr(10) || chr(13) || chr(10) AS head, body, chr(13) || chr(10) || chr(13) || chr(10) AS gap,
+  CAST('0x' || substr(md5(id), 1, 8) AS BIGINT) AS h FROM pages_),
+hashed AS (SELECT *, sha256(head || body || gap) AS sha, CAST(strlen(head || body || gap) AS BIGINT) AS length FROM parts),
+filed AS (SELECT *, CAST('0x' || substr(sha, 1, 12) AS BIGINT) % (SELECT greatest(1, CAST(ceil(count(*) / 512) AS BIGINT)) FROM pages) AS file FROM hashed),
+master AS (SELECT *, row_number() OVER o - 1 AS ix, row_number() OVER (PARTITION BY file, page_id ORDER BY sha) - 1 AS nth, CAST(sum(length) OVER o - length AS BIGINT) AS start
+  FROM filed WINDOW o AS (PARTITION BY file ORDER BY page_id NULLS FIRST, sha ROWS UNBOUNDED PRECEDING)),
+hit AS (SELECT *, CASE WHEN nth = 0 THEN h END AS f FROM master),
+altered AS (SELECT *, CASE WHEN f % 97 = 0 THEN chr(1) || substr(body, 2) ELSE body END AS flipped, ix + CASE WHEN f % 9973 = 4 THEN 1.5 ELSE 0 END AS place,
+  unnest(range(CASE WHEN f % 9973 = 1 THEN 0 WHEN f % 9973 = 2 THEN 2 ELSE 1 END)) AS time FROM hit),
+cut AS (SELECT page_id, file, place, time, head || CASE WHEN f % 9973 = 3 THEN substr(flipped, 1, length(flipped) - 1) ELSE flipped END || gap AS record FROM altered),
+sized AS (SELECT page_id, file, place, time, sha256(record) AS sha, CAST(strlen(record) AS BIGINT) AS length FROM cut),
+replica AS (SELECT *, row_number() OVER o - 1 AS ix, row_number() OVER (PARTITION BY file, page_id ORDER BY place, time) - 1 AS nth, CAST(sum(length) OVER o - length AS BIGINT) AS start
+  FROM sized WINDOW o AS (PARTITION BY file ORDER BY place, time ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT * FROM master m WHERE NOT EXISTS (SELECT 1 FROM replica r WHERE (m.file, m.ix, m.start, m.length, m.sha) = (r.file, r.ix, r.start, r.length, r.sha))),
+b AS (SELECT * FROM replica r WHERE NOT EXISTS (SELECT 1 FROM master m WHERE (m.file, m.ix, m.start, m.length, m.sha) = (r.file, r.ix, r.start, r.length, r.sha)))
+SELECT coalesce(a.page_id, b.page_id) AS page_id, CASE WHEN a.sha IS NULL THEN 'extra' WHEN b.sha IS NULL THEN 'missing' WHEN a.sha = b.sha THEN 'moved' ELSE 'changed' END AS kind,
+  coalesce(a.file, b.file) AS file, a.start AS "offset", a.length, b.start AS replica_offset, b.length AS replica_length, a.sha AS master_sha256, b.sha AS replica_sha256
+FROM a FULL JOIN b ON a.file = b.file AND a.page_id IS NOT DISTINCT FROM b.page_id AND a.nth = b.nth"""
 
 
 def _secret_sql() -> str:
