@@ -1,15 +1,20 @@
-"""Near-duplicates by the exact similarity of word shingles (the pipeline's stage of operator 5).
+"""Near-duplicates by SimHash groups and the exact similarity of word shingles (the pipeline's stage of operator 5).
 
-Two texts are linked when the Jaccard similarity of their sets of five-word shingles is at least 0.8. Candidates
-are complete: put in one order for all texts, the first n - ceil(0.8 * n) + 1 of a text's n shingles hold one that any
-text so similar has among its own first ones (prefix filter). Each text has BITS parities
-of its shingles; two texts differ in at least as many shingles as parities, so candidates with too many differing ones go
-without their texts being read. Every other candidate is verified on the shingles themselves.
+Two texts are linked when the Jaccard similarity of their sets of five-word shingles is at least 0.8. Texts so similar differ in
+up to a dozen of 64 fingerprint bits, more than Golay keys of a fingerprint can bridge, so the stage has two sources of candidates:
+
+* the groups of operator 5 (simhash.links over five-word fingerprints): each text with its group's first one;
+* a prefix filter, which is complete: put in one order for all texts, the first n - ceil(0.8 * n) + 1 of a text's n
+  shingles hold one that any text so similar has among its own first ones.
+
+Candidates of both are verified alike. Each text has parities of its shingles, about a bit a shingle; two texts differ in at least as
+many shingles as parities, so nearly all candidates that aren't alike go without their texts being read. The others
+are compared by the 64-bit hashes of all their shingles.
 
 The order puts shingles that are common in a sample of the texts last, so a passage of many texts makes no candidates of
 them; the sample decides on work only, as any order gives the same links. Equal texts count once. A shingle held by up
-to SMALL texts makes all their pairs. One held by more first makes pairs with one of them, by the shingle's hash; once
-these are linked, only pairs that are still in different components are left to verify.
+to SMALL texts makes all their pairs. One held by more first makes pairs with one of them; once all these are linked,
+only pairs of about equal length that are still in different components are left to verify.
 
 Defined results: words and white space are as in simhash; a text of fewer than five words is one shingle; null, empty
 and blank texts are equal. Rows are told apart by themselves, not by doc_id: of each group the row with the least doc_id stays,
@@ -26,19 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trivium.llm import simhash
 from trivium.llm.components import components
 from trivium.llm.store import materialize
 from trivium.llm.text import whole
-from trivium.schema import small
 from trivium.shipping import ship
 
 WIDTH = 5
-#: Texts of one shingle that are all paired with each other.
-SMALL = 16
+#: Texts of one shingle that are all paired with each other, and the least number of a text's parities.
+SMALL, BITS = 16, 256
 #: One text in SAMPLE is counted for the order, and shingles of at least COMMON of these are put last, HEAVIEST at most.
 SAMPLE, COMMON, HEAVIEST = 16, 6, 200_000
 ROW = "_trivium_row"
-BITS = 1024
 
 
 def pieces(text: str, width: int = WIDTH) -> tuple[bytes, list[bytes]]:
@@ -51,16 +55,19 @@ def pieces(text: str, width: int = WIDTH) -> tuple[bytes, list[bytes]]:
     return line, [line[a : b - 1] for a, b in zip([0, *stops], stops[width - 1 :])]  # noqa: B905
 
 
-@lru_cache(256)
-def shingle_set(text: str) -> frozenset[bytes]:
-    return frozenset(pieces(text)[1])
+@lru_cache(8)
+def shingle_hashes(text: str) -> np.ndarray:
+    """The sorted different hashes of a text's shingles."""
+    return np.unique(_hashes(pieces(text)[1]))
 
 
 def alike(a: str, b: str) -> bool:
     """Whether the Jaccard similarity is at least 0.8."""
-    x, y = shingle_set(a), shingle_set(b)
-    common = len(x & y)
-    return x == y or 5 * common >= 4 * (len(x) + len(y) - common)
+    x, y = shingle_hashes(a), shingle_hashes(b)
+    if 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 5 * common >= 4 * (len(x) + len(y) - common)
 
 
 def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -74,15 +81,16 @@ def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def parities(hashes: np.ndarray) -> np.ndarray:
-    """BITS bits as signed integers: whether an odd number of hashes falls on each."""
-    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    """A power of two bits, at least one for each hash, as signed integers: whether an odd number of hashes falls on each."""
+    bits = max(BITS, 1 << (len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes >> np.uint64(16)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def _hashes(shingles: list[bytes]) -> np.ndarray:
     import xxhash
 
-    return np.unique(np.array([xxhash.xxh64_intdigest(s) for s in shingles], np.uint64))
+    return np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], np.uint64)
 
 
 def common_shingles(texts: DataFrame) -> np.ndarray:
@@ -91,7 +99,7 @@ def common_shingles(texts: DataFrame) -> np.ndarray:
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for t in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(_hashes(pieces(t.as_py())[1]).view(np.int64))], names=["h"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t.as_py()).view(np.int64))], names=["h"])
 
     sampled = texts.where(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(SAMPLE)) == 0).select("text")
     counted = sampled.mapInArrow(batches, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
@@ -100,28 +108,45 @@ def common_shingles(texts: DataFrame) -> np.ndarray:
 
 
 def shingled(texts: DataFrame) -> DataFrame:
-    """(row, doc_id, h1, h2, n, bits, keys) of texts(row, doc_id, text): hashes of the words, number of shingles, parities, prefix."""
+    """(row, doc_id, h1, h2, n, print, bits, keys) of texts(row, doc_id, text): hashes of the words, number of shingles, fingerprint, parities, prefix."""
     common = common_shingles(texts)
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in rows:
-            h1, h2, n, bits, keys = [], [], [], [], []
+            h1, h2, n, prints, bits, keys = [], [], [], [], [], []
             for t in batch.column(2):
                 line, shingles = pieces(t.as_py())
-                digest, hashes = xxhash.xxh3_128_intdigest(line), _hashes(shingles)
+                digest, every = xxhash.xxh3_128_intdigest(line), _hashes(shingles)
+                hashes = np.unique(every)
                 h1.append(digest >> 64)
                 h2.append(digest & (1 << 64) - 1)
                 n.append(len(hashes))
+                prints.append(simhash.majority(every))
                 bits.append(parities(hashes))
                 keys.append(prefix(hashes, common).view(np.int64))
             signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), signed(h1), signed(h2), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
-                names=["row", "doc_id", "h1", "h2", "n", "bits", "keys"])
+                [batch.column(0), batch.column(1), signed(h1), signed(h2), pa.array(n, pa.int64()), signed(prints), pa.array(bits, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
+                names=["row", "doc_id", "h1", "h2", "n", "print", "bits", "keys"])
+
+    return texts.select("row", "doc_id", "text").mapInArrow(batches, "row long, doc_id long, h1 long, h2 long, n long, print long, bits array<long>, keys array<long>")
+
 
-    return texts.select("row", "doc_id", "text").mapInArrow(batches, "row long, doc_id long, h1 long, h2 long, n long, bits array<long>, keys array<long>")
+def _differing(a: str, b: str):
+    """The number of parities in which two texts differ; the one with more is folded first (lengths allow twice as many)."""
+    def folded(x, y):
+        half = F.floor(F.size(x) / 2).cast("int")
+        return F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
+
+    bits = F.zip_with(folded(a, b), folded(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(bits, F.lit(0), lambda t, x: t + x)
+
+
+def _close(a, b):
+    """Whether two numbers of shingles allow the similarity."""
+    return (5 * F.least(a, b)) >= (4 * F.greatest(a, b))
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -133,41 +158,47 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     side = lambda df, c, s: df.select(F.col("row").alias(s), *[F.col(x).alias(f"{x}_{s}") for x in c])
-    differing = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     # alike texts have at most a ninth of their shingles, counted in both, in one only
-    possible = materialize(pairs.join(side(nodes, ("n", "bits"), "a"), "a").join(side(nodes, ("n", "bits"), "b"), "b").where(
-        9 * differing <= F.col("n_a") + F.col("n_b")).select("a", "b"), "possible_pairs")
-    wanted = small(materialize(possible.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "wanted"))
-    held = materialize(texts.join(wanted, "row", "left_semi"), "candidate_texts")
-    return possible.join(side(held, ("text",), "a"), "a").join(side(held, ("text",), "b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(batches, "a long, b long")
+    possible = materialize(pairs.join(side(nodes, ("n", "bits"), "a"), "a").join(side(nodes, ("n", "bits"), "b"), "b").where(_close(F.col("n_a"), F.col("n_b"))).where(
+        9 * _differing("bits_a", "bits_b") <= F.col("n_a") + F.col("n_b")).select("a", "b"), "possible_pairs")
+    held = materialize(texts.join(possible.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "row", "left_semi"), "candidate_texts")
+    met = possible.join(side(held, ("text",), "a"), "a").join(side(held, ("text",), "b"), "b").select("a", "b", "text_a", "text_b")
+    return materialize(met.mapInArrow(batches, "a long, b long"), "alike")
 
 
-def _close(a, b):
-    """Whether two numbers of shingles allow the similarity."""
-    return (5 * F.least(a, b)) >= (4 * F.greatest(a, b))
+def simhash_stars(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each text with the first one of its group by operator 5; not verified yet."""
+    prints = materialize(nodes.groupBy("print").agg(F.min("row").alias("first")), "prints")
+    part = components(simhash.links(prints)).withColumnRenamed("node", "print")
+    root = prints.join(part, "print", "left").withColumn("group", F.coalesce("component", "print"))
+    least = root.groupBy("group").agg(F.min("first").alias("a"))
+    return nodes.select("row", "print").join(root.join(least, "group").select("print", "a"), "print").where("a < row").select("a", F.col("row").alias("b"))
 
 
 def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between alike texts of nodes(row, n, bits, keys): all links, or enough of them for the same components."""
-    held = nodes.select(F.explode("keys").alias("key"), F.struct("row", "n").alias("m"))
-    lists = materialize(held.groupBy("key").agg(F.sort_array(F.collect_list("m")).alias("ms")).where(F.size("ms") > 1), "shared_shingles")
-    few, many = lists.where(F.size("ms") <= SMALL), lists.where(F.size("ms") > SMALL)
-    each = few.select("ms", F.posexplode("ms").alias("i", "x")).select("x", F.explode(F.expr("slice(ms, i + 2, size(ms))")).alias("y"))
-    lead = F.get("ms", F.pmod(F.xxhash64("key"), F.size("ms")).cast("int"))
-    led = many.where(F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(8)) == 0).select(lead.alias("x"), F.explode("ms").alias("y"))
-    paired = lambda df: df.where("x.row <> y.row").where(_close(F.col("x.n"), F.col("y.n"))).select(
-        F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
-    first = materialize(verified(materialize(paired(each.unionByName(led)), "pairs"), nodes, texts), "alike")
+    """Links (a, b) between alike texts of nodes(row, n, print, bits, keys): all links, or enough of them for the same components."""
+    held = nodes.select(F.explode("keys").alias("key"), "row", "n")
+    order = F.struct(F.xxhash64("key", "row").alias("h"), "row", "n")
+    shared = held.groupBy("key").agg(F.count("*").alias("held"), F.min(order).alias("lead")).where("held > 1")
+    members = materialize(held.join(materialize(shared, "shared_shingles"), "key"), "members")
+    few, many = members.where(F.col("held") <= SMALL), members.where(F.col("held") > SMALL)
+    paired = lambda df: df.where(_close(F.col("n"), F.col("m"))).select(
+        F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
+    each = few.select("key", "row", "n").join(few.select("key", F.col("row").alias("other"), F.col("n").alias("m")), "key").where("row < other")
+    led = many.where(F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(8)) == 0).select("row", "n", F.col("lead.row").alias("other"), F.col("lead.n").alias("m")).where("row <> other")
+    first = verified(materialize(paired(each.drop("key").unionByName(led)).unionByName(simhash_stars(nodes)).distinct(), "pairs"), nodes, texts)
     if many.isEmpty():
         return first
     part = materialize(components(first), "parts")
-    flat = many.select("key", F.explode("ms").alias("x")).withColumn("row", F.col("x.row"))
-    flat = materialize(flat.join(part.withColumnRenamed("node", "row"), "row", "left").select(
-        "key", "x", F.coalesce("component", "row").alias("part")), "crowded")
+    flat = many.select("key", "row", "n").join(part.withColumnRenamed("node", "row"), "row", "left").withColumn("part", F.coalesce("component", "row")).drop("component")
+    flat = materialize(flat, "crowded")
     largest = flat.groupBy("key", "part").count().groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = materialize(flat.join(largest, "key"), "open")
-    rest = open_.where("part <> main").select("key", "x", "part")
-    cross = rest.join(open_.select("key", F.col("x").alias("y"), F.col("part").alias("other")), "key").where("part <> other")
+    open_ = materialize(flat.join(largest.select("key", "main"), "key"), "open")
+    # texts of a shingle meet by length: alike ones are in the same class or in neighbouring ones
+    size = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))).cast("int")
+    rest = open_.where("part <> main").select("key", "row", "n", "part", F.explode(F.array(size - 1, size, size + 1)).alias("size"))
+    others = open_.select("key", F.col("row").alias("other"), F.col("n").alias("m"), F.col("part").alias("apart"), size.alias("size"))
+    cross = rest.join(others, ["key", "size"]).where("part <> apart")
     return first.unionByName(verified(materialize(paired(cross), "cross_pairs"), nodes, texts))
 
 
@@ -179,7 +210,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     made = materialize(shingled(texts), "shingled")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2", "row")).alias("best")
     classes = materialize(made.groupBy("h1", "h2").agg(F.min("row").alias("node"), best), "text_classes")
-    nodes = made.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select("row", "n", "bits", "keys")
+    nodes = materialize(made.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select("row", "n", "print", "bits", "keys"), "nodes")
     part = components(links(nodes, texts.select("row", "text")))
     rooted = classes.join(part, "node", "left").withColumn("group", F.coalesce("component", "node"))
     chosen = materialize(rooted.groupBy("group").agg(F.min("best").alias("best")).select(F.col("best.row").alias(ROW)), "chosen")

@@ -7,10 +7,9 @@ at most two bits. The neighbour, padded to 23 bits, is decoded by the perfect bi
 bit away, one to six in number. Two words at most two bits apart have a word between them, whose
 code word both list, so they share a key. A candidate key is (which segment, its bits, an index).
 
-Fingerprints that share a key are compared. A key held by up to SMALL fingerprints is joined with
-itself. For keys held by more, each of their fingerprints instead names itself and the 64 words one bit
-away: fingerprints link exactly when they share such a word, and all that share one are linked, so a
-star to the least of them keeps every component with 65 rows a fingerprint and no pairs.
+Fingerprints that share a key are joined and verified. A key held by more than SMALL fingerprints is split first: each of its
+fingerprints goes to the words at most one bit away from it outside the equal segment. Two that link have such a word between
+them, and at most 44 fingerprints have one word in common, so a group of any size makes only pairs that link: at most 2,080 a fingerprint.
 
 Equal fingerprints count once from the start. Defined results: null and empty texts, and texts of
 white space, have fingerprint zero and link like any other; repeated rows are each returned; a null
@@ -36,7 +35,7 @@ from trivium.shipping import ship
 #: Generator polynomial of the code: fixed value.
 GENERATOR = 0b101011100011
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Fingerprints of one key that are joined with each other.
+#: Fingerprints of one key that are joined with each other before it is split.
 SMALL = 32
 
 
@@ -94,14 +93,17 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     starts = [0, *stops]
     digest = xxhash.xxh64_intdigest
     if len(words) < shingle:
-        hashes = [digest(line, seed)]
-    else:
-        hashes = [digest(line[a : b - 1], seed) for a, b in zip(starts, stops[shingle - 1 :])]  # noqa: B905
-    total, ones = len(hashes), np.zeros(64, np.int64)
-    for k in range(0, total, 65_536):
-        part = np.array(hashes[k : k + 65_536], "<u8").view(np.uint8).reshape(-1, 8)
+        return digest(line, seed)
+    return majority(np.array([digest(line[a : b - 1], seed) for a, b in zip(starts, stops[shingle - 1 :])], np.uint64))  # noqa: B905
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit hashes."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 65_536):
+        part = hashes[k : k + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > total, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -133,36 +135,21 @@ def golay_keys(prints: DataFrame) -> DataFrame:
 
 
 def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
-    """Links (a, b) between different fingerprints of prints(print) at most max_bits apart.
-
-    All pairs of keys with few fingerprints; of the others, stars with the same components.
-    """
+    """All links (a, b), a < b, between different fingerprints of prints(print) at most max_bits apart."""
     if max_bits not in (1, 2):
         raise ValueError("max_bits is 1 or 2: the keys are complete up to two differing bits")
     keys = materialize(golay_keys(prints), "golay_keys")
     held = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(keys.join(held, "key"), "shared_keys")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    few = shared.where(F.col("n") <= SMALL)
-    pairs = (
-        few.select("key", F.col("print").alias("a"))
-        .join(few.select("key", F.col("print").alias("b")), "key")
-        .where("a < b").where(near).select("a", "b").distinct()
-    )
-    many = shared.where(F.col("n") > SMALL).select("print").distinct()
-    if max_bits == 1:
-        # a word between two at one bit is one of them: the star's centre is that print itself
-        around = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("print").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-        steps = many.select("print", F.explode(around).alias("mid"))
-        stars = steps.join(many.select(F.col("print").alias("mid")), "mid").select(F.col("print").alias("a"), F.col("mid").alias("b"))
-    else:
-        middle = F.transform(
-            F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("print").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))
-        )
-        between = many.select("print", F.explode(F.concat(F.array("print"), middle)).alias("mid"))
-        centre = between.groupBy("mid").agg(F.min("print").alias("b"), F.count("*").alias("n")).where("n > 1")
-        stars = between.join(centre, "mid").where("print <> b").select(F.col("print").alias("a"), "b").distinct()
-    return pairs.unionByName(stars)
+    few = shared.where(F.col("n") <= SMALL).select("key", "print")
+    # a key's top bits tell its equal segment; crowded keys with the same one are split together
+    crowded = shared.where(F.col("n") > SMALL).select(F.shiftright("key", 40).alias("part"), "print").distinct()
+    flips = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("long") for b in range(64) if not start <= b < start + n]) for start, n in SEGMENTS])
+    between = crowded.select("part", "print", F.explode(F.get(flips, F.col("part").cast("int"))).alias("flip")).select(
+        F.struct("part", F.col("print").bitwiseXOR(F.col("flip")).alias("word")).alias("key"), "print")
+    both = lambda df: df.select("key", F.col("print").alias("a")).join(df.select("key", F.col("print").alias("b")), "key").where("a < b").where(near).select("a", "b")
+    return both(few).unionByName(both(between)).distinct()
 
 
 def groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, seed: int = 42) -> DataFrame:
@@ -177,18 +164,3 @@ def groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, seed: int = 42)
         classes.join(moved, "print", "left").select("print", F.coalesce("root", "least").alias("component_id")), "labels"
     )
     return held.join(labels, "print").select("doc_id", "print", "component_id")
-
-
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs without the documents whose group has a smaller doc_id; rows without a doc_id stay.
-
-    Rows that repeat a doc_id are one document: one of them stays.
-    """
-    found = materialize(groups(docs, **how), "groups")
-    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(copies.hint("merge"), "doc_id", "left_anti")  # at every size: the copies grow with the corpus
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated.select("doc_id"), "doc_id", "left_anti").unionByName(again)
