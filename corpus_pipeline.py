@@ -42,7 +42,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts with a similarity of 0.8 or more on five-word shingles stays."""
-    return shingles.keep_one(docs).select(*docs.columns)
+    return shingles.keep_one(docs).select(*[f"`{c}`" for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ STAGES = [
     ("mix_sources", mix_sources), ("bpe", encode),
 ]
 
-#: SQL can express neither the merges of byte pairs nor the fingerprints' 64-bit hashes.
+#: SQL can express neither the merges of byte pairs nor the similarity join over all shingles at this size.
 ORACLE_SQL = None
 
 
