@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from trivium.llm import store
+from trivium.llm import merkle, store
 from trivium.llm.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -26,6 +26,17 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(tuple(_norm(r[c]) for c in columns) for r in got.collect()) == sorted(tuple(map(_norm, r)) for r in result.fetchall())
 
 
+def test_audit_with_all_kinds_of_damage_equals_its_sql(spark):
+    sql = ORACLES["op1_merkle_audit"].replace("% 97 ", "% 20 ").replace("% 9973 ", "% 40 ").replace("/ 512", "/ 32")
+    con = duckdb.connect()
+    con.execute("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.01/pages.parquet'")
+    result = con.execute(sql)
+    columns = [c[0] for c in result.description]
+    got = merkle.audit_pages(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), 32, 20, 40).collect()
+    assert sorted(tuple(_norm(r[c]) for c in columns) for r in got) == sorted(tuple(map(_norm, r)) for r in result.fetchall())
+    assert {r.kind for r in got} == {"changed", "missing", "extra", "moved"}
+
+
 def test_tables_are_written_once_and_released(spark):
     df = store.materialize(spark.range(5), "numbers")
     assert df.count() == 5 and os.path.isdir(df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0])

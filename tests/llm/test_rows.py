@@ -50,6 +50,22 @@ def test_layouts_are_told_apart_by_their_paths(spark):
     assert got[6] == (None, []) and got[7] == (None, []) and got[8] == ("messages", [])
 
 
+def test_no_conversation_is_lost(spark):
+    lines = [
+        '{"k":1,"turn":0,"prompt":"p","completion":"c"}', '{"k":2,"turn":0,"prompt":"p","completion":"c","instruction":"i","output":"o"}', '{"k":3,"turn":0,"prompt":"p"}',
+        '{"k":4,"turn":0,"messages":[]}', '{"k":5,"turn":1,"prompt":"a","completion":"b"}', '{"k":5,"turn":0}', '{"turn":0,"messages":null}', '{"k":6,"turn":2,"prompt":"q","completion":"r"}',
+        '{"k":6,"turn":2,"prompt":"q","completion":"r"}',
+    ]
+    schema = "k long, turn int, prompt string, completion string, instruction string, output string, messages array<struct<role:string,content:string>>, mapping int, turns string, _fingerprint string"
+    df = spark.createDataFrame([(x,) for x in lines], "j string").select(F.from_json("j", schema).alias("x")).select("x.*")
+    back = chat.read_back(chat.format_turns(chat.canonical(df), "k", "turn"), "k").collect()
+    got = {r.k: ([tuple(t) for t in r.turns], r.losses, r.formatted_chars > 0, r.unmapped) for r in back}
+    pair = [("user", "q"), ("assistant", "r")]
+    assert got == {
+        1: ([("user", "p"), ("assistant", "c")], ["c"], True, 0), 2: ([], [], False, 1), 3: ([], [], False, 1), 4: ([], [], False, 0), None: ([], [], False, 1),
+        5: ([("user", "a"), ("assistant", "b")], ["b"], True, 1), 6: (pair + pair, ["r", "r"], True, 0)}
+
+
 KEY = "Zx9" + "qW3rT7yU1pL5kJ8hG2fD4"
 SECRETS = [
     None, "", "password=hunter22", "PassWord : 'abc'", 'api_key="abcdef.ghi"; token=ab secret=abcdefgh', "token=token:abcdef", "secret = token=abc", "AKIA" + "A1" * 8, "AKIA" + "A1" * 7 + " xAKIAAKIA" + "B" * 20,
@@ -70,11 +86,31 @@ def test_secrets(spark):
     assert [(s.start, s.end) for s in by[13].spans if s.kind == 3] == [(4, 4 + len(KEY))]
     assert len([s for s in by[14].spans if s.kind == 3]) == 2 and by[14].n_live == 2
     assert not by[90].spans and by[90].n_copied == 1
+    held = {}
+    for i, t, o in rows:
+        for *_, v in brute.base_spans(t) + [(0, 3, 0, m) for m in (KEY, "Ab3dEf6hIj9lMn2pQr5t") for _ in range((t or "").count(m))]:
+            held.setdefault(v, (set(), set()))[0].add(o)
+            held[v][1].add(i)
+    counts = sorted((r.owners, r.documents) for r in secrets.ownership(secrets.scan(docs)).collect())
+    assert counts == sorted((len(o), len(d)) for o, d in held.values()) and (5, 5) in counts
     digests = {r.doc_id: r for r in secrets.digests(secrets.find_secrets(docs)).collect()}
     assert digests[2].base_sha256 == brute.sha("assign:0:17") and digests[0].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert secrets.find_secrets(docs.limit(0)).count() == 0
 
 
+def test_owners_and_documents_both_tell_examples_from_live_values(spark):
+    a, b, c = f"A{KEY}", f"B{KEY}", f"C{KEY}"
+    rows = [(k, f"x {a}", f"o{k}") for k in range(3)] + [(100 + k, f"y {b} {b}", "one") for k in range(11)] + [(200 + k, f"z {c} token={c}", None) for k in range(10)]
+    rows += [(200, f"z {c} token={c} again", None), (None, f"w {c}!", None)][:1]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secrets.find_secrets(docs).collect()
+    for r in got:
+        kinds = [s.kind for s in r.spans]
+        assert kinds == ([] if r.doc_id < 200 else [3, 0]) and (r.n_live, r.n_copied) == {0: (0, 1), 1: (0, 2), 2: (2, 0)}[r.doc_id // 100], r
+    more = docs.unionByName(spark.createDataFrame([(None, f"w {c}", "s2")], docs.schema))
+    assert {r.n_copied for r in secrets.find_secrets(more).collect() if r.doc_id is None or r.doc_id >= 200} == {1, 2}
+
+
 def test_long_text_with_very_many_spans(spark):
     text = "token=abcdef " * 3000
     row = secrets.find_secrets(spark.createDataFrame([(1, text, None)], "doc_id long, text string, source string")).first()

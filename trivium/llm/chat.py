@@ -3,7 +3,8 @@ r"""Chat formatting by schema fingerprints (operator 2), with DataFrame function
 Records of different layouts (prompt and completion, instruction and input, lists of messages,
 one row per turn) lie in one DataFrame. The nested field paths that are present in a record are
 hashed; the hash selects a declarative mapping from that layout to canonical turns (role, text).
-A record whose fingerprint no mapping names has the mapping null and no turns.
+A record whose fingerprint no mapping names has the mapping null and no turns; its conversation is formatted all the
+same, from its other records if any, and counts it as unmapped.
 
 The template writes a turn as
 
@@ -17,9 +18,10 @@ therefore starts an escape, and undoing \l (\g, \n) before \b gives the text bac
 The loss mask of a turn is a span of code points within its segment; it covers the text of each
 assistant turn and nothing else.
 
-Defined results: null roles and texts are empty; turns are ordered by turn and then by their segment, nulls
-first, repeated rows included; a null conv_id is a conversation of its own; an empty table gives
-an empty table; columns that no layout names are ignored. A conversation must fit in one string (2 GB).
+Defined results: null roles and texts are empty; records are ordered by turn and then by their turns' segments, nulls
+first, repeated ones included; a null conv_id is a conversation of its own; a conversation without turns is
+the empty string; an empty table gives an empty table; columns that no layout names are ignored, input columns named mapping or
+turns are replaced by the outputs. A conversation must fit in one string (2 GB).
 """
 
 from __future__ import annotations
@@ -127,8 +129,8 @@ def _turn(role: str, path: str, at=F.col) -> Column:
 def canonical(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """df with mapping (the layout's name, null if unknown) and turns, array of (role, text)."""
     usable = [x for x in layouts if all(_field(df.schema, p) for p in x.needs)]
-    print_ = F.col("_fingerprint")
-    marked = df.withColumn("_fingerprint", fingerprint(df, tuple(usable)) if usable else F.lit(None).cast("long"))
+    print_ = F.col("_trivium_fingerprint")
+    marked = df.withColumn("_trivium_fingerprint", fingerprint(df, tuple(usable)) if usable else F.lit(None).cast("long"))
     name, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
     for x in reversed(usable):
         hashes = [path_hash(F.array(*map(F.lit, paths))) for paths in _expected(x)]
@@ -138,7 +140,7 @@ def canonical(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame
             made = F.array(*[_turn(*t) for t in x.turns])
         hit = print_.isin(hashes)
         name, turns = F.when(hit, F.lit(x.name)).otherwise(name), F.when(hit, made.cast(TURNS)).otherwise(turns)
-    return marked.withColumns({"mapping": name, "turns": turns}).drop("_fingerprint")
+    return marked.withColumns({"mapping": name, "turns": turns}).drop("_trivium_fingerprint")
 
 
 def escape(text: Column) -> Column:
@@ -178,35 +180,35 @@ def segment(turn: Column) -> Column:
 
 
 def format_turns(df: DataFrame, key: str, order: str) -> DataFrame:
-    """(key, formatted, loss): one string for each conversation of canonical() rows, rendered before the exchange.
+    """(key, formatted, loss, unmapped): one string for each conversation of canonical() rows, rendered before the exchange.
 
-    loss: array of (turn, start, end), code points within the turn's segment.
+    loss: array of (turn, start, end), code points within the turn's segment. unmapped: records without a mapping.
     """
-    each = df.select(key, F.col(order).alias("_o"), F.posexplode("turns").alias("_k", "_t"))
-    made = each.select(key, F.struct("_o", "_k", segment(F.col("_t")).alias("s")).alias("_s"))
-    rows = made.groupBy(key).agg(F.sort_array(F.collect_list("_s")).alias("_s"))
-    loss = F.transform("_s", lambda s, i: F.struct(i.alias("turn"), s["s"]["loss_start"].alias("start"), s["s"]["loss_end"].alias("end")))
-    return rows.select(
-        key, F.array_join(F.transform("_s", lambda s: s["s"]["segment"]), "").alias("formatted"),
-        F.filter(loss, lambda m: m["start"] < m["end"]).alias("loss"),
+    made = df.select(key, "mapping", F.struct(F.col(order).alias("o"), F.transform("turns", segment).alias("s")).alias("_s"))
+    rows = made.groupBy(key).agg(F.sort_array(F.collect_list("_s")).alias("_s"), F.count_if(F.col("mapping").isNull()).alias("unmapped"))
+    flat = rows.select(key, "unmapped", F.flatten(F.transform("_s", lambda r: r["s"])).alias("_s"))
+    loss = F.transform("_s", lambda s, i: F.struct(i.alias("turn"), s["loss_start"].alias("start"), s["loss_end"].alias("end")))
+    return flat.select(
+        key, F.array_join(F.transform("_s", lambda s: s["segment"]), "").alias("formatted"),
+        F.filter(loss, lambda m: m["start"] < m["end"]).alias("loss"), "unmapped",
     )
 
 
 def read_back(formatted: DataFrame, key: str) -> DataFrame:
-    """(key, turns, losses, formatted_chars): turns and loss texts parsed from the formatted string alone and its mask."""
+    """(key, turns, losses, formatted_chars, unmapped): turns and loss texts parsed from the formatted string alone and its mask."""
     cut = F.split("formatted", "</turn>\n", -1)
-    parts = formatted.select(key, "formatted", "loss", F.slice(cut, 1, F.size(cut) - 1).alias("_p"))
+    parts = formatted.select(key, "formatted", "loss", "unmapped", F.slice(cut, 1, F.size(cut) - 1).alias("_p"))
     head_end = lambda p: F.instr(p, HEAD_END)
     turns = F.transform("_p", lambda p: F.struct(
         unescape_role(F.substring(p, F.lit(len(HEAD) + 1), head_end(p) - len(HEAD) - 1)).alias("role"),
         unescape(F.substring(p, head_end(p) + len(HEAD_END), F.length(p))).alias("text")))
     losses = F.transform("loss", lambda m: unescape(F.substring(F.get("_p", m["turn"]), (m["start"] + 1).cast("int"), (m["end"] - m["start"]).cast("int"))))
-    return parts.select(key, turns.alias("turns"), losses.alias("losses"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return parts.select(key, turns.alias("turns"), losses.alias("losses"), F.length("formatted").cast("long").alias("formatted_chars"), "unmapped")
 
 
 def digests(back: DataFrame) -> DataFrame:
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.withColumn("_loss", F.array_join("losses", "")).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
-        F.length("_loss").cast("long").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"), "formatted_chars",
+        F.length("_loss").cast("long").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"), "formatted_chars", "unmapped",
     )

@@ -24,9 +24,8 @@ def op1_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.struct("role", "text").alias("turn_row"))
-    probe = r"\### Assistant: </turn> ok"
-    added = spark.createDataFrame(
-        [(-7, k, (role, probe)) for k, role in enumerate(("user", "assistant"))], "conv_id long, turn int, turn_row struct<role:string,text:string>")
+    probe, assistant = F.lit(r"\### Assistant: </turn> ok"), F.when(F.col("id") == 1, "assistant").otherwise("user")
+    added = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.struct(assistant.alias("role"), probe.alias("text")).alias("turn_row"))
     both = rows.unionByName(added.select(*[F.col(c).cast(rows.schema[c].dataType) for c in rows.columns]))
     formatted = chat.format_turns(chat.canonical(both), "conv_id", "turn")
     return chat.digests(chat.read_back(formatted, "conv_id"))
@@ -94,7 +93,7 @@ each AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || ch
   coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, segment) FILTER (WHERE role = 'assistant'), '') AS loss, sum(length(segment)) AS chars
   FROM coded GROUP BY conv_id)
 SELECT conv_id, n AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
-  CAST(chars AS BIGINT) AS formatted_chars FROM each"""
+  CAST(chars AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS unmapped FROM each"""
 
 _LINES = r"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
@@ -170,8 +169,8 @@ base AS (SELECT * FROM spans WHERE kind < 3),
 more AS (SELECT * FROM spans s WHERE kind = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')
   AND len(list_distinct(string_split(v, ''))) >= 10 AND NOT EXISTS (SELECT 1 FROM base x WHERE x.rid = s.rid AND x.a < s.b AND s.a < x.b)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM more),
-held AS (SELECT v, count(DISTINCT owner) AS owners FROM every JOIN docs USING (rid) GROUP BY 1),
-known AS (SELECT e.*, owners <= {secrets.MAX_OWNERS} AS own FROM every e JOIN held USING (v)),
+held AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT coalesce('d' || doc_id, text)) AS holders FROM every JOIN docs USING (rid) GROUP BY 1),
+known AS (SELECT e.*, owners <= {secrets.MAX_OWNERS} AND holders <= {secrets.MAX_DOCUMENTS} AS own FROM every e JOIN held USING (v)),
 told AS (SELECT rid, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
   string_agg({names}, ',' ORDER BY a, kind) FILTER (WHERE kind < 3) AS base, string_agg({names}, ',' ORDER BY a, kind) FILTER (WHERE kind < 3 OR own) AS spans,
   count(*) FILTER (WHERE own) AS n_live, count(*) FILTER (WHERE NOT own) AS n_copied FROM known GROUP BY 1)

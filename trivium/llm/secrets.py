@@ -1,16 +1,17 @@
 """Secret scans with corpus-wide ownership frequency (operator 3), with DataFrame functions only.
 
 Three fixed kinds (assign, access, hex) are found in every whole text. Beside them, long tokens
-that mix letters and digits are candidates. Candidate values are hashed and counted over the
-corpus: distinct owners (sources) and documents. A candidate that few owners hold and that looks live
-is reported as a span of kind owned; one that many owners hold is a widely copied example and isn't.
+that mix letters and digits are candidates. The values of both are hashed and counted over the
+corpus: distinct owners (sources) and distinct documents. A value that at most MAX_OWNERS owners and at most MAX_DOCUMENTS
+documents hold is live; any other is a widely copied example, be it by many owners or many times by one. Live candidates
+are reported as spans of kind owned, copied ones aren't; the spans of the fixed kinds always stay.
 
 Spans are 0-based code points, the end exclusive. Spark has no function for the positions of all
 matches, so the lengths of the matches and of the gaps between them are summed up.
 
 Defined results: a null or empty text has no spans; repeated rows each give a row, and count once for
-ownership within a document; rows with a null source belong to one unnamed owner; an empty table
-gives an empty table; other columns are not read.
+ownership within a document; rows that share a doc_id are one document, rows without one are told apart by their text;
+rows with a null source belong to one unnamed owner; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ HEX = r"[0-9a-f]{24,}"
 #: A candidate of the method: a long token; it must also hold a digit, both cases and few repeats.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
-MAX_OWNERS = 2
+MAX_OWNERS, MAX_DOCUMENTS = 2, 10
 
 
 def _spans(text: str, pattern: str, kind: int, value_group: int = 0, least: int = 0) -> Column:
@@ -75,29 +76,30 @@ def scan(docs: DataFrame, owner: str = "source") -> DataFrame:
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """(h1, h2, owners, documents) of every value in base or candidates of scan()."""
+    """(h1, h2, owners, documents): distinct owners and documents of every value in base or candidates of scan().
+
+    Spark counts distinct values in two exchanges, by value and holder first, so a value that everyone holds is no hot key.
+    """
     values = F.array_distinct(F.transform(F.concat("base", "candidates"), lambda s: s["value"]))
-    each = scanned.select("owner", F.explode(values).alias("value"))
+    document = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(5), "row")).otherwise(F.xxhash64("doc_id"))
+    each = scanned.select(F.xxhash64("owner").alias("owner"), document.alias("document"), F.explode(values).alias("value"))
     h1, h2 = hash128(F.col("value"))
-    by_owner = each.groupBy(h1.alias("h1"), h2.alias("h2"), "owner").agg(F.count("*").alias("documents"))
-    return by_owner.groupBy("h1", "h2").agg(F.count("*").alias("owners"), F.sum("documents").alias("documents"))
+    return each.groupBy(h1.alias("h1"), h2.alias("h2")).agg(F.count_distinct("owner").alias("owners"), F.count_distinct("document").alias("documents"))
 
 
-def find_secrets(docs: DataFrame, owner: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """(doc_id, base, spans, n_live, n_copied): base spans, all spans, and values by ownership.
-
-    n_live counts spans whose value at most max_owners owners hold, n_copied the others.
-    """
+def find_secrets(docs: DataFrame, owner: str = "source", max_owners: int = MAX_OWNERS, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+    """(doc_id, base, spans, n_live, n_copied): base spans, all spans, and the numbers of spans whose values are live and copied."""
     scanned = materialize(scan(docs, owner), "scanned_secrets")
     found = ownership(scanned)
     each = scanned.select("doc_id", "row", F.explode(F.array_distinct(F.concat("base", "candidates"))).alias("span"))
     h1, h2 = hash128(F.col("span.value"))
+    live = (F.col("owners") <= max_owners) & (F.col("documents") <= max_documents)
     owned = (
         each.withColumns({"h1": h1, "h2": h2}).join(materialize(found, "ownership"), ["h1", "h2"])
         .groupBy("doc_id", "row").agg(
-            F.collect_set(F.when((F.col("span.kind") == 3) & (F.col("owners") <= max_owners), F.col("span"))).alias("owned"),
-            F.collect_set(F.when(F.col("owners") <= max_owners, F.struct("span.start", "span.kind"))).alias("live"),
-            F.collect_set(F.when(F.col("owners") > max_owners, F.struct("span.start", "span.kind"))).alias("copied"),
+            F.collect_set(F.when((F.col("span.kind") == 3) & live, F.col("span"))).alias("owned"),
+            F.collect_set(F.when(live, F.struct("span.start", "span.kind"))).alias("live"),
+            F.collect_set(F.when(~live, F.struct("span.start", "span.kind"))).alias("copied"),
         ).withColumnsRenamed({"doc_id": "_doc", "row": "_row"})
     )
     both = scanned.drop("owner", "candidates").join(owned, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row")), "left")
