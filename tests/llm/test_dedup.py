@@ -102,7 +102,7 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(docs.limit(0)).count() == 0
 
 
-def test_embedding_dedup(spark):
+def test_embedding_dedup(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = []
     for label in (0, 1, None):
@@ -112,17 +112,48 @@ def test_embedding_dedup(spark):
     rows += [(1, [1e300] * 24), (1, [1e-300] * 24)] + [(0, rows[0][1])] * 30
     rows = [(k * 7 % 1009, *r, "x") for k, r in enumerate(rows)]
     df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>, kept string").repartition(3)
-    embedding_tile, embedding.TILE = embedding.TILE, 32
-    try:
+    for tile, block in ((1024, 16), (32, 2)):
+        monkeypatch.setattr(embedding, "TILE", tile)
+        monkeypatch.setattr(embedding, "BLOCK", block)
         got = {r.vec_id: (r.n_links, r.component_id) for r in embedding.near_duplicates(df).collect()}
-    finally:
-        embedding.TILE = embedding_tile
-    assert got == brute.embedding_links([r[:3] for r in rows])
+        assert got == brute.embedding_links([r[:3] for r in rows])
     assert embedding.near_duplicates(df.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, 1, [1.0, 0.0]), (1, 1, [1.0, 0.0]), (1, 1, [1.0, 0.0])], "vec_id long, label int, embedding array<float>")
     assert sorted((r.vec_id or -1, r.n_links, r.kept) for r in embedding.near_duplicates(odd).collect()) == [(-1, 0, False), (1, 1, True), (1, 1, True)]
 
 
+def test_rows_that_share_a_vec_id_but_not_the_vector(spark):
+    rows = [(1, 1, [1.0, 0.0, 0.0]), (1, 1, [0.0, 1.0, 0.0]), (2, 1, [1.0, 0.01, 0.0]), (5, 1, [0.0, 1.0, 0.0]), (9, 1, [0.0, 0.0, 1.0]), (7, 2, [0.0, 1.0, 0.0]), (9, 2, [0.0, 1.0, 0.01])]
+    got = embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")).collect()
+    # two rows hold vec 1: one links with 2, one with 5; vec 9's vector of label 1 links with nothing, that of label 2 with 7
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (5, 1, 1), (7, 1, 7), (9, 0, 7), (9, 1, 7)]
+    alone = embedding.near_duplicates(spark.createDataFrame([(1, 1, [1.0, 0.0, 0.0]), (1, 1, [0.0, 1.0, 0.0]), (2, 1, [1.0, 0.01, 0.0])], "vec_id long, label int, embedding array<float>"))
+    assert sorted((r.vec_id, r.n_links) for r in alone.collect()) == [(1, 0), (1, 1), (2, 1)]
+
+
+def test_summaries_rule_out_tiles_but_lose_none_with_links(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "TILE", 32)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([c + rng.normal(scale=0.02, size=(64, 16)) for c in rng.normal(size=(12, 16))])
+    rows = [(k, k, 1, v.tolist(), 1) for k, v in enumerate(x)]
+    classes = spark.createDataFrame(rows, "id long, node long, label long, v array<double>, weight long").repartition(3)
+    cut = embedding.tiles(classes, spark.sparkContext.broadcast(embedding.principal_axes(classes))).cache()
+    where = {i: (r.part, r.seq) for r in cut.collect() for i in r.ids}
+    open_ = {(tuple(r.ta), tuple(r.tb)) for r in embedding.open_pairs(cut, 0.93).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = {tuple(sorted((where[i], where[j]))) for i, j in zip(*np.nonzero(u @ u.T >= 0.93), strict=True)}
+    n = cut.count()
+    assert linked <= open_ and len(open_) < n * (n + 1) // 2 / 3
+
+
+def test_axes_are_those_of_the_second_moments(spark):
+    x = np.random.default_rng(9).normal(size=(50, 6)) * [5, 4, 3, 2, 1, 0.5]
+    axes = embedding.principal_axes(spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>").repartition(4), slots=2, chunk=5)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    moments = axes[6].T @ (u.T @ u) @ axes[6]
+    assert np.allclose(moments, np.diag(np.diag(moments)), atol=1e-9) and (np.diff(np.diag(moments)) < 0).all()
+
+
 def test_pruning_loses_no_pair():
     rng = np.random.default_rng(6)
     base = rng.normal(size=(40, 64))

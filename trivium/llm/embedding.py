@@ -1,11 +1,14 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison (operator 9).
 
 Equal vectors of one label count once, with their number. Unit vectors are turned onto the principal axes
-of all vectors' second moments, sorted by label and leading coordinates over the cluster, and cut
-into tiles of TILE. Two tiles of one label are compared in one task: products of the leading STEP
-dimensions are summed first, the rest is bounded by the product of the suffix norms (Cauchy-Schwarz),
-rows and columns that cannot reach the threshold any more are dropped, and the comparison stops
-when none is left. Pairs that remain are decided by the cosine of the original vectors in double precision.
+of all vectors' second moments, sorted by label and nearest pivots over the cluster, and cut
+into tiles. Pivots are PIVOTS vectors, least by hash; like the axes, they steer the order of the work, never the result. A tile's summary (centre and radius in the leading axes, least and greatest suffix norm) rules out most
+tiles of its label before any vector moves; the salted join of summaries has no hot label. Open pairs of tiles
+meet in grid cells of BLOCK by BLOCK tiles, so a tile is sent once for each cell, not for each partner.
+
+In a cell two tiles are compared by products of the leading STEP dimensions first; the rest is bounded by the product of the
+suffix norms (Cauchy-Schwarz), rows and columns that cannot reach the threshold any more are dropped, and the
+comparison stops when none is left. Pairs that remain are decided by the cosine of the original vectors in double precision.
 
 A pair of tiles gives each vector's number of links and a spanning forest of the links, never the pairs,
 so a label that holds a third of all vectors, or a group of near copies, gives rows in
@@ -14,7 +17,8 @@ proportion to its vectors for each tile that it meets.
 Defined results: rows with a null label, or a vector that is null, empty, zero or holds null or non-finite
 values, link with nothing; vectors of different length don't link; a null vec_id links with nothing and isn't
 kept; repeated rows are linked with each other and each returned; rows that share a vec_id but
-not the vector are one node of the components; an empty table gives an empty table; other columns are not read.
+not the vector each count their own vector's links and are one node of the components; an empty table gives an empty
+table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,24 +29,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trivium.llm.components import components
 from trivium.llm.store import materialize
 from trivium.shipping import ship
 
-TILE, STEP, SLACK = 1024, 16, 1e-9
-#: Vectors of other lengths than the commonest are compared too, without the turn: the basis is then the identity.
-TILE_SCHEMA = "label long, dim int, part int, seq int, ids array<long>, weights array<long>, vectors binary"
-FOUND = "a long, b long, n long"
+#: Vectors and bytes of a tile, tiles along a side of a cell, dimensions of a step and of a summary, pivots.
+TILE, TILE_BYTES, BLOCK, STEP, LEAD, PIVOTS, SLACK = 1024, 1 << 22, 16, 16, 16, 256, 1e-9
+TILE_SCHEMA = "label long, dim int, part int, seq int, ids array<long>, nodes array<long>, weights array<long>, vectors binary, centre array<double>, radius double, least double, most double"
+FOUND = "id long, n long, a long, b long"
+
+
+def _batch(columns, schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
 def _rows(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> DataFrame:
-    """(vec_id, label, v, good): good tells whether a row can link."""
+    """(vec_id, label, v, good): good tells whether a row can link. Single-precision vectors stay so until they are compared."""
+    single = isinstance(getattr(vectors.schema[embedding].dataType, "elementType", None), T.FloatType)
     v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0)
     return vectors.select(
-        F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(embedding).cast("array<double>").alias("v")
+        F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(embedding).cast("array<float>" if single else "array<double>").alias("v")
     ).withColumn("good", F.coalesce(good, F.lit(False)))
 
 
@@ -56,70 +68,137 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def principal_axes(classes: DataFrame) -> dict[int, np.ndarray]:
+def _summed(table: pa.Table) -> pa.Table:
+    """One row with the sum of a group's packed doubles."""
+    total = sum(np.frombuffer(x.as_py()) for x in table.column("s"))
+    return pa.table({"d": table.column("d")[:1], "chunk": table.column("chunk")[:1], "slot": pa.array([0], pa.int32()), "s": pa.array([total.tobytes()], pa.binary())})
+
+
+def principal_axes(classes: DataFrame, slots: int = 64, chunk: int = 1 << 16) -> dict[int, np.ndarray]:
     """By dimension, the eigenvectors of the unit vectors' second moments, largest first.
 
-    Each task sums its vectors; d * d sums a dimension reach the driver (the dimensions that occur are few).
-    They steer only the order of the work, never the result.
+    Each task sums its vectors to one packed matrix, in chunks; chunks are summed in two steps over the cluster, and d * d doubles
+    a dimension reach the driver (the dimensions that occur are few). They steer only the order of the work, never the result.
     """
+    schema = "d int, chunk int, slot int, s binary"
 
     def moments(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         sums: dict[int, np.ndarray] = {}
         for batch in rows:
             dims = np.asarray(batch.column(0).value_lengths())
             for d in np.unique(dims):
-                u = _unit(_matrix(batch.column(0).filter(pa.array(dims == d)), int(d)))
+                u = _unit(_matrix(batch.column(0).filter(pa.array(dims == d)), int(d)).astype(float))
                 sums[int(d)] = sums.get(int(d), 0) + u.T @ u
         for d, s in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([d] * (d * d), pa.int32()), pa.array(np.arange(d * d), pa.int64()), pa.array(s.ravel())], names=["d", "k", "s"])
-
-    rows = classes.select("v").mapInArrow(moments, "d int, k long, s double").groupBy("d", "k").agg(F.sum("s").alias("s")).collect()
-    out: dict[int, np.ndarray] = {}
-    for r in rows:
-        out.setdefault(r.d, np.zeros(r.d * r.d))[r.k] = r.s
-    return {d: np.linalg.eigh(s.reshape(d, d))[1][:, ::-1] for d, s in out.items()}
-
-
-def tiles(classes: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
-    """TILE_SCHEMA rows of classes(vec_id, label, v, weight), sorted by label, signs of the leading axes and the first of them."""
-    held = classes.sparkSession.sparkContext.broadcast(axes)
+            for k in range(0, d * d, chunk):
+                yield _batch([[d], [k // chunk], [TaskContext.get().partitionId() % slots], [s.ravel()[k : k + chunk].tobytes()]], schema)
+
+    parts = classes.select("v").mapInArrow(moments, schema)
+    for keys in (("d", "chunk", "slot"), ("d", "chunk")):
+        parts = parts.groupBy(*keys).applyInArrow(_summed, schema)
+    packed: dict[int, dict[int, bytes]] = {}
+    for r in parts.collect():
+        packed.setdefault(r.d, {})[r.chunk] = r.s
+    return {d: np.linalg.eigh(np.frombuffer(b"".join(s[k] for k in sorted(s))).reshape(d, d))[1][:, ::-1] for d, s in packed.items()}
+
+
+def _chain(pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pivots as columns, each next to one near it; the number of wide gaps before each)."""
+    cosine, order = pivots @ pivots.T, [0]
+    left = np.ones(len(pivots), bool)
+    left[0] = False
+    while left.any():
+        order.append(int(np.argmax(np.where(left, cosine[order[-1]], -2))))
+        left[order[-1]] = False
+    gaps = np.array([0, *(cosine[a, b] < 0.8 for a, b in zip(order, order[1:]))])  # noqa: B905
+    return pivots[order].T, np.cumsum(gaps)
+
+
+def tiles(classes: DataFrame, axes) -> DataFrame:
+    """TILE_SCHEMA rows of classes(id, node, label, v, weight), sorted by label, the two nearest pivots and the cosine with the first."""
+    chosen: dict[int, list] = {}
+    for r in classes.select("v").orderBy(F.xxhash64("v"), "v").limit(PIVOTS).collect():
+        chosen.setdefault(len(r.v), []).append(r.v)
+    pivots = classes.sparkSession.sparkContext.broadcast({d: _chain(_unit(np.array(v, float))) for d, v in chosen.items()})
 
     def place(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             v = batch.column(batch.schema.get_field_index("v"))
-            dims, code, lead = np.asarray(v.value_lengths()), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            dims, lead = np.asarray(v.value_lengths()), np.zeros(batch.num_rows)
+            group, code = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for d in np.unique(dims):
                 at = dims == d
-                y = _unit(_matrix(v.filter(pa.array(at)), int(d))) @ held.value[int(d)][:, :12]
-                code[at] = (y > 0) @ (1 << np.arange(y.shape[1])[::-1])
-                lead[at] = y[:, 0]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dims, pa.int32()), pa.array(code), pa.array(lead)], names=[*batch.schema.names, "dim", "code", "lead"])
+                if int(d) not in pivots.value:
+                    continue
+                columns, gaps = pivots.value[int(d)]
+                near = _unit(_matrix(v.filter(pa.array(at)), int(d)).astype(float)) @ columns
+                best, every = near.argmax(1), np.arange(len(near))
+                group[at], code[at], lead[at] = gaps[best], best * PIVOTS, near[every, best]
+                near[every, best] = -2
+                code[at] += near.argmax(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dims, pa.int32()), pa.array(group), pa.array(code), pa.array(lead)], names=[*batch.schema.names, "dim", "group", "code", "lead"])
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq, key, ids, weights, vectors = TaskContext.get().partitionId(), 0, None, [], [], []
+        part, seq, key, held, parts = TaskContext.get().partitionId(), 0, None, 0, []
 
         def tile() -> pa.RecordBatch:
-            row = [key[0], key[1], part, seq, ids, weights, np.stack(vectors).tobytes()]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in TILE_SCHEMA.split(", ")])
+            ids, nodes, weights, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+            y = _unit(v.astype(float)) @ axes.value[key[1]][:, :LEAD]
+            centre, rest = y.mean(0), np.sqrt(np.maximum(0, 1 - (y * y).sum(1)))
+            radius = np.sqrt(((y - centre) ** 2).sum(1).max())
+            return _batch([[key[0]], [key[1]], [part], [seq], [ids], [nodes], [weights], [v.tobytes()], [centre], [radius], [rest.min()], [rest.max()]], TILE_SCHEMA)
 
         for batch in rows:
-            for label, dim, i, w, v in zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("label", "dim", "vec_id", "weight", "v")], strict=True):
-                if ids and (key != (label, dim) or len(ids) >= TILE):
+            column = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+            label, dim, group, ids, nodes, weights = (column[c].to_numpy(zero_copy_only=False) for c in ("label", "dim", "group", "id", "node", "weight"))
+            new = np.flatnonzero((np.diff(label) != 0) | (np.diff(dim) != 0) | (np.diff(group) != 0)) + 1
+            for a, b in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                now = int(label[a]), int(dim[a]), int(group[a])
+                # behind a gap between pivots, a tile that is an eighth full ends, so that tiles stay small in space
+                if parts and (key[:2] != now[:2] or key != now and 8 * held >= size):
                     yield tile()
-                    seq, ids, weights, vectors = seq + 1, [], [], []
-                key = (label, dim)
-                ids.append(i), weights.append(w), vectors.append(np.array(v))
-        if ids:
+                    seq, held, parts = seq + 1, 0, []
+                key, size = now, max(32, min(TILE, TILE_BYTES // (8 * now[1])))
+                vectors = _matrix(column["v"].slice(a, b - a), key[1])
+                while a < b:
+                    n = min(b - a, size - held)
+                    parts.append((ids[a : a + n], nodes[a : a + n], weights[a : a + n], vectors[:n]))
+                    a, held, vectors = a + n, held + n, vectors[n:]
+                    if held == size:
+                        yield tile()
+                        seq, held, parts = seq + 1, 0, []
+        if parts:
             yield tile()
 
-    placed = classes.select("vec_id", "label", "v", "weight").mapInArrow(place, "vec_id long, label long, v array<double>, weight long, dim int, code long, lead double")
-    ordered = placed.repartitionByRange("label", "dim", "code", "lead", "vec_id").sortWithinPartitions("label", "dim", "code", "lead", "vec_id")
+    element = classes.schema["v"].dataType.simpleString()
+    placed = classes.select("id", "node", "label", "v", "weight").mapInArrow(place, f"id long, node long, label long, v {element}, weight long, dim int, group long, code long, lead double")
+    ordered = placed.repartitionByRange("label", "dim", "code", "lead", "id").sortWithinPartitions("label", "dim", "code", "lead", "id")
     return ordered.mapInArrow(cut, TILE_SCHEMA)
 
 
+def open_pairs(cut: DataFrame, threshold: float) -> DataFrame:
+    """(dim, ta, tb) of tiles of one label that can hold a link, ta <= tb, by their summaries.
+
+    Unit vectors with a cosine of t are sqrt(2 - 2 t) apart. Two tiles are at least as far apart as their balls in the leading axes
+    and their suffix norms.
+    """
+    salts = max(1, cut.count() // 64)
+    t = F.struct("part", "seq")
+    own = cut.select("label", "dim", t.alias("ta"), *[F.col(c).alias(f"{c}_a") for c in ("centre", "radius", "least", "most")], F.pmod(F.xxhash64(t), F.lit(salts)).alias("salt"))
+    every = cut.select("label", "dim", t.alias("tb"), *[F.col(c).alias(f"{c}_b") for c in ("centre", "radius", "least", "most")], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    square = F.aggregate(F.zip_with("centre_a", "centre_b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    lead = F.greatest(F.lit(0.0), F.sqrt(square) - F.col("radius_a") - F.col("radius_b"))
+    rest = F.greatest(F.lit(0.0), F.col("least_a") - F.col("most_b"), F.col("least_b") - F.col("most_a"))
+    near = lead * lead + rest * rest <= 2 - 2 * threshold + 1e-6
+    return own.join(every, ["label", "dim", "salt"]).where("ta <= tb").where(near).select("dim", "ta", "tb")
+
+
 def reachable(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows (i, j) of two blocks of turned unit vectors whose cosine can reach the threshold."""
     rest_a = np.sqrt(np.cumsum((a * a)[:, ::-1], 1)[:, ::-1])
@@ -157,37 +236,40 @@ class Forest:
             self.links.append((i, j))
 
 
-def compare(axes, threshold: float):
-    """A mapInArrow function over pairs of tiles: rows (a, null, n) add n links to vector a, rows (a, b, null) link two."""
-
-    def found(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for k in range(batch.num_rows):
-                r = batch.slice(k, 1).to_pylist()[0]
-                same = r["same"]
-                va = np.frombuffer(r["va"]).reshape(-1, r["dim"])
-                vb = va if same else np.frombuffer(r["vb"]).reshape(-1, r["dim"])
-                ua, ub = _unit(va), _unit(vb)
-                i, j = reachable(ua @ axes.value[r["dim"]], ub @ axes.value[r["dim"]], threshold)
-                if same:
-                    i, j = i[i < j], j[i < j]
-                hit = np.zeros(len(i), bool)
-                for s in range(0, len(i), 65_536):
-                    hit[s : s + 65_536] = (ua[i[s : s + 65_536]] * ub[j[s : s + 65_536]]).sum(1) >= threshold
-                i, j = i[hit], j[hit]
-                ids = np.array(r["ia"] + ([] if same else r["ib"]), np.int64)
-                weight = np.array(r["wa"] + ([] if same else r["wb"]), np.int64)
-                j = j if same else j + len(va)
-                number = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
-                forest = Forest(len(ids))
-                for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                    forest.join(x, y)
-                some = np.nonzero(number)[0]
-                x, y = np.array(forest.links, np.int64).reshape(-1, 2).T
-                empty = lambda n: [None] * n
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([*ids[some].tolist(), *ids[x].tolist()], pa.int64()), pa.array([*empty(len(some)), *ids[y].tolist()], pa.int64()),
-                    pa.array([*number[some].astype(np.int64).tolist(), *empty(len(x))], pa.int64())], names=["a", "b", "n"])
+def compare(axes, threshold: float, single: bool):
+    """An applyInArrow function over a cell's tiles and its open pairs: rows (id, n) add n links to vector id, rows (a, b) link two nodes."""
+
+    def found(table: pa.Table) -> pa.Table:
+        dim = table.column("dim")[0].as_py()
+        held, pairs = {}, table.column("pairs")[0].as_py()
+        for k, (part, seq) in enumerate(zip(table.column("part").to_pylist(), table.column("seq").to_pylist(), strict=True)):
+            take = lambda c, k=k: np.array(table.column(c)[k].as_py(), np.int64)
+            u = _unit(np.frombuffer(table.column("vectors")[k].as_py(), np.float32 if single else float).reshape(-1, dim).astype(float))
+            held[part, seq] = u, u @ axes.value[dim], take("ids"), take("nodes"), take("weights")
+        counts, links = [], []
+        for p in pairs:
+            ka, kb = ((p[x]["part"], p[x]["seq"]) for x in ("ta", "tb"))
+            (ua, ya, ia, na, wa), (ub, yb, ib, nb, wb) = held[ka], held[kb]
+            i, j = reachable(ya, yb, threshold)
+            if ka == kb:
+                i, j = i[i < j], j[i < j]
+            hit = np.zeros(len(i), bool)
+            for s in range(0, len(i), 65_536):
+                hit[s : s + 65_536] = (ua[i[s : s + 65_536]] * ub[j[s : s + 65_536]]).sum(1) >= threshold
+            i, j = i[hit], j[hit]
+            for ids, number in ((ia, np.bincount(i, wb[j], len(ia))), (ib, np.bincount(j, wa[i], len(ib)))):
+                some = np.flatnonzero(number)
+                counts.append((ids[some], number[some].astype(np.int64)))
+            nodes = np.concatenate([na, nb])
+            forest, j = Forest(len(nodes)), j if ka == kb else j + len(na)
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                forest.join(x, y)
+            x, y = np.array(forest.links, np.int64).reshape(-1, 2).T
+            links.append((nodes[x], nodes[y]))
+        (ids, n), (a, b) = ([np.concatenate(c) for c in zip(*x, strict=True)] for x in (counts, links))
+        empty = lambda k: pa.nulls(k, pa.int64())
+        columns = [(ids, empty(len(a))), (n, empty(len(a))), (empty(len(ids)), a), (empty(len(ids)), b)]
+        return pa.table({c: pa.chunked_array([pa.array(x, pa.int64()) for x in parts], pa.int64()) for c, parts in zip("id n a b".split(), columns, strict=True)})
 
     return found
 
@@ -197,26 +279,26 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "
     ship(vectors.sparkSession)
     rows = _rows(vectors, vec_id, embedding, label)
     keyed = materialize(rows.where("good").select("vec_id", "label", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v").alias("h2"), "v"), "usable_vectors")
-    classes = materialize(keyed.groupBy("label", "h1", "h2").agg(F.min(F.struct("vec_id", "v")).alias("m"), F.count("*").alias("weight")).select(
-        F.col("m.vec_id").alias("vec_id"), "label", "h1", "h2", F.col("m.v").alias("v"), "weight"), "vector_classes")
-    axes = principal_axes(classes)
+    by = ("label", "h1", "h2")
+    classes = materialize(keyed.groupBy(*by).agg(F.min(F.struct("vec_id", "v")).alias("m"), F.count("*").alias("weight")).select(
+        F.monotonically_increasing_id().alias("id"), F.col("m.vec_id").alias("node"), *by, F.col("m.v").alias("v"), "weight"), "vector_classes")
+    axes = vectors.sparkSession.sparkContext.broadcast(principal_axes(classes))
     cut = materialize(tiles(classes, axes), "tiles")
-    half = lambda s: cut.select("label", "dim", F.struct("part", "seq").alias(f"t{s}"), F.col("ids").alias(f"i{s}"), F.col("weights").alias(f"w{s}"), F.col("vectors").alias(f"v{s}"))
-    # tiles meet by number first, so that only pairs of equal labels move vectors; the pairs are dealt evenly
-    name = cut.select("label", "dim", F.struct("part", "seq").alias("t"))
-    met = name.withColumnRenamed("t", "ta").join(name.withColumnRenamed("t", "tb"), ["label", "dim"]).where("ta <= tb")
-    a, b = half("a").drop("label", "dim"), half("b").drop("label", "dim")
-    pairs = met.join(a, "ta").join(b, "tb").select("dim", (F.col("ta") == F.col("tb")).alias("same"), "ia", "wa", "va", "ib", "wb", "vb")
-    held = vectors.sparkSession.sparkContext.broadcast(axes)
-    found = materialize(pairs.mapInArrow(compare(held, threshold), FOUND), "found")
-    number = found.where("b is null").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n"))
-    part = components(found.where("b is not null").select("a", "b"))
-    own = classes.select("label", "h1", "h2", F.col("vec_id").alias("least"), "weight")
-    named = (
-        own.join(number.withColumnRenamed("vec_id", "least"), "least", "left").join(part.withColumnRenamed("node", "least"), "least", "left")
-        .select("label", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "least").alias("component_id"))
-    )
-    linked = keyed.select("vec_id", "label", "h1", "h2").join(materialize(named, "named"), ["label", "h1", "h2"]).select("vec_id", "n_links", "component_id")
+    block = lambda t: F.struct(F.col(f"{t}.part").alias("part"), F.floor(F.col(f"{t}.seq") / BLOCK).alias("seq"))
+    cells = open_pairs(cut, threshold).groupBy("dim", block("ta").alias("i"), block("tb").alias("j")).agg(F.collect_list(F.struct("ta", "tb")).alias("pairs"))
+    cells = materialize(cells, "cells")
+    wanted = cells.select("dim", "i", "j", "pairs", F.explode(F.array_distinct(F.flatten(F.transform("pairs", lambda p: F.array(p["ta"], p["tb"]))))).alias("t"))
+    sent = wanted.select("dim", "i", "j", "pairs", "t.part", "t.seq").join(cut.select("part", "seq", "ids", "nodes", "weights", "vectors"), ["part", "seq"])
+    single = classes.schema["v"].dataType.elementType == T.FloatType()
+    found = materialize(sent.groupBy("dim", "i", "j").applyInArrow(compare(axes, threshold, single), FOUND), "found")
+    number = found.where("id is not null").groupBy("id").agg(F.sum("n").alias("n"))
+    # a vec_id with several vectors makes one node of their classes
+    several = keyed.select("vec_id", *by).distinct().groupBy("vec_id").count().where("count > 1").select("vec_id")
+    own = classes.select("id", "node", *by, "weight")
+    shared = keyed.select("vec_id", *by).join(several, "vec_id").distinct().join(own, [*by]).select(F.col("vec_id").alias("a"), F.col("node").alias("b"))
+    part = components(found.where("a is not null").select("a", "b").unionByName(shared))
+    named = own.join(number, "id", "left").join(part, "node", "left").select(
+        *by, (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    linked = keyed.select("vec_id", *by).join(materialize(named, "named"), [*by]).select("vec_id", "n_links", "component_id")
     rest = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
-
