@@ -18,7 +18,7 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trivium.llm import pieces
-from trivium.llm.pieces import MEMORY, REMEMBERED, Memory
+from trivium.llm.pieces import MEMORY, REMEMBERED, Memory, packed
 from trivium.llm.text import whole
 from trivium.shipping import ship
 
@@ -105,38 +105,38 @@ class BPE:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
         names = {i: t for t, i in (v | self.added).items()}
         self.names = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
-        self.words: dict[str, list[int]] = {}
-        self.memory = Memory(self.pieces)
+        self.words: dict[str, bytes] = {}
+        self.memory = Memory(self.pieces, MEMORY // 2)
 
-    def word(self, word: str) -> list[int]:
-        """The ids of one word, in the characters that stand for its bytes."""
+    def word(self, word: str) -> bytes:
+        """The packed ids of one word, in the characters that stand for its bytes."""
         ids = self.words.get(word)
         if ids is None:
-            ids = merge_word([self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + self.suffix]], self.merges)
+            ids = packed(merge_word([self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + self.suffix]], self.merges))
             if len(word) <= REMEMBERED:
                 self.words[word] = ids
         return ids
 
-    def pieces(self, texts: list[str]) -> list[list[int]]:
-        """The ids of texts without ASCII white space: all are split in words at once, with a space between them."""
-        if len(self.words) > MEMORY:
+    def pieces(self, texts: list[bytes]) -> list[bytes]:
+        """The packed ids of texts without ASCII white space: all are split in words at once, with a space between them."""
+        if len(self.words) > MEMORY // 2:
             self.words.clear()
-        parts = [p for t in texts for p in self.specials.split(t)] if self.added else texts
-        # specials.split gives plain and special parts by turns, one plain part more than special ones
-        plain = [self.normalize("" if p in self.added else p) for p in parts]
-        ends = np.cumsum([len(p) + 1 for p in plain])
-        found: list[list[int]] = [[self.added[p]] if p in self.added else [] for p in parts]
-        split = self.split(" ".join(plain))
-        for k, (word, _) in zip(np.searchsorted(ends, [at for _, (at, _) in split], "right").tolist(), split, strict=True):
+        plain = [t.decode() for t in texts]
+        parts = [1] * len(plain)
+        found = [b""] * len(plain)
+        if self.specials.search(" ".join(plain)):  # special tokens are taken out first; split gives plain and special parts by turns
+            split = [self.specials.split(t) for t in plain]
+            parts, plain = list(map(len, split)), [p for x in split for p in x]
+            found = [packed([self.added[p]]) if p in self.added else b"" for p in plain]
+            plain = ["" if p in self.added else p for p in plain]
+        plain = list(map(self.normalize, plain))
+        ends = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)) + 1)
+        words = self.split(" ".join(plain))
+        at = np.fromiter((x[1][0] for x in words), np.int64, len(words))
+        for k, (word, _) in zip(np.searchsorted(ends, at, "right").tolist(), words, strict=True):
             found[k] += self.word(word)
-        if len(parts) == len(texts):
-            return found
-        out, k = [], 0
-        for t in texts:
-            n = len(self.specials.split(t))
-            out.append(list(chain.from_iterable(found[k : k + n])))
-            k += n
-        return out
+        part = iter(found)
+        return [b"".join(islice(part, n)) for n in parts]
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
         """Lists of ids for a string array without nulls."""

@@ -12,19 +12,20 @@ All steps over the bytes are numpy's or Arrow's; what is kept between batches is
 from __future__ import annotations
 
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 
 #: Distinct pieces that a worker remembers, the longest of them in bytes, and bytes of text handled at a time.
-MEMORY, REMEMBERED, SLICE = 300_000, 64, 8_000_000
+MEMORY, REMEMBERED, SLICE = 250_000, 64, 2_000_000
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 #: First bytes of characters that aren't white space: visible ASCII, and UTF-8 lead bytes of rows without any.
-_VISIBLE = np.zeros(256, bool)
-_VISIBLE[[*range(0x21, 0x7F), *range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = True
+VISIBLE = np.zeros(256, bool)
+VISIBLE[[*range(0x21, 0x7F), *range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = True
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +68,7 @@ def cut_spaced(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(pieces, number of pieces before each row and after the last)."""
     offsets, raw = buffers(texts)
     first = np.zeros(len(raw), bool)
-    first[:-1] = (raw[:-1] == 0x20) & _VISIBLE[raw[1:]]
+    first[:-1] = (raw[:-1] == 0x20) & VISIBLE[raw[1:]]
     # a space that ends its row isn't before the next row's text
     ends, begins = offsets[1:][np.diff(offsets) > 0] - 1, offsets[:-1][np.diff(offsets) > 0]
     first[ends] = False
@@ -76,29 +77,30 @@ def cut_spaced(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return _pieces(at, raw), np.searchsorted(at, offsets)
 
 
-class Memory:
-    """Piece -> its ids as bytes of int32, for short pieces that were met lately; encode_many gets those that aren't known.
+def packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
 
-    Two generations of at most MEMORY pieces: when the young one is full it becomes the old one, which is then forgotten.
-    """
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[list[int]]]):
-        self.encode_many, self.young, self.old = encode_many, {}, {}
+class Memory(dict):
+    """Piece -> its ids as bytes of int32 (packed), for the short pieces that came last; encode_many gets those that aren't known."""
+
+    def __init__(self, encode_many: Callable[[list[bytes]], list[bytes]], most: int = MEMORY):
+        super().__init__()
+        self.encode_many, self.most = encode_many, most
 
     def ids(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of different pieces."""
-        if len(self.young) > MEMORY:
-            self.young, self.old = {}, self.young
-        found = list(map(self.young.get, pieces))
-        lacking = [k for k, ids in enumerate(found) if ids is None]
-        for k in lacking:
-            found[k] = self.old.get(pieces[k])
-        new = [k for k in lacking if found[k] is None]
-        for k, ids in zip(new, self.encode_many([pieces[k].decode() for k in new]), strict=True):
-            found[k] = array("i", ids).tobytes()
-        for k in lacking:
-            if len(pieces[k]) <= REMEMBERED:
-                self.young[pieces[k]] = found[k]
+        if len(self) > self.most:
+            late = list(islice(self.items(), len(self) - self.most // 2, None))
+            self.clear()
+            self.update(late)
+        found = list(map(self.get, pieces))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        lacking = [pieces[k] for k in new]
+        made = self.encode_many(lacking)
+        for k, ids in zip(new, made, strict=True):
+            found[k] = ids
+        self.update([x for x in zip(lacking, made, strict=True) if len(x[0]) <= REMEMBERED])
         return found
 
 
