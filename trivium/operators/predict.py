@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trivium.schema import require, small
+from trivium.schema import held, require, small
 
-#: Models up to which they are broadcast to the trials.
-BROADCAST_MODELS = 20_000
+#: Models up to which they are broadcast to the trials, and coordinates that one packed model may hold (80 MB).
+BROADCAST_MODELS, PACKED = 20_000, 10_000_000
 
 
 def squared_distance(a: Column, b: Column, dims: int | None = None) -> Column:
@@ -80,7 +80,7 @@ def item_codes(embeddings: DataFrame) -> DataFrame:
 
 def packed_models(embeddings: DataFrame, codes: DataFrame, items: int, dims: int) -> DataFrame:
     """(model_id, points): each model's coordinates in one flat array, dims for each item code, null where it lacks an item."""
-    pairs = embeddings.join(F.broadcast(codes), "item").groupBy(F.col("worker_id").alias("model_id")).agg(
+    pairs = embeddings.join(codes, "item").groupBy(F.col("worker_id").alias("model_id")).agg(
         F.map_from_entries(F.collect_list(F.struct("code", "coords"))).alias("m"))
     none = F.array(*[F.lit(None).cast("double")] * dims)
     points = F.transform(F.sequence(F.lit(0), F.lit(items - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), none))
@@ -92,17 +92,19 @@ def prediction_matrix(embeddings: DataFrame, trials: DataFrame, trialtype: str =
 
     Every model meets every trial, which the result asks for. Each side is packed first: items are coded,
     a model is one row of points, and equal trials of a judge are one row with their number, so the
-    product moves models, not their points by trial. The models are broadcast only after their count; else
-    Spark deals both sides out.
+    product moves models, not their points by trial. Codes and models are broadcast only after their count; else
+    Spark deals both sides out. Raises if a model has more than PACKED coordinates: such models don't fit in rows.
     """
     used = require(trials, "worker_id", "sampleSet", "Center", "Left", "Right", "Answer").where(F.col("sampleSet") == trialtype)
-    codes = item_codes(embeddings).persist()  # read four times; one row an item
+    codes = held(item_codes(embeddings))  # read four times; one row an item
     items = codes.count()
     if dims is None:
         dims = (embeddings.select(F.size("coords").alias("d")).first() or [0])[0]
+    if items * dims > PACKED:
+        raise ValueError(f"models of more than {PACKED} coordinates")
     coded = used.select(F.col("worker_id").alias("judge_id"), "Center", "Left", "Right", "Answer")
     for side in ("Center", "Left", "Right"):
-        coded = coded.join(F.broadcast(codes.select(F.col("item").alias(side), F.col("code").alias(f"{side}_"))), side, "left")
+        coded = coded.join(codes.select(F.col("item").alias(side), F.col("code").alias(f"{side}_")), side, "left")
     left = F.when(F.col("Answer").isNotNull(), F.col("Answer") == F.col("Left"))
     right = F.when(F.col("Answer").isNotNull(), F.col("Answer") == F.col("Right"))
     at = lambda side: (F.col(f"{side}_") * dims).alias(side)

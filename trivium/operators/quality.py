@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trivium.schema import hash_uniform, require
+from trivium.schema import hash_uniform, held, require
 
 
 def _null_safe(d: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return d.join(ids.select(F.col("worker_id").alias("_id")), F.col("worker_id").eqNullSafe(F.col("_id")), how)
 
 
+def _mean_rt() -> Column:
+    rt = F.expr("try_cast(rt as double)")
+    return F.avg(F.when(~F.isnan(rt), rt))
+
+
+def _fast_enough(mean: str, min_mean_rt_ms: float) -> Column:
+    return (F.col(mean) >= float(min_mean_rt_ms)) & (F.col(mean) >= 0)
+
+
+def _catch() -> list[Column]:
+    """Wrong, right and unknown answers to catch trials."""
+    wrong, right = F.col("head") == F.col("loser"), F.col("head") == F.col("winner")
+    return [F.sum(wrong.cast("int")).alias("wrong"), F.sum(right.cast("int")).alias("right"), F.count_if(wrong.isNull() | right.isNull()).alias("unknown")]
+
+
+def _failed(max_prop_wrong: float) -> Column:
+    answers = F.col("wrong") + F.col("right")
+    return (F.col("unknown") == 0) & (answers > 0) & (F.col("wrong") / F.nullif(answers, F.lit(0)) > float(max_prop_wrong))
+
+
 def filter_incomplete(d: DataFrame, min_trials: int = 510) -> DataFrame:
     """Trials of workers with at least min_trials rows; rows without a worker go at any threshold."""
     enough = require(d, "worker_id").groupBy("worker_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_trials)
@@ -24,9 +44,7 @@ def filter_fast_responders(d: DataFrame, min_mean_rt_ms: float = 1000) -> DataFr
     Times that aren't numbers are left out; a worker without any, or with a negative mean, goes. Rows
     without a worker form a group of their own.
     """
-    rt = F.expr("try_cast(rt as double)")
-    mean = F.avg(F.when(~F.isnan(rt), rt))
-    slow = require(d, "worker_id", "rt").groupBy("worker_id").agg(mean.alias("m")).where((F.col("m") >= float(min_mean_rt_ms)) & (F.col("m") >= 0))
+    slow = require(d, "worker_id", "rt").groupBy("worker_id").agg(_mean_rt().alias("m")).where(_fast_enough("m", min_mean_rt_ms))
     return _null_safe(d, slow, "left_semi")
 
 
@@ -36,11 +54,19 @@ def filter_failed_catch(d: DataFrame, max_prop_wrong: float = 0.2) -> DataFrame:
     A catch trial is one whose head is an option. Workers without any, or with a null among their
     codes, stay.
     """
-    wrong, right = F.col("head") == F.col("loser"), F.col("head") == F.col("winner")
-    by = require(d, "worker_id", "head", "winner", "loser").groupBy("worker_id").agg(
-        F.sum(wrong.cast("int")).alias("w"), F.sum(right.cast("int")).alias("r"), F.count_if(wrong.isNull() | right.isNull()).alias("unknown"))
-    bad = by.where("unknown = 0 and w + r > 0").where(F.col("w") / (F.col("w") + F.col("r")) > float(max_prop_wrong))
-    return _null_safe(d, bad, "left_anti")
+    by = require(d, "worker_id", "head", "winner", "loser").groupBy("worker_id").agg(*_catch())
+    return _null_safe(d, by.where(_failed(max_prop_wrong)), "left_anti")
+
+
+def exclude(d: DataFrame, min_trials: int, min_mean_rt_ms: float, max_prop_wrong: float) -> DataFrame:
+    """Trials of the workers that filter_incomplete, filter_fast_responders and filter_failed_catch all keep.
+
+    Each rule keeps or drops whole workers, so one aggregation by worker decides on all three. Rows without a worker go.
+    """
+    by = require(d, "worker_id", "rt", "head", "winner", "loser").where("worker_id is not null").groupBy("worker_id").agg(
+        F.count("*").alias("n"), _mean_rt().alias("m"), *_catch())
+    good = by.where((F.col("n") >= min_trials) & _fast_enough("m", min_mean_rt_ms) & ~F.coalesce(_failed(max_prop_wrong), F.lit(False)))
+    return d.join(held(good.select("worker_id")), "worker_id", "left_semi")
 
 
 def assign_sample_alg(d: DataFrame) -> DataFrame:

@@ -11,12 +11,12 @@ from trivium.functions import stats
 from trivium.operators import agreement, cluster, compare, geometry, layout, predict, quality
 from trivium.plans import fixtures as fx
 from trivium.plans.fixtures import WITH
+from trivium.scratch import new_path
+from trivium.sources import pictures
 from trivium.sources import trials as io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: Degrees of freedom for which the interval query's SQL has a quantile: one less than the fixtures' participants.
-DEGREES = (14, 149, 1499)
 
 
 def query(sql: str | None = None):
@@ -92,14 +92,11 @@ def participant_summary(spark, d):
     return s.select("tripfile", "worker_id", "ndat", _r("lrt"), _r("cacc"), "keep")
 
 
-@query("""t AS (SELECT *, row_number() OVER (PARTITION BY worker_id ORDER BY trial_ix) AS k FROM trials)
-SELECT worker_id, count(*) AS ndat, round(avg(rt), 6) AS mean_rt FROM t WHERE k BETWEEN 2 AND 40 GROUP BY 1""")
+@query("t AS (SELECT *, row_number() OVER (PARTITION BY worker_id ORDER BY trial_ix) AS k FROM trials), " + _SUMMARY.replace("FROM trials", "FROM t WHERE k BETWEEN 2 AND 40")
+       + " SELECT worker_id, ndat, round(lrt, 6) AS lrt, round(cacc, 6) AS cacc, NOT (cacc <= 0.8 OR lrt <= 1.2 OR ndat < 30) AS keep FROM s")
 def participant_range(spark, d):
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("worker_id").orderBy("trial_ix"))
-    part = fx.trials(spark, d).withColumn("k", place).where("k between 2 and 40")
-    return part.groupBy("worker_id").agg(F.count("*").alias("ndat"), F.round(F.avg("rt"), 6).alias("mean_rt"))
+    s = quality.participant_summary(fx.trials(spark, d), trial_range=(2, 40), mintrial=30, accthresh=0.8, rtthresh=1.2)
+    return s.select("worker_id", "ndat", _r("lrt"), _r("cacc"), "keep")
 
 
 @query("""SELECT trial_ix, "Left" || ',' || "Right" AS choices FROM trials""".replace("SELECT", "one AS (SELECT 1) SELECT", 1))
@@ -157,6 +154,79 @@ def legacy_standardise(spark, d):
     return io.standardise_legacy(fx.legacy(spark, d), order="trial_ix")[0]
 
 
+def _csv(df: DataFrame, path: str) -> None:
+    df.write.mode("append").csv(path, header=True, escape='"')
+
+
+@query(ORACLES["raw_standardise"].removeprefix(WITH))
+def read_raw_folder(spark, d):
+    """The raw export written as CSV files with two headers, read back."""
+    folder, raw = new_path(spark, "raw_export"), fx.raw_export(spark, d)
+    odd = F.pmod(F.xxhash64("worker_id"), F.lit(2)) == 1
+    _csv(raw.where(odd), folder)
+    _csv(raw.where(~odd).select(F.lit("x, \"y\"").alias("extra"), *reversed(raw.columns)), folder)
+    return io.read_raw_data(spark, folder, min_trials=60, min_mean_rt_ms=4500, max_prop_wrong=0.3)[0]
+
+
+_LEGACY = """
+SELECT {id} AS p_id, Center, "Left", "Right", Answer, a.item_ix AS head, b.item_ix AS winner, c.item_ix AS loser, CAST(NULL AS DOUBLE) AS RT, sampleAlg, {set} AS sampleSet
+FROM {rows} LEFT JOIN lev a ON a.item = head LEFT JOIN lev b ON b.item = winner LEFT JOIN lev c ON c.item = loser"""
+
+
+@query(_LABELLED + ", " + _LEVELS + _LEGACY.format(id="worker_id", set="sampleSet", rows="lab"))
+def read_legacy_file(spark, d):
+    """A legacy CSV, with its own test sets, read and written under the names that belong to it, and read again."""
+    path = new_path(spark, "study.csv")
+    sets = fx.trials(spark, d).select("trial_ix", F.col("sampleSet").alias("TrnTest"))
+    _csv(fx.legacy(spark, d).join(sets, "trial_ix"), path)
+    out = io.write_legacy(*io.read_legacy(spark, path), path)[0]
+    back = spark.read.csv(out, header=True, nullValue="NA", emptyValue="")
+    return back.select("p_id", "Center", "Left", "Right", "Answer", *[F.col(c).cast("long") for c in ("head", "winner", "loser")], F.col("RT").cast("double"), "sampleAlg", "sampleSet")
+
+
+@query(_LABELLED + ", " + _LEVELS + ", placed AS (SELECT *, 'P' || row_number() OVER (ORDER BY trial_ix) AS p, row_number() OVER (ORDER BY trial_ix) AS k FROM lab)"
+       + _LEGACY.format(id="p", rows="placed", set="CASE WHEN CAST('0x' || substr(md5('2025:' || p || ':' || k), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) < 0.9 THEN 'train' ELSE 'test' END"))
+def legacy_without_ids(spark, d):
+    return io.standardise_legacy(fx.legacy(spark, d).drop("session_ID"), order="trial_ix")[0]
+
+
+@query("""first AS (SELECT worker_id, row_number() OVER (ORDER BY min(trial_ix)) - 1 AS worker_ix FROM trials GROUP BY 1)
+SELECT worker_id, worker_ix, row_number() OVER (ORDER BY t.trial_ix) - 1 AS place, Center, Answer FROM trials t JOIN first USING (worker_id)""")
+def get_combined_trials(spark, d):
+    path = new_path(spark, "triplets.csv")
+    io.write_csv(fx.trials(spark, d).orderBy("trial_ix"), path)
+    made = io.get_combined(spark, path)
+    return io.numbered(made, "trial_ix", "place").select("worker_id", "worker_ix", (F.col("place") - 1).alias("place"), "Center", "Answer")
+
+
+@query("""first AS (SELECT worker_id, row_number() OVER (ORDER BY worker_ix) - 1 AS wix FROM (SELECT DISTINCT worker_id, worker_ix FROM emb))
+SELECT worker_id, wix AS worker_ix, row_number() OVER (PARTITION BY worker_id ORDER BY e.item_ix) - 1 AS item_ix, item, dim_0, dim_1 FROM emb e JOIN first USING (worker_id)""")
+def get_combined_embeddings(spark, d):
+    path, e = new_path(spark, "embeddings.csv"), fx.embeddings(spark, d)
+    io.write_csv(e.orderBy("worker_ix", "item_ix").select("worker_id", "item", *[F.get("coords", k).alias(f"dim_{k}") for k in range(2)]), path)
+    made = io.get_combined(spark, path, embeddings=True)
+    return made.select("worker_id", "worker_ix", "item_ix", "item", *[F.get("coords", k).alias(f"dim_{k}") for k in range(2)])
+
+
+_PIXELS = """v AS (SELECT vec_id, embedding AS e, unnest(range(64)) AS k FROM embeddings)
+SELECT 'vec' || vec_id AS name, k // 8 AS y, k % 8 AS x, CASE WHEN e[k + 1] > 0 THEN '#00000000' ELSE '{0}' END AS colour FROM v"""
+
+
+def _pixels(made: DataFrame) -> DataFrame:
+    rows = made.select("name", F.posexplode("raster").alias("y", "row"))
+    return rows.select("name", F.col("y").cast("long").alias("y"), F.posexplode("row").alias("x", "colour")).select("name", "y", F.col("x").cast("long").alias("x"), "colour")
+
+
+@query(_PIXELS.format("#000000FF"))
+def picture_rasters(spark, d):
+    return _pixels(pictures.rasters(fx.pictures(spark, d)))
+
+
+@query(_PIXELS.format("#FF0000FF"))
+def picture_recolour(spark, d):
+    return _pixels(pictures.recolour(pictures.rasters(fx.pictures(spark, d)), "#FF0000FF"))
+
+
 _TRIPLET = """trip AS (SELECT *, replace(Center, ' ', '') || '_' || least(replace("Left", ' ', ''), replace("Right", ' ', '')) || '_' || greatest(replace("Left", ' ', ''), replace("Right", ' ', '')) AS triplet FROM trials)"""
 
 
@@ -289,11 +359,17 @@ def pacc_by_cluster(spark, d):
     return compare.pacc_by_cluster(_matrix(spark, d), fx.clusters(spark, d), strict=False).select("judge_id", "cluster", _r("self"), _r("acc"))
 
 
-def _t_rows() -> str:
-    return ", ".join(f"({n}, CAST({stats.t_quantile(0.975, n)!r} AS DOUBLE))" for n in DEGREES)
+#: The t quantile for n - 1 degrees of freedom, found by the SQL itself: bisection on Simpson's rule over the density.
+_QUANTILE = """grid AS (SELECT CAST(unnest(range(0, 2001)) AS DOUBLE) AS k), df AS (SELECT CAST(count(DISTINCT worker_id) - 1 AS DOUBLE) AS v FROM trials),
+bisect(step, lo, hi) AS (SELECT 0, CAST(0 AS DOUBLE), CAST(16 AS DOUBLE) UNION ALL
+  SELECT step + 1, CASE WHEN area < 0.475 THEN mid ELSE lo END, CASE WHEN area < 0.475 THEN hi ELSE mid END FROM (
+    SELECT any_value(step) AS step, any_value(lo) AS lo, any_value(hi) AS hi, any_value(mid) AS mid,
+      sum(CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * pow(1 + pow(mid * k / 2000, 2) / v, -(v + 1) / 2)) * any_value(mid) / 6000 AS area
+    FROM (SELECT step, lo, hi, (lo + hi) / 2 AS mid FROM bisect WHERE step < 60), grid, df) WHERE step IS NOT NULL),
+q AS (SELECT v AS df, (lo + hi) / 2 AS t FROM bisect, df WHERE step = 60)"""
 
 
-@query(_SUMMARY + f""", q(df, t) AS (VALUES {_t_rows()}), w AS (SELECT worker_id, CAST(ndat AS DOUBLE) AS ndat, avg(rt) OVER () AS x FROM s JOIN trials USING (worker_id)),
+@query(_SUMMARY + f""", {_QUANTILE}, w AS (SELECT worker_id, CAST(ndat AS DOUBLE) AS ndat, avg(rt) OVER () AS x FROM s JOIN trials USING (worker_id)),
 long AS (SELECT 'ndat' AS "column", CAST(ndat AS DOUBLE) AS v FROM s UNION ALL SELECT 'mean_rt', avg(rt) FROM trials GROUP BY worker_id),
 m AS (SELECT "column", avg(v) AS mean, stddev_samp(v) AS sd, count(*) AS n FROM long GROUP BY 1)
 SELECT "column", round(mean, 5) AS mean, round(mean - t * sd / sqrt(n), 5) AS lower_ci, round(mean + t * sd / sqrt(n), 5) AS upper_ci, n FROM m JOIN q ON q.df = m.n - 1""")
@@ -319,21 +395,11 @@ def nearest_k(spark, d):
     return near.select("worker_id", "item_a", "item_b", _r("dist"), "rank")
 
 
-@query("""e AS (SELECT 'item_' || lpad(CAST(vec_id AS VARCHAR), 3, '0') AS item, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id < 200),
-pd AS (SELECT a.item AS item_a, b.item AS item_b, list_distance(a.v, b.v) AS dist FROM e a CROSS JOIN e b),
-rk AS (SELECT *, row_number() OVER (PARTITION BY item_a ORDER BY dist, item_b) AS k FROM pd)
-SELECT item_a, item_b, round(dist, 6) AS dist, k - 1 AS rank FROM rk WHERE k BETWEEN 2 AND 6""")
-def nearest_k_64d(spark, d):
-    # the SQL's bound; nearest_k_64d_all has the whole table
-    near = geometry.nearest_k(geometry.pairwise_dist(fx.embeddings64(spark, d).where("item_ix < 200")), 5)
-    return near.select("item_a", "item_b", _r("dist"), "rank")
-
-
 @query("""e AS (SELECT 'item_' || CASE WHEN vec_id < 100 THEN lpad(CAST(vec_id AS VARCHAR), 3, '0') ELSE CAST(vec_id AS VARCHAR) END AS item, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 pd AS (SELECT a.item AS item_a, b.item AS item_b, list_distance(a.v, b.v) AS dist FROM e a CROSS JOIN e b),
 rk AS (SELECT *, row_number() OVER (PARTITION BY item_a ORDER BY dist, item_b) AS k FROM pd)
 SELECT item_a, item_b, round(dist, 6) AS dist, k - 1 AS rank FROM rk WHERE k BETWEEN 2 AND 6""")
-def nearest_k_64d_all(spark, d):
+def nearest_k_64d(spark, d):
     near = geometry.nearest_k_blocks(fx.embeddings64(spark, d), 5)
     return near.select("item_a", "item_b", _r("dist"), "rank")
 
@@ -389,26 +455,59 @@ def plot_layout(spark, d):
     return layout.plot_layout(first, pr=0.5, pc="black").select("item", *map(_r, ("x0", "y0", "x1", "y1")), "color")
 
 
-@query()
+#: Agglomeration over dm(a, b, dist), both ways and with oneself: each round keeps the distances that stay and updates those of the merged two.
+_MERGE = """names AS (SELECT a AS name, row_number() OVER (ORDER BY a) AS ix FROM (SELECT DISTINCT a FROM dm)),
+total AS (SELECT count(*) AS n FROM names),
+rounds(step, i, j, d, a, b, sa, sb, l, r, h) AS (
+  SELECT 0, x.ix, y.ix, dist, -x.ix, -y.ix, CAST(1 AS DOUBLE), CAST(1 AS DOUBLE), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS DOUBLE)
+    FROM dm JOIN names x ON x.name = dm.a JOIN names y ON y.name = dm.b WHERE x.ix <> y.ix
+  UNION ALL SELECT 0, -1, -1, CAST('Infinity' AS DOUBLE), 0, 0, 0, 0, 0, 0, 0
+  UNION ALL (
+    WITH m AS (SELECT * FROM rounds WHERE i > 0 ORDER BY d, i, j LIMIT 1),
+    t AS (SELECT rounds.*, m.i AS mi, m.j AS mj, m.d AS mh, m.a AS ma, m.b AS mb, m.sa AS msa, m.sb AS msb, CASE WHEN rounds.i = m.i THEN rounds.j WHEN rounds.j = m.i THEN rounds.i END AS k
+      FROM rounds, m WHERE rounds.i <> m.j AND rounds.j <> m.j)
+    SELECT t.step + 1, t.i, t.j,
+      CASE WHEN t.k IS NULL THEN t.d ELSE {update} END,
+      CASE WHEN t.i = mi THEN t.step + 1 ELSE t.a END, CASE WHEN t.j = mi THEN t.step + 1 ELSE t.b END,
+      CASE WHEN t.i = mi THEN msa + msb ELSE t.sa END, CASE WHEN t.j = mi THEN msa + msb ELSE t.sb END,
+      CASE WHEN (ma > 0, abs(ma)) < (mb > 0, abs(mb)) THEN ma ELSE mb END, CASE WHEN (ma > 0, abs(ma)) < (mb > 0, abs(mb)) THEN mb ELSE ma END, mh
+    FROM t LEFT JOIN rounds u ON u.i = t.mj AND u.j = t.k)),
+steps AS (SELECT step, l, r, h FROM rounds WHERE i = -1 AND step > 0)"""
+_WARD = _MERGE.format(update="((msa + CASE WHEN t.i = mi THEN t.sb ELSE t.sa END) * t.d + (msb + CASE WHEN t.i = mi THEN t.sb ELSE t.sa END) * u.d - CASE WHEN t.i = mi THEN t.sb ELSE t.sa END * mh)"
+                      " / (msa + msb + CASE WHEN t.i = mi THEN t.sb ELSE t.sa END)")
+_DM = _REP.format("1 - t").split("SELECT worker_a, worker_b, round")[0] + ", dm AS (SELECT worker_a AS a, worker_b AS b, dist FROM rd), "
+
+
+@query(_DM + _WARD + """, up(leaf, node) AS (SELECT ix, -ix FROM names UNION ALL SELECT leaf, step FROM up JOIN steps ON (l = node OR r = node) AND step <= (SELECT n - 3 FROM total)),
+top AS (SELECT leaf, arg_max(node, CASE WHEN node < 0 THEN 0 ELSE node END) AS root FROM up GROUP BY 1), least AS (SELECT root, min(leaf) AS f FROM top GROUP BY 1)
+SELECT name AS worker_id, CAST(dense_rank() OVER (ORDER BY f) AS INT) AS cluster FROM top JOIN least USING (root) JOIN names ON ix = leaf""")
 def hclust_ward_cut(spark, d):
     return cluster.hclust_cut(geometry.rep_dist(fx.embeddings(spark, d), dims=2), 3)
 
 
-@query()
+@query(_DM + _WARD + " SELECT CAST(step AS INT) AS step, CAST(l AS INT) AS \"left\", CAST(r AS INT) AS \"right\", round(h, 6) AS height FROM steps")
 def hclust_merges(spark, d):
-    return cluster.hclust(geometry.rep_dist(fx.embeddings(spark, d), dims=2))
+    return cluster.hclust(geometry.rep_dist(fx.embeddings(spark, d), dims=2)).select("step", "left", "right", _r("height"))
 
 
-@query()
+@query(_GROUPED + """, gm AS (SELECT cluster, item_ix, item, avg(x) AS x, avg(y) AS y FROM al JOIN clusters USING (worker_id) GROUP BY 1, 2, 3),
+angle AS (SELECT cluster, 0.5 * atan2(2 * sum(x * y), sum(x * x) - sum(y * y)) AS t FROM gm GROUP BY 1),
+turned AS (SELECT gm.*, x * cos(t) + y * sin(t) AS p, y * cos(t) - x * sin(t) AS q FROM gm JOIN angle USING (cluster)),
+sides AS (SELECT cluster, sign(arg_max(p, (round(abs(p), 12), -item_ix))) AS sp, sign(arg_max(q, (round(abs(q), 12), -item_ix))) AS sq FROM turned GROUP BY 1)
+SELECT 'group-' || cluster AS "group", item_ix, item, round(p * sp, 6) + 0.0 AS dim_0, round(q * sq, 6) + 0.0 AS dim_1 FROM turned JOIN sides USING (cluster)""")
 def group_mean_rotated(spark, d):
-    return geometry.group_list_mean(fx.embeddings(spark, d), fx.clusters(spark, d), dims=2)
+    made = geometry.group_list_mean(fx.embeddings(spark, d), fx.clusters(spark, d), dims=2)
+    return made.select("group", "item_ix", "item", *[(F.round(F.get("coords", k), 6) + 0.0).alias(f"dim_{k}") for k in range(2)])
 
 
-@query()
+@query(_PAIRS + """, dm AS (SELECT item_a AS a, item_b AS b, dist FROM pd WHERE worker_id = (SELECT arg_min(worker_id, worker_ix) FROM emb)), """
+       + _MERGE.format(update="greatest(t.d, u.d)") + """, path(node, p) AS (SELECT CAST(n - 1 AS BIGINT), '' FROM total UNION ALL
+  SELECT CASE WHEN s.side = 0 THEN l ELSE r END, p || side FROM path JOIN steps ON step = node, (VALUES (0), (1)) s(side))
+SELECT name AS item, round((SELECT max(h) FROM steps WHERE step = (SELECT n - 1 FROM total)) / 2, 6) AS x, CAST(row_number() OVER (ORDER BY p) AS DOUBLE) AS y FROM path JOIN names ON -ix = node""")
 def tip_coords(spark, d):
     e = fx.embeddings(spark, d)
     first = e.join(F.broadcast(e.agg(F.min("worker_ix").alias("worker_ix"))), "worker_ix", "left_semi")
-    return cluster.tip_coords(geometry.pairwise_dist(first))
+    return cluster.tip_coords(geometry.pairwise_dist(first)).select("item", _r("x"), "y")
 
 
 def thirds(e: DataFrame) -> DataFrame:
@@ -420,7 +519,20 @@ def thirds(e: DataFrame) -> DataFrame:
     return slots.select((F.col("at") % 3).cast("string").alias("worker_id"), (F.col("at") % 3).alias("worker_ix"), item.alias("item_ix"), item.cast("string").alias("item"), "coords")
 
 
-@query()
+#: The singular values' sum of a matrix M is that of M times its polar factor, which Newton's iteration (Schulz) gives without a decomposition.
+@query("""slots AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS k, count(*) OVER () AS n FROM embeddings),
+dealt AS (SELECT k, n, embedding AS e FROM slots UNION ALL SELECT k + n, n, embedding FROM slots WHERE k < (3 - n % 3) % 3),
+flat AS (SELECT k % 3 AS w, k // 3 AS item, unnest(range(1, 65)) AS c, unnest(list_transform(e, lambda x: CAST(x AS DOUBLE))) AS x FROM dealt),
+ctr AS (SELECT w, item, c, x - avg(x) OVER (PARTITION BY w, c) AS x FROM flat), nrm AS (SELECT w, item, c, x / sqrt(sum(x * x) OVER (PARTITION BY w)) AS x FROM ctr),
+col AS (SELECT w, c, list(x ORDER BY item) AS xs FROM nrm GROUP BY 1, 2), cols AS (SELECT w, list(xs ORDER BY c) AS cs FROM col GROUP BY 1),
+crossed AS (SELECT a.w AS wa, b.w AS wb, list_transform(a.cs, lambda p: list_transform(b.cs, lambda q: list_dot_product(p, q))) AS m FROM cols a JOIN cols b ON a.w < b.w),
+scaled AS (SELECT *, sqrt(list_sum(list_transform(flatten(m), lambda x: x * x))) AS f FROM crossed),
+polar(step, wa, wb, m, x) AS (SELECT 0, wa, wb, m, list_transform(m, lambda r: list_transform(r, lambda v: v / f)) FROM scaled UNION ALL
+  SELECT step + 1, wa, wb, m, list_transform(range(1, 65), lambda i: list_transform(range(1, 65), lambda j: 1.5 * x[i][j] - 0.5 * list_dot_product(g[i], xt[j]))) FROM (
+    SELECT *, list_transform(x, lambda p: list_transform(x, lambda q: list_dot_product(p, q))) AS g, list_transform(range(1, 65), lambda j: list_transform(x, lambda p: p[j])) AS xt FROM polar WHERE step < 40)),
+found AS (SELECT wa, wb, 1 - list_dot_product(flatten(m), flatten(x)) AS d FROM polar WHERE step = 40)
+SELECT CAST(wa AS VARCHAR) AS worker_a, CAST(wb AS VARCHAR) AS worker_b, round(d, 6) AS dist FROM found UNION ALL SELECT CAST(wb AS VARCHAR), CAST(wa AS VARCHAR), round(d, 6) FROM found
+UNION ALL SELECT CAST(w AS VARCHAR), CAST(w AS VARCHAR), CAST(0 AS DOUBLE) FROM cols""")
 def rep_dist_64d(spark, d):
     """General dimension, through the singular values of d * d cross products."""
-    return geometry.rep_dist(thirds(fx.embeddings64(spark, d)), dims=64)
+    return geometry.rep_dist(thirds(fx.embeddings64(spark, d)), dims=64).select("worker_a", "worker_b", _r("dist"))

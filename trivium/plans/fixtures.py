@@ -5,9 +5,16 @@ The same SQL text serves Spark and, as common table expressions, DuckDB.
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trivium.shipping import ship
+
 TRIALS_SQL = """
 WITH h AS (SELECT event_id, user_id, event_type, value, (event_id * 2654435761) % 4294967296 AS h FROM {events}),
 a AS (SELECT *, CASE event_type WHEN 'error' THEN 'check' WHEN 'signup' THEN 'validation' ELSE 'random' END AS alg,
@@ -35,7 +42,7 @@ CLUSTERS_SQL = "SELECT DISTINCT CAST(user_id AS VARCHAR(20)) AS worker_id, CAST(
 
 _DUCK = {"div": "//", "at": "list_extract", "q": '"', "events": "events", "embeddings": "embeddings"}
 #: Common table expressions for DuckDB; a query continues after the comma.
-WITH = "WITH trials AS (" + TRIALS_SQL.format(**_DUCK) + "),\nemb AS (" + EMB_SQL.format(**_DUCK) + "),\nclusters AS (" + CLUSTERS_SQL.format(**_DUCK) + "),\n"
+WITH = "WITH RECURSIVE trials AS MATERIALIZED (" + TRIALS_SQL.format(**_DUCK) + "),\nemb AS MATERIALIZED (" + EMB_SQL.format(**_DUCK) + "),\nclusters AS MATERIALIZED (" + CLUSTERS_SQL.format(**_DUCK) + "),\n"
 
 
 def _view(spark: SparkSession, sql: str, sf_dir: str) -> DataFrame:
@@ -77,3 +84,29 @@ def legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trials(spark, sf_dir).select(
         F.col("worker_id").alias("session_ID"), F.col("Center").alias("Target"), F.col("Left").alias("Option1"), F.col("Right").alias("Option2"),
         F.col("Answer").alias("primary"), alg.alias("AlgSample"), "trial_ix")
+
+
+def png(vector: np.ndarray) -> bytes:
+    """An 8 x 8 grey PNG of 64 numbers, white where they are above 0; its rows are filtered in all five ways by turns."""
+    grey = np.where(np.asarray(vector) > 0, 255, 100).astype(np.int64).reshape(8, 8)
+    lines = b""
+    for y, row in enumerate(grey):
+        left, up = np.roll(row, 1) * (np.arange(8) > 0), grey[y - 1] if y else np.zeros(8, np.int64)
+        corner = np.roll(up, 1) * (np.arange(8) > 0)
+        far = [abs(left + up - corner - z) for z in (left, up, corner)]
+        paeth = np.where((far[0] <= far[1]) & (far[0] <= far[2]), left, np.where(far[1] <= far[2], up, corner))
+        guess = (0 * row, left, up, (left + up) // 2, paeth)[y % 5]
+        lines += bytes([y % 5]) + ((row - guess) % 256).astype(np.uint8).tobytes()
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 8, 8, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, content): a PNG file for each vector of embeddings."""
+    ship(spark)
+
+    @F.pandas_udf("binary")
+    def drawn(v: pd.Series) -> pd.Series:
+        return v.map(png)
+
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.concat(F.lit("vec"), F.col("vec_id").cast("string")).alias("name"), drawn("embedding").alias("content"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trivium.scratch import materialize
+
 TRIALS = (
     "trial_ix long, worker_id string, rt double, Center string, Left string, Right string, Answer string, "
     "head long, winner long, loser long, sampleAlg string, sampleSet string"
@@ -35,3 +37,14 @@ def hash_uniform(seed: int, *keys: str) -> Column:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows; this counts up to that bound."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def held(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A lookup table that is read several times, computed once.
+
+    Up to so many rows it is kept in the plan itself and broadcast; beyond, it is a stored table and Spark picks the join.
+    """
+    found = df.limit(rows + 1).toArrow()
+    if found.num_rows <= rows:
+        return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
+    return materialize(df, "lookup")

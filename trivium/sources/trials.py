@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trivium.operators.quality import assign_sample_sets, filter_failed_catch, filter_fast_responders, filter_incomplete
-from trivium.schema import hash_uniform, require, small
+from trivium.operators.quality import assign_sample_sets, exclude
+from trivium.schema import hash_uniform, held, require, small
 
 #: Columns of a raw export that are used, and trial categories that are kept: fixed values.
 RAW_COLUMNS = ("worker_id", "trial_index", "rt", "stimulus", "choices", "response", "trial_category")
@@ -80,7 +80,7 @@ def item_levels(d: DataFrame, *columns: str) -> DataFrame:
 
 
 def encode(d: DataFrame, levels: DataFrame, **columns: str) -> DataFrame:
-    """d with a code for each out=label column; unknown labels give null."""
+    """d with a code for each out=label column; unknown labels give null. levels are broadcast if they are few."""
     table = small(levels)
     for out, label in columns.items():
         key = f"_{out}"
@@ -92,9 +92,8 @@ def standardise_raw(
     raw: DataFrame, min_trials: int = 0, min_mean_rt_ms: float = 0, max_prop_wrong: float = 1.0, test_prop: float = 0.1,
     seed: int = 42, stimuli_extension: str = ".png",
 ) -> tuple[DataFrame, DataFrame]:
-    """(trials, levels) of a raw export's rows, after exclusions by number, time and catch trials, in this order."""
+    """(trials, levels) of a raw export's rows, after exclusions of workers by number, time and catch trials."""
     f = require(raw, *RAW_COLUMNS).where(F.col("trial_category").isin(*CATEGORIES)).select(*RAW_COLUMNS)
-    f = filter_fast_responders(filter_incomplete(f, min_trials), min_mean_rt_ms)
     cleaned = f.withColumns({"choices": process_choices("choices", stimuli_extension), "head": clean_stimulus("stimulus", stimuli_extension)})
     left, right = split_first("choices")
     response = F.expr("try_cast(response as double)")
@@ -102,8 +101,8 @@ def standardise_raw(
     named = cleaned.select(
         "worker_id", F.expr("try_cast(trial_index as long)").alias("trial_ix"), F.expr("try_cast(rt as double)").alias("rt"), "head",
         pick(left, right).alias("winner"), pick(right, left).alias("loser"), left.alias("Left"), right.alias("Right"), F.col("trial_category").alias("sampleAlg"))
-    kept = filter_failed_catch(named, max_prop_wrong)
-    levels = item_levels(kept, "head", "winner", "loser").persist()  # read four times; one row an item
+    kept = exclude(named, min_trials, min_mean_rt_ms, max_prop_wrong)
+    levels = held(item_levels(kept, "head", "winner", "loser"))  # read four times; one row an item
     labelled = kept.select("trial_ix", "worker_id", "rt", F.col("head").alias("Center"), "Left", "Right", F.col("winner").alias("Answer"), F.col("loser").alias("_lost"), "sampleAlg")
     coded = encode(labelled, levels, head="Center", winner="Answer", loser="_lost").drop("_lost")
     trials = assign_sample_sets(coded, test_prop, seed).select("trial_ix", "head", "winner", "loser", "worker_id", "rt", "Center", "Left", "Right", "Answer", "sampleAlg", "sampleSet")
@@ -121,14 +120,21 @@ def csv_files(spark: SparkSession, data_dir: str) -> list[str]:
     return names
 
 
+def _headers(spark: SparkSession, files: list[str]) -> dict[str, str]:
+    """The first line of each file, found in one job; a line a file reaches the driver. Empty files have none."""
+    lines = spark.read.text(files).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+    first = lines.where("block = 0").select("path", "value", F.monotonically_increasing_id().alias("at")).groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    return {r.path: r.header for r in first.collect()}
+
+
 def read_raw_data(spark: SparkSession, data_dir: str = ".", output_df: str | None = None, output_levels: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """(trials, levels) of a folder of raw CSV exports, whose columns may differ; optionally written.
 
     Files are grouped by their header, so that thousands of files make as many scans as there are headers.
     """
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for f in csv_files(spark, data_dir):
-        by_header.setdefault(tuple(spark.read.csv(f, header=True).columns), []).append(f)
+    by_header: dict[str, list[str]] = {}
+    for path, header in sorted(_headers(spark, csv_files(spark, data_dir)).items()):
+        by_header.setdefault(header, []).append(path)
     raw = None
     for files in by_header.values():
         part = spark.read.csv(files, header=True, multiLine=True, escape='"', nullValue="NA")
@@ -141,20 +147,37 @@ def read_raw_data(spark: SparkSession, data_dir: str = ".", output_df: str | Non
     return trials, levels
 
 
+def numbered(d: DataFrame, order: str, name: str, bounds: int = 200) -> DataFrame:
+    """d with the place of each row, from 1, by a column that orders them; nulls first.
+
+    Rows are dealt in ranges between bounds that are taken from a bounded number of values, least by hash, and numbered in each
+    range behind the rows of the ranges before it; the bounds decide on tasks only.
+    """
+    c = F.col(f"`{order}`")
+    seen = [r[0] for r in d.select(c).where(c.isNotNull()).orderBy(F.xxhash64(c), c).limit(10 * bounds).distinct().orderBy(c).collect()]
+    cuts = seen[:: max(1, len(seen) // bounds)]
+    place = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x <= c)) if cuts else F.lit(0)
+    dealt = d.withColumn("_range", F.when(c.isNull(), -1).otherwise(place))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row a range
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(c))
+    return dealt.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
+
+
 def standardise_legacy(data: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(trials, levels) of a legacy table, whose columns are found by alias.
 
     Without an id column each row is a participant of its own, P1, P2, ..., by the column `order` (or
-    as the rows come, on one task: only for single files). A missing sampleSet is dealt 9 to 1 by hash.
+    as the rows of a file come). A missing sampleSet is dealt 9 to 1 by hash.
     """
     columns = data.columns
     at = {k: find_column(v, columns) for k, v in ALIASES.items()}
     text = lambda c: F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string")
-    place = F.row_number().over(Window.orderBy(F.col(f"`{order}`") if order else F.monotonically_increasing_id()))
-    numbered = data.withColumn("_row", place) if not at["p_id"] else data.withColumn("_row", F.col(f"`{order}`") if order else F.monotonically_increasing_id())
+    placed = data.withColumn("_at", F.col(f"`{order}`") if order else F.monotonically_increasing_id())
+    numbered_ = placed.withColumn("_row", F.col("_at")) if at["p_id"] else numbered(placed, "_at", "_row")
     alg = F.lower(text(at["sampleAlg"]))
     known = F.when(alg == "test", "validation").when(alg.isin("random", "check", "uncertainty"), alg)
-    base = numbered.select(
+    base = numbered_.select(
         "_row", (text(at["p_id"]) if at["p_id"] else F.concat(F.lit("P"), F.col("_row").cast("string"))).alias("p_id"),
         *[text(at[c]).alias(c) for c in ("Center", "Left", "Right")],
         text("Answer" if "Answer" in columns else at["winner"]).alias("Answer"),
@@ -162,20 +185,40 @@ def standardise_legacy(data: DataFrame, order: str | None = None) -> tuple[DataF
         known.alias("sampleAlg"), text(at["sampleSet"]).alias("sampleSet"))
     if not at["sampleSet"]:
         base = base.withColumn("sampleSet", F.when(hash_uniform(2025, "p_id", "_row") < 0.9, "train").otherwise("test"))
-    levels = item_levels(base, "Center", "Left", "Right").persist()
+    levels = held(item_levels(base, "Center", "Left", "Right"))
     other = F.when(F.col("Answer") == F.col("Left"), F.col("Right")).when(F.col("Answer") == F.col("Right"), F.col("Left"))
     coded = encode(base.withColumn("_lost", other), levels, head="Center", winner="Answer", loser="_lost")
     trials = coded.select("p_id", "Center", "Left", "Right", "Answer", "head", "winner", "loser", "RT", "sampleAlg", "sampleSet")
     return trials, levels.select(F.col("item_ix").alias("numeric_value"), F.col("item").alias("stimulus"))
 
 
-def read_legacy(spark: SparkSession, input_file: str) -> tuple[DataFrame, DataFrame]:
-    return standardise_legacy(spark.read.csv(input_file, header=True, multiLine=True, escape='"', nullValue="NA"))
+def read_legacy(spark: SparkSession, input_file: str, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    return standardise_legacy(spark.read.csv(input_file, header=True, multiLine=True, escape='"', nullValue="NA"), order)
+
+
+def write_legacy(trials: DataFrame, levels: DataFrame, input_file: str) -> tuple[str, str]:
+    """Write both tables of read_legacy beside the input, named after it without its extension; returns their paths."""
+    stem = re.sub(r"\.[^./]+$", "", input_file.rstrip("/"))
+    paths = f"{stem}_v2025.csv", f"{stem}_2025_levels.csv"  # fixed values
+    write_csv(trials, paths[0])
+    write_csv(levels, paths[1], one_file=True)
+    return paths
 
 
 def _ordered(d: DataFrame) -> DataFrame:
-    """d with worker_ix, workers numbered from 0 by first appearance; rows without a worker go."""
-    rows = d.where("worker_id is not null").withColumn("trial_ix", F.monotonically_increasing_id())
+    """d with worker_ix, workers numbered from 0 by first appearance; rows without a worker go.
+
+    Rows are ordered by the path of their file (_file, where get_combined read them) and within a file as they come, however Spark
+    deals files to tasks; trial_ix follows that order.
+    """
+    own = F.monotonically_increasing_id()
+    rows = d.where("worker_id is not null")
+    if "_file" in d.columns:
+        files = d.select("_file").distinct()  # a row a file
+        place = files.select("_file", (F.row_number().over(Window.orderBy("_file")) - 1).cast("long").alias("_place"))
+        rows = rows.withColumn("_own", own).join(F.broadcast(place), "_file").withColumn("trial_ix", F.shiftleft("_place", 40) + F.col("_own").bitwiseAND((1 << 33) - 1)).drop("_file", "_own", "_place")
+    else:
+        rows = rows.withColumn("trial_ix", own)
     first = rows.groupBy("worker_id").agg(F.min("trial_ix").alias("f"))
     ranked = first.select("worker_id", (F.row_number().over(Window.orderBy("f")) - 1).cast("long").alias("worker_ix"))
     return rows.join(small(ranked), "worker_id")
@@ -197,15 +240,15 @@ def combined_embeddings(d: DataFrame) -> DataFrame:
         raise ValueError("an item column and columns named dim are needed")
     coords = F.array(*[F.expr(f"try_cast(`{c}` as double)") for c in dims])
     rows = d if "worker_id" in d.columns else d.withColumn("worker_id", F.lit("group"))
-    named = _ordered(rows.select(F.col("worker_id").cast("string").alias("worker_id"), F.col(item).cast("string").alias("item"), coords.alias("coords")))
+    named = _ordered(rows.select(F.col("worker_id").cast("string").alias("worker_id"), F.col(item).cast("string").alias("item"), coords.alias("coords"), *[c for c in ("_file",) if c in d.columns]))
     checked = named.withColumn("coords", F.when(F.exists("coords", lambda x: x.isNull()), F.raise_error(F.lit("missing coordinate")).cast("array<double>")).otherwise(F.col("coords")))
     place = F.row_number().over(Window.partitionBy("worker_id").orderBy("trial_ix")) - 1
     return checked.select("worker_ix", "worker_id", place.cast("long").alias("item_ix"), "item", "coords")
 
 
 def get_combined(spark: SparkSession, path: str, embeddings: bool = False) -> DataFrame:
-    """A combined CSV as one long table keyed by worker_id."""
-    d = spark.read.csv(path, header=True, multiLine=True, escape='"', nullValue="NA")
+    """A combined CSV, or a folder of its parts, as one long table keyed by worker_id."""
+    d = spark.read.csv(path, header=True, multiLine=True, escape='"', nullValue="NA").withColumn("_file", F.col("_metadata.file_path"))
     return combined_embeddings(d) if embeddings else combined_trials(d)
 
 
