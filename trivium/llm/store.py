@@ -1,45 +1,5 @@
-"""Intermediate tables in the folder that the driver and all executors share."""
+"""Intermediate tables of the operators: the library's scratch folder."""
 
-from __future__ import annotations
+from trivium.scratch import mark, materialize, new_path, release, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_OWN: dict[str, str] = {}
-_WRITTEN: dict[str, list[str]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        app = spark.sparkContext.applicationId
-        path = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="trivium-"))
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    folder = f"{shared_dir(spark)}/trivium-{uuid.uuid4().hex}"
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(folder)
-    return f"{folder}/{name}"
-
-
-def release(spark: SparkSession) -> int:
-    """Delete the tables that this application has written so far; results that still read them must be stored before."""
-    jvm, folders = spark.sparkContext._jvm, _WRITTEN.pop(spark.sparkContext.applicationId, [])
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return len(folders)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again.
-
-    This cuts the lineage: an executor lost later costs only the tasks that read these files.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["mark", "materialize", "new_path", "release", "shared_dir"]
