@@ -157,6 +157,20 @@ def quality(docs, trusted, count, threshold):
     return out
 
 
+def held_out(i):
+    return int(hashlib.md5(f"held:{i}".encode()).hexdigest()[:8], 16) % 5 == 0
+
+
+def best_cut(scores):
+    """(score, good) pairs; the middle of the widest of the gaps that tell both kinds apart best."""
+    good, poor = [s for s, g in scores if g], [s for s, g in scores if not g]
+    values, found = sorted({s for s, _ in scores}), []
+    for a, b in zip(values, values[1:]):  # noqa: B905
+        told = sum(s <= a for s in poor) / len(poor) - sum(s <= a for s in good) / len(good) if good and poor else None
+        found += [(round(told, 12), b - a, (a + b) / 2)] if told is not None else []
+    return max(found)[2] if found else None
+
+
 def embedding_links(rows, threshold=0.93):
     """rows: (id, label, vector); id -> (links, component)."""
     good = {}

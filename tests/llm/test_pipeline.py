@@ -35,7 +35,7 @@ def test_each_stage_and_the_whole(spark, tmp_path):
         if name != "bpe":
             assert docs.where("kept <> concat('k', doc_id) or size <> doc_id or n_lines <> concat('n', doc_id) or _row <> -doc_id").isEmpty()
             assert docs.dtypes == spark.createDataFrame([], schema).dtypes
-    judged = brute.quality([r[:2] for r in rows], {k for k, *_ in labels}, quality.BUCKETS, quality.THRESHOLD)
+    judged = brute.quality([r[:2] for r in rows], {k for k, *_ in labels if not brute.held_out(k)}, quality.BUCKETS, quality.THRESHOLD)
     good = [r for r, (_, _, kept) in zip(rows, judged, strict=True) if kept]
     assert sorted(r.doc_id for r in seen["quality_rules"].collect()) == [r[0] for r in good]
     cut = {i: t for i, t, _, _ in brute.line_dedup([r[:2] for r in good])}

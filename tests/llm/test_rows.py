@@ -174,6 +174,29 @@ def _scan(content):
     return out
 
 
+def test_the_threshold_comes_from_held_out_labels(spark):
+    import random
+
+    r = random.Random(3)
+    words = {c: ["".join(r.choices(c, k=5)) for _ in range(25)] for c in ("abcde", "vwxyz")}
+    docs = [(k, " ".join(r.choice(words["abcde" if k % 3 else "vwxyz"]) for _ in range(60 + k % 20))) for k in range(150)] + [(151, "a b c " * 60), (152, "short"), (0, None)]
+    labels = [(k, int(k % 3 > 0), 0) for k in range(0, 150)] + [(151, 0, 0), (152, 0, 1), (3, 0, 0), (None, 0, 0)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    given = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    trusted = {i for i, q, t in labels if q == 1 and t == 0 and not brute.held_out(i)}
+    scored = brute.quality(docs, trusted, 256, 0.0)
+    kind = {i: q == 1 for i, q, t in labels if i is not None}
+    cut = brute.best_cut([(s, kind[i]) for (i, s, _), (_, t) in zip(scored, docs, strict=True) if i in kind and brute.held_out(i) and not brute.base_counts(t)[-1]])
+    real = sorted((i, k) for i, _, k in brute.quality(docs, trusted, 256, cut))
+    got = quality.judge(df, given, count=256).collect()
+    assert sorted((x.doc_id, x.kept) for x in got) == real
+    passed = {i for i, t in docs if not brute.base_counts(t)[-1]}
+    assert {x.doc_id for x in got if x.kept} == {i for i in passed if i % 3}
+    for pairs in ([(0.1, True), (0.1, False), (0.3, True), (-0.2, False), (0.0, False)], [(0.5, True)] * 3, [], [(0.2, True), (0.1, False)]):
+        found = quality.best_cut(spark.createDataFrame(pairs, "score double, good boolean")).first()[0]
+        assert found == (None if brute.best_cut(pairs) is None else pytest.approx(brute.best_cut(pairs)))
+
+
 PAGES = [(k, f"http://h{k % 3}/x", "<p>é " * (k % 9)) for k in range(900)] + [(5, "http://h2/x", "<p>é " * 5)] * 3 + [(None, None, None), (7, "http://h1/x", None), (950, "a\r\n\r\nb", "WARC/1.0\r\n\r\n" * 9), (951, "", "x" * 3_000_000)]
 
 

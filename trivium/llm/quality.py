@@ -6,8 +6,11 @@ one- and two-token n-grams hashed into buckets, and two multinomials fitted: one
 documents) and one over trusted target documents. A document's score is the mean over its n-grams of
 log(target / corpus); it is kept if the score is at least a threshold.
 
-Only the target is fitted on a bounded sample: the at most TRUSTED doc_ids, least by hash, of labels with
-quality 1 and not toxic. Corpus counts cover every document. The model is one row of BUCKETS doubles
+Only the target and the threshold are fitted on bounded samples: the at most TRUSTED doc_ids each, least by hash, of labels with
+quality 1 and not toxic, and of labels with quality 0. A fifth of both, by hash, is held out; the others that are good make the
+target. The threshold is where the held-out documents that pass the base rules are told apart best: the share of
+poor ones below it less that of good ones below it is greatest, in the middle of the widest gap of scores where that is so; without
+documents of both kinds it is THRESHOLD. Corpus counts cover every document. The model is one row of BUCKETS doubles
 (bounded), broadcast.
 
 Defined results: a null or empty text has no words and fails the base rules; without trusted documents the
@@ -17,7 +20,7 @@ each counted and returned; an empty table gives an empty table; clashing columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trivium.llm.store import materialize
@@ -76,12 +79,27 @@ def buckets(text: Column, count: int = BUCKETS) -> Column:
     return let(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t)), grams)
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", count: int = BUCKETS, trusted: int = TRUSTED) -> DataFrame:
-    """One row: key 0 and ratio, array of log(target / corpus) by bucket, each smoothed by adding one."""
-    good = (
-        labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted).withColumnRenamed("doc_id", "_good")
-    )
+def sample(labels: DataFrame, condition: str, most: int) -> DataFrame:
+    """(doc_id): at most so many, least by hash, of the labels that meet a condition."""
+    return labels.where(condition).where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
+def held_out(doc_id: Column) -> Column:
+    """Whether a labelled document is one of the fifth that the target isn't fitted on."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("held:"), doc_id.cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(5)) == 0
+
+
+GOOD, POOR = "quality = 1 and toxic = 0", "quality = 0"
+
+
+def score_of(text: Column, ratio: Column, count: int = BUCKETS) -> Column:
+    """Mean of log(target / corpus) over a text's n-grams; 0 without any."""
+    return let(buckets(text, count), lambda grams: F.aggregate(grams, F.lit(0.0), lambda a, g: a + F.get(ratio, g)) / F.greatest(F.size(grams), F.lit(1)))
+
+
+def fit(docs: DataFrame, trusted: DataFrame, text: str = "text", count: int = BUCKETS) -> DataFrame:
+    """One row: key 0 and ratio, array of log(target / corpus) by bucket, each smoothed by adding one. trusted(doc_id): a bounded sample."""
+    good = trusted.select(F.col("doc_id").alias("_good"))
     texts = docs.select("doc_id", whole(text).alias("_t")).join(F.broadcast(good), F.col("doc_id") == F.col("_good"), "left")
     each = texts.select(F.col("_good").isNotNull().alias("good"), F.explode(buckets(F.col("_t"), count)).alias("bucket"))
     counts = each.groupBy("bucket").agg(F.count("*").alias("all"), F.count_if("good").alias("target"))
@@ -92,11 +110,35 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", count: int = BUC
     return materialize(row.select(F.lit(0).cast("long").alias("key"), ratio.alias("ratio")), "quality_model")
 
 
-def judge(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = THRESHOLD, **how) -> DataFrame:
-    """docs with the base counts, base_failed, score and kept."""
-    model = fit(docs, labels, text, **how).select(F.col("key").alias("_q_key"), F.col("ratio").alias("_q_ratio"))
+def best_cut(scores: DataFrame) -> DataFrame:
+    """One row (threshold) of scores(score, good) of held-out documents, a bounded sample: null without both kinds."""
+    order, every = Window.orderBy("score").rangeBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy()
+    share = lambda c: F.count_if(c).over(order) / F.nullif(F.count_if(c).over(every), F.lit(0))
+    told = scores.select("score", (share(~F.col("good")) - share(F.col("good"))).alias("told")).distinct()
+    cuts = told.withColumn("next", F.lead("score").over(Window.orderBy("score"))).where("told is not null and next is not null")
+    return cuts.agg(F.max_by((F.col("score") + F.col("next")) / 2, F.struct(F.round("told", 12).alias("told"), F.col("next") - F.col("score"))).alias("threshold"))
+
+
+def fit_threshold(docs: DataFrame, model: DataFrame, good: DataFrame, poor: DataFrame, text: str = "text", count: int = BUCKETS) -> float:
+    """The threshold that tells the held-out documents of good(doc_id) and poor(doc_id) apart; a single number reaches the driver."""
+    kinds = good.select(F.col("doc_id").alias("_held"), F.lit(True).alias("_kind")).unionByName(poor.select(F.col("doc_id").alias("_held"), F.lit(False).alias("_kind")))
+    texts = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(kinds), F.col("doc_id") == F.col("_held")).select("doc_id", "_kind", "text")
+    passed = base_counts(texts).where(~F.col("base_failed")).select("doc_id", "_kind", "text", F.pmod("n_words", F.lit(1)).alias("_q_key"))
+    met = passed.join(F.broadcast(model.select(F.col("key").alias("_q_key"), F.col("ratio").alias("_q_ratio"))), "_q_key")
+    scores = met.groupBy("doc_id", F.col("_kind").alias("good")).agg(F.avg(score_of(whole("text"), F.col("_q_ratio"), count)).alias("score"))
+    found = best_cut(materialize(scores, "held_out_scores")).first()[0]
+    return THRESHOLD if found is None else found
+
+
+def judge(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float | None = None, count: int = BUCKETS, trusted: int = TRUSTED) -> DataFrame:
+    """docs with the base counts, base_failed, score and kept. threshold: fitted on held-out labels unless it is given."""
+    good = materialize(sample(labels, GOOD, trusted), "good_labels")
+    target = good.where(~held_out(F.col("doc_id"))) if threshold is None else good
+    fitted = fit(docs, target, text, count)
+    if threshold is None:
+        apart = held_out(F.col("doc_id"))
+        threshold = fit_threshold(docs, fitted, good.where(apart), sample(labels, POOR, trusted).where(apart), text, count)
+    model = fitted.select(F.col("key").alias("_q_key"), F.col("ratio").alias("_q_ratio"))
     met = base_counts(docs, text).withColumn("_q_key", F.pmod("n_words", F.lit(1))).join(F.broadcast(model), "_q_key", "left")  # one row of a fixed size
-    score = let(buckets(whole(text), how.get("count", BUCKETS)), lambda grams: F.aggregate(
-        grams, F.lit(0.0), lambda a, g: a + F.get(F.col("_q_ratio"), g)) / F.greatest(F.size(grams), F.lit(1)))
-    scored = once(met, score=score).drop("_q_key", "_q_ratio")
+    scored = once(met, score=score_of(whole(text), F.col("_q_ratio"), count)).drop("_q_key", "_q_ratio")
     return scored.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(True)))
