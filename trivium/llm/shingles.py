@@ -12,9 +12,11 @@ many shingles as parities, so nearly all candidates that aren't alike go without
 are compared by the 64-bit hashes of all their shingles.
 
 The order puts shingles that are common in a sample of the texts last, so a passage of many texts makes no candidates of
-them; the sample decides on work only, as any order gives the same links. Equal texts count once. A shingle held by up
-to SMALL texts makes all their pairs. One held by more first makes pairs with one of them; once all these are linked,
-only pairs of about equal length that are still in different components are left to verify.
+them; the sample decides on work only, as any order gives the same links. Equal texts count once. Where a text's first
+shared shingle stands late in its order, it has too few left for the similarity (positional filter), so copies with many changes of
+one text aren't paired with each other. A shingle held by up to SMALL texts makes all pairs that are left so. One held by more first
+makes pairs with the one that holds it earliest, mostly the text of which the others are copies; once all these are
+linked, only pairs that are still in different components are left to verify.
 
 Defined results: words and white space are as in simhash; a text of fewer than five words is one shingle; null, empty
 and blank texts are equal. Rows are told apart by themselves, not by doc_id: of each group the row with the least doc_id stays,
@@ -177,27 +179,31 @@ def simhash_stars(nodes: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between alike texts of nodes(row, n, print, bits, keys): all links, or enough of them for the same components."""
-    held = nodes.select(F.explode("keys").alias("key"), "row", "n")
-    order = F.struct(F.xxhash64("key", "row").alias("h"), "row", "n")
-    shared = held.groupBy("key").agg(F.count("*").alias("held"), F.min(order).alias("lead")).where("held > 1")
-    members = materialize(held.join(materialize(shared, "shared_shingles"), "key"), "members")
-    few, many = members.where(F.col("held") <= SMALL), members.where(F.col("held") > SMALL)
-    paired = lambda df: df.where(_close(F.col("n"), F.col("m"))).select(
-        F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
-    each = few.select("key", "row", "n").join(few.select("key", F.col("row").alias("other"), F.col("n").alias("m")), "key").where("row < other")
-    led = many.where(F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(8)) == 0).select("row", "n", F.col("lead.row").alias("other"), F.col("lead.n").alias("m")).where("row <> other")
-    first = verified(materialize(paired(each.drop("key").unionByName(led)).unionByName(simhash_stars(nodes)).distinct(), "pairs"), nodes, texts)
+    # a shingle's place and the text's number of shingles share one column
+    held = nodes.select(F.posexplode("keys").alias("pos", "key"), "row", "n").select("key", "row", (F.shiftleft("n", 32) + F.col("pos")).alias("at"))
+    shared = held.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+    members = materialize(held.join(materialize(shared, "shared_shingles"), "key").select(
+        "key", "row", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("pos"), "held"), "members")
+    few, many = members.where(F.col("held") <= SMALL).drop("held"), members.where(F.col("held") > SMALL).drop("held")
+    # what the first common shingle leaves of both texts must hold all that alike texts have in common
+    enough = 9 * F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("other_pos")) >= 4 * (F.col("n") + F.col("m"))
+    other = lambda df: df.select("key", F.col("row").alias("other"), F.col("n").alias("m"), F.col("pos").alias("other_pos"), *[c for c in df.columns if c not in members.columns])
+    paired = lambda df: df.where(enough).select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
+    each = few.join(other(few), "key").where("row < other")
+    lead = many.groupBy("key").agg(F.min(F.struct("pos", F.xxhash64("row").alias("h"), "row", "n")).alias("x")).select("key", "x.*")
+    led = many.join(other(lead.drop("h")), "key").where("row <> other")
+    first = verified(materialize(paired(each).unionByName(paired(led)).unionByName(simhash_stars(nodes)).distinct(), "pairs"), nodes, texts)
     if many.isEmpty():
         return first
     part = materialize(components(first), "parts")
-    flat = many.select("key", "row", "n").join(part.withColumnRenamed("node", "row"), "row", "left").withColumn("part", F.coalesce("component", "row")).drop("component")
+    flat = many.join(part.withColumnRenamed("node", "row"), "row", "left").withColumn("part", F.coalesce("component", "row")).drop("component")
     flat = materialize(flat, "crowded")
     largest = flat.groupBy("key", "part").count().groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     open_ = materialize(flat.join(largest.select("key", "main"), "key"), "open")
     # texts of a shingle meet by length: alike ones are in the same class or in neighbouring ones
-    size = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))).cast("int")
-    rest = open_.where("part <> main").select("key", "row", "n", "part", F.explode(F.array(size - 1, size, size + 1)).alias("size"))
-    others = open_.select("key", F.col("row").alias("other"), F.col("n").alias("m"), F.col("part").alias("apart"), size.alias("size"))
+    size = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))).cast("int").alias("size")
+    rest = open_.where("part <> main").select(*flat.columns, F.explode(F.array(size - 1, size, size + 1)).alias("size"))
+    others = other(open_.select(*members.drop("held").columns, F.col("part").alias("apart"), size))
     cross = rest.join(others, ["key", "size"]).where("part <> apart")
     return first.unionByName(verified(materialize(paired(cross), "cross_pairs"), nodes, texts))
 
