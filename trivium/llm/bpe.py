@@ -15,10 +15,10 @@ column that clashes with an output column is replaced by it.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trivium.llm import pieces
-from trivium.llm.pieces import MEMORY, REMEMBERED, Memory, packed
+from trivium.llm.pieces import REMEMBERED, Memory
 from trivium.llm.text import whole
 from trivium.shipping import ship
 
+#: Words that a worker remembers.
+WORDS = 100_000
+
 
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
@@ -106,37 +109,42 @@ class BPE:
         names = {i: t for t, i in (v | self.added).items()}
         self.names = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
         self.words: dict[str, bytes] = {}
-        self.memory = Memory(self.pieces, MEMORY // 2)
+        self.memory = Memory(self.pieces)
 
     def word(self, word: str) -> bytes:
         """The packed ids of one word, in the characters that stand for its bytes."""
         ids = self.words.get(word)
         if ids is None:
-            ids = packed(merge_word([self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + self.suffix]], self.merges))
+            ids = array("i", merge_word([self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + self.suffix]], self.merges)).tobytes()
             if len(word) <= REMEMBERED:
                 self.words[word] = ids
         return ids
 
-    def pieces(self, texts: list[bytes]) -> list[bytes]:
-        """The packed ids of texts without ASCII white space: all are split in words at once, with a space between them."""
-        if len(self.words) > MEMORY // 2:
+    def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each, all ids) of texts without ASCII white space: all are split in words at once, with a space between them."""
+        if len(self.words) > WORDS:
             self.words.clear()
-        plain = [t.decode() for t in texts]
-        parts = [1] * len(plain)
-        found = [b""] * len(plain)
+        plain = [t.decode() for t in texts.to_pylist()]
+        parts, special = [1] * len(plain), {}
         if self.specials.search(" ".join(plain)):  # special tokens are taken out first; split gives plain and special parts by turns
             split = [self.specials.split(t) for t in plain]
             parts, plain = list(map(len, split)), [p for x in split for p in x]
-            found = [packed([self.added[p]]) if p in self.added else b"" for p in plain]
+            special = {k: self.added[p] for k, p in enumerate(plain) if p in self.added}
             plain = ["" if p in self.added else p for p in plain]
         plain = list(map(self.normalize, plain))
         ends = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)) + 1)
         words = self.split(" ".join(plain))
-        at = np.fromiter((x[1][0] for x in words), np.int64, len(words))
-        for k, (word, _) in zip(np.searchsorted(ends, at, "right").tolist(), words, strict=True):
-            found[k] += self.word(word)
-        part = iter(found)
-        return [b"".join(islice(part, n)) for n in parts]
+        at = np.searchsorted(ends, np.fromiter((x[1][0] for x in words), np.int64, len(words)), "right")
+        found = [self.word(w) for w, _ in words]
+        if special:  # in their places among the words
+            at = np.concatenate([at, np.fromiter(special, np.int64, len(special))])
+            found += [array("i", [i]).tobytes() for i in special.values()]
+            order = np.argsort(at, kind="stable")
+            at, found = at[order], [found[k] for k in order.tolist()]
+        sizes = np.bincount(at, np.fromiter(map(len, found), np.int64, len(found)), len(plain)).astype(np.int64) // 4
+        if len(parts) < len(plain):
+            sizes = np.add.reduceat(sizes, np.cumsum(parts) - parts)
+        return sizes, np.frombuffer(b"".join(found), np.int32)
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
         """Lists of ids for a string array without nulls."""

@@ -11,15 +11,14 @@ All steps over the bytes are numpy's or Arrow's; what is kept between batches is
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct pieces that a worker remembers, the longest of them in bytes, and bytes of text handled at a time.
-MEMORY, REMEMBERED, SLICE = 250_000, 64, 2_000_000
+MEMORY, REMEMBERED, SLICE = 600_000, 64, 4_000_000
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -30,7 +29,7 @@ VISIBLE[[*range(0x21, 0x7F), *range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = True
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets from 0, bytes) of a string array without nulls."""
-    wide = pa.types.is_large_string(texts.type)
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
     offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = texts.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data and offsets[-1] > offsets[0] else np.empty(0, np.uint8)
@@ -77,43 +76,45 @@ def cut_spaced(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return _pieces(at, raw), np.searchsorted(at, offsets)
 
 
-def packed(ids: list[int]) -> bytes:
-    return array("i", ids).tobytes()
+class Memory:
+    """Pieces and their ids, for the short ones that came last, in flat arrays; encode_many gets the pieces that aren't known.
 
+    encode_many: from an array of different pieces to (number of ids of each, all their ids).
+    """
 
-class Memory(dict):
-    """Piece -> its ids as bytes of int32 (packed), for the short pieces that came last; encode_many gets those that aren't known."""
-
-    def __init__(self, encode_many: Callable[[list[bytes]], list[bytes]], most: int = MEMORY):
-        super().__init__()
+    def __init__(self, encode_many: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], most: int = MEMORY):
         self.encode_many, self.most = encode_many, most
-
-    def ids(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of different pieces."""
-        if len(self) > self.most:
-            late = list(islice(self.items(), len(self) - self.most // 2, None))
-            self.clear()
-            self.update(late)
-        found = list(map(self.get, pieces))
-        new = [k for k, ids in enumerate(found) if ids is None]
-        lacking = [pieces[k] for k in new]
-        made = self.encode_many(lacking)
-        for k, ids in zip(new, made, strict=True):
-            found[k] = ids
-        self.update([x for x in zip(lacking, made, strict=True) if len(x[0]) <= REMEMBERED])
-        return found
+        self.keys, self.sizes, self.flat = pa.array([], pa.large_binary()), np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def find(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(each piece's place in sizes, sizes, all ids one place after the other)."""
+        at = pc.index_in(pieces, value_set=self.keys)
+        lacking = at.is_null().to_numpy(zero_copy_only=False)
+        which = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if not lacking.any():
+            return which, self.sizes, self.flat
+        new = pieces.filter(pa.array(lacking)).dictionary_encode()
+        which[lacking] = new.indices.to_numpy(zero_copy_only=False) + len(self.sizes)
+        sizes, ids = self.encode_many(new.dictionary)
+        found = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, ids])
+        short = pc.binary_length(new.dictionary).to_numpy(zero_copy_only=False) <= REMEMBERED
+        self.keys = pa.concat_arrays([self.keys, new.dictionary.filter(pa.array(short))])
+        self.flat = np.concatenate([self.flat, ids[np.repeat(short, sizes)]])
+        self.sizes = np.concatenate([self.sizes, sizes[short]])
+        if len(self.sizes) > self.most:  # the later half stays
+            cut = len(self.sizes) - self.most // 2
+            self.flat = self.flat[self.sizes[:cut].sum() :].copy()
+            self.sizes, self.keys = self.sizes[cut:].copy(), pa.concat_arrays([self.keys[cut:]])
+        return which, *found
 
 
 def encode(texts: pa.Array, cut: Callable, memory: Memory) -> tuple[np.ndarray, np.ndarray]:
     """(row offsets, ids) of a string array without nulls."""
     pieces, rows = cut(texts)
-    held = pieces.dictionary_encode()
-    known = memory.ids(held.dictionary.to_pylist())
-    sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    flat = np.frombuffer(b"".join(known), np.int32)
-    which = held.indices.to_numpy(zero_copy_only=False)
-    stops = np.concatenate([[0], np.cumsum(sizes[which])])
+    which, sizes, flat = memory.find(pieces)
+    starts = np.cumsum(sizes) - sizes
+    own = sizes[which]
+    stops = np.concatenate([[0], np.cumsum(own)])
     # position in flat: the piece's start there, and how far in the piece we are
-    ids = flat[np.repeat(starts[which] - stops[:-1], sizes[which]) + np.arange(stops[-1])]
+    ids = flat[np.repeat(starts[which] - stops[:-1], own) + np.arange(stops[-1])]
     return stops[rows], ids

@@ -79,24 +79,26 @@ class Encoder:
         self.sizes = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)], np.int64)  # bytes of each token
         self.memory = Memory(self.many)
 
-    def many(self, texts: list[bytes]) -> list[bytes]:
-        """The packed ids of pieces. Those that begin with a space are encoded JOINED at a time, as one text: no token reaches across."""
-        found: list[bytes] = [b""] * len(texts)
-        spaced = [k for k, t in enumerate(texts) if t[:1] == b" " and t[1:2] and VISIBLE[t[1]]]
-        groups = [spaced[k : k + JOINED] for k in range(0, len(spaced), JOINED)] + [[k] for k in {*range(len(texts))}.difference(spaced)]
-        encoded = self.library.encode_batch_fast([b"".join([texts[k] for k in g]).decode() for g in groups], add_special_tokens=False) if groups else []
-        for group, e in zip(groups, encoded, strict=True):
-            ids = np.array(e.ids, np.int32)
-            after = np.cumsum(self.sizes[ids])
-            ends = np.cumsum([len(texts[k]) for k in group])
-            stops = (np.searchsorted(after, ends) + 1) if len(ids) else np.zeros(len(group), np.int64)
-            if len(ids) and (after[np.minimum(stops, len(ids)) - 1] != ends).any():
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each piece, all ids). Pieces that begin with a space are encoded JOINED at a time, as one text: no token reaches across."""
+        offsets, raw = pieces.buffers(texts)
+        spaced = np.diff(offsets) > 1
+        spaced[spaced] = (raw[offsets[:-1][spaced]] == 0x20) & VISIBLE[raw[offsets[:-1][spaced] + 1]]
+        together, alone = texts.filter(pa.array(spaced)), texts.filter(pa.array(~spaced))
+        groups = [together.slice(k, JOINED) for k in range(0, len(together), JOINED)] + [alone.slice(k, 1) for k in range(len(alone))]
+        sizes, ids = [], []
+        for group, e in zip(groups, self.library.encode_batch_fast([pieces.buffers(g)[1].tobytes().decode() for g in groups], add_special_tokens=False) if groups else [], strict=True):
+            ids.append(np.array(e.ids, np.int32))
+            after, ends = np.cumsum(self.sizes[ids[-1]]), pieces.buffers(group)[0][1:]
+            stops = np.searchsorted(after, ends) + 1 if ends[-1] else np.zeros(len(group), np.int64)
+            if ends[-1] and (stops[-1] != len(after) or (after[np.minimum(stops, len(after)) - 1] != ends).any()):
                 raise ValueError("a token reaches across a space")
-            raw, start = ids.tobytes(), 0
-            for k, stop in zip(group, stops.tolist(), strict=True):
-                found[k] = raw[4 * start : 4 * stop]
-                start = stop
-        return found
+            sizes.append(np.diff(stops, prepend=0))
+        # back from the groups' order to that of the pieces
+        order = np.argsort(np.concatenate([np.flatnonzero(spaced), np.flatnonzero(~spaced)]), kind="stable")
+        sizes, ids = np.concatenate(sizes), np.concatenate(ids)
+        starts, own = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        return own, ids[np.repeat(starts - (np.cumsum(own) - own), own) + np.arange(len(ids))]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(row offsets, ids) of a string array without nulls."""
