@@ -123,10 +123,15 @@ def test_mixing(spark):
     got = sorted((r.doc_id or -1, r.size, r.source_size, round(r.target, 6), r.copies) for r in mixing.mix(df).collect())
     assert got == sorted((i or -1, n, s, round(t, 6), c) for i, n, s, t, c in brute.mix(docs))
     assert mixing.emit(mixing.mix(df)).count() == sum(c for *_, c in brute.mix(docs))
-    taken = {}
+    taken, spread = {}, {}
     for r in mixing.mix(df).collect():
         assert r.taken <= 3 * r.size
-        taken.setdefault((r.source_size, r.target), []).append(r.taken)
+        rate = r.target / r.source_size if r.source_size else 0.0
+        key = r.source_size, r.target
+        taken[key] = taken.get(key, 0) + r.taken
+        spread[key] = spread.get(key, 0) + r.size**2 * (rate % 1) * (1 - rate % 1)
+    for (_, target), total in taken.items():  # near the target: within five standard deviations of the Bernoulli copies
+        assert abs(total - target) <= 5 * spread[_, target] ** 0.5 + 1e-6
     assert mixing.mix(df.limit(0)).count() == 0
     only = spark.createDataFrame([(1, None, "a b c")], "doc_id long, source string, text string")
     assert [(r.target, r.taken) for r in mixing.mix(only).collect()] == [(3.0, 3)]

@@ -36,11 +36,11 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], raw
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold about SLICE bytes of text; a longer text is a range of its own."""
+def slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about so many bytes of text; a longer text is a range of its own."""
     offsets, start = buffers(texts)[0], 0
     while start < len(texts):
-        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + SLICE, "right")) - 1)
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + size, "right")) - 1)
         yield start, stop
         start = stop
 

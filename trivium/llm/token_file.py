@@ -34,7 +34,7 @@ from trivium.shipping import ship
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 20
 #: New pieces that go to the library as one text.
-JOINED = 500
+JOINED = 200
 BLOCK = "part int, block int, first_token long, doc_ids array<long>, lengths array<long>, ids_by_rank array<int>, control binary, data binary"
 ROWS = "part int, block int, first long, doc_id long, n_tokens long, ids_crc32 long"
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
@@ -134,7 +134,7 @@ def _writer(spec, end_id: int):
         block = first = held = 0
         doc_ids, parts = [], []
         for batch in rows:
-            for a, b in pieces.slices(batch.column(1)):
+            for a, b in pieces.slices(batch.column(1), 2 * pieces.SLICE):
                 offsets, ids = encoder.encode(batch.column(1).slice(a, b - a))
                 for k, doc_id in enumerate(batch.column(0).slice(a, b - a).to_pylist()):
                     doc_ids.append(doc_id), parts.append(np.concatenate([ids[offsets[k] : offsets[k + 1]], end]))
