@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from trivium.llm import bpe, lines, mixing, quality, shingles
 from trivium.llm.queries import tokenizer
-from trivium.llm.store import materialize
+from trivium.llm.store import mark, materialize, release
 from trivium.llm.text import read
 
 
@@ -65,7 +65,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The last stage's rows, stored; what a stage wrote is deleted once the next table is stored."""
+    docs, start = read(spark, sf_dir, "documents"), mark(spark)
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        made = stage(spark, docs, sf_dir)
+        inner = mark(spark)
+        docs = materialize(made, name)
+        release(spark, start, inner)  # the former stage's table and this one's own
+        start = inner
     return docs

@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 
 from trivium.operators.predict import squared_distance
 from trivium.schema import require, small
+from trivium.scratch import materialize
 from trivium.shipping import ship
 
+#: Bytes of a tile of packed embeddings.
+TILE_BYTES = 1 << 22
+
 
 def pairwise_dist(embeddings: DataFrame) -> DataFrame:
     """(worker_id, item_a, item_b, dist): Euclidean distances of all items within each embedding, both ways and with itself."""
@@ -140,11 +144,10 @@ def nuclear_norm(dims: int) -> Column:
     return values(*[F.col(f"m{i}{j}") for i in range(dims) for j in range(dims)])
 
 
-def _tiles(p: DataFrame, dims: int, workers: int) -> DataFrame:
-    """(tile, ids, xs): packed embeddings by tiles of about so many participants, each row flat by dimension and item."""
+def _tiles(p: DataFrame, dims: int, count: int) -> DataFrame:
+    """(tile, ids, xs): packed embeddings dealt to so many tiles, each row flat by dimension and item."""
     flat = F.flatten(F.array(*[F.col(f"c{k}") for k in range(dims)]))
-    n = p.count()
-    tile = F.pmod(F.xxhash64("worker_id"), F.lit(max(1, -(-n // workers)))).cast("int")
+    tile = F.pmod(F.xxhash64("worker_id"), F.lit(count)).cast("int")
     return p.select(tile.alias("tile"), F.struct("worker_id", flat.alias("x")).alias("r")).groupBy("tile").agg(F.sort_array(F.collect_list("r")).alias("r")).select(
         "tile", F.transform("r", lambda x: x["worker_id"]).alias("ids"), F.transform("r", lambda x: x["x"]).alias("xs"))
 
@@ -164,30 +167,39 @@ def rep_dist(embeddings: DataFrame, rootflag: bool = True, dims: int | None = No
     """(worker_a, worker_b, dist): symmetric Procrustes distances, both ways, 0 from oneself.
 
     rootflag: 1 - root of the explained share; else 1 - the share itself. All pairs are the result, so packed
-    embeddings are gathered in tiles and a task multiplies two of them; a tile holds some hundred participants.
+    embeddings are gathered in tiles of at most `tile` participants and TILE_BYTES, and tiles meet in cells of a grid of blocks:
+    a tile is sent once for each cell of its row and column, not for each partner.
     """
     dims = dims or dimensions(embeddings)
-    tiles = _tiles(packed(embeddings, dims, strict), dims, tile)
-    side = lambda s: tiles.select(*[F.col(c).alias(f"{s}_{c}") for c in ("tile", "ids", "xs")])
-    pairs = side("a").join(side("b"), F.col("a_tile") <= F.col("b_tile"))
-
-    def distances(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                at, ids_a, xs_a, bt, ids_b, xs_b = (c[0] for c in batch.slice(k, 1).to_pydict().values())
-                t = _traces(np.array(xs_a), np.array(xs_b), dims)
+    p = materialize(packed(embeddings, dims, strict), "packed_embeddings")
+    n, items = p.agg(F.count("*"), F.coalesce(F.max(F.size("items")), F.lit(1))).first()
+    count = max(1, -(-n // max(1, min(tile, TILE_BYTES // (8 * dims * max(1, items))))))
+    side = max(1, min(8, count // 8))
+    blocks, block = -(-count // side), F.expr(f"tile div {side}")
+    sent = _tiles(p, dims, count).select("*", block.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select(
+        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "tile", "ids", "xs")
+
+    def distances(cell: pa.Table) -> pa.Table:
+        i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+        held = [(t, ids.values, np.asarray(xs.values.flatten()).reshape(len(ids), -1)) for t, ids, xs in zip(
+            cell.column("tile").to_pylist(), cell.column("ids"), cell.column("xs"), strict=True)]
+        out = []
+        for at, ids_a, xs_a in held:
+            for bt, ids_b, xs_b in held:
+                if (at > bt) if i == j else (at // side, bt // side) != (i, j):
+                    continue
+                t = _traces(xs_a, xs_b, dims)
                 d = (1 - t) if rootflag else (1 - t * t)
-                i, j = np.triu_indices(len(ids_a), 1) if at == bt else (x.ravel() for x in np.indices(d.shape))
-                a, b = pa.array(ids_a, pa.string()).take(pa.array(i)), pa.array(ids_b, pa.string()).take(pa.array(j))
-                names, v = ["worker_a", "worker_b", "dist"], pa.array(d[i, j])
-                yield pa.RecordBatch.from_arrays([a, b, v], names=names)
-                yield pa.RecordBatch.from_arrays([b, a, v], names=names)
+                r, c = np.triu_indices(len(ids_a), 1) if at == bt else (x.ravel() for x in np.indices(d.shape))
+                a, b, v = ids_a.take(pa.array(r)), ids_b.take(pa.array(c)), pa.array(d[r, c])
+                out += [(a, b, v), (b, a, v)]
                 if at == bt:
-                    own = pa.array(ids_a, pa.string())
-                    yield pa.RecordBatch.from_arrays([own, own, pa.array(np.zeros(len(ids_a)))], names=names)
+                    out.append((ids_a, ids_a, pa.array(np.zeros(len(ids_a)))))
+        return pa.table({name: pa.chunked_array([x[k] for x in out], kind) for k, (name, kind) in enumerate((("worker_a", pa.string()), ("worker_b", pa.string()), ("dist", pa.float64())))})
 
-    dealt = pairs.repartition(max(1, pairs.sparkSession.sparkContext.defaultParallelism))
-    return dealt.mapInArrow(distances, "worker_a string, worker_b string, dist double")
+    # a number of its own: the few packed tiles would else be coalesced into one task
+    tasks = 4 * p.sparkSession.sparkContext.defaultParallelism
+    return sent.repartition(max(tasks, blocks * blocks // 8), "i", "j").groupBy("i", "j").applyInArrow(distances, "worker_a string, worker_b string, dist double")
 
 
 def _rotation(dims: int, scale: bool) -> Column:
