@@ -183,6 +183,7 @@ def _run(spec, column: str, encode: bool, decode: bool):
                 if decode:
                     columns.append(bpe.decode(ids)), names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+            pieces.trim()
 
     return batches
 

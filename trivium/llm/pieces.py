@@ -11,6 +11,8 @@ All steps over the bytes are numpy's or Arrow's; what is kept between batches is
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,6 +29,13 @@ VISIBLE = np.zeros(256, bool)
 VISIBLE[[*range(0x21, 0x7F), *range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = True
 
 
+def trim() -> None:
+    """Give memory that this Python worker no longer uses back to the machine: workers live on between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets from 0, bytes) of a string array without nulls."""
     wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)

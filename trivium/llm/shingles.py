@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from trivium.llm import simhash
 from trivium.llm.components import components
+from trivium.llm.pieces import trim
 from trivium.llm.store import materialize
 from trivium.llm.text import whole
 from trivium.shipping import ship
@@ -102,6 +103,7 @@ def common_shingles(texts: DataFrame) -> np.ndarray:
         for batch in rows:
             for t in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t.as_py()).view(np.int64))], names=["h"])
+            trim()
 
     sampled = texts.where(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(SAMPLE)) == 0).select("text")
     counted = sampled.mapInArrow(batches, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
@@ -132,6 +134,7 @@ def shingled(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), signed(h1), signed(h2), pa.array(n, pa.int64()), signed(prints), pa.array(bits, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
                 names=["row", "doc_id", "h1", "h2", "n", "print", "bits", "keys"])
+            trim()
 
     return texts.select("row", "doc_id", "text").mapInArrow(batches, "row long, doc_id long, h1 long, h2 long, n long, print long, bits array<long>, keys array<long>")
 
@@ -158,6 +161,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in rows:
             good = [alike(a.as_py(), b.as_py()) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            trim()
 
     side = lambda df, c, s: df.select(F.col("row").alias(s), *[F.col(x).alias(f"{x}_{s}") for x in c])
     # alike texts have at most a ninth of their shingles, counted in both, in one only

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trivium.llm.components import components
+from trivium.llm.pieces import trim
 from trivium.llm.store import materialize
 from trivium.llm.text import whole
 from trivium.shipping import ship
@@ -115,6 +116,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["doc_id", "print"]
             )
+            trim()
 
     ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text")).mapInArrow(

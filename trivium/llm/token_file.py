@@ -142,6 +142,7 @@ def _writer(spec, end_id: int):
                     if held >= BLOCK_IDS:
                         yield _block(part, block, first, doc_ids, parts)
                         block, first, held, doc_ids, parts = block + 1, first + held, 0, [], []
+            pieces.trim()
         if parts:
             yield _block(part, block, first, doc_ids, parts)
 
