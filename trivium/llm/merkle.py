@@ -99,7 +99,9 @@ def archive(pages: DataFrame, per_file: int = RECORDS_PER_FILE, name: str = "arc
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), whole("url").alias("url"), whole("html").alias("html"))
     records = rows.mapInArrow(made, "file long, page_id long, sha string, copies int, record binary")
-    dealt = records.repartition("file").sortWithinPartitions("file", F.col("page_id").asc_nulls_first(), "sha")
+    # a few files a task at every size
+    tasks = max(1, min(n_files, max(pages.sparkSession.sparkContext.defaultParallelism, n_files // 4)))
+    dealt = records.repartition(tasks, "file").sortWithinPartitions("file", F.col("page_id").asc_nulls_first(), "sha")
     return materialize(dealt.mapInArrow(packed, "file long, content binary"), name)
 
 
