@@ -1,4 +1,4 @@
-"""The contract queries op1 to op10 and the pipeline, with DuckDB SQL where it can express them."""
+"""The contract queries op1 to op13 and the pipeline, with DuckDB SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivium.llm import bpe, chat, embedding, lines, merkle, mixing, quality, secrets, simhash, token_file
+from trivium.llm import bpe, chat, divergence, embedding, lines, merkle, mixing, quality, secrets, simhash, token_file
 from trivium.llm.store import new_path
 from trivium.llm.text import read
 
@@ -70,6 +70,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_merkle_audit, op2_chat_format, op3_secret_scan, op4_bpe, op5_simhash, op6_token_file, op7_line_dedup, op8_mix,
-        op9_embedding_dedup, op10_quality, pipeline)
+        op9_embedding_dedup, op10_quality, op13_divergence, pipeline)
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -153,6 +157,26 @@ SELECT coalesce(a.page_id, b.page_id) AS page_id, CASE WHEN a.sha IS NULL THEN '
 FROM a FULL JOIN b ON a.file = b.file AND a.page_id IS NOT DISTINCT FROM b.page_id AND a.nth = b.nth"""
 
 
+_DIVERGE = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+o AS (SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM o GROUP BY 1, 2 HAVING count(DISTINCT rid) >= 3),
+v AS (SELECT lang, count(*) AS v, CAST(sum(total) AS BIGINT) AS n FROM kept GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+size AS (SELECT lang, source, CAST(sum(n) AS BIGINT) AS size FROM c GROUP BY 1, 2),
+share AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // (coalesce(s.size, 0) + v.v) AS p,
+  1 + CAST(1000000000 AS HUGEINT) * (k.total + 1) // (v.n + v.v) AS q
+  FROM g JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN size s USING (lang, source) LEFT JOIN c ON (c.lang, c.source, c.term) = (g.lang, g.source, k.term)),
+met AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(m.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN met m ON (m.lang, m.source, m.item) = (a.lang, a.source, b.source)
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM share WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM every)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
 def _secret_sql() -> str:
     quoted = lambda p: "'" + p.replace("'", "''") + "'"
     kinds = ((secrets.ASSIGN, 2), (secrets.ACCESS, 0), (secrets.HEX, 0), (secrets.CANDIDATE, 0))
@@ -178,4 +202,4 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
   coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM docs LEFT JOIN told USING (rid)"""
 
 
-ORACLES: dict[str, str] = {"op1_merkle_audit": _AUDIT, "op3_secret_scan": _secret_sql(), "op2_chat_format": _CHAT, "op7_line_dedup": _LINES, "op8_mix": _MIX, "op9_embedding_dedup": _COSINE}
+ORACLES: dict[str, str] = {"op1_merkle_audit": _AUDIT, "op3_secret_scan": _secret_sql(), "op2_chat_format": _CHAT, "op7_line_dedup": _LINES, "op8_mix": _MIX, "op9_embedding_dedup": _COSINE, "op13_divergence": _DIVERGE}
