@@ -54,7 +54,8 @@ def slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-def _pieces(starts: np.ndarray, raw: np.ndarray) -> pa.Array:
+def split_at(starts: np.ndarray, raw: np.ndarray) -> pa.Array:
+    """The pieces of raw that begin at starts, the last one at its end."""
     offsets = np.append(starts, len(raw)).astype(np.int64)
     return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
 
@@ -69,7 +70,7 @@ def cut_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     first[begins] = seen[begins]
     at = np.flatnonzero(first)
     before = np.concatenate([[0], np.cumsum(seen)])
-    return _pieces(before[at], raw[seen]), np.searchsorted(at, offsets)
+    return split_at(before[at], raw[seen]), np.searchsorted(at, offsets)
 
 
 def cut_spaced(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -82,7 +83,7 @@ def cut_spaced(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     first[ends] = False
     first[begins] = True
     at = np.flatnonzero(first)
-    return _pieces(at, raw), np.searchsorted(at, offsets)
+    return split_at(at, raw), np.searchsorted(at, offsets)
 
 
 class Memory:

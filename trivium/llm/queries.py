@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivium.llm import bpe, chat, divergence, embedding, lines, merkle, mixing, quality, secrets, simhash, token_file
-from trivium.llm.store import new_path
+from trivium.llm import alignment, bpe, chat, divergence, embedding, lines, merkle, mixing, quality, secrets, simhash, token_file
+from trivium.llm.store import materialize, new_path
 from trivium.llm.text import read
 
 
@@ -70,6 +70,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = alignment.align(docs, tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    stored = materialize(aligned.select(
+        F.monotonically_increasing_id().alias("row"), F.col("carried.doc_id").alias("doc_id"), "n_a", "n_b", "n_groups", digest, "links"), "aligned")
+    counts = materialize(alignment.link_counts(stored), "link_counts")
+    return alignment.scores(stored, counts).drop("row")
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"))
 
@@ -83,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_merkle_audit, op2_chat_format, op3_secret_scan, op4_bpe, op5_simhash, op6_token_file, op7_line_dedup, op8_mix,
-        op9_embedding_dedup, op10_quality, op13_divergence, pipeline)
+        op9_embedding_dedup, op10_quality, op11_alignment, op13_divergence, pipeline)
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
