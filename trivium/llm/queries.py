@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivium.llm import alignment, bpe, chat, divergence, embedding, lines, merkle, mixing, quality, secrets, simhash, token_file
+from trivium.llm import alignment, bpe, chat, divergence, embedding, lines, merkle, mixing, quality, secrets, simhash, substrings, token_file
 from trivium.llm.store import materialize, new_path
 from trivium.llm.text import read
 
@@ -80,6 +80,11 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.scores(stored, counts).drop("row")
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"))
 
@@ -93,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_merkle_audit, op2_chat_format, op3_secret_scan, op4_bpe, op5_simhash, op6_token_file, op7_line_dedup, op8_mix,
-        op9_embedding_dedup, op10_quality, op11_alignment, op13_divergence, pipeline)
+        op9_embedding_dedup, op10_quality, op11_alignment, op12_substring_dedup, op13_divergence, pipeline)
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -167,6 +172,15 @@ SELECT coalesce(a.page_id, b.page_id) AS page_id, CASE WHEN a.sha IS NULL THEN '
 FROM a FULL JOIN b ON a.file = b.file AND a.page_id IS NOT DISTINCT FROM b.page_id AND a.nth = b.nth"""
 
 
+_PASSAGES = rf"""
+WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM d, unnest(range(1, len(w) - 18)) AS t(i)),
+later AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d)
+SELECT d.doc_id, count(e.p) AS n_words, count(g.p) AS n_removed, sha256(coalesce(string_agg(e.word, ' ' ORDER BY e.p) FILTER (WHERE g.p IS NULL), '')) AS kept_sha256
+FROM d LEFT JOIN each e ON e.doc_id = d.doc_id LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.p = e.p GROUP BY d.doc_id"""
+
 _DIVERGE = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
@@ -212,4 +226,4 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
   coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM docs LEFT JOIN told USING (rid)"""
 
 
-ORACLES: dict[str, str] = {"op1_merkle_audit": _AUDIT, "op3_secret_scan": _secret_sql(), "op2_chat_format": _CHAT, "op7_line_dedup": _LINES, "op8_mix": _MIX, "op9_embedding_dedup": _COSINE, "op13_divergence": _DIVERGE}
+ORACLES: dict[str, str] = {"op1_merkle_audit": _AUDIT, "op3_secret_scan": _secret_sql(), "op2_chat_format": _CHAT, "op7_line_dedup": _LINES, "op8_mix": _MIX, "op9_embedding_dedup": _COSINE, "op12_substring_dedup": _PASSAGES, "op13_divergence": _DIVERGE}

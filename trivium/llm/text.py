@@ -28,6 +28,20 @@ def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def carried(docs: DataFrame, *used: str) -> DataFrame:
+    """docs with the columns that an operator doesn't use in one struct, where none of its own columns can clash with them."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*[F.col(f"`{c}`") for c in used], F.struct(F.lit(0).alias("_"), *rest).alias("_carried"))
+
+
+def restored(done: DataFrame, docs: DataFrame, changed: dict[str, Column] | None = None, **added: Column) -> DataFrame:
+    """The columns of docs again, in their order, with changed ones; added columns follow and replace namesakes."""
+    changed, inner = changed or {}, done.schema["_carried"].dataType.names
+    own = lambda c: changed[c] if c in changed else F.col("_carried")[c] if c in inner else F.col(f"`{c}`")
+    taken = {c.lower() for c in added}
+    return done.select(*[own(c).alias(c) for c in docs.columns if c.lower() not in taken], *[v.alias(k) for k, v in added.items()])
+
+
 def hash128(column: Column) -> tuple[Column, Column]:
     """Two independent 64-bit hashes: at 10**12 different values a chance match is still unlikely."""
     return F.xxhash64(column), F.xxhash64(F.lit(7), column)
