@@ -33,14 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trivium.llm import pieces
-from trivium.llm.pieces import MEMORY, REMEMBERED, VISIBLE
+from trivium.llm.pieces import REMEMBERED, VISIBLE
 from trivium.llm.text import whole
 from trivium.llm.token_file import Encoder
 from trivium.schema import small
 from trivium.shipping import ship
 
-#: Rows of link counts up to which they are broadcast (about 40 MB).
-PAIRS = 1_000_000
+#: Rows of link counts up to which they are broadcast (about 40 MB), pieces that a worker remembers, and bytes of text at a time.
+PAIRS, MEMORY, SLICE = 1_000_000, 400_000, 1_500_000
 #: Labels of bytes: none, A's end, B's end, both.
 LABELS = np.frombuffer(b".abx", np.uint8)
 GROUP = re.compile(rb"[.ab]*x")
@@ -100,21 +100,20 @@ class Aligner:
         label = np.zeros(stops[-1] if len(stops) else 0, np.uint8)
         label[np.cumsum(self.a.sizes[a]) - 1] += 1
         label[np.cumsum(self.size_b[b]) - 1] += 2
-        shown, i, j, groups, ends = LABELS[label].tobytes(), 0, 0, [], []
-        name_a, name_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        for m in GROUP.finditer(shown):
-            k, n = i + shown.count(b"a", *m.span()) + 1, j + shown.count(b"b", *m.span()) + 1
-            groups.append(",".join(name_a[i:k]) + "|" + ",".join(name_b[j:n]))
-            ends.append(m.end())
-            i, j = k, n
+        ends = np.fromiter((m.end() for m in GROUP.finditer(LABELS[label].tobytes())), np.int64)  # of the spans
+        named = []
+        for side, ids in ((1, a), (2, b)):  # a span's labels count its tokens
+            stops_ = np.concatenate([[0], np.cumsum(label & side > 0)[ends - 1]])
+            named.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(stops_, pa.int32()), pa.array(ids).cast(pa.string())), ","))
+        groups = pc.binary_join_element_wise(*named, "|")
         at = np.flatnonzero(label)
         is_a, is_b = label[at] & 1, label[at] >> 1
         links = a[np.cumsum(is_a) - is_a] * self.width + b[np.cumsum(is_b) - is_b]
         before = lambda places: np.concatenate([[0], np.searchsorted(places, stops, "right")])
-        of_group, of_link = before(np.array(ends, np.int64)), before(at + 1)
-        named = pc.binary_join(pa.ListArray.from_arrays(pa.array(of_group, pa.int32()), pa.array(groups, pa.string())), ";")
+        of_group, of_link = before(ends), before(at + 1)
+        listed = pc.binary_join(pa.ListArray.from_arrays(pa.array(of_group, pa.int32()), groups), ";")
         return pa.table({
-            "n_a": np.where(good, n_a, 0), "n_b": np.where(good, n_b, 0), "n_groups": np.diff(of_group), "bad": ~good, "groups": named,
+            "n_a": np.where(good, n_a, 0), "n_b": np.where(good, n_b, 0), "n_groups": np.diff(of_group), "bad": ~good, "groups": listed,
             "links": pa.LargeListArray.from_arrays(pa.array(of_link, pa.int64()), pa.array(links, pa.int64()))})
 
     def find(self, texts: pa.Array) -> tuple[np.ndarray, pa.Table]:
@@ -125,15 +124,18 @@ class Aligner:
         if not lacking.any():
             return which, self.known
         new = texts.filter(pa.array(lacking)).dictionary_encode()
-        which[lacking] = new.indices.to_numpy(zero_copy_only=False) + len(self.keys)
         made = self._of(new.dictionary)
-        found = pa.concat_tables([self.known, made]).combine_chunks()
         short = pc.less_equal(pc.binary_length(new.dictionary), REMEMBERED)
+        # remembered ones first, so that what is known is a slice of what is found
+        order = np.argsort(~short.to_numpy(zero_copy_only=False), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        which[lacking] = len(self.keys) + place[new.indices.to_numpy(zero_copy_only=False)]
+        found = pa.concat_tables([self.known, made.take(pa.array(order))]).combine_chunks()
         self.keys = pa.concat_arrays([self.keys, new.dictionary.filter(short)])
-        self.known = pa.concat_tables([self.known, made.filter(short)]).combine_chunks()
-        if len(self.keys) > MEMORY:  # the later half stays
-            cut_ = len(self.keys) - MEMORY // 2
-            self.keys, self.known = pa.concat_arrays([self.keys[cut_:]]).take(pa.array(range(len(self.keys) - cut_))), self.known.take(pa.array(range(cut_, len(self.keys))))
+        start = len(self.keys) - MEMORY // 2 if len(self.keys) > MEMORY else 0  # the later half stays
+        self.known = found.slice(0, len(self.keys)) if not start else found.take(pa.array(range(start, len(self.keys))))
+        self.keys = self.keys if not start else self.keys.take(pa.array(range(start, len(self.keys))))
         return which, found
 
     def align(self, texts: pa.Array) -> list[pa.Array]:
@@ -178,7 +180,7 @@ def _run(files):
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = aligner_of(*files.value)
         for batch in rows:
-            for a, b in pieces.slices(batch.column(1)):
+            for a, b in pieces.slices(batch.column(1), SLICE):
                 made = aligner.align(batch.column(1).slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *made], names=["carried", "n_a", "n_b", "n_groups", "groups", "links"])
             pieces.trim()

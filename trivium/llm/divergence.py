@@ -131,28 +131,31 @@ def divergence(p: Column, q: Column) -> Column:
     return div((p - q) * (p - q), q)
 
 
-def _dense(cell: pa.Table) -> pa.Table:
+def _dense(block: int):
     """(lang, a, b, delta) of a tile and two blocks of groups: sums over the tile's terms of f(p, q) - f(p0, q0)."""
-    lang, i, j = (cell.column(c)[0].as_py() for c in ("lang", "i", "j"))
-    g, size, n = (cell.column(c).to_numpy() for c in ("g", "size", "n"))
-    coded = cell.column("term").combine_chunks().dictionary_encode()
-    code, width = coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary)
-    ids, at = np.unique(g, return_index=True)
-    sizes, real = size[at], ~np.isnan(code)  # each group has a row without a term
-    counts = np.zeros((len(ids), width), np.int64)
-    counts[np.searchsorted(ids, g[real]), code[real].astype(np.int64)] = n[real]
-    p = np.stack([shares(x, s) for x, s in zip(counts, sizes, strict=True)])
-    none = np.array([shares(np.zeros(1, np.int64), s)[0] for s in sizes])
-    of = {k: np.flatnonzero(ids // BLOCK == k) for k in (i, j)}
-    out = []
-    for rows, columns in {(i, j), (j, i)}:
-        q, q0 = p[of[columns]], none[of[columns]]
-        for a in of[rows]:
-            gaps = p[a] - q
-            delta = (gaps * gaps // q).sum(1) - width * ((none[a] - q0) ** 2 // q0)
-            out += [(ids[a], b, d) for b, d in zip(ids[of[columns]], delta, strict=True) if b != ids[a]]
-    a, b, d = (np.array(x, np.int64) for x in (zip(*out, strict=True) if out else ((), (), ())))
-    return pa.table({"lang": pa.array([lang] * len(a), pa.string()), "a": a, "b": b, "delta": d})
+    def deviations(cell: pa.Table) -> pa.Table:
+        lang, i, j = (cell.column(c)[0].as_py() for c in ("lang", "i", "j"))
+        g, size, n = (cell.column(c).to_numpy() for c in ("g", "size", "n"))
+        coded = cell.column("term").combine_chunks().dictionary_encode()
+        code, width = coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary)
+        ids, at = np.unique(g, return_index=True)
+        sizes, real = size[at], ~np.isnan(code)  # each group has a row without a term
+        counts = np.zeros((len(ids), width), np.int64)
+        counts[np.searchsorted(ids, g[real]), code[real].astype(np.int64)] = n[real]
+        p = np.stack([shares(x, s) for x, s in zip(counts, sizes, strict=True)])
+        none = np.array([shares(np.zeros(1, np.int64), s)[0] for s in sizes])
+        of = {k: np.flatnonzero(ids // block == k) for k in (i, j)}
+        out = []
+        for rows, columns in {(i, j), (j, i)}:
+            q, q0 = p[of[columns]], none[of[columns]]
+            for a in of[rows]:
+                gaps = p[a] - q
+                delta = (gaps * gaps // q).sum(1) - width * ((none[a] - q0) ** 2 // q0)
+                out += [(ids[a], b, d) for b, d in zip(ids[of[columns]], delta, strict=True) if b != ids[a]]
+        a, b, d = (np.array(x, np.int64) for x in (zip(*out, strict=True) if out else ((), (), ())))
+        return pa.table({"lang": pa.array([lang] * len(a), pa.string()), "a": a, "b": b, "delta": d})
+
+    return deviations
 
 
 def heavy_deviations(heavy: DataFrame, groups: DataFrame) -> DataFrame:
@@ -166,7 +169,7 @@ def heavy_deviations(heavy: DataFrame, groups: DataFrame) -> DataFrame:
     every = rows.select("lang", "tile", "term", "g", "size", "n", "groups").unionByName(marks.select("lang", "tile", "term", "g", "size", "n", "groups"))
     cells = every.select("lang", "tile", "term", F.col("g").cast("long").alias("g"), "size", "n", own.alias("own"), other).select(
         "lang", "tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "term", "g", "size", "n")
-    return cells.groupBy("lang", "tile", "i", "j").applyInArrow(_dense, "lang string, a long, b long, delta long")
+    return cells.groupBy("lang", "tile", "i", "j").applyInArrow(_dense(BLOCK), "lang string, a long, b long, delta long")
 
 
 def light_deviations(light: DataFrame, groups: DataFrame) -> DataFrame:
