@@ -38,9 +38,10 @@ def digest(done):
     return sorted(tuple(r) for r in done.select(F.coalesce("doc_id", F.lit(substrings.LEAST)), "n_words", "n_removed", F.sha2("text", 256)).collect())
 
 
-@pytest.mark.parametrize(("shard", "stream"), [(substrings.SHARD, substrings.STREAM), (300, 200)])
+@pytest.mark.parametrize(("shard", "stream"), [(substrings.SHARD, substrings.STREAM), (40, 30)])
 def test_equal_to_the_definition(spark, monkeypatch, shard, stream):
-    monkeypatch.setattr(substrings, "SHARD", shard), monkeypatch.setattr(substrings, "STREAM", stream)
+    for name, value in (("SHARD", shard), ("STREAM", stream), ("CELL", substrings.CELL if shard > 40 else 25)):
+        monkeypatch.setattr(substrings, name, value)
     docs = spark.createDataFrame(rows(), "doc_id long, text string").repartition(3)
     want = reference(rows())
     assert digest(substrings.dedup(docs)) == want and sum(r[2] for r in want) > 5000

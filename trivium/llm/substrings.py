@@ -7,16 +7,15 @@ smaller document, or before in the same one. The corpus is its own reference, cu
    windows of one gram are a segment, of window to 2 window - gram words. Only segments of fingerprints that occur twice go on;
 2. equal segments count once, at their earliest place. Where a fingerprint has several segments, hashes of their windows
    tell which windows occur twice. The earliest place of each such window is a reference;
-3. references are dealt by fingerprint to shards of about SHARD words. A task builds a shard's suffix automaton, whose states know
-   where they end first; it is stored once and sent to each slice of the segments that belong to its shard;
-4. the segments stream through the automaton for their matching statistics: where at least a window's words match, the state
-   names the reference, whose words are equal, not only its hash. Maximal spans of such matches go back to all places
-   of the segment, and each place loses the words of its spans, unless it is the reference itself.
+3. references are dealt by place, CELL words of a document at a time, to shards of about SHARD windows. A task builds a shard's suffix
+   automaton, whose states know where they end first; it is stored once and sent to each slice of the segments that it concerns;
+4. the segments stream through the automaton, a document's neighbours as one text, for their matching statistics: where at least a
+   window's words match, the state names the reference, whose words are equal, not only its hash. Maximal spans of such matches
+   go back to all places of the segment, and each place loses the words of its spans, unless it is the reference itself.
 
-Nothing grows in one task: a passage that a third of all documents hold is one reference; its places meet their spans in joins that
-adaptive execution splits; a shard with over twice its words is dealt to several automata, all of which its segments
-visit, and segments come in slices of about STREAM words. A window is lost as a reference only if another with the same fingerprint has its 64-bit
-hash too; no word is removed without equal words.
+Nothing grows in one task: a passage that a third of all documents hold is one reference, and its places meet their spans in joins that
+adaptive execution splits; shards and slices have their size whatever the input. A repeated window is missed only if another of its
+fingerprint has its 64-bit hash; equal segments are equal in 128 bits of hash.
 
 Defined results: white space is the six ASCII characters; a null or empty text, or one of fewer words than a window, keeps its
 words; documents are ordered by doc_id and then by a hash of their text; a null doc_id counts as the least number; rows equal
@@ -30,22 +29,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trivium.llm import pieces
-from trivium.llm.store import materialize
+from trivium.llm.store import mark, materialize, release, settled
 from trivium.llm.text import carried, restored, whole
 from trivium.schema import small
 from trivium.shipping import ship
 
-#: Words of a gram, of references in a shard, of segments in a slice, and bytes of text handled at a time.
-GRAM, SHARD, STREAM, SLICE = 8, 100_000, 1_000_000, 1 << 21
+#: Words of a gram, windows of references in a shard, of segments in a slice, of a document that go to one shard; bytes of text handled at a time.
+GRAM, SHARD, STREAM, CELL, SLICE = 8, 100_000, 1_000_000, 4096, 1 << 21
 LEAST = -(1 << 63)
 PLACE = "doc long, th long, at int"
 SEGMENT = f"fp long, seg long, {PLACE}, n int"
-AUTOMATON = "bucket int, part int, words array<binary>, edges array<long>, targets array<int>, links array<int>, lengths array<int>, firsts array<int>, starts array<int>, docs array<long>, ths array<long>, ats array<int>"
+AUTOMATON = "shard int, words array<binary>, edges array<long>, targets array<int>, links array<int>, lengths array<int>, firsts array<int>, starts array<int>, docs array<long>, ths array<long>, ats array<int>"
 SPANS = "fp long, seg long, spans array<struct<i: int, n: int, doc: long, th: long, at: int>>"
 
 _SEEDS = np.random.default_rng(12).integers(1, 1 << 63, 256 + 4096, dtype=np.uint64) * 2 + 1
@@ -185,13 +184,22 @@ def cut_segments(distinct: DataFrame, docs: DataFrame, window: int) -> DataFrame
     return joined.mapInArrow(_cut(window), SEGMENT + ", c long, alone boolean, words binary, hashes array<long>")
 
 
+def _cell(doc: Column, th: Column, at: Column) -> Column:
+    """What is dealt to one shard: the references of so many words of a document."""
+    return F.xxhash64(doc, th, F.call_function("div", at, F.lit(CELL)))
+
+
 def with_references(cut: DataFrame) -> DataFrame:
-    """cut with refs, the windows of a segment that are the earliest of their words and occur twice or more, in place of hashes."""
+    """cut with refs, the windows of a segment that are the earliest of their words and occur twice or more, and cells, where the earliest
+    places of all its windows that occur twice or more belong, in place of hashes."""
     each = cut.where("not alone").select("fp", "seg", "doc", "th", "at", "c", F.posexplode("hashes").alias("i", "h"))
     first = each.groupBy("fp", "h").agg(F.min(F.struct("doc", "th", (F.col("at") + F.col("i")).alias("at"), "seg", "i")).alias("p"), F.sum("c").alias("c")).where("c > 1")
-    own = first.groupBy("fp", F.col("p.seg").alias("seg")).agg(F.sort_array(F.collect_set("p.i")).alias("own"))
-    every = F.sequence(F.lit(0), F.col("n") - 1)
-    return cut.drop("hashes").join(own.hint("merge"), ["fp", "seg"], "left").withColumn("refs", F.when(F.col("alone"), every).otherwise(F.coalesce("own", F.array().cast("array<int>")))).drop("own")
+    own = F.when((F.col("p.seg") == F.col("seg")) & (F.col("p.i") == F.col("i")), F.col("i"))
+    told = each.select("fp", "seg", "i", "h").join(first.select("fp", "h", "p").hint("merge"), ["fp", "h"]).groupBy("fp", "seg").agg(
+        F.collect_set(_cell(F.col("p.doc"), F.col("p.th"), F.col("p.at") - F.col("p.i"))).alias("cells"), F.sort_array(F.collect_set(own)).alias("own"))
+    refs = F.when(F.col("alone"), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.coalesce("own", F.array().cast("array<int>")))
+    cells = F.when(F.col("alone"), F.array(_cell(F.col("doc"), F.col("th"), F.col("at")))).otherwise(F.coalesce("cells", F.array().cast("array<long>")))
+    return cut.drop("hashes").join(told.hint("merge"), ["fp", "seg"], "left").withColumns({"refs": refs, "cells": cells}).drop("own")
 
 
 class Automaton:
@@ -224,13 +232,13 @@ class Automaton:
         self.last = cur
         self.size += 1
 
-    def passage(self, words: list[bytes]) -> int:
-        """Add a passage; returns the place of its first word. What stands between passages occurs once and matches nothing."""
-        start = self.size
+    def extend(self, words: list[bytes]) -> None:
         for w in words:
             self._add(self.codes.setdefault(w, len(self.codes)))
-        self._add(-1 - start)
-        return start
+
+    def close(self) -> None:
+        """End a passage. What stands between passages occurs once and matches nothing."""
+        self._add(-1 - self.size)
 
     def edges(self) -> tuple[np.ndarray, np.ndarray]:
         """(state * words + word, target) of all transitions by a word."""
@@ -240,14 +248,26 @@ class Automaton:
 
 def _build(window: int):
     def automaton(group: pa.Table) -> pa.Table:
+        """The automaton of a shard; windows that follow each other in a document share their words."""
         sam, starts, docs, ths, ats = Automaton(), [], [], [], []
-        for bucket, part, doc, th, at, words, refs in zip(*(group.column(c).to_pylist() for c in ("bucket", "part", "doc", "th", "at", "words", "refs")), strict=True):
+        last = None  # the document and window that would go on with the passage
+        group = group.sort_by([(c, "ascending") for c in ("doc", "th", "at")])
+        for doc, th, at, words, refs in zip(*(group.column(c).to_pylist() for c in ("doc", "th", "at", "words", "refs")), strict=True):
             split, refs = words.split(b" "), np.array(refs)
             for run in np.split(refs, np.flatnonzero(np.diff(refs) != 1) + 1):
-                starts.append(sam.passage(split[run[0] : run[-1] + window]))
-                docs.append(doc), ths.append(th), ats.append(at + int(run[0]))
+                a, b = int(run[0]), int(run[-1])
+                if last == (doc, th, at + a):
+                    sam.extend(split[a + window - 1 : b + window])
+                elif last is None or last[:2] != (doc, th) or last[2] < at + a:  # not a row of an equal document
+                    if last:
+                        sam.close()
+                    starts.append(sam.size), docs.append(doc), ths.append(th), ats.append(at + a)
+                    sam.extend(split[a : b + window])
+                else:
+                    continue
+                last = (doc, th, at + b + 1)
         edges, targets = sam.edges()
-        row = [bucket, part, list(sam.codes), edges, targets, sam.link, sam.length, sam.first, starts, docs, ths, ats]
+        row = [group.column("shard")[0].as_py(), list(sam.codes), edges, targets, sam.link, sam.length, sam.first, starts, docs, ths, ats]
         kinds = {"int": pa.int32(), "array<binary>": pa.list_(pa.binary()), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
         return pa.table({name: pa.array([v], kinds[kind]) for (name, kind), v in zip(map(str.split, AUTOMATON.split(", ")), row, strict=True)})
 
@@ -257,19 +277,25 @@ def _build(window: int):
 def _match(window: int):
     """Spans of windows of each segment that the shard's automaton holds."""
     def spans(automata: pa.Table, group: pa.Table) -> pa.Table:
-        out = []
+        fps, segs, out = [], [], []
         if automata.num_rows and group.num_rows:
             get = lambda c: automata.column(c)[0].values
             codes = {w: i for i, w in enumerate(get("words").to_pylist())}
             step = dict(zip(get("edges").to_pylist(), get("targets").to_pylist(), strict=True))
             link, length, first = (get(c).to_pylist() for c in ("links", "lengths", "firsts"))
             starts, docs, ths, ats = (get(c).to_numpy() for c in ("starts", "docs", "ths", "ats"))
-            width = len(codes)
-            for fp, seg, words in zip(*(group.column(c).to_pylist() for c in ("fp", "seg", "words")), strict=True):
-                state = matched = 0
+            width, last, state, matched = len(codes), None, 0, 0
+            group = group.sort_by([(c, "ascending") for c in ("doc", "th", "at")])
+            for fp, seg, doc, th, at, n, words in zip(*(group.column(c).to_pylist() for c in ("fp", "seg", "doc", "th", "at", "n", "words")), strict=True):
+                split, e = words.split(b" "), 0
+                if last == (doc, th, at):  # goes on with the document's segment before, whose last words it shares
+                    e = window - 1
+                else:
+                    state = matched = 0
+                last = (doc, th, at + n)
                 found: list[list[int]] = []  # [window, number, place of its first word in the automaton's text]
-                for e, w in enumerate(words.split(b" ")):
-                    code = codes.get(w)
+                for e in range(e, len(split)):
+                    code = codes.get(split[e])
                     if code is None:
                         state = matched = 0
                         continue
@@ -289,40 +315,41 @@ def _match(window: int):
                         else:
                             found.append([i, 1, place])
                 if found:
-                    at = np.searchsorted(starts, [p for *_, p in found], "right") - 1
-                    out.append((fp, seg, [{"i": i, "n": n, "doc": int(docs[k]), "th": int(ths[k]), "at": int(ats[k]) + p - int(starts[k])} for (i, n, p), k in zip(found, at, strict=True)]))
+                    k = np.searchsorted(starts, [p for *_, p in found], "right") - 1
+                    fps.append(fp), segs.append(seg)
+                    out.append([{"i": i, "n": m, "doc": int(docs[x]), "th": int(ths[x]), "at": int(ats[x]) + p - int(starts[x])} for (i, m, p), x in zip(found, k, strict=True)])
         kind = pa.list_(pa.struct([("i", pa.int32()), ("n", pa.int32()), ("doc", pa.int64()), ("th", pa.int64()), ("at", pa.int32())]))
-        columns = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(("fp", "seg", "spans"), columns, (pa.int64(), pa.int64(), kind), strict=True)})
+        return pa.table({"fp": pa.array(fps, pa.int64()), "seg": pa.array(segs, pa.int64()), "spans": pa.array(out, kind)})
 
     return spans
 
 
 def matches(cut: DataFrame, window: int) -> DataFrame:
-    """(fp, seg, spans) of the segments that hold windows of the references; cut is a stored table with refs."""
-    words = F.col("n") + window - 1
-    referring = F.when(F.size("refs") > 0, words).otherwise(0)
-    total = cut.agg(F.coalesce(F.sum(referring), F.lit(0))).first()[0]
-    bucketed = cut.withColumn("bucket", F.pmod(F.xxhash64("fp"), F.lit(max(1, -(-total // SHARD)))).cast("int"))
-    sizes = small(bucketed.groupBy("bucket").agg(
-        F.greatest(F.lit(1), F.ceil(F.sum(referring) / (2 * SHARD))).cast("int").alias("parts"), F.ceil(F.sum(words) / STREAM).cast("int").alias("slices")))
-    dealt = bucketed.join(sizes, "bucket")
-    part = F.pmod(F.xxhash64("seg", F.lit(1)), F.col("parts")).cast("int")
-    refs = dealt.where(F.size("refs") > 0).select("bucket", part.alias("part"), "doc", "th", "at", "words", "refs")
-    automata = materialize(refs.groupBy("bucket", "part").applyInArrow(_build(window), AUTOMATON), "automata")
-    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    sent = automata.join(sizes, "bucket").select("*", to("slices").alias("slice")).drop("parts", "slices")
-    stream = dealt.select("bucket", to("parts").alias("part"), F.pmod(F.xxhash64("seg", F.lit(2)), F.col("slices")).cast("int").alias("slice"), "fp", "seg", "words")
-    keys = ["bucket", "part", "slice"]
-    return sent.groupBy(*keys).cogroup(stream.groupBy(*keys)).applyInArrow(_match(window), SPANS)
+    """(fp, seg, spans) of the segments that hold windows of the references; cut is a stored table with refs and cells."""
+    total = cut.agg(F.coalesce(F.sum(F.size("refs")), F.lit(0))).first()[0]
+    shards = max(1, -(-total // SHARD))
+    to = lambda cell: F.pmod(cell, F.lit(shards)).cast("int")
+    refs = cut.where(F.size("refs") > 0).select(to(_cell(F.col("doc"), F.col("th"), F.col("at"))).alias("shard"), "doc", "th", "at", "words", "refs")
+    automata = materialize(refs.groupBy("shard").applyInArrow(_build(window), AUTOMATON), "automata")
+    dealt = cut.select(F.explode(F.array_distinct(F.transform("cells", to))).alias("shard"), "fp", "seg", "doc", "th", "at", "n", "words")
+    sizes = small(dealt.groupBy("shard").agg(F.ceil(F.sum("n") / STREAM).cast("int").alias("slices")))
+    sent = automata.join(sizes, "shard").select("*", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")).drop("slices")
+    stream = dealt.join(sizes, "shard").withColumn("slice", F.pmod(F.xxhash64("doc", "th", F.call_function("div", F.col("at"), F.lit(CELL))), F.col("slices")).cast("int")).drop("slices")
+    return sent.groupBy("shard", "slice").cogroup(stream.groupBy("shard", "slice")).applyInArrow(_match(window), SPANS)
 
 
 def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """(doc, th, gone array<struct<a, b>>): ranges of words of each document that windows cover whose words also start earlier."""
-    places = materialize(repeated_places(segments(docs, window)), "places")
-    distinct = materialize(distinct_segments(places), "distinct_segments")
-    cut = materialize(with_references(materialize(cut_segments(distinct, docs, window), "segments")), "referring")
-    found = materialize(matches(cut, window), "spans")
+    spark = docs.sparkSession
+    places = settled(materialize(repeated_places(segments(docs, window)), "places"))
+    start = mark(spark)
+    distinct = settled(materialize(distinct_segments(places), "distinct_segments"))
+    segments_ = settled(materialize(cut_segments(distinct, docs, window), "segments"))
+    stop = mark(spark)
+    cut = settled(materialize(with_references(segments_), "referring"))
+    release(spark, start, stop)
+    found = settled(materialize(matches(cut, window), "spans"))
+    release(spark, stop, mark(spark) - 1)  # all but the spans
     met = places.join(found.hint("merge"), ["fp", "seg"]).select("doc", "th", "at", F.explode("spans").alias("s"))
     later = met.where(~((F.col("s.doc") == F.col("doc")) & (F.col("s.th") == F.col("th")) & (F.col("s.at") == F.col("at") + F.col("s.i"))))
     start = F.col("at") + F.col("s.i")
