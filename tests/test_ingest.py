@@ -58,11 +58,11 @@ def test_lookup_tables_beyond_the_bound_are_stored(spark):
     assert held(df.limit(0)).count() == 0
 
 
-def test_headers_are_read_in_one_job(spark, tmp_path):
+def test_files_with_different_headers_are_one_table(spark, tmp_path):
     for k, text in enumerate(["a,b\n1,2\n", "a,b\n", 'b,"a x"\n3,4\n', ""]):
         (tmp_path / f"{k}.csv").write_text(text)
-    found = io._headers(spark, io.csv_files(spark, str(tmp_path)))
-    assert sorted(found.values()) == ["a,b", "a,b", 'b,"a x"']
+    made = io.read_csv(spark, io.data_files(spark, str(tmp_path)))
+    assert sorted((r.a or "", r.b, r["a x"] or "") for r in made.collect()) == [("", "3", "4"), ("1", "2", "")]
 
 
 def test_workers_are_numbered_by_file_and_row(spark, tmp_path):

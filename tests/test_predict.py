@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from trivium.operators import agreement, compare, predict
 
@@ -40,7 +41,6 @@ def test_ties_go_right_and_missing_items_are_null(spark, model):
 
 def test_distances_give_the_same(spark, model):
     from trivium.operators.geometry import pairwise_dist
-    from pyspark.sql import functions as F
 
     d = trials(spark, [("cat", "dog", "car", "dog"), ("boat", "cat", "car", "car"), ("dog", "dog", "cat", "dog")])
     table = pairwise_dist(model.withColumn("worker_id", F.lit("w"))).drop("worker_id")
@@ -78,6 +78,78 @@ def test_prediction_matrix_is_hoacc_of_each_pair(spark):
     assert wide["w1"] == got[("w0", "w1")][0]
 
 
+def random_study(seed, workers=5, items=7, trials_each=60, dims=3):
+    """(embeddings, trials) with missing items, unknown and foreign answers, repeated trials, equal options and one participant with most trials."""
+    import random
+
+    r = random.Random(seed)
+    emb = [(w, f"w{w}", i, f"i{i}", [float(r.randint(0, 3)) for _ in range(dims)]) for w in range(workers) for i in range(items) if not (w == 1 and i == 2)]
+    rows = []
+    for w in range(workers + 1):
+        for k in range(trials_each * (8 if w == 0 else 1)):
+            c, a, b = (f"i{r.randint(0, items)}" for _ in range(3))
+            rows.append((f"w{w}" if w < workers else None, k, c, a, b, r.choice([a, a, b, b, "other", None] if w != 3 else [a, b]), "test", "random"))
+    return emb, rows
+
+
+EMBEDDINGS = "worker_ix long, worker_id string, item_ix long, item string, coords array<double>"
+
+
+def by_hand(emb, rows):
+    """{(judge, model): (right, n, unknown)} by definition."""
+    points, out = {(e[1], e[3]): e[4] for e in emb}, {}
+    far = lambda p, q: sum((x - y) ** 2 for x, y in zip(p, q, strict=True))
+    for judge, _, c, a, b, answer, *_ in rows:
+        for model in {e[1] for e in emb}:
+            p = [points.get((model, x)) for x in (c, a, b)]
+            cell = out.setdefault((judge, model), [0, 0, 0])
+            cell[1] += 1
+            if None in p or answer is None:
+                cell[2] += 1
+            else:
+                cell[0] += answer == (a if far(p[0], p[1]) < far(p[0], p[2]) else b)
+    return out
+
+
+@pytest.mark.parametrize("tile", [(4096, 1 << 22), (16, 400)])
+def test_prediction_matrix_by_hand(spark, monkeypatch, tile):
+    monkeypatch.setattr(predict, "TILE_TRIALS", tile[0]), monkeypatch.setattr(predict, "TILE_BYTES", tile[1])
+    emb, rows = random_study(4)
+    for clean in (False, True):  # without what makes a cell unknown
+        used = [x for x in rows if not clean or (x[5] is not None and not {"i2", "i7"} & {*x[2:5]})]
+        got = {(x.judge_id, x.model_id): (x.acc, x.n) for x in predict.prediction_matrix(spark.createDataFrame(emb, EMBEDDINGS), spark.createDataFrame(used, TRIALS)).collect()}
+        want = {k: (None if u else right / n, n) for k, (right, n, u) in by_hand(emb, used).items()}
+        assert got == want and len(got) == 30 and (not clean or all(a is not None for a, _ in got.values()))
+    with pytest.raises(ValueError, match="dimensions"):
+        predict.prediction_matrix(spark.createDataFrame([*emb, (9, "w9", 0, "i0", [1.0])], EMBEDDINGS), spark.createDataFrame(rows, TRIALS))
+    assert predict.prediction_matrix(spark.createDataFrame(emb, EMBEDDINGS), spark.createDataFrame([], TRIALS)).count() == 0
+    assert predict.prediction_matrix(spark.createDataFrame([], EMBEDDINGS), spark.createDataFrame(rows, TRIALS)).count() == 0
+
+
+@pytest.mark.parametrize("distances", [False, True])
+def test_packed_lookup_equals_joins_and_moves_trials_once(spark, monkeypatch, distances):
+    from trivium.operators.geometry import pairwise_dist
+
+    emb, rows = random_study(6)
+    e, t = spark.createDataFrame(emb, EMBEDDINGS), spark.createDataFrame(rows, TRIALS).withColumn("row", F.monotonically_increasing_id())
+    model = pairwise_dist(e) if distances else e
+    key = lambda df: sorted(map(repr, df.select("row", df.columns[-1]).collect()))
+    packed = predict.test_model(t, model, ("worker_id",), distances), predict.model_strength(t, model, ("worker_id",), distances)
+    monkeypatch.setattr(predict, "LOOKUP", 0)
+    joined = predict.test_model(t, model, ("worker_id",), distances), predict.model_strength(t, model, ("worker_id",), distances)
+    assert [key(x) for x in packed] == [key(x) for x in joined] and packed[0].count() == len(rows)
+    plan = packed[0].hint("merge")._jdf.queryExecution().executedPlan().toString()
+    moved = plan.count("Exchange hashpartitioning(worker_id")
+    assert moved <= 2 + distances and "item" not in "".join(x for x in plan.split("\n") if "Join" in x)
+
+
+def test_points_of_different_dimensions_and_clashing_names(spark):
+    e = spark.createDataFrame([(0, "w", i, f"i{i}", [float(i)] * (1 + (i > 5))) for i in range(8)], EMBEDDINGS)
+    d = trials(spark, [("i0", "i1", "i2", "i1"), ("i6", "i7", "i7", "i7")]).withColumn("names", F.lit(1)).withColumn("coords", F.lit(2))
+    got = predict.test_model(d, e, ("worker_id",)).orderBy("trial_ix").collect()
+    assert [(r.ModPred, r.names, r.coords) for r in got] == [("i1", 1, 2), ("i7", 1, 2)]
+
+
 MATRIX = [(0.9, 0.2, 0.25, 0.3), (0.15, 0.95, 0.2, 0.25), (0.3, 0.25, 0.85, 0.1), (0.22, 0.22, 0.25, 0.8)]
 
 

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trivium.schema import held, require, small
+from trivium.scratch import materialize
+from trivium.shipping import ship
 
-#: Models up to which they are broadcast to the trials, and coordinates that one packed model may hold (80 MB).
-BROADCAST_MODELS, PACKED = 20_000, 10_000_000
+#: Coordinates that one packed model may hold (80 MB), items of a model that trials meet in one row, and dimensions that are written out.
+PACKED, LOOKUP, UNROLLED = 10_000_000, 2_000, 8
+#: Trials and bytes of models in a tile of the prediction matrix.
+TILE_TRIALS, TILE_BYTES = 4096, 1 << 22
+CELL = "judge_id string, model_id string, n long, right long, unknown long"
 
 
 def squared_distance(a: Column, b: Column, dims: int | None = None) -> Column:
@@ -20,18 +28,43 @@ def squared_distance(a: Column, b: Column, dims: int | None = None) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
+def _packed_lookup(d: DataFrame, model: DataFrame, by: tuple[str, ...], distances: bool) -> DataFrame:
+    """d with d1, d2, each model packed as one row with its items' names beside their points (or distances) and met once by its keys.
+
+    The trials move once, by the keys alone, so adaptive execution can split a participant with very many of them.
+    """
+    at = lambda names, side: F.array_position(names, F.col(side)).cast("int") - 1  # noqa: E731  -1, beyond the array, if absent
+    if distances:
+        rows = model.repartition(*by).groupBy(*by, "item_a").agg(F.sort_array(F.collect_list(F.struct("item_b", "dist"))).alias("row"))
+        packed = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("item_a", F.col("row.item_b").alias("names"), F.col("row.dist").alias("dists")))).alias("_rows"))
+        met = d.join(packed, list(by), "left").withColumn("_row", F.get("_rows", at(F.col("_rows.item_a"), "Center")))
+        found = {out: F.get(F.col("_row.dists"), at(F.col("_row.names"), side)) for side, out in (("Left", "d1"), ("Right", "d2"))}
+        return met.withColumns(found).drop("_rows", "_row")
+    sizes = model.agg(F.min(F.size("coords")).alias("least"), F.max(F.size("coords")).alias("most")).first()
+    dims = sizes.most if sizes.least == sizes.most and sizes.most <= UNROLLED else None
+    packed = model.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("item", "coords"))).alias("_points"))
+    met = d.join(packed.select(*by, F.col("_points.item").alias("_names"), F.col("_points.coords").alias("_coords")), list(by), "left")
+    point = lambda side: F.get("_coords", at(F.col("_names"), side))
+    return met.withColumns({out: squared_distance(point("Center"), point(side), dims) for side, out in (("Left", "d1"), ("Right", "d2"))}).drop("_names", "_coords")
+
+
 def _with_distances(d: DataFrame, model: DataFrame, by: tuple[str, ...], distances: bool) -> DataFrame:
     """d with d1, d2: distances of Center from Left and Right (squared for embeddings); null if an item is missing.
 
-    by: columns that trials and model share, such as worker_id; without them one model serves all trials.
+    by: columns that trials and model share, such as worker_id; without them one model serves all trials. Models of at most
+    LOOKUP items are packed (an item that a model names twice counts once there); others are joined by item.
     """
     require(d, "Center", "Left", "Right")
+    model = require(model, "item_a", "item_b", "dist") if distances else require(model, "item", "coords")
+    if by:
+        most = model.groupBy(*by).agg((F.count_distinct("item_a") if distances else F.count("*")).alias("n")).agg(F.max("n").alias("n")).first().n
+        if (most or 0) <= LOOKUP:
+            return _packed_lookup(d, model, by, distances)
     for side, out in (("Left", "d1"), ("Right", "d2")) if distances else ():
-        table = require(model, "item_a", "item_b", "dist").select(*by, F.col("item_a").alias("Center"), F.col("item_b").alias(side), F.col("dist").alias(out))
+        table = model.select(*by, F.col("item_a").alias("Center"), F.col("item_b").alias(side), F.col("dist").alias(out))
         d = d.join(table if by else small(table), [*by, "Center", side], "left")
     if distances:
         return d
-    model = require(model, "item", "coords")
     table = model.select(*by, "item", "coords")
     table = table if by else small(table)
     for side in ("Center", "Left", "Right"):
@@ -78,55 +111,130 @@ def item_codes(embeddings: DataFrame) -> DataFrame:
     return once.select("item", (F.row_number().over(Window.orderBy("item_ix", "item")) - 1).alias("code"))
 
 
-def packed_models(embeddings: DataFrame, codes: DataFrame, items: int, dims: int) -> DataFrame:
-    """(model_id, points): each model's coordinates in one flat array, dims for each item code, null where it lacks an item."""
-    pairs = embeddings.join(codes, "item").groupBy(F.col("worker_id").alias("model_id")).agg(
-        F.map_from_entries(F.collect_list(F.struct("code", "coords"))).alias("m"))
-    none = F.array(*[F.lit(None).cast("double")] * dims)
-    points = F.transform(F.sequence(F.lit(0), F.lit(items - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), none))
-    return pairs.select("model_id", F.flatten(points).alias("points"))
+def model_tiles(embeddings: DataFrame, codes: DataFrame, tiles: int) -> DataFrame:
+    """(m, models array<struct<id, codes, coords>>): the models' points by item code, dealt to so many tiles."""
+    points = embeddings.join(codes, "item").groupBy("worker_id").agg(F.collect_list(F.struct("code", "coords")).alias("p"))
+    model = F.struct(F.col("worker_id").alias("id"), F.col("p.code").alias("codes"), F.flatten("p.coords").alias("coords"))
+    return points.select(F.pmod(F.xxhash64("worker_id"), F.lit(tiles)).cast("int").alias("m"), model.alias("model")).groupBy("m").agg(F.collect_list("model").alias("models"))
+
+
+def _masks(judge: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(judge, word, mask): 64-bit words with the bits at the places of each judge's triplets, sorted by judge and word."""
+    order = np.lexsort((place, judge))
+    judge, word, bit = judge[order], place[order] >> 6, np.uint64(1) << (place[order] & 63).astype(np.uint64)
+    first = np.flatnonzero((np.diff(judge, prepend=-1) != 0) | (np.diff(word, prepend=-1) != 0))
+    return judge[first], word[first], np.bitwise_or.reduceat(bit, first) if len(first) else bit
+
+
+def _bits(flags: np.ndarray) -> np.ndarray:
+    """Rows of flags as rows of 64-bit words."""
+    packed = np.packbits(flags, axis=1, bitorder="little")
+    out = np.zeros((len(flags), -(-flags.shape[1] // 64) * 8), np.uint8)
+    out[:, : packed.shape[1]] = packed
+    return out.view("<u8")
+
+
+def _hits(words: np.ndarray, masks: tuple[np.ndarray, np.ndarray, np.ndarray], judges: int) -> np.ndarray:
+    """(models, judges): bits that each model's words share with each judge's masks."""
+    judge, word, mask = masks
+    out = np.zeros((len(words), judges), np.int64)
+    if len(judge):
+        first = np.flatnonzero(np.diff(judge, prepend=-1) != 0)
+        out[:, judge[first]] = np.add.reduceat(np.bitwise_count(words[:, word] & mask).astype(np.int64), first, axis=1)
+    return out
+
+
+def agreement_cell(judge: np.ndarray, judges: int, triplets: np.ndarray, answer: np.ndarray, k: np.ndarray, known: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n by judge, right and unknown by model and judge) of a tile of different trials and a tile of models.
+
+    triplets: item codes of Center, Left and Right, -1 for items without a code; answer: bits 1 if it is Left, 2 if Right, -1 if unknown;
+    k: how often; known: whether a model has an item; points: (models, items, dimensions). A model's choices are
+    bits over the tile's different triplets, a judge's answers are masks, one for each binary digit of k.
+    """
+    n = np.bincount(judge, k, judges).astype(np.int64)
+    blank = (answer < 0) | (triplets < 0).any(0)
+    unknown = np.broadcast_to(np.bincount(judge[blank], k[blank], judges).astype(np.int64), (len(points), judges)).copy()
+    judge, triplets, answer, k = judge[~blank], triplets[:, ~blank], answer[~blank], k[~blank]
+    (c, a, b), place = np.unique(triplets, axis=1, return_inverse=True)
+    place = place.reshape(-1)
+    gaps = np.zeros((2, len(points), len(c)))
+    for d in range(points.shape[2]):
+        x = points[:, :, d]
+        gaps[0] += (x[:, c] - x[:, a]) ** 2
+        gaps[1] += (x[:, c] - x[:, b]) ** 2
+    left = gaps[0] < gaps[1]
+    has = known[:, c] & known[:, a] & known[:, b]
+    sides, right = (_bits(left & has), _bits(~left & has)), np.zeros((len(points), judges), np.int64)
+    for digit in range(int(k.max(initial=0)).bit_length()):
+        for side, words in enumerate(sides):
+            own = (k >> digit & 1 > 0) & (answer >> side & 1 > 0)
+            right += _hits(words, _masks(judge[own], place[own]), judges) << digit
+        if not has.all():
+            own = k >> digit & 1 > 0
+            every = _bits(~has)
+            for part in np.unique(answer[own]):  # answers of one kind stand on different triplets
+                unknown += _hits(every, _masks(judge[own][answer[own] == part], place[own][answer[own] == part]), judges) << digit
+    return n, right, unknown
+
+
+def _cells(items: int, dims: int):
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                trials, models = (batch.column(c)[r].values for c in ("trials", "models"))
+                coded = trials.field("judge_id").dictionary_encode("encode")
+                names, judge = coded.dictionary, coded.indices.to_numpy()
+                get = lambda c: trials.field(c).to_numpy()  # noqa: E731, B023
+                lists = models.field("codes")
+                row, code = np.repeat(np.arange(len(models)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+                points, known = np.zeros((len(models), items, dims)), np.zeros((len(models), items), bool)
+                points[row, code] = models.field("coords").flatten().to_numpy().reshape(-1, dims)
+                known[row, code] = True
+                n, right, unknown = agreement_cell(judge, len(names), np.stack([get(c) for c in ("c", "a", "b")]), get("answer"), get("k"), known, points)
+                m, j = (x.ravel() for x in np.indices(right.shape))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), models.field("id").take(pa.array(m)), pa.array(n[j]), pa.array(right.ravel()), pa.array(unknown.ravel())],
+                                                 names=["judge_id", "model_id", "n", "right", "unknown"])
+
+    return cells
 
 
 def prediction_matrix(embeddings: DataFrame, trials: DataFrame, trialtype: str = "test", dims: int | None = None) -> DataFrame:
     """(judge_id, model_id, acc, n): accuracy of every model on every judge's trials of one sampleSet.
 
-    Every model meets every trial, which the result asks for. Each side is packed first: items are coded,
-    a model is one row of points, and equal trials of a judge are one row with their number, so the
-    product moves models, not their points by trial. Codes and models are broadcast only after their count; else
-    Spark deals both sides out. Raises if a model has more than PACKED coordinates: such models don't fit in rows.
+    Every model meets every judge, which the result asks for. Equal trials of a judge are counted first, items are coded, and both sides are
+    dealt to tiles, of at most about TILE_TRIALS different trials and TILE_BYTES of points. Where two tiles meet, agreement_cell compares bits. Hits
+    are whole numbers, so a judge whose trials are dealt to several tiles has their sum. Raises if a model has more than PACKED
+    coordinates, as such models don't fit in rows, or if models differ in their dimensions.
     """
+    ship(trials.sparkSession)
     used = require(trials, "worker_id", "sampleSet", "Center", "Left", "Right", "Answer").where(F.col("sampleSet") == trialtype)
-    codes = held(item_codes(embeddings))  # read four times; one row an item
-    items = codes.count()
-    if dims is None:
-        dims = (embeddings.select(F.size("coords").alias("d")).first() or [0])[0]
-    if items * dims > PACKED:
-        raise ValueError(f"models of more than {PACKED} coordinates")
+    codes = held(item_codes(embeddings))  # read five times; one row an item
+    items, sizes = codes.count(), embeddings.agg(F.count_distinct("worker_id").alias("models"), F.min(F.size("coords")).alias("least"), F.max(F.size("coords")).alias("most")).first()
+    dims = dims or sizes.most or 1
+    if items * dims > PACKED or sizes.least != sizes.most or sizes.most not in (None, dims):
+        raise ValueError(f"models of more than {PACKED} coordinates, or of different dimensions")
     coded = used.select(F.col("worker_id").alias("judge_id"), "Center", "Left", "Right", "Answer")
     for side in ("Center", "Left", "Right"):
-        coded = coded.join(codes.select(F.col("item").alias(side), F.col("code").alias(f"{side}_")), side, "left")
-    left = F.when(F.col("Answer").isNotNull(), F.col("Answer") == F.col("Left"))
-    right = F.when(F.col("Answer").isNotNull(), F.col("Answer") == F.col("Right"))
-    at = lambda side: (F.col(f"{side}_") * dims).alias(side)
-    once = coded.select("judge_id", at("Center"), at("Left"), at("Right"), left.cast("int").alias("l"), right.cast("int").alias("r")).groupBy(
-        "judge_id", "Center", "Left", "Right", "l", "r").agg(F.count("*").alias("k"))
-    models = packed_models(embeddings, codes, items, dims)
-    few = embeddings.select("worker_id").distinct().limit(BROADCAST_MODELS + 1).count() <= BROADCAST_MODELS
-    # a number of its own: the few packed trials would else be coalesced into one task before the product
+        coded = coded.join(codes.select(F.col("item").alias(side), F.col("code").cast("int").alias(f"{side}_")), side, "left")
+    right = F.when(F.col("Answer").isNull(), -1).otherwise((F.col("Answer") == F.col("Left")).cast("int") + 2 * (F.col("Answer") == F.col("Right")).cast("int"))
+    at = lambda side, out: F.coalesce(F.col(f"{side}_"), F.lit(-1)).alias(out)
+    named = coded.select("judge_id", at("Center", "c"), at("Left", "a"), at("Right", "b"), F.coalesce(right, F.lit(-1)).alias("answer"))
+    once = materialize(named.groupBy("judge_id", "c", "a", "b", "answer").agg(F.count("*").alias("k")), "different_trials")
+    total, most = once.groupBy("judge_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     spark = trials.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    met = once.repartition(tasks, "judge_id", "Center", "Left").join(F.broadcast(models) if few else models, F.lit(True))
-
-    def squared(side: str) -> Column:
-        gaps = [F.get("points", F.col("Center") + k) - F.get("points", F.col(side) + k) for k in range(dims)]
-        return reduce(lambda s, g: s + g * g, gaps, F.lit(0.0))
-
-    # whole numbers: sums don't depend on the order of rows
-    hits = met.select("judge_id", "model_id", "k", "l", "r", (squared("Left") < squared("Right")).alias("nearer")).select(
-        "judge_id", "model_id", "k", F.when(F.col("nearer"), F.col("l")).when(~F.col("nearer"), F.col("r")).alias("hit"))
-    summed = hits.groupBy("judge_id", "model_id").agg(
-        F.sum("k").alias("n"), F.sum(F.col("k") * F.col("hit")).alias("right"), F.count_if(F.col("hit").isNull()).alias("unknown"))
-    return summed.select("judge_id", "model_id", F.when(F.col("unknown") == 0, F.col("right") / F.col("n")).alias("acc"), "n")
+    tiles = max(1, -(-sizes.models // max(1, min(256, TILE_BYTES // (8 * dims * max(1, items))))))
+    parts = max(1, -(-total // TILE_TRIALS), min(total // 64, -(-2 * tasks // tiles)))
+    chunk = F.when(F.lit(most > TILE_TRIALS), F.pmod(F.xxhash64("c", "a", "b"), F.lit(-(-most // TILE_TRIALS)))).otherwise(0)  # spreads a judge with very many
+    tile = F.pmod(F.xxhash64("judge_id", chunk), F.lit(parts)).cast("int").alias("t")
+    packed = once.select(tile, F.struct("judge_id", "c", "a", "b", "answer", "k").alias("trial")).groupBy("t").agg(F.collect_list("trial").alias("trials"))
+    sent = packed.select("trials", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("m"))
+    met = sent.join(model_tiles(embeddings, codes, tiles), "m").select("trials", "models")
+    # a number of its own: the few packed tiles would else be coalesced into one task
+    found = met.repartition(min(parts * tiles, 4 * tasks)).mapInArrow(_cells(items, dims), CELL)
+    if most > TILE_TRIALS:
+        found = found.groupBy("judge_id", "model_id").agg(*[F.sum(c).alias(c) for c in ("n", "right", "unknown")])
+    return found.select("judge_id", "model_id", F.when(F.col("unknown") == 0, F.col("right") / F.col("n")).alias("acc"), "n")
 
 
 def prediction_matrix_wide(pred: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from trivium.plans.fixtures import WITH
 from trivium.scratch import new_path
 from trivium.sources import pictures
 from trivium.sources import trials as io
+from trivium.sources.csv import data_files, read_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +32,16 @@ def query(sql: str | None = None):
     return add
 
 
+def alone(sql: str):
+    """Register a function as a query of its name, with SQL that needs no fixtures beside its own."""
+
+    def add(f):
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql.strip()
+        return f
+
+    return add
+
+
 def _r(column: str):
     return F.round(column, 6).alias(column)
 
@@ -168,6 +179,18 @@ def read_raw_folder(spark, d):
     return io.read_raw_data(spark, folder, min_trials=60, min_mean_rt_ms=4500, max_prop_wrong=0.3)[0]
 
 
+@alone("""SELECT doc_id, lang, source, sha256('"' || CASE WHEN doc_id % 2 = 1 THEN replace(text, chr(10), chr(13) || chr(10)) ELSE text END || '", he said') AS text_sha256,
+  CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM documents""")
+def read_quoted_csv(spark, d):
+    """All documents written as CSV with their line breaks, of both kinds, and quotes inside quoted fields, and read by ranges."""
+    folder, docs = new_path(spark, "quoted"), spark.read.parquet(f"{d}/documents.parquet")
+    text = F.when(F.col("doc_id") % 2 == 1, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))
+    quoted = docs.select("doc_id", F.concat(F.lit('"'), text, F.lit('", he said')).alias("text"), "lang", "source")
+    quoted.write.csv(folder, header=True, escape='"', quoteAll=True, nullValue="NA", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    made = read_csv(spark, data_files(spark, folder, ".csv"))
+    return made.select(F.col("doc_id").cast("long"), "lang", "source", F.sha2("text", 256).alias("text_sha256"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+
+
 _LEGACY = """
 SELECT {id} AS p_id, Center, "Left", "Right", Answer, a.item_ix AS head, b.item_ix AS winner, c.item_ix AS loser, CAST(NULL AS DOUBLE) AS RT, sampleAlg, {set} AS sampleSet
 FROM {rows} LEFT JOIN lev a ON a.item = head LEFT JOIN lev b ON b.item = winner LEFT JOIN lev c ON c.item = loser"""
@@ -271,12 +294,20 @@ _DIST = """pred AS (SELECT t.*, (c.dim_0 - l.dim_0) * (c.dim_0 - l.dim_0) + (c.d
   LEFT JOIN emb r ON r.worker_id = t.worker_id AND r.item = t."Right")"""
 
 
-@query(_DIST + """ SELECT trial_ix, worker_id, CASE WHEN d1 < d2 THEN "Left" ELSE "Right" END AS ModPred FROM pred""")
+#: The same distances by place: a worker's points in lists, met once by worker. These queries stand alone, without the other fixtures.
+_PLAIN = fx.plain("trials", "emb") + """pts AS (SELECT worker_id, list(item_ix ORDER BY item_ix) AS ids, list(dim_0 ORDER BY item_ix) AS xs, list(dim_1 ORDER BY item_ix) AS ys FROM emb GROUP BY worker_id),
+placed AS (SELECT t.trial_ix, t.worker_id, t."Left" AS l, t."Right" AS r, p.xs, p.ys, list_position(p.ids, CAST(substr(t.Center, 6) AS BIGINT)) AS c,
+  list_position(p.ids, CAST(substr(t."Left", 6) AS BIGINT)) AS a, list_position(p.ids, CAST(substr(t."Right", 6) AS BIGINT)) AS b FROM trials t JOIN pts p ON p.worker_id = t.worker_id),
+gaps AS (SELECT trial_ix, worker_id, l, r, (xs[c] - xs[a]) * (xs[c] - xs[a]) + (ys[c] - ys[a]) * (ys[c] - ys[a]) AS d1,
+  (xs[c] - xs[b]) * (xs[c] - xs[b]) + (ys[c] - ys[b]) * (ys[c] - ys[b]) AS d2 FROM placed)"""
+
+
+@alone(_PLAIN + " SELECT trial_ix, worker_id, CASE WHEN d1 < d2 THEN l ELSE r END AS ModPred FROM gaps")
 def test_model(spark, d):
     return predict.test_model(fx.trials(spark, d), fx.embeddings(spark, d), by=("worker_id",)).select("trial_ix", "worker_id", "ModPred")
 
 
-@query(_DIST + """ SELECT trial_ix, worker_id, CASE WHEN sqrt(d1) < sqrt(d2) THEN "Left" ELSE "Right" END AS ModPred FROM pred""")
+@alone(_PLAIN + " SELECT trial_ix, worker_id, CASE WHEN sqrt(d1) < sqrt(d2) THEN l ELSE r END AS ModPred FROM gaps")
 def test_model_distances(spark, d):
     table = geometry.pairwise_dist(fx.embeddings(spark, d))
     return predict.test_model(fx.trials(spark, d), table, by=("worker_id",), distances=True).select("trial_ix", "worker_id", "ModPred")
@@ -290,7 +321,7 @@ def hoacc(spark, d):
 _STRENGTH = _DIST + """, strong AS (SELECT *, greatest(sqrt(d1), sqrt(d2)) / nullif(sqrt(d1) + sqrt(d2), 0) AS strength FROM pred)"""
 
 
-@query(_STRENGTH + " SELECT trial_ix, round(strength, 6) AS strength FROM strong")
+@alone(_PLAIN + " SELECT trial_ix, round(greatest(sqrt(d1), sqrt(d2)) / nullif(sqrt(d1) + sqrt(d2), 0), 6) AS strength FROM gaps")
 def model_strength(spark, d):
     return predict.model_strength(fx.trials(spark, d), fx.embeddings(spark, d), by=("worker_id",)).select("trial_ix", _r("strength"))
 
@@ -383,7 +414,9 @@ _PAIRS = """pd AS (SELECT a.worker_id, a.item AS item_a, b.item AS item_b, b.ite
   sqrt((a.dim_0 - b.dim_0) * (a.dim_0 - b.dim_0) + (a.dim_1 - b.dim_1) * (a.dim_1 - b.dim_1)) AS dist FROM emb a JOIN emb b ON a.worker_id = b.worker_id)"""
 
 
-@query(_PAIRS + " SELECT worker_id, item_a, item_b, round(dist, 6) AS dist FROM pd")
+@alone(fx.plain("emb") + """pts AS (SELECT worker_id, list(item ORDER BY item_ix) AS names, list(dim_0 ORDER BY item_ix) AS xs, list(dim_1 ORDER BY item_ix) AS ys FROM emb GROUP BY worker_id),
+own AS (SELECT *, unnest(range(1, len(names) + 1)) AS i FROM pts), pairs AS (SELECT *, unnest(range(1, len(names) + 1)) AS j FROM own)
+SELECT worker_id, names[i] AS item_a, names[j] AS item_b, round(sqrt((xs[i] - xs[j]) * (xs[i] - xs[j]) + (ys[i] - ys[j]) * (ys[i] - ys[j])), 6) AS dist FROM pairs""")
 def pairwise_dist(spark, d):
     return geometry.pairwise_dist(fx.embeddings(spark, d)).select("worker_id", "item_a", "item_b", _r("dist"))
 

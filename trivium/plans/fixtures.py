@@ -45,6 +45,13 @@ _DUCK = {"div": "//", "at": "list_extract", "q": '"', "events": "events", "embed
 WITH = "WITH RECURSIVE trials AS MATERIALIZED (" + TRIALS_SQL.format(**_DUCK) + "),\nemb AS MATERIALIZED (" + EMB_SQL.format(**_DUCK) + "),\nclusters AS MATERIALIZED (" + CLUSTERS_SQL.format(**_DUCK) + "),\n"
 
 
+
+def plain(*names: str) -> str:
+    """The named fixtures only, as plain expressions for DuckDB; a query continues after the comma."""
+    sql = {"trials": TRIALS_SQL, "emb": EMB_SQL, "clusters": CLUSTERS_SQL}
+    return "WITH " + "".join(f"{n} AS ({sql[n].format(**_DUCK)}),\n" for n in names)
+
+
 def _view(spark: SparkSession, sql: str, sf_dir: str) -> DataFrame:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "embeddings") if "{" + t + "}" in sql}
     return spark.sql(sql.format(div="div", at="element_at", q="`", events="{events}", embeddings="{embeddings}"), **tables)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from trivium.operators.quality import assign_sample_sets, exclude
 from trivium.schema import hash_uniform, held, require, small
+from trivium.scratch import materialize
+from trivium.sources.csv import data_files, read_csv
 
 #: Columns of a raw export that are used, and trial categories that are kept: fixed values.
 RAW_COLUMNS = ("worker_id", "trial_index", "rt", "stimulus", "choices", "response", "trial_category")
@@ -109,37 +111,9 @@ def standardise_raw(
     return trials, levels.withColumn("path", F.concat(F.lit("resources/"), "item", F.lit(stimuli_extension)))
 
 
-def csv_files(spark: SparkSession, data_dir: str) -> list[str]:
-    """Paths of the CSV files directly in a folder of any file system, sorted; raises if there are none."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(data_dir)
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
-    names = sorted(str(x.getPath()) for x in found if x.isFile() and x.getPath().getName().endswith(".csv"))
-    if not names:
-        raise ValueError(f"no CSV files in {data_dir}")
-    return names
-
-
-def _headers(spark: SparkSession, files: list[str]) -> dict[str, str]:
-    """The first line of each file, found in one job; a line a file reaches the driver. Empty files have none."""
-    lines = spark.read.text(files).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
-    first = lines.where("block = 0").select("path", "value", F.monotonically_increasing_id().alias("at")).groupBy("path").agg(F.min_by("value", "at").alias("header"))
-    return {r.path: r.header for r in first.collect()}
-
-
 def read_raw_data(spark: SparkSession, data_dir: str = ".", output_df: str | None = None, output_levels: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
-    """(trials, levels) of a folder of raw CSV exports, whose columns may differ; optionally written.
-
-    Files are grouped by their header, so that thousands of files make as many scans as there are headers.
-    """
-    by_header: dict[str, list[str]] = {}
-    for path, header in sorted(_headers(spark, csv_files(spark, data_dir)).items()):
-        by_header.setdefault(header, []).append(path)
-    raw = None
-    for files in by_header.values():
-        part = spark.read.csv(files, header=True, multiLine=True, escape='"', nullValue="NA")
-        raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
-    trials, levels = standardise_raw(raw, **options)
+    """(trials, levels) of a folder of raw CSV exports, whose columns may differ; optionally written."""
+    trials, levels = standardise_raw(read_csv(spark, data_files(spark, data_dir, ".csv")), **options)
     if output_df:
         write_csv(trials, output_df)
     if output_levels:
@@ -173,7 +147,7 @@ def standardise_legacy(data: DataFrame, order: str | None = None) -> tuple[DataF
     columns = data.columns
     at = {k: find_column(v, columns) for k, v in ALIASES.items()}
     text = lambda c: F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string")
-    placed = data.withColumn("_at", F.col(f"`{order}`") if order else F.monotonically_increasing_id())
+    placed = data.withColumn("_at", F.col(f"`{order}`")) if order else materialize(data.withColumn("_at", F.monotonically_increasing_id()), "placed")
     numbered_ = placed.withColumn("_row", F.col("_at")) if at["p_id"] else numbered(placed, "_at", "_row")
     alg = F.lower(text(at["sampleAlg"]))
     known = F.when(alg == "test", "validation").when(alg.isin("random", "check", "uncertainty"), alg)
@@ -193,7 +167,10 @@ def standardise_legacy(data: DataFrame, order: str | None = None) -> tuple[DataF
 
 
 def read_legacy(spark: SparkSession, input_file: str, order: str | None = None) -> tuple[DataFrame, DataFrame]:
-    return standardise_legacy(spark.read.csv(input_file, header=True, multiLine=True, escape='"', nullValue="NA"), order)
+    """The tables of a legacy CSV, or of a folder of its parts; without `order` rows come as they stand in the files."""
+    d = read_csv(spark, data_files(spark, input_file), ordered=True)
+    placed = d.withColumn("_place", F.shiftleft(F.col("_file").cast("long"), 40) + F.col("_row")).drop("_file", "_row")
+    return standardise_legacy(placed, order or "_place")
 
 
 def write_legacy(trials: DataFrame, levels: DataFrame, input_file: str) -> tuple[str, str]:
@@ -208,17 +185,13 @@ def write_legacy(trials: DataFrame, levels: DataFrame, input_file: str) -> tuple
 def _ordered(d: DataFrame) -> DataFrame:
     """d with worker_ix, workers numbered from 0 by first appearance; rows without a worker go.
 
-    Rows are ordered by the path of their file (_file, where get_combined read them) and within a file as they come, however Spark
-    deals files to tasks; trial_ix follows that order.
+    Rows that get_combined read are ordered by their file (_file) and their place there (_row), others as they come; trial_ix follows that order.
     """
-    own = F.monotonically_increasing_id()
     rows = d.where("worker_id is not null")
-    if "_file" in d.columns:
-        files = d.select("_file").distinct()  # a row a file
-        place = files.select("_file", (F.row_number().over(Window.orderBy("_file")) - 1).cast("long").alias("_place"))
-        rows = rows.withColumn("_own", own).join(F.broadcast(place), "_file").withColumn("trial_ix", F.shiftleft("_place", 40) + F.col("_own").bitwiseAND((1 << 33) - 1)).drop("_file", "_own", "_place")
+    if {"_file", "_row"} <= set(d.columns):
+        rows = rows.withColumn("trial_ix", F.shiftleft(F.col("_file").cast("long"), 40) + F.col("_row") - 1).drop("_file", "_row")
     else:
-        rows = rows.withColumn("trial_ix", own)
+        rows = materialize(rows.withColumn("trial_ix", F.monotonically_increasing_id()), "ordered")  # ids are given once
     first = rows.groupBy("worker_id").agg(F.min("trial_ix").alias("f"))
     ranked = first.select("worker_id", (F.row_number().over(Window.orderBy("f")) - 1).cast("long").alias("worker_ix"))
     return rows.join(small(ranked), "worker_id")
@@ -240,7 +213,7 @@ def combined_embeddings(d: DataFrame) -> DataFrame:
         raise ValueError("an item column and columns named dim are needed")
     coords = F.array(*[F.expr(f"try_cast(`{c}` as double)") for c in dims])
     rows = d if "worker_id" in d.columns else d.withColumn("worker_id", F.lit("group"))
-    named = _ordered(rows.select(F.col("worker_id").cast("string").alias("worker_id"), F.col(item).cast("string").alias("item"), coords.alias("coords"), *[c for c in ("_file",) if c in d.columns]))
+    named = _ordered(rows.select(F.col("worker_id").cast("string").alias("worker_id"), F.col(item).cast("string").alias("item"), coords.alias("coords"), *[c for c in ("_file", "_row") if c in d.columns]))
     checked = named.withColumn("coords", F.when(F.exists("coords", lambda x: x.isNull()), F.raise_error(F.lit("missing coordinate")).cast("array<double>")).otherwise(F.col("coords")))
     place = F.row_number().over(Window.partitionBy("worker_id").orderBy("trial_ix")) - 1
     return checked.select("worker_ix", "worker_id", place.cast("long").alias("item_ix"), "item", "coords")
@@ -248,7 +221,7 @@ def combined_embeddings(d: DataFrame) -> DataFrame:
 
 def get_combined(spark: SparkSession, path: str, embeddings: bool = False) -> DataFrame:
     """A combined CSV, or a folder of its parts, as one long table keyed by worker_id."""
-    d = spark.read.csv(path, header=True, multiLine=True, escape='"', nullValue="NA").withColumn("_file", F.col("_metadata.file_path"))
+    d = read_csv(spark, data_files(spark, path), ordered=True)
     return combined_embeddings(d) if embeddings else combined_trials(d)
 
 
