@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from trivium.llm import pieces
 from trivium.llm.pieces import REMEMBERED, Memory
-from trivium.llm.text import whole
+from trivium.llm.text import carried, restored, whole
 from trivium.shipping import ship
 
 #: Words that a worker remembers.
@@ -102,6 +102,8 @@ class BPE:
         self.added = {t["content"]: t["id"] for t in added}
         if self.split("a b")[-1][0] != "b" or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].split() != [t["content"]] for t in added):
             raise ValueError("the file's tokens can hold white space")
+        if max([*self.vocab.values(), *self.added.values()]) >= 1 << 20:
+            raise ValueError("ids beyond 2**20 don't fit in the pairs that merges are looked up by")
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         v = self.vocab
         self.merges = {v[a] << 20 | v[b]: r << 20 | v[a + b] for r, (a, b) in enumerate(merges)}
@@ -197,18 +199,18 @@ def _vocabulary(df: DataFrame, path: str):
 
 def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """docs without the text, with ids array<int>; decoded=True adds what the ids decode to, as a string."""
-    kept = [c for c in docs.columns if c.lower() not in {"ids", "decoded", "_whole", text.lower()}]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], whole(text).alias("_whole"))
-    schema = T.StructType(source.schema.fields[:-1]).add("ids", T.ArrayType(T.IntegerType()))
+    held = carried(docs, text).select("_carried", whole(F.col(f"`{text}`")).alias("_whole"))
+    schema = T.StructType(held.schema.fields[:-1]).add("ids", T.ArrayType(T.IntegerType()))
     schema = schema.add("decoded", T.StringType()) if decoded else schema
-    return source.mapInArrow(_run(_vocabulary(docs, path), "_whole", True, decoded), schema)
+    done = held.mapInArrow(_run(_vocabulary(docs, path), "_whole", True, decoded), schema)
+    return restored(done, docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in {"ids", "decoded", text.lower()}]), **{c: F.col(c) for c in schema.names[1:]})
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded, which has ids, with the decoded string; null ids decode to the empty string."""
-    source = encoded.select(*[f"`{c}`" for c in encoded.columns if c.lower() != "decoded"])
-    schema = T.StructType(list(source.schema.fields)).add("decoded", T.StringType())
-    return source.mapInArrow(_run(_vocabulary(encoded, path), "", False, True), schema)
+    held = carried(encoded, "ids").select("_carried", "ids")
+    done = held.mapInArrow(_run(_vocabulary(encoded, path), "", False, True), T.StructType(list(held.schema.fields)).add("decoded", T.StringType()))
+    return restored(done, encoded, decoded=F.col("decoded"))
 
 
 def digests(coded: DataFrame) -> DataFrame:

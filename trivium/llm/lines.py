@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trivium.llm.store import materialize
-from trivium.llm.text import WHITE, ascii_lower, hash128, let, whole
+from trivium.llm.text import WHITE, ascii_lower, hash128, let, unused, whole
 
 
 def line_keys(docs: DataFrame, text: str = "text", min_chars: int = 10) -> DataFrame:
@@ -56,19 +56,20 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 2, min_char
     """docs with their text reduced, and n_lines, n_dropped long."""
     keys = line_keys(docs, text, min_chars)
     common = materialize(frequent(keys, min_docs), "common_lines")
+    doc, row, lost = (unused(docs, c) for c in ("_doc", "_row", "_gone"))
     gone = (
         keys.join(common.hint("merge"), ["h1", "h2"]).where("doc_id <> first")
-        .groupBy("doc_id", "row").agg(F.collect_set("at").alias("_gone"))
-        .withColumnsRenamed({"doc_id": "_doc", "row": "_row"})
+        .groupBy("doc_id", "row").agg(F.collect_set("at").alias(lost))
+        .withColumnsRenamed({"doc_id": doc, "row": row})
     )
     gone = materialize(gone, "dropped_lines")
-    kept = [c for c in docs.columns if c.lower() not in {"n_lines", "n_dropped", "_gone", "_doc", "_row"}]
+    kept = [c for c in docs.columns if c.lower() not in {"n_lines", "n_dropped"}]
     body = whole(text)
     joined = docs.select(*[F.col(f"`{c}`") for c in kept]).join(  # by merging at every size: what is dropped grows with the corpus
-        gone.hint("merge"), (F.col("doc_id") == F.col("_doc")) & (F.xxhash64(body) == F.col("_row")), "left"
+        gone.hint("merge"), (F.col("doc_id") == F.col(doc)) & (F.xxhash64(body) == F.col(row)), "left"
     )
     return joined.select(
-        *[kept_text(body, F.col("_gone")).alias(c) if c == text else F.col(f"`{c}`") for c in kept],
+        *[kept_text(body, F.col(lost)).alias(c) if c == text else F.col(f"`{c}`") for c in kept],
         F.size(F.split(body, "\n", -1)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(lost), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trivium.llm.store import materialize
-from trivium.llm.text import WORD, whole
+from trivium.llm.text import WORD, unused, whole
 
 WEIGHTS, LIMIT, SEED = (5, 2, 1), 3, "mix-1"
 #: Sources up to which their table is broadcast; it has about 60 bytes a source.
@@ -67,9 +67,10 @@ def chance(doc_id: Column, text: Column, seed: str) -> Column:
 def mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, seed: str = SEED) -> DataFrame:
     """docs with size, source_size, target, copies and taken = copies * size."""
     ids = docs.select("source", F.regexp_count(whole(text), F.lit(WORD)).cast("long").alias("size"))
-    wanted = materialize(targets(ids, weights, limit), "targets").withColumnRenamed("source", "_mix_source")
+    name = unused(docs, "_mix_source")
+    wanted = materialize(targets(ids, weights, limit), "targets").withColumnRenamed("source", name)
     small = wanted.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    joined = sized(docs, text).join(F.broadcast(wanted) if small else wanted, F.col("source").eqNullSafe(F.col("_mix_source"))).drop("_mix_source")
+    joined = sized(docs, text).join(F.broadcast(wanted) if small else wanted, F.col("source").eqNullSafe(F.col(name))).drop(name)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     extra = (chance(F.col("doc_id"), F.col(text), seed) < rate - F.floor(rate)).cast("long")
     return joined.withColumn("copies", F.floor(rate) + extra).withColumn("taken", F.col("copies") * F.col("size"))
@@ -77,4 +78,5 @@ def mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS,
 
 def emit(mixed: DataFrame) -> DataFrame:
     """Each document as many times as it is taken."""
-    return mixed.where("copies > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("_mix_copy")
+    name = unused(mixed, "_mix_copy")
+    return mixed.where("copies > 0").withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop(name)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trivium.llm.store import materialize
-from trivium.llm.text import WHITE, WORD, let, once, whole
+from trivium.llm.text import WHITE, WORD, let, once, unused, whole
 
 BUCKETS, TRUSTED, THRESHOLD = 1 << 14, 50_000, -0.35
 SYMBOL = r"[#*$%&|<>]"
@@ -58,13 +58,13 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     body = whole(text)
     words = F.transform(F.regexp_extract_all(body, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
     lines = F.filter(F.split(body, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(WHITE))) > 0)
-    counted = once(
-        docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in OWN and not c.startswith("_q_")]),
-        _q_words=let(words, lambda h: F.struct(F.size(h).cast("long").alias("n_words"), repeated_words(h).alias("n_repeat_words"))),
-        word_chars=F.length(F.regexp_replace(body, r"[\x20\x09-\x0D]+", "")).cast("long"),
-        n_symbols=F.regexp_count(body, F.lit(SYMBOL)).cast("long"),
-        n_dup_lines=let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-    ).select("*", "_q_words.*").drop("_q_words")
+    name = unused(docs, "_q_words")
+    counted = once(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in OWN]), **{
+        name: let(words, lambda h: F.struct(F.size(h).cast("long").alias("n_words"), repeated_words(h).alias("n_repeat_words"))),
+        "word_chars": F.length(F.regexp_replace(body, r"[\x20\x09-\x0D]+", "")).cast("long"),
+        "n_symbols": F.regexp_count(body, F.lit(SYMBOL)).cast("long"),
+        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+    }).select("*", f"{name}.*").drop(name)
     return counted.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -138,7 +138,8 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: flo
     if threshold is None:
         apart = held_out(F.col("doc_id"))
         threshold = fit_threshold(docs, fitted, good.where(apart), sample(labels, POOR, trusted).where(apart), text, count)
-    model = fitted.select(F.col("key").alias("_q_key"), F.col("ratio").alias("_q_ratio"))
-    met = base_counts(docs, text).withColumn("_q_key", F.pmod("n_words", F.lit(1))).join(F.broadcast(model), "_q_key", "left")  # one row of a fixed size
-    scored = once(met, score=score_of(whole(text), F.col("_q_ratio"), count)).drop("_q_key", "_q_ratio")
+    key, ratio = unused(docs, "_q_key"), unused(docs, "_q_ratio")
+    model = fitted.select(F.col("key").alias(key), F.col("ratio").alias(ratio))
+    met = base_counts(docs, text).withColumn(key, F.pmod("n_words", F.lit(1))).join(F.broadcast(model), key, "left")  # one row of a fixed size
+    scored = once(met, score=score_of(whole(text), F.col(ratio), count)).drop(key, ratio)
     return scored.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(True)))

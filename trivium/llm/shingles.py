@@ -37,7 +37,7 @@ from trivium.llm import simhash
 from trivium.llm.components import components
 from trivium.llm.pieces import trim
 from trivium.llm.store import materialize
-from trivium.llm.text import whole
+from trivium.llm.text import unused, whole
 from trivium.shipping import ship
 
 WIDTH = 5
@@ -215,13 +215,14 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of texts that links connect."""
     ship(docs.sparkSession)
-    numbered = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-    texts = numbered.select(F.col(ROW).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"))
+    own = unused(docs, ROW)
+    numbered = materialize(docs.withColumn(own, F.monotonically_increasing_id()), "numbered")
+    texts = numbered.select(F.col(own).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"))
     made = materialize(shingled(texts), "shingled")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2", "row")).alias("best")
     classes = materialize(made.groupBy("h1", "h2").agg(F.min("row").alias("node"), best), "text_classes")
     nodes = materialize(made.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select("row", "n", "print", "bits", "keys"), "nodes")
     part = components(links(nodes, texts.select("row", "text")))
     rooted = classes.join(part, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    chosen = materialize(rooted.groupBy("group").agg(F.min("best").alias("best")).select(F.col("best.row").alias(ROW)), "chosen")
-    return numbered.join(chosen.hint("merge"), ROW, "left_semi").drop(ROW)  # at every size: the kept rows grow with the corpus
+    chosen = materialize(rooted.groupBy("group").agg(F.min("best").alias("best")).select(F.col("best.row").alias(own)), "chosen")
+    return numbered.join(chosen.hint("merge"), own, "left_semi").drop(own)  # at every size: the kept rows grow with the corpus

@@ -30,8 +30,8 @@ def read(spark, sf_dir: str, table: str) -> DataFrame:
 
 def carried(docs: DataFrame, *used: str) -> DataFrame:
     """docs with the columns that an operator doesn't use in one struct, where none of its own columns can clash with them."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
-    return docs.select(*[F.col(f"`{c}`") for c in used], F.struct(F.lit(0).alias("_"), *rest).alias("_carried"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used] or [F.lit(0).alias("_")]
+    return docs.select(*[F.col(f"`{c}`") for c in used], F.struct(*rest).alias("_carried"))
 
 
 def restored(done: DataFrame, docs: DataFrame, changed: dict[str, Column] | None = None, **added: Column) -> DataFrame:
@@ -47,6 +47,14 @@ def hash128(column: Column) -> tuple[Column, Column]:
     return F.xxhash64(column), F.xxhash64(F.lit(7), column)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once, though body names it often or in a lambda."""
     return F.get(F.transform(F.array(value), body), 0)
@@ -55,9 +63,9 @@ def let(value: Column, body) -> Column:
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """df with columns that come out of a generator: no later filter or projection makes Spark compute them again."""
     row = F.struct(*[c.alias(name) for name, c in columns.items()])
-    kept = [c for c in df.columns if c not in columns]
-    made = df.select(*[F.col(f"`{c}`") for c in kept], F.explode(F.array(row)).alias("_trivium_once"))
-    return made.select(*[F.col(f"`{c}`") for c in kept], "_trivium_once.*")
+    kept, name = [c for c in df.columns if c not in columns], unused(df, "_trivium_once")
+    made = df.select(*[F.col(f"`{c}`") for c in kept], F.explode(F.array(row)).alias(name))
+    return made.select(*[F.col(f"`{c}`") for c in kept], f"{name}.*")
 
 
 def prefix_sums(values: Column) -> Column:
