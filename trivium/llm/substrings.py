@@ -25,7 +25,7 @@ one; texts of any length are read whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -211,39 +211,49 @@ class Automaton:
         self.link, self.length, self.first = [-1], [0], [-1]
         self.size, self.last = 0, 0
 
-    def _add(self, code: int) -> None:
-        nxt, link, length, first = self.next, self.link, self.length, self.first
-        cur, p = len(nxt), self.last
-        nxt.append({}), length.append(length[p] + 1), first.append(self.size), link.append(0)
-        while p >= 0 and code not in nxt[p]:
-            nxt[p][code] = cur
-            p = link[p]
-        if p >= 0:
-            q = nxt[p][code]
-            if length[q] == length[p] + 1:
-                link[cur] = q
+    def _add(self, added: Iterable[int]) -> None:
+        nxt, link, length, first, size, last = self.next, self.link, self.length, self.first, self.size, self.last
+        for code in added:
+            cur, p = len(nxt), last
+            nxt.append({})
+            length.append(length[p] + 1)
+            first.append(size)
+            while p >= 0 and code not in nxt[p]:
+                nxt[p][code] = cur
+                p = link[p]
+            if p < 0:
+                link.append(0)
             else:
-                clone = len(nxt)
-                nxt.append(dict(nxt[q])), length.append(length[p] + 1), first.append(first[q]), link.append(link[q])
-                while p >= 0 and nxt[p].get(code) == q:
-                    nxt[p][code] = clone
-                    p = link[p]
-                link[q] = link[cur] = clone
-        self.last = cur
-        self.size += 1
+                q = nxt[p][code]
+                if length[q] == length[p] + 1:
+                    link.append(q)
+                else:
+                    clone = cur + 1
+                    link += [clone, link[q]]
+                    nxt.append(dict(nxt[q]))
+                    length.append(length[p] + 1)
+                    first.append(first[q])
+                    while p >= 0 and nxt[p].get(code) == q:
+                        nxt[p][code] = clone
+                        p = link[p]
+                    link[q] = clone
+            last = cur
+            size += 1
+        self.size, self.last = size, last
 
     def extend(self, words: list[bytes]) -> None:
-        for w in words:
-            self._add(self.codes.setdefault(w, len(self.codes)))
+        codes = self.codes
+        self._add([codes.setdefault(w, len(codes)) for w in words])
 
     def close(self) -> None:
         """End a passage. What stands between passages occurs once and matches nothing."""
-        self._add(-1 - self.size)
+        self._add([-1 - self.size])
 
     def edges(self) -> tuple[np.ndarray, np.ndarray]:
         """(state * words + word, target) of all transitions by a word."""
-        found = [(s * len(self.codes) + c, t) for s, d in enumerate(self.next) for c, t in d.items() if c >= 0]
-        return tuple(np.array(x, np.int64) for x in (zip(*found, strict=True) if found else ((), ())))
+        width = len(self.codes)
+        edges = np.fromiter((s * width + c for s, d in enumerate(self.next) for c in d if c >= 0), np.int64)
+        return edges, np.fromiter((t for d in self.next for c, t in d.items() if c >= 0), np.int64)
 
 
 def _build(window: int):
@@ -253,9 +263,9 @@ def _build(window: int):
         last = None  # the document and window that would go on with the passage
         group = group.sort_by([(c, "ascending") for c in ("doc", "th", "at")])
         for doc, th, at, words, refs in zip(*(group.column(c).to_pylist() for c in ("doc", "th", "at", "words", "refs")), strict=True):
-            split, refs = words.split(b" "), np.array(refs)
-            for run in np.split(refs, np.flatnonzero(np.diff(refs) != 1) + 1):
-                a, b = int(run[0]), int(run[-1])
+            split = words.split(b" ")
+            whole_ = refs[-1] - refs[0] + 1 == len(refs)
+            for a, b in [(refs[0], refs[-1])] if whole_ else [(int(x[0]), int(x[-1])) for x in np.split(refs, np.flatnonzero(np.diff(refs) != 1) + 1)]:
                 if last == (doc, th, at + a):
                     sam.extend(split[a + window - 1 : b + window])
                 elif last is None or last[:2] != (doc, th) or last[2] < at + a:  # not a row of an equal document
@@ -267,7 +277,10 @@ def _build(window: int):
                     continue
                 last = (doc, th, at + b + 1)
         edges, targets = sam.edges()
-        row = [group.column("shard")[0].as_py(), list(sam.codes), edges, targets, sam.link, sam.length, sam.first, starts, docs, ths, ats]
+        # steps instead of the numbers themselves: most are 1, which packs well
+        order = np.argsort(edges)
+        step = lambda x: np.diff(x, prepend=0)
+        row = [group.column("shard")[0].as_py(), list(sam.codes), step(edges[order]), step(targets[order]), sam.link, step(sam.length), step(sam.first), starts, docs, ths, ats]
         kinds = {"int": pa.int32(), "array<binary>": pa.list_(pa.binary()), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
         return pa.table({name: pa.array([v], kinds[kind]) for (name, kind), v in zip(map(str.split, AUTOMATON.split(", ")), row, strict=True)})
 
@@ -277,12 +290,13 @@ def _build(window: int):
 def _match(window: int):
     """Spans of windows of each segment that the shard's automaton holds."""
     def spans(automata: pa.Table, group: pa.Table) -> pa.Table:
-        fps, segs, out = [], [], []
+        fps, segs, sizes, flat, starts, docs, ths, ats = [], [], [], [], *(np.empty(0, np.int64) for _ in range(4))
         if automata.num_rows and group.num_rows:
             get = lambda c: automata.column(c)[0].values
             codes = {w: i for i, w in enumerate(get("words").to_pylist())}
-            step = dict(zip(get("edges").to_pylist(), get("targets").to_pylist(), strict=True))
-            link, length, first = (get(c).to_pylist() for c in ("links", "lengths", "firsts"))
+            summed = lambda c: np.cumsum(get(c).to_numpy().astype(np.int64)).tolist()
+            step = dict(zip(summed("edges"), summed("targets"), strict=True))
+            link, length, first = get("links").to_pylist(), summed("lengths"), summed("firsts")
             starts, docs, ths, ats = (get(c).to_numpy() for c in ("starts", "docs", "ths", "ats"))
             width, last, state, matched = len(codes), None, 0, 0
             group = group.sort_by([(c, "ascending") for c in ("doc", "th", "at")])
@@ -315,11 +329,14 @@ def _match(window: int):
                         else:
                             found.append([i, 1, place])
                 if found:
-                    k = np.searchsorted(starts, [p for *_, p in found], "right") - 1
-                    fps.append(fp), segs.append(seg)
-                    out.append([{"i": i, "n": m, "doc": int(docs[x]), "th": int(ths[x]), "at": int(ats[x]) + p - int(starts[x])} for (i, m, p), x in zip(found, k, strict=True)])
-        kind = pa.list_(pa.struct([("i", pa.int32()), ("n", pa.int32()), ("doc", pa.int64()), ("th", pa.int64()), ("at", pa.int32())]))
-        return pa.table({"fp": pa.array(fps, pa.int64()), "seg": pa.array(segs, pa.int64()), "spans": pa.array(out, kind)})
+                    fps.append(fp), segs.append(seg), sizes.append(len(found))
+                    flat += found
+        i, n, place = np.array(flat, np.int64).reshape(-1, 3).T
+        k = np.searchsorted(starts, place, "right") - 1
+        columns = {"i": (i, pa.int32()), "n": (n, pa.int32()), "doc": (docs[k], pa.int64()), "th": (ths[k], pa.int64()), "at": (ats[k] + place - starts[k], pa.int32())}
+        struct = pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in columns.values()], names=list(columns))
+        listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), struct)
+        return pa.table({"fp": pa.array(fps, pa.int64()), "seg": pa.array(segs, pa.int64()), "spans": listed})
 
     return spans
 
@@ -330,7 +347,7 @@ def matches(cut: DataFrame, window: int) -> DataFrame:
     shards = max(1, -(-total // SHARD))
     to = lambda cell: F.pmod(cell, F.lit(shards)).cast("int")
     refs = cut.where(F.size("refs") > 0).select(to(_cell(F.col("doc"), F.col("th"), F.col("at"))).alias("shard"), "doc", "th", "at", "words", "refs")
-    automata = materialize(refs.groupBy("shard").applyInArrow(_build(window), AUTOMATON), "automata")
+    automata = settled(materialize(refs.groupBy("shard").applyInArrow(_build(window), AUTOMATON), "automata"))
     dealt = cut.select(F.explode(F.array_distinct(F.transform("cells", to))).alias("shard"), "fp", "seg", "doc", "th", "at", "n", "words")
     sizes = small(dealt.groupBy("shard").agg(F.ceil(F.sum("n") / STREAM).cast("int").alias("slices")))
     sent = automata.join(sizes, "shard").select("*", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")).drop("slices")
