@@ -9,6 +9,8 @@ a pair.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -39,35 +41,128 @@ def nearest_k(dist: DataFrame, k: int = 5, by: tuple[str, ...] = (), order: str
     return ranked.where((F.col("place") >= 2) & (F.col("place") <= k + 1)).select(*by, "item_a", "item_b", "dist", (F.col("place") - 1).alias("rank"))
 
 
-def nearest_k_blocks(embedding: DataFrame, k: int = 5, block: int = 1024) -> DataFrame:
-    """nearest_k of the distances within one embedding(item, coords), without a row for each pair.
+class Index:
+    """Pivots of an embedding with, for each, the number and the radius of the items nearest to it, and its blocks."""
+
+    def __init__(self, pivots: np.ndarray, counts: np.ndarray, radii: np.ndarray, block: int):
+        self.pivots, self.counts, self.radii = pivots, counts, radii
+        self.parts = np.maximum(1, -(-counts // block))  # a pivot's items are dealt to so many blocks
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """From each row to each pivot."""
+        step = max(1, (1 << 22) // max(1, self.pivots.size))
+        each = [np.sqrt(((x[i : i + step, None] - self.pivots) ** 2).sum(2)) for i in range(0, len(x), step)]
+        return np.concatenate(each) if each else np.empty((0, len(self.pivots)))
+
+    def bounds(self, far: np.ndarray, k: int) -> np.ndarray:
+        """A distance within which each row surely has k + 1 items: enough pivots' items are all nearer than it."""
+        reach = np.where(self.counts > 0, far + self.radii, np.inf)
+        order = np.argsort(reach, axis=1)
+        enough = np.cumsum(self.counts[order], axis=1) >= k + 1
+        at = np.where(enough.any(1), enough.argmax(1), len(self.pivots) - 1)
+        return np.where(enough.any(1), np.take_along_axis(reach, np.take_along_axis(order, at[:, None], 1), 1)[:, 0], np.inf)
+
 
-    A task meets two blocks of items and keeps the k + 1 nearest of the second for each item of the first; exact
-    distances are taken of all that the products leave as near as those.
+def _closest(names_a: list, a: np.ndarray, names_b: list, b: np.ndarray, limit: np.ndarray, k: int) -> list[tuple[list, list]]:
+    """(names, distances) of the k + 1 rows of b nearest to each row of a and not beyond its limit; ties go by name, as b is sorted.
+
+    Products tell roughly which are near enough; exact distances are taken of those only.
     """
-    ship(embedding.sparkSession)
+    square_a, square_b, kept = (a * a).sum(1), (b * b).sum(1), min(k, len(b) - 1)
+    rough = square_a[:, None] + square_b - 2 * (a @ b.T)
+    most = np.minimum(np.partition(rough, kept, axis=1)[:, kept], limit * limit) + 1e-9 * (square_a + square_b.max())
+    out = []
+    for i in range(len(a)):
+        at = np.nonzero(rough[i] <= most[i])[0]
+        dist = np.sqrt(((b[at] - a[i]) ** 2).sum(1))
+        best = np.argsort(dist, kind="stable")[: k + 1]
+        out.append(([names_b[j] for j in at[best]], dist[best].tolist()))
+    return out
+
+
+def _matrix(lists: pa.ListArray) -> np.ndarray:
+    return np.asarray(lists.flatten()).reshape(len(lists), -1)
+
+
+def nearest_index(embedding: DataFrame, block: int, pivots: int) -> tuple[DataFrame, Index]:
+    """(stored blocks (pivot, part, r array<struct<item, coords>>), index). Pivots are a bounded number of items, least by hash."""
+    spark = embedding.sparkSession
     e = require(embedding, "item", "coords").select("item", "coords")
-    n_blocks = max(1, -(-e.count() // block))
-    blocks = e.groupBy(F.pmod(F.xxhash64("item"), F.lit(n_blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("item", "coords"))).alias("r"))
-    side = lambda s: blocks.select(F.col("r.item").alias(f"item_{s}"), F.col("r.coords").alias(s))
+    n = e.count()
+    chosen = e.orderBy(F.xxhash64("item"), "item").limit(max(1, min(pivots, -(-4 * n // block)))).select("coords").collect()
+    points = np.array([r.coords for r in chosen], float) if chosen else np.zeros((1, 0))
+    held = spark.sparkContext.broadcast(Index(points, np.zeros(len(points), np.int64), np.zeros(len(points)), block))
+
+    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = held.value.distances(_matrix(batch.column(1)))
+            at = far.argmin(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32()), pa.array(far[np.arange(len(at)), at])], names=["item", "coords", "pivot", "far"])
+
+    dealt = materialize(e.mapInArrow(assigned, "item string, coords array<double>, pivot int, far double"), "pivots")
+    told = {r.pivot: (r.n, r.radius) for r in dealt.groupBy("pivot").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()}  # at most a row a pivot
+    index = Index(points, *(np.array([told.get(k, (0, 0.0))[x] for k in range(len(points))]) for x in (0, 1)), block)
+    parts = F.get(F.array(*[F.lit(int(x)) for x in index.parts]), F.col("pivot"))
+    blocks = dealt.select("pivot", F.pmod(F.xxhash64("item"), parts).cast("int").alias("part"), F.struct("item", "coords").alias("x")).groupBy("pivot", "part").agg(F.sort_array(F.collect_list("x")).alias("r"))
+    return materialize(blocks, "blocks"), index
+
+
+def nearest_visits(blocks: DataFrame, index: Index, k: int) -> DataFrame:
+    """(item, coords, near array<struct<item_b, dist>>, bound, pivot, part, visits array<int>) of each item, stored: the k + 1 nearest of
+    its own block, a distance within which it surely has as many, and the pivots that may have items within it."""
+    held = blocks.sparkSession.sparkContext.broadcast(index)
 
-    def nearest(batches):
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                items = batch.column(2)[row].values
+                names, x = items.field("item").to_pylist(), _matrix(items.field("coords"))
+                far = held.value.distances(x)
+                bound = held.value.bounds(far, k)
+                near = _closest(names, x, names, x, np.full(len(x), np.inf), k)
+                bound = np.array([min(t, d[k]) if len(d) > k else t for t, (_, d) in zip(bound, near, strict=True)])
+                # the triangle inequality, with room for rounding
+                may = (far - held.value.radii - bound[:, None] <= 1e-9 * (far + held.value.radii + 1)) & (held.value.counts > 0)
+                lists = [[{"item_b": n, "dist": d} for n, d in zip(*x_, strict=True)] for x_ in near]
+                yield pa.RecordBatch.from_arrays(
+                    [items.field("item"), items.field("coords"), pa.array(lists, pa.list_(pa.struct([("item_b", pa.string()), ("dist", pa.float64())]))), pa.array(bound),
+                     pa.array([batch.column(0)[row].as_py()] * len(x), pa.int32()), pa.array([batch.column(1)[row].as_py()] * len(x), pa.int32()),
+                     pa.array([np.flatnonzero(m).tolist() for m in may], pa.list_(pa.int32()))], names=["item", "coords", "near", "bound", "pivot", "part", "visits"])
+
+    schema = "item string, coords array<double>, near array<struct<item_b: string, dist: double>>, bound double, pivot int, part int, visits array<int>"
+    return materialize(blocks.select("pivot", "part", "r").mapInArrow(visit, schema), "visits")
+
+
+def nearest_k_blocks(embedding: DataFrame, k: int = 5, block: int = 1024, pivots: int = 1024, queries: int = 4096) -> DataFrame:
+    """nearest_k of the distances within one embedding(item, coords), without a row for each pair.
+
+    Items are dealt to blocks by the nearest of a bounded number of pivots. An item's own block bounds the distance of its k-th
+    neighbour; by the triangle inequality it has to visit only pivots whose items may lie within that bound, and goes there in
+    packs of queries, which meet a block by its key. Each keeps the k + 1 best of each item. Exact for any data: without
+    clusters, all blocks are visited. Items' names are different.
+    """
+    ship(embedding.sparkSession)
+    blocks, index = nearest_index(embedding, block, pivots)
+    items = nearest_visits(blocks, index, k)
+    own = items.select(F.col("item").alias("item_a"), F.explode("near").alias("x")).select("item_a", "x.item_b", "x.dist")
+    parts = F.get(F.array(*[F.lit(int(x)) for x in index.parts]), F.col("to"))
+    packs = max(1, -(-int(index.counts.sum()) // queries))
+    sent = items.select("item", "coords", "bound", "pivot", "part", F.explode("visits").alias("to")).select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("to_part")).where("pivot <> to or part <> to_part")
+    packed = sent.groupBy(F.col("to").alias("pivot"), F.col("to_part").alias("part"), F.pmod(F.xxhash64("item"), F.lit(packs)).alias("pack")).agg(
+        F.collect_list(F.struct("item", "coords", "bound")).alias("q"))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
-                names_a, a, names_b, b = (c[0] for c in batch.slice(r, 1).to_pydict().values())
-                a, b = np.array(a), np.array(b)
-                square_a, square_b, kept = (a * a).sum(1), (b * b).sum(1), min(k, len(b) - 1)
-                rough = square_a[:, None] + square_b - 2 * (a @ b.T)
-                limit = np.partition(rough, kept, axis=1)[:, kept] + 1e-9 * (square_a + square_b.max())
-                out = []
-                for i in range(len(a)):
-                    at = np.nonzero(rough[i] <= limit[i])[0]
-                    dist = np.sqrt(((b[at] - a[i]) ** 2).sum(1))
-                    out += [(names_a[i], names_b[at[j]], dist[j]) for j in np.argsort(dist, kind="stable")[: k + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["item_a", "item_b", "dist"])
-
-    met = side("a").crossJoin(side("b")).repartition(max(1, e.sparkSession.sparkContext.defaultParallelism))
-    return nearest_k(met.mapInArrow(nearest, "item_a string, item_b string, dist double"), k)
+            for row in range(batch.num_rows):
+                q, r = (batch.column(c)[row].values for c in (0, 1))
+                names_a, names_b = q.field("item").to_pylist(), r.field("item").to_pylist()
+                found = _closest(names_a, _matrix(q.field("coords")), names_b, _matrix(r.field("coords")), q.field("bound").to_numpy(), k)
+                sizes = [len(d) for _, d in found]
+                yield pa.RecordBatch.from_arrays([q.field("item").take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array([n for x, _ in found for n in x], pa.string()),
+                                                  pa.array([d for _, x in found for d in x], pa.float64())], names=["item_a", "item_b", "dist"])
+
+    met = packed.join(blocks, ["pivot", "part"]).select("q", "r").repartition(embedding.sparkSession.sparkContext.defaultParallelism)
+    return nearest_k(own.unionByName(met.mapInArrow(nearest, "item_a string, item_b string, dist double")), k)
 
 
 def nearest_to(dist: DataFrame, item: str, k: int = 5) -> DataFrame:
@@ -202,6 +297,77 @@ def rep_dist(embeddings: DataFrame, rootflag: bool = True, dims: int | None = No
     return sent.repartition(max(tasks, blocks * blocks // 8), "i", "j").groupBy("i", "j").applyInArrow(distances, "worker_a string, worker_b string, dist double")
 
 
+def _summed(rows: DataFrame, keys: list[str], size: int, fan: int = 64) -> DataFrame:
+    """(keys..., m): sums of the arrays m of so many numbers by key, in a tree: first of the rows of one bucket, then of the buckets."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys) + ", m array<double>"
+
+    def total(group: pa.Table) -> pa.Table:
+        m = np.zeros(size)
+        for chunk in group.column("m").chunks:
+            m += np.asarray(chunk.flatten()).reshape(-1, size).sum(0)
+        return group.select(keys).slice(0, 1).append_column("m", pa.array([m], pa.list_(pa.float64())))
+
+    first = rows.withColumn("bucket", F.col("bucket") % fan).groupBy(*keys, "bucket").applyInArrow(total, schema)
+    return first.groupBy(*keys).applyInArrow(total, schema)
+
+
+def normalised(embeddings: DataFrame, dims: int, strict: bool = True) -> DataFrame:
+    """(worker_id, item_ix, coords): rows of centred embeddings with unit sum of squares; a row holds one item. strict: raise if
+    participants have different items, or the same at different places."""
+    e = require(embeddings, "worker_id", "item", "coords", "item_ix")
+    at = [F.get("coords", k) for k in range(dims)]
+    told = e.groupBy("worker_id").agg(F.count("*").alias("n"), F.array(*[F.avg(x) for x in at]).alias("mean"), F.sum(F.xxhash64("item_ix", "item").cast("decimal(38,0)")).alias("items"))
+    told = materialize(told, "means")
+    if strict and told.agg(F.count_distinct("n", "items").alias("n")).first().n > 1:
+        raise ValueError("all embeddings need the same items")
+    centred = e.join(small(told.select("worker_id", "mean")), "worker_id").select("worker_id", "item_ix", F.zip_with(F.slice("coords", 1, dims), "mean", lambda x, m: x - m).alias("coords"))
+    norms = centred.groupBy("worker_id").agg(F.sqrt(F.sum(_dot(F.col("coords"), F.col("coords")))).alias("norm"))
+    return centred.join(small(norms), "worker_id").select("worker_id", "item_ix", F.transform("coords", lambda x: x / F.nullif(F.col("norm"), F.lit(0.0))).alias("coords"))
+
+
+def rep_dist_ranges(embeddings: DataFrame, rootflag: bool = True, dims: int | None = None, strict: bool = True, items: int = 1024, workers: int = 32) -> DataFrame:
+    """rep_dist for embeddings of any number of items: no row or task holds one.
+
+    Rows are dealt to buckets of about so many items, and within them to groups of about so many participants. A cell of a bucket
+    and two groups gives the d * d cross products of their pairs over its items, which are summed in a tree.
+    """
+    ship(embeddings.sparkSession)
+    dims = dims or dimensions(embeddings)
+    rows = materialize(normalised(embeddings, dims, strict), "normalised_rows")
+    n, w = rows.agg(F.count("*"), F.count_distinct("worker_id")).first()
+    buckets, groups = max(1, -(-n // max(1, w) // items)), max(1, -(-w // workers))
+    dealt = rows.select("worker_id", "item_ix", "coords", F.pmod(F.xxhash64("item_ix"), F.lit(buckets)).alias("bucket"), F.pmod(F.xxhash64("worker_id"), F.lit(groups)).cast("int").alias("own"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "worker_id", "item_ix", "coords")
+
+    def cross(cell: pa.Table) -> pa.Table:
+        bucket, i, j = (cell.column(c)[0].as_py() for c in ("bucket", "i", "j"))
+        names = sorted(set(cell.column("worker_id").to_pylist()))
+        of = {x: k for k, x in enumerate(names)}
+        own, worker = cell.column("own").to_numpy(), np.array([of[x] for x in cell.column("worker_id").to_pylist()])
+        places, place = np.unique(cell.column("item_ix").to_numpy(), return_inverse=True)
+        x = np.zeros((len(names), len(places), dims))
+        x[worker, place] = np.concatenate([_matrix(c) for c in cell.column("coords").chunks])
+        group = np.zeros(len(names), np.int64)
+        group[worker] = own
+        pairs = [(a, b) for a in range(len(names)) for b in range(len(names)) if a < b and sorted((group[a], group[b])) == [i, j]]
+        return pa.table({"worker_a": pa.array([names[a] for a, _ in pairs], pa.string()), "worker_b": pa.array([names[b] for _, b in pairs], pa.string()),
+                         "bucket": pa.array([bucket] * len(pairs), pa.int64()), "m": pa.array([(x[a].T @ x[b]).ravel() for a, b in pairs], pa.list_(pa.float64()))})
+
+    products = cells.groupBy("bucket", "i", "j").applyInArrow(cross, "worker_a string, worker_b string, bucket long, m array<double>")
+
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = np.linalg.svd(_matrix(batch.column(2)).reshape(-1, dims, dims), compute_uv=False).sum(1) if batch.num_rows else np.empty(0)
+            d = pa.array((1 - t) if rootflag else (1 - t * t))
+            for a, b in ((0, 1), (1, 0)):
+                yield pa.RecordBatch.from_arrays([batch.column(a), batch.column(b), d], names=["worker_a", "worker_b", "dist"])
+
+    schema = "worker_a string, worker_b string, dist double"
+    found = _summed(products, ["worker_a", "worker_b"], dims * dims).mapInArrow(distances, schema)
+    same = rows.select("worker_id").distinct().select(F.col("worker_id").alias("worker_a"), F.col("worker_id").alias("worker_b"), F.lit(0.0).alias("dist"))
+    return found.unionByName(same)
+
+
 def _rotation(dims: int, scale: bool) -> Column:
     """c * A by rows, from m: the cross products of base and embedding (base rows, embedding columns)."""
     if dims == 1:
@@ -271,24 +437,46 @@ def group_mean_aligned(embeddings: DataFrame, clusters: DataFrame, dims: int | N
     return rows.groupBy("cluster", "item_ix", "item").agg(F.array(*[F.avg(F.get("coords", k)) for k in range(dims)]).alias("coords"))
 
 
-def principal_rotation(x: np.ndarray) -> np.ndarray:
-    """U * D of x; in each column the coordinate of largest magnitude (the first on a tie) is positive."""
-    u, s, _ = np.linalg.svd(x, full_matrices=False)
-    y = u * s
-    at = np.argmax(np.round(np.abs(y), 12), axis=0)
-    return y * np.where(y[at, np.arange(y.shape[1])] < 0, -1.0, 1.0)
+def principal_axes(mean: DataFrame, dims: int) -> DataFrame:
+    """(cluster, n, axes): the eigenvectors of each group's d * d moments, flat by column, by falling eigenvalue; a row a group."""
 
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def group_list_mean(embeddings: DataFrame, clusters: DataFrame, dims: int | None = None, strict: bool = True) -> DataFrame:
-    """(group, item_ix, item, coords): group means on their principal axes; a task holds one group's mean, items by dimensions."""
-    mean = group_mean_aligned(embeddings, clusters, dims, strict)
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            cluster, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            for c in np.unique(cluster):
+                own = x[cluster == c]
+                held[c] = held.get(c, 0) + np.append(own.T @ own, len(own))
+        if held:
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([part] * len(held), pa.int64()), pa.array(list(held.values()), pa.list_(pa.float64()))], names=["cluster", "bucket", "m"])
+
+    def axes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = _matrix(batch.column(1))
+            vectors = [np.linalg.eigh(r[:-1].reshape(dims, dims))[1][:, ::-1].T.ravel() for r in m]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m[:, -1].astype(np.int64)), pa.array(vectors, pa.list_(pa.float64()))], names=["cluster", "n", "axes"])
+
+    parts = mean.select("cluster", "coords").mapInArrow(moments, "cluster int, bucket long, m array<double>")
+    return _summed(parts, ["cluster"], dims * dims + 1).mapInArrow(axes, "cluster int, n long, axes array<double>")
 
-    def rotate(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("item_ix")
-        g["coords"] = list(principal_rotation(np.stack(g["coords"].to_numpy())))
-        g["group"] = "group-" + g["cluster"].astype(str)
-        return g[["group", "item_ix", "item", "coords"]]
 
-    return mean.groupBy("cluster").applyInPandas(rotate, "group string, item_ix long, item string, coords array<double>")
+def rotated(mean: DataFrame, dims: int) -> DataFrame:
+    """(cluster, item_ix, item, coords): U * D of each group's coordinates, by rows; in each column the coordinate of largest magnitude
+    (the first on a tie) is positive. A group's rows stay where they are: only its moments and signs are gathered."""
+    axes = small(materialize(principal_axes(mean, dims), "axes"))
+    turned = mean.join(axes, "cluster").select("cluster", "item_ix", "item", "n", *[_dot(F.col("coords"), F.slice("axes", k * dims + 1, dims)).alias(f"y{k}") for k in range(dims)])
+    turned = materialize(turned, "turned")
+    largest = [F.max_by(F.signum(f"y{k}"), F.struct(F.round(F.abs(f"y{k}"), 12), -F.col("item_ix"))).alias(f"s{k}") for k in range(dims)]
+    signs = small(turned.groupBy("cluster").agg(*largest))
+    kept = F.slice(F.array(*[F.when(F.col(f"s{k}") < 0, -F.col(f"y{k}")).otherwise(F.col(f"y{k}")) for k in range(dims)]), 1, F.least(F.lit(dims), F.col("n")).cast("int"))
+    return turned.join(signs, "cluster").select("cluster", "item_ix", "item", kept.alias("coords"))
 
 
+def group_list_mean(embeddings: DataFrame, clusters: DataFrame, dims: int | None = None, strict: bool = True) -> DataFrame:
+    """(group, item_ix, item, coords): group means on their principal axes."""
+    dims = dims or dimensions(embeddings)
+    made = rotated(materialize(group_mean_aligned(embeddings, clusters, dims, strict), "group_means"), dims)
+    return made.select(F.concat(F.lit("group-"), F.col("cluster").cast("string")).alias("group"), "item_ix", "item", "coords")

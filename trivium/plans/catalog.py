@@ -546,7 +546,7 @@ def tip_coords(spark, d):
 def thirds(e: DataFrame) -> DataFrame:
     """Three participants who are dealt all vectors in turn; where the number isn't a multiple of three, the first ones fill the last item."""
     n = e.count()
-    at = e.withColumn("at", F.row_number().over(Window.orderBy("item_ix")) - 1)
+    at = io.numbered(e, "item_ix", "at").withColumn("at", F.col("at") - 1)
     slots = at.unionByName(at.where(F.col("at") < -n % 3).withColumn("at", F.col("at") + n))
     item = F.expr("at div 3")
     return slots.select((F.col("at") % 3).cast("string").alias("worker_id"), (F.col("at") % 3).alias("worker_ix"), item.alias("item_ix"), item.cast("string").alias("item"), "coords")
@@ -567,5 +567,5 @@ found AS (SELECT wa, wb, 1 - list_dot_product(flatten(m), flatten(x)) AS d FROM
 SELECT CAST(wa AS VARCHAR) AS worker_a, CAST(wb AS VARCHAR) AS worker_b, round(d, 6) AS dist FROM found UNION ALL SELECT CAST(wb AS VARCHAR), CAST(wa AS VARCHAR), round(d, 6) FROM found
 UNION ALL SELECT CAST(w AS VARCHAR), CAST(w AS VARCHAR), CAST(0 AS DOUBLE) FROM cols""")
 def rep_dist_64d(spark, d):
-    """General dimension, through the singular values of d * d cross products."""
-    return geometry.rep_dist(thirds(fx.embeddings64(spark, d)), dims=64).select("worker_a", "worker_b", _r("dist"))
+    """General dimension, through the singular values of d * d cross products, summed over ranges of items."""
+    return geometry.rep_dist_ranges(thirds(fx.embeddings64(spark, d)), dims=64).select("worker_a", "worker_b", _r("dist"))
