@@ -167,6 +167,7 @@ def _cut(window: int):
                 start = words.rows[row] + at.to_numpy()
                 left, right = words.at[start].tolist(), (words.at[start + count + window - 1] - 1).tolist()
                 text = pa.array([words.text[x:y] for x, y in zip(left, right, strict=True)], pa.binary())
+                count[alone.to_numpy(zero_copy_only=False)] = 0  # all their windows are references
                 stops = np.cumsum(count)
                 flat = np.repeat(start - (stops - count), count) + np.arange(stops[-1] if len(stops) else 0)
                 hashes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]), pa.int32()), pa.array(_runs(sums, flat, flat + window).view(np.int64)))
@@ -178,7 +179,7 @@ def _cut(window: int):
 
 
 def cut_segments(distinct: DataFrame, docs: DataFrame, window: int) -> DataFrame:
-    """distinct with words binary, joined by a space, and hashes array<long>, one a window; equal documents give equal rows."""
+    """distinct with words binary, joined by a space, and hashes array<long>, one a window where it isn't alone; equal documents give equal rows."""
     lists = distinct.groupBy("doc", "th").agg(F.collect_list(F.struct("fp", "seg", "at", "n", "c", "alone")).alias("found"))  # a document's own
     joined = docs.join(lists.hint("merge"), ["doc", "th"]).select("doc", "th", "text", "found")
     return joined.mapInArrow(_cut(window), SEGMENT + ", c long, alone boolean, words binary, hashes array<long>")
@@ -197,9 +198,11 @@ def with_references(cut: DataFrame) -> DataFrame:
     own = F.when((F.col("p.seg") == F.col("seg")) & (F.col("p.i") == F.col("i")), F.col("i"))
     told = each.select("fp", "seg", "i", "h").join(first.select("fp", "h", "p").hint("merge"), ["fp", "h"]).groupBy("fp", "seg").agg(
         F.collect_set(_cell(F.col("p.doc"), F.col("p.th"), F.col("p.at") - F.col("p.i"))).alias("cells"), F.sort_array(F.collect_set(own)).alias("own"))
-    refs = F.when(F.col("alone"), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.coalesce("own", F.array().cast("array<int>")))
-    cells = F.when(F.col("alone"), F.array(_cell(F.col("doc"), F.col("th"), F.col("at")))).otherwise(F.coalesce("cells", F.array().cast("array<long>")))
-    return cut.drop("hashes").join(told.hint("merge"), ["fp", "seg"], "left").withColumns({"refs": refs, "cells": cells}).drop("own")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    kept = ["fp", "seg", "doc", "th", "at", "n", "words"]
+    mixed = cut.where("not alone").select(*kept).join(told.hint("merge"), ["fp", "seg"], "left").select(*kept, none("own", "int"), none("cells", "long"))
+    single = cut.where("alone").select(*kept, F.sequence(F.lit(0), F.col("n") - 1).alias("own"), F.array(_cell(F.col("doc"), F.col("th"), F.col("at"))).alias("cells"))
+    return single.unionByName(mixed).withColumnRenamed("own", "refs")
 
 
 class Automaton:
