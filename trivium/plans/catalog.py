@@ -15,6 +15,7 @@ from trivium.scratch import new_path
 from trivium.sources import pictures
 from trivium.sources import trials as io
 from trivium.sources.csv import data_files, read_csv
+from trivium.sources.tables import read_bucketed, write_bucketed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,6 +104,14 @@ def participant_summary(spark, d):
     return s.select("tripfile", "worker_id", "ndat", _r("lrt"), _r("cacc"), "keep")
 
 
+@query("k AS (SELECT worker_id FROM trials GROUP BY 1 HAVING count(*) >= 60), t AS (SELECT * FROM trials SEMI JOIN k USING (worker_id)), " + _SUMMARY.replace("FROM trials", "FROM t")
+       + " SELECT worker_id, ndat, round(lrt, 6) AS lrt, round(cacc, 6) AS cacc, NOT (cacc <= 0.8 OR lrt <= 1.2 OR ndat < 60) AS keep FROM s")
+def bucketed_summary(spark, d):
+    """Trials stored in buckets by participant; an exclusion and the summary read them without an exchange."""
+    stored = read_bucketed(spark, write_bucketed(fx.trials(spark, d), 8, order=("trial_ix",)))
+    return quality.participant_summary(quality.filter_incomplete(stored, 60), mintrial=60, accthresh=0.8, rtthresh=1.2).select("worker_id", "ndat", _r("lrt"), _r("cacc"), "keep")
+
+
 @query("t AS (SELECT *, row_number() OVER (PARTITION BY worker_id ORDER BY trial_ix) AS k FROM trials), " + _SUMMARY.replace("FROM trials", "FROM t WHERE k BETWEEN 2 AND 40")
        + " SELECT worker_id, ndat, round(lrt, 6) AS lrt, round(cacc, 6) AS cacc, NOT (cacc <= 0.8 OR lrt <= 1.2 OR ndat < 30) AS keep FROM s")
 def participant_range(spark, d):
@@ -144,6 +153,17 @@ def item_levels(spark, d):
     return io.item_levels(lab, "head", "winner", "loser").withColumn("path", F.concat(F.lit("resources/"), "item", F.lit(".png")))
 
 
+_COLLATED = """named AS (SELECT CASE CAST(substr(x, 6) AS INT) % 4 WHEN 0 THEN upper(x) WHEN 1 THEN replace(x, 'item', 'îtem') WHEN 2 THEN replace(x, 'item', 'ITÉM') ELSE x END AS item
+  FROM (SELECT Center AS x FROM trials UNION SELECT "Left" FROM trials UNION SELECT "Right" FROM trials))"""
+
+
+@query(_COLLATED + " SELECT row_number() OVER (ORDER BY strip_accents(lower(item)), item) - 1 AS item_ix, item FROM named")
+def item_levels_collated(spark, d):
+    """Names in several cases and with accents, which the collation ignores."""
+    x = lambda c: F.expr(f"CASE CAST(substr({c}, 6) AS INT) % 4 WHEN 0 THEN upper({c}) WHEN 1 THEN replace({c}, 'item', 'îtem') WHEN 2 THEN replace({c}, 'item', 'ITÉM') ELSE {c} END")
+    return io.item_levels(fx.trials(spark, d).select(*[x(f"`{c}`").alias(c) for c in ("Center", "Left", "Right")]), "Center", "Left", "Right", collation="UNICODE_CI_AI")
+
+
 @query(_LABELLED + f""", big AS (SELECT worker_id FROM trials GROUP BY 1 HAVING count(*) >= 60),
 slow AS (SELECT worker_id FROM trials SEMI JOIN big USING (worker_id) GROUP BY 1 HAVING avg(rt) >= 4500),
 bad AS (SELECT worker_id FROM lab GROUP BY 1 HAVING sum(CAST(head = loser AS INT)) > 0.3 * sum(CAST(head = loser OR head = winner AS INT))),

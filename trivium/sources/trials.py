@@ -72,13 +72,15 @@ def find_column(names: tuple[str, ...], columns: list[str]) -> str | None:
     return None
 
 
-def item_levels(d: DataFrame, *columns: str) -> DataFrame:
+def item_levels(d: DataFrame, *columns: str, collation: str | None = None) -> DataFrame:
     """(item_ix, item): the distinct values of the columns, in binary order, numbered from 0.
 
-    The window runs over the distinct items, not over the trials.
+    collation: a collation of Spark to order them by, such as UNICODE, UNICODE_CI_AI or de; items that it takes for equal stay
+    apart, in binary order. The window runs over the distinct items, not over the trials.
     """
     items = d.select(F.explode(F.array(*[F.col(c).cast("string") for c in columns])).alias("item")).where("item is not null").distinct()
-    return items.select((F.row_number().over(Window.orderBy("item")) - 1).cast("long").alias("item_ix"), "item")
+    order = [F.collate("item", collation), F.col("item")] if collation else [F.col("item")]
+    return items.select((F.row_number().over(Window.orderBy(*order)) - 1).cast("long").alias("item_ix"), "item")
 
 
 def encode(d: DataFrame, levels: DataFrame, **columns: str) -> DataFrame:
@@ -92,9 +94,9 @@ def encode(d: DataFrame, levels: DataFrame, **columns: str) -> DataFrame:
 
 def standardise_raw(
     raw: DataFrame, min_trials: int = 0, min_mean_rt_ms: float = 0, max_prop_wrong: float = 1.0, test_prop: float = 0.1,
-    seed: int = 42, stimuli_extension: str = ".png",
+    seed: int = 42, stimuli_extension: str = ".png", collation: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(trials, levels) of a raw export's rows, after exclusions of workers by number, time and catch trials."""
+    """(trials, levels) of a raw export's rows, after exclusions of workers by number, time and catch trials; levels by collation (item_levels)."""
     f = require(raw, *RAW_COLUMNS).where(F.col("trial_category").isin(*CATEGORIES)).select(*RAW_COLUMNS)
     cleaned = f.withColumns({"choices": process_choices("choices", stimuli_extension), "head": clean_stimulus("stimulus", stimuli_extension)})
     left, right = split_first("choices")
@@ -104,7 +106,7 @@ def standardise_raw(
         "worker_id", F.expr("try_cast(trial_index as long)").alias("trial_ix"), F.expr("try_cast(rt as double)").alias("rt"), "head",
         pick(left, right).alias("winner"), pick(right, left).alias("loser"), left.alias("Left"), right.alias("Right"), F.col("trial_category").alias("sampleAlg"))
     kept = exclude(named, min_trials, min_mean_rt_ms, max_prop_wrong)
-    levels = held(item_levels(kept, "head", "winner", "loser"))  # read four times; one row an item
+    levels = held(item_levels(kept, "head", "winner", "loser", collation=collation))  # read four times; one row an item
     labelled = kept.select("trial_ix", "worker_id", "rt", F.col("head").alias("Center"), "Left", "Right", F.col("winner").alias("Answer"), F.col("loser").alias("_lost"), "sampleAlg")
     coded = encode(labelled, levels, head="Center", winner="Answer", loser="_lost").drop("_lost")
     trials = assign_sample_sets(coded, test_prop, seed).select("trial_ix", "head", "winner", "loser", "worker_id", "rt", "Center", "Left", "Right", "Answer", "sampleAlg", "sampleSet")
@@ -138,7 +140,7 @@ def numbered(d: DataFrame, order: str, name: str, bounds: int = 200) -> DataFram
     return dealt.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
 
 
-def standardise_legacy(data: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+def standardise_legacy(data: DataFrame, order: str | None = None, collation: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(trials, levels) of a legacy table, whose columns are found by alias.
 
     Without an id column each row is a participant of its own, P1, P2, ..., by the column `order` (or
@@ -159,18 +161,18 @@ def standardise_legacy(data: DataFrame, order: str | None = None) -> tuple[DataF
         known.alias("sampleAlg"), text(at["sampleSet"]).alias("sampleSet"))
     if not at["sampleSet"]:
         base = base.withColumn("sampleSet", F.when(hash_uniform(2025, "p_id", "_row") < 0.9, "train").otherwise("test"))
-    levels = held(item_levels(base, "Center", "Left", "Right"))
+    levels = held(item_levels(base, "Center", "Left", "Right", collation=collation))
     other = F.when(F.col("Answer") == F.col("Left"), F.col("Right")).when(F.col("Answer") == F.col("Right"), F.col("Left"))
     coded = encode(base.withColumn("_lost", other), levels, head="Center", winner="Answer", loser="_lost")
     trials = coded.select("p_id", "Center", "Left", "Right", "Answer", "head", "winner", "loser", "RT", "sampleAlg", "sampleSet")
     return trials, levels.select(F.col("item_ix").alias("numeric_value"), F.col("item").alias("stimulus"))
 
 
-def read_legacy(spark: SparkSession, input_file: str, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+def read_legacy(spark: SparkSession, input_file: str, order: str | None = None, collation: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The tables of a legacy CSV, or of a folder of its parts; without `order` rows come as they stand in the files."""
     d = read_csv(spark, data_files(spark, input_file), ordered=True)
     placed = d.withColumn("_place", F.shiftleft(F.col("_file").cast("long"), 40) + F.col("_row")).drop("_file", "_row")
-    return standardise_legacy(placed, order or "_place")
+    return standardise_legacy(placed, order or "_place", collation)
 
 
 def write_legacy(trials: DataFrame, levels: DataFrame, input_file: str) -> tuple[str, str]:
@@ -193,7 +195,7 @@ def _ordered(d: DataFrame) -> DataFrame:
     else:
         rows = materialize(rows.withColumn("trial_ix", F.monotonically_increasing_id()), "ordered")  # ids are given once
     first = rows.groupBy("worker_id").agg(F.min("trial_ix").alias("f"))
-    ranked = first.select("worker_id", (F.row_number().over(Window.orderBy("f")) - 1).cast("long").alias("worker_ix"))
+    ranked = numbered(first, "f", "place").select("worker_id", (F.col("place") - 1).cast("long").alias("worker_ix"))
     return rows.join(small(ranked), "worker_id")
 
 
