@@ -81,10 +81,10 @@ def test_model(d: DataFrame, model: DataFrame, by: tuple[str, ...] = (), distanc
 test_model.__test__ = False
 
 
-def missing_items(d: DataFrame, model: DataFrame) -> DataFrame:
-    """(item): items of the trials that the model lacks."""
-    named = d.select(F.explode(F.array("Center", "Left", "Right")).alias("item")).where("item is not null").distinct()
-    return named.join(model.select("item"), "item", "left_anti")
+def missing_items(d: DataFrame, model: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., item): items of the trials that the model lacks; by: columns that trials and model share."""
+    named = d.select(*by, F.explode(F.array("Center", "Left", "Right")).alias("item")).where("item is not null").distinct()
+    return named.join(model.select(*by, "item"), [*by, "item"], "left_anti")
 
 
 def model_strength(d: DataFrame, model: DataFrame, by: tuple[str, ...] = (), distances: bool = False) -> DataFrame:

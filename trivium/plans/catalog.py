@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trivium.functions import stats
-from trivium.operators import agreement, cluster, compare, geometry, layout, predict, quality
+from trivium.operators import agreement, canvas, cluster, compare, geometry, layout, predict, quality
 from trivium.plans import fixtures as fx
 from trivium.plans.fixtures import WITH
 from trivium.scratch import new_path
@@ -270,6 +270,32 @@ def picture_recolour(spark, d):
     return _pixels(pictures.recolour(pictures.rasters(fx.pictures(spark, d)), "#FF0000FF"))
 
 
+@alone("""WITH p AS (SELECT vec_id, label, embedding AS e, CAST(embedding[1] AS DOUBLE) AS px, CAST(embedding[2] AS DOUBLE) AS py FROM embeddings),
+s AS (SELECT (max(px) - min(px)) * 0.02 AS w, (max(py) - min(py)) * 0.02 AS h FROM p),
+b AS (SELECT vec_id, label, e, px - w AS x0, py - h AS y0, px + w AS x1, py + h AS y1 FROM p, s),
+l AS (SELECT min(x0) AS lx0, min(y0) AS ly0, max(x1) AS lx1, max(y1) AS ly1 FROM b),
+c AS (SELECT *, unnest(range(CAST(greatest(floor((x0 - lx0) / (lx1 - lx0) * 320), 0) AS BIGINT), CAST(least(ceil((x1 - lx0) / (lx1 - lx0) * 320) - 1, 319) AS BIGINT) + 1)) AS x FROM b, l),
+d AS (SELECT *, unnest(range(CAST(greatest(floor((-y1 - -ly1) / (-ly0 - -ly1) * 200), 0) AS BIGINT), CAST(least(ceil((-y0 - -ly1) / (-ly0 - -ly1) * 200) - 1, 199) AS BIGINT) + 1)) AS y FROM c),
+f AS (SELECT vec_id, label, e, x, y, CAST(floor((lx0 + (x + 0.5::DOUBLE) / 320 * (lx1 - lx0) - x0) / (x1 - x0) * 8) AS INT) AS u,
+  CAST(floor((y1 - (ly1 - (y + 0.5::DOUBLE) / 200 * (ly1 - ly0))) / (y1 - y0) * 8) AS INT) AS v FROM d),
+seen AS (SELECT x, y, vec_id, coalesce(label, 0) % 2 = 0 AS opaque FROM f WHERE u BETWEEN 0 AND 7 AND v BETWEEN 0 AND 7 AND NOT e[v * 8 + u + 1] > 0),
+owned AS (SELECT *, max(vec_id) FILTER (WHERE opaque) OVER (PARTITION BY x, y) AS owner FROM seen),
+pixel AS (SELECT x, y, any_value(owner) AS owner, count(*) FILTER (WHERE NOT opaque AND (owner IS NULL OR vec_id > owner)) AS n FROM owned GROUP BY x, y),
+mixed AS (SELECT x, y, list_reduce(list_prepend(CAST(255 AS BIGINT), range(n)), lambda a, i: (a * 127) // 255) AS r,
+  list_reduce(list_prepend(CAST(CASE WHEN owner IS NULL THEN 255 ELSE 0 END AS BIGINT), range(n)), lambda a, i: (a * 127) // 255) AS g,
+  list_reduce(list_prepend(CAST(CASE WHEN owner IS NULL THEN 255 ELSE 0 END AS BIGINT), range(n)), lambda a, i: (255 * 128 + a * 127) // 255) AS b FROM pixel)
+SELECT (y // 64) * 5 + x // 64 AS tile, y, x, '#' || format('{:02X}{:02X}{:02X}', r, g, b) AS colour FROM mixed""")
+def picture_canvas(spark, d):
+    """All vectors' pictures at their first two coordinates, those of odd labels translucent, on a canvas of 320 by 200 pixels."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    name = F.concat(F.lit("vec"), F.col("vec_id").cast("string"))
+    points = e.select(F.col("vec_id").alias("item_ix"), name.alias("item"), F.col("embedding").cast("array<double>").alias("coords"))
+    boxes = layout.plot_layout(points, psize=0.02).join(points.select("item", F.col("item_ix").alias("place")), "item")
+    labels = e.select(name.alias("name"), F.when(F.coalesce("label", F.lit(0)) % 2 == 0, "#FF0000FF").otherwise("#0000FF80").alias("own"))
+    painted = pictures.recolour(pictures.rasters(fx.pictures(spark, d)).join(labels, "name"), F.col("own"))
+    return canvas.paint(boxes, painted, 320, 200)
+
+
 _TRIPLET = """trip AS (SELECT *, replace(Center, ' ', '') || '_' || least(replace("Left", ' ', ''), replace("Right", ' ', '')) || '_' || greatest(replace("Left", ' ', ''), replace("Right", ' ', '')) AS triplet FROM trials)"""
 
 
@@ -338,6 +364,22 @@ def hoacc(spark, d):
     return own_accuracy(spark, d)
 
 
+@query("""known AS (SELECT worker_id, item FROM emb WHERE dim_0 > 0), named AS (SELECT worker_id, unnest([Center, "Left", "Right"]) AS item FROM trials)
+SELECT DISTINCT worker_id, item FROM named ANTI JOIN known USING (worker_id, item)""")
+def missing_items(spark, d):
+    """What each participant judged and a model of the items on one side of the first axis lacks."""
+    return predict.missing_items(fx.trials(spark, d), fx.embeddings(spark, d).where(F.get("coords", 0) > 0), by=("worker_id",))
+
+
+@query("""first AS (SELECT worker_id, row_number() OVER (ORDER BY min(trial_ix)) - 1 AS worker_ix FROM trials GROUP BY 1)
+SELECT worker_id, worker_ix, Center, Answer FROM trials JOIN first USING (worker_id) WHERE worker_ix BETWEEN 9 AND 39""")
+def participants_by_place(spark, d):
+    """The tenth to the fortieth participant of a combined file."""
+    path = new_path(spark, "triplets.csv")
+    io.write_csv(fx.trials(spark, d).orderBy("trial_ix"), path)
+    return io.at_places(io.get_combined(spark, path), range(10, 41)).select("worker_id", "worker_ix", "Center", "Answer")
+
+
 _STRENGTH = _DIST + """, strong AS (SELECT *, greatest(sqrt(d1), sqrt(d2)) / nullif(sqrt(d1) + sqrt(d2), 0) AS strength FROM pred)"""
 
 

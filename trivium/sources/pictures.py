@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trivium.shipping import ship
@@ -98,6 +98,6 @@ def rasters(pictures: DataFrame, colour: str = OPAQUE) -> DataFrame:
     return pictures.select("name", decoded("content").alias("raster"))
 
 
-def recolour(rasters_: DataFrame, colour: str) -> DataFrame:
-    """Opaque black pixels in another colour."""
+def recolour(rasters_: DataFrame, colour: str | Column) -> DataFrame:
+    """Opaque black pixels in another colour, the same for all pictures or a column's."""
     return rasters_.withColumn("raster", F.transform("raster", lambda row: F.transform(row, lambda p: F.when(p == OPAQUE, colour).otherwise(p))))

@@ -227,6 +227,14 @@ def get_combined(spark: SparkSession, path: str, embeddings: bool = False) -> Da
     return combined_embeddings(d) if embeddings else combined_trials(d)
 
 
+def at_places(d: DataFrame, places: list[int] | range) -> DataFrame:
+    """The participants at 1-based places of a combined table (by worker_ix), as a part of a list; a place beyond it gives nothing."""
+    ix = F.col("worker_ix") + 1
+    if isinstance(places, range) and places.step == 1:
+        return require(d, "worker_ix").where(ix.between(places.start, places.stop - 1))
+    return require(d, "worker_ix").where(ix.isin(list(places)))
+
+
 def write_csv(d: DataFrame, path: str, one_file: bool = False) -> None:
     """CSV with a header; nulls as NA. one_file gathers all rows in one task, for small results."""
     (d.coalesce(1) if one_file else d).write.mode("overwrite").csv(path, header=True, nullValue="NA", emptyValue="")
