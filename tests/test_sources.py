@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests import plain_png
 from trivium.sources import pictures
 from trivium.sources import trials as io
 from trivium.streaming import monitor
@@ -110,7 +111,7 @@ def png(pixels, colour=2, filters=(0, 1, 2, 3, 4)):
 def test_pictures(spark, tmp_path):
     pixels = np.random.default_rng(1).integers(0, 256, (12, 9, 3))
     pixels[3, 4] = 255
-    assert (pictures.decode_png(png(pixels)) * 255).round().astype(int).tolist() == pixels.tolist()
+    assert (plain_png.decode_png(png(pixels)) * 255).round().astype(int).tolist() == pixels.tolist()
     grey = np.array([[[255], [0]], [[7], [255]]])
     (tmp_path / "cat.png").write_bytes(png(grey, colour=0))
     (tmp_path / "note.txt").write_text("x")
@@ -120,6 +121,20 @@ def test_pictures(spark, tmp_path):
     assert red == [[pictures.CLEAR, "red"], ["red", pictures.CLEAR]]
 
 
+def test_pictures_of_all_kinds_equal_their_definition(spark, tmp_path):
+    rnd = np.random.default_rng(5)
+    kinds = {"grey": (0, 1), "colour": (2, 3), "alpha": (6, 4)}
+    for name, (colour, channels) in kinds.items():
+        pixels = np.where(rnd.random((7, 5, channels)) < 0.4, 255, rnd.integers(0, 256, (7, 5, channels)))
+        (tmp_path / f"{name} picture.png").write_bytes(png(pixels, colour=colour))
+    (tmp_path / "broken.png").write_bytes(b"no picture")
+    got = {r.name: r.raster for r in pictures.rasters(pictures.read_pictures(spark, str(tmp_path)), "#010203FF").collect()}
+    assert got.pop("broken") is None and set(got) == {f"{k} picture" for k in kinds}
+    for name, raster in got.items():
+        first = plain_png.decode_png((tmp_path / f"{name}.png").read_bytes())[:, :, 0]
+        assert raster == np.where(first == 1, pictures.CLEAR, "#010203FF").tolist()
+
+
 def test_stream(spark, tmp_path):
     schema = "trial_ix long, worker_id string, rt double, Center string, Left string, Right string, Answer string, head long, winner long, loser long, sampleAlg string, sampleSet string"
     rows = [(k, f"w{k % 2}", 10.0 * k, "a", "a", "b", "a" if k % 3 else "b", 0, 0, 1, "check", None) for k in range(12)]

@@ -198,6 +198,12 @@ def _dot(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: x * y))
 
 
+def same_items(p: DataFrame) -> None:
+    """Raises if packed embeddings have different items."""
+    if p.agg(F.count_distinct(F.sort_array("items")).alias("n")).first().n > 1:
+        raise ValueError("all embeddings need the same items")
+
+
 def packed(embeddings: DataFrame, dims: int, strict: bool = True) -> DataFrame:
     """(worker_id, worker_ix, items, c0, c1, ...): arrays by item, centred, with unit sum of squares.
 
@@ -210,8 +216,8 @@ def packed(embeddings: DataFrame, dims: int, strict: bool = True) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("item_ix", "item", "coords"))).alias("r"))
     flat = rows.select("worker_id", "worker_ix", F.transform("r", lambda x: x["item"]).alias("items"), *[
         F.transform("r", _at(k)).alias(f"r{k}") for k in range(dims)])
-    if strict and flat.agg(F.count_distinct(F.sort_array("items")).alias("n")).first().n > 1:
-        raise ValueError("all embeddings need the same items")
+    if strict:
+        same_items(flat)
     centred = flat.select("worker_id", "worker_ix", "items", *[(_sum(F.col(f"r{k}")) / F.size("items")).alias(f"m{k}") for k in range(dims)], *[f"r{k}" for k in range(dims)]).select(
         "worker_id", "worker_ix", "items", *[F.transform(f"r{k}", _minus(f"m{k}")).alias(f"r{k}") for k in range(dims)])
     norm = F.sqrt(sum((_dot(F.col(f"r{k}"), F.col(f"r{k}")) for k in range(dims)), F.lit(0.0)))
@@ -266,7 +272,9 @@ def rep_dist(embeddings: DataFrame, rootflag: bool = True, dims: int | None = No
     a tile is sent once for each cell of its row and column, not for each partner.
     """
     dims = dims or dimensions(embeddings)
-    p = materialize(packed(embeddings, dims, strict), "packed_embeddings")
+    p = materialize(packed(embeddings, dims, strict=False), "packed_embeddings")
+    if strict:
+        same_items(p)
     n, items = p.agg(F.count("*"), F.coalesce(F.max(F.size("items")), F.lit(1))).first()
     count = max(1, -(-n // max(1, min(tile, TILE_BYTES // (8 * dims * max(1, items))))))
     side = max(1, min(8, count // 8))

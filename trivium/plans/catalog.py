@@ -262,12 +262,12 @@ def _pixels(made: DataFrame) -> DataFrame:
 
 @query(_PIXELS.format("#000000FF"))
 def picture_rasters(spark, d):
-    return _pixels(pictures.rasters(fx.pictures(spark, d)))
+    return _pixels(pictures.rasters(pictures.read_pictures(spark, fx.picture_folder(spark, d))))
 
 
 @query(_PIXELS.format("#FF0000FF"))
 def picture_recolour(spark, d):
-    return _pixels(pictures.recolour(pictures.rasters(fx.pictures(spark, d)), "#FF0000FF"))
+    return _pixels(pictures.recolour(pictures.rasters(pictures.read_pictures(spark, fx.picture_folder(spark, d))), "#FF0000FF"))
 
 
 @alone("""WITH p AS (SELECT vec_id, label, embedding AS e, CAST(embedding[1] AS DOUBLE) AS px, CAST(embedding[2] AS DOUBLE) AS py FROM embeddings),
@@ -292,7 +292,7 @@ def picture_canvas(spark, d):
     points = e.select(F.col("vec_id").alias("item_ix"), name.alias("item"), F.col("embedding").cast("array<double>").alias("coords"))
     boxes = layout.plot_layout(points, psize=0.02).join(points.select("item", F.col("item_ix").alias("place")), "item")
     labels = e.select(name.alias("name"), F.when(F.coalesce("label", F.lit(0)) % 2 == 0, "#FF0000FF").otherwise("#0000FF80").alias("own"))
-    painted = pictures.recolour(pictures.rasters(fx.pictures(spark, d)).join(labels, "name"), F.col("own"))
+    painted = pictures.recolour(pictures.rasters(pictures.read_pictures(spark, fx.picture_folder(spark, d))).join(labels, "name"), F.col("own"))
     return canvas.paint(boxes, painted, 320, 200)
 
 

@@ -5,14 +5,19 @@ The same SQL text serves Spark and, as common table expressions, DuckDB.
 
 from __future__ import annotations
 
+import os
 import struct
+import tempfile
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trivium.scratch import new_path
 from trivium.shipping import ship
 
 TRIALS_SQL = """
@@ -117,3 +122,23 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
         return v.map(png)
 
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.concat(F.lit("vec"), F.col("vec_id").cast("string")).alias("name"), drawn("embedding").alias("content"))
+
+
+def picture_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of the PNG files, each written by the task that drew it; the scratch folder must be a path that tasks can write to."""
+    folder = new_path(spark, "pictures")
+    path = folder.removeprefix("file://")
+    if "://" in path:
+        raise RuntimeError("pictures are written to file systems that are mounted only")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(path, exist_ok=True)
+        for batch in batches:
+            for name, content in zip(*batch.columns, strict=True):
+                with tempfile.NamedTemporaryFile(dir=path, prefix=".", delete=False) as f:
+                    f.write(content.as_py())
+                os.replace(f.name, f"{path}/{name.as_py()}.png")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    pictures(spark, sf_dir).mapInArrow(write, "n long").agg(F.sum("n")).first()
+    return folder
