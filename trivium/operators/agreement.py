@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trivium.schema import require, small
+from trivium.schema import held, require
 
 
 def triplet_key(center: str = "Center", left: str = "Left", right: str = "Right") -> Column:
@@ -48,14 +48,14 @@ def by_subject(d: DataFrame) -> DataFrame:
     of a study are few and are broadcast after a count.
     """
     answers, best = last_answers(d), majority(d)
-    grid = d.select("worker_id").where("worker_id is not null").distinct().join(small(best), F.lit(True))
+    grid = d.select("worker_id").where("worker_id is not null").distinct().join(held(best), F.lit(True))
     agree = (F.col("Answer") == F.col("majority")).cast("int")
     return grid.join(answers, ["worker_id", "triplet"], "left").select("worker_id", "triplet", agree.alias("agree"))
 
 
 def worker_agreement(d: DataFrame) -> DataFrame:
     """(worker_id, agreement, n): mean agreement of each worker over the triplets they answered."""
-    met = last_answers(d).join(small(majority(d)), "triplet").where("worker_id is not null and Answer is not null")
+    met = last_answers(d).join(held(majority(d)), "triplet").where("worker_id is not null and Answer is not null")
     return met.groupBy("worker_id").agg(F.avg((F.col("Answer") == F.col("majority")).cast("double")).alias("agreement"), F.count("*").alias("n"))
 
 

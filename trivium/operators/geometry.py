@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trivium.operators.predict import squared_distance
-from trivium.schema import require, small
+from trivium.schema import held, require, small
 from trivium.scratch import materialize
 from trivium.shipping import ship
 
@@ -330,7 +330,7 @@ def normalised(embeddings: DataFrame, dims: int, strict: bool = True) -> DataFra
         raise ValueError("all embeddings need the same items")
     centred = e.join(small(told.select("worker_id", "mean")), "worker_id").select("worker_id", "item_ix", F.zip_with(F.slice("coords", 1, dims), "mean", lambda x, m: x - m).alias("coords"))
     norms = centred.groupBy("worker_id").agg(F.sqrt(F.sum(_dot(F.col("coords"), F.col("coords")))).alias("norm"))
-    return centred.join(small(norms), "worker_id").select("worker_id", "item_ix", F.transform("coords", lambda x: x / F.nullif(F.col("norm"), F.lit(0.0))).alias("coords"))
+    return centred.join(held(norms), "worker_id").select("worker_id", "item_ix", F.transform("coords", lambda x: x / F.nullif(F.col("norm"), F.lit(0.0))).alias("coords"))
 
 
 def rep_dist_ranges(embeddings: DataFrame, rootflag: bool = True, dims: int | None = None, strict: bool = True, items: int = 1024, workers: int = 32) -> DataFrame:
@@ -438,7 +438,7 @@ def align_embeddings(embeddings: DataFrame, scale: bool = True, base: str | None
 def group_mean_aligned(embeddings: DataFrame, clusters: DataFrame, dims: int | None = None, strict: bool = True) -> DataFrame:
     """(cluster, item_ix, item, coords): mean of each group's embeddings, aligned on its first member."""
     dims = dims or dimensions(embeddings)
-    p = packed(embeddings, dims, strict).join(small(clusters.select("worker_id", F.col("cluster").cast("int").alias("cluster"))), "worker_id")
+    p = packed(embeddings, dims, strict).join(held(clusters.select("worker_id", F.col("cluster").cast("int").alias("cluster"))), "worker_id")
     first = p.groupBy("cluster").agg(F.min_by(F.struct(*[f"c{k}" for k in range(dims)]), F.struct("worker_ix", "worker_id")).alias("b")).select(
         "cluster", *[F.col(f"b.c{k}").alias(f"b_c{k}") for k in range(dims)])
     rows = _unpack(_align(p, first, dims, True, by="cluster"), dims, "cluster")
@@ -478,7 +478,7 @@ def rotated(mean: DataFrame, dims: int) -> DataFrame:
     turned = mean.join(axes, "cluster").select("cluster", "item_ix", "item", "n", *[_dot(F.col("coords"), F.slice("axes", k * dims + 1, dims)).alias(f"y{k}") for k in range(dims)])
     turned = materialize(turned, "turned")
     largest = [F.max_by(F.signum(f"y{k}"), F.struct(F.round(F.abs(f"y{k}"), 12), -F.col("item_ix"))).alias(f"s{k}") for k in range(dims)]
-    signs = small(turned.groupBy("cluster").agg(*largest))
+    signs = held(turned.groupBy("cluster").agg(*largest))
     kept = F.slice(F.array(*[F.when(F.col(f"s{k}") < 0, -F.col(f"y{k}")).otherwise(F.col(f"y{k}")) for k in range(dims)]), 1, F.least(F.lit(dims), F.col("n")).cast("int"))
     return turned.join(signs, "cluster").select("cluster", "item_ix", "item", kept.alias("coords"))
 

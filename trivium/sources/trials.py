@@ -196,7 +196,7 @@ def _ordered(d: DataFrame) -> DataFrame:
         rows = materialize(rows.withColumn("trial_ix", F.monotonically_increasing_id()), "ordered")  # ids are given once
     first = rows.groupBy("worker_id").agg(F.min("trial_ix").alias("f"))
     ranked = numbered(first, "f", "place").select("worker_id", (F.col("place") - 1).cast("long").alias("worker_ix"))
-    return rows.join(small(ranked), "worker_id")
+    return rows.join(held(ranked), "worker_id")
 
 
 def combined_trials(d: DataFrame) -> DataFrame:
