@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trivium.schema import require, small
+from trivium.schema import BROADCAST_ROWS, require, small
 from trivium.scratch import mark, materialize, release
 from trivium.sources.trials import numbered
 
@@ -57,11 +57,13 @@ def agglomerate(dist: DataFrame, items: DataFrame, a: str, b: str, method: str)
                                F.when(first, F.col("m.ni")).otherwise(F.col("m.nj")).alias("na"), F.when(first, F.col("m.nj")).otherwise(F.col("m.ni")).alias("nb"))
         mutual = pairs.groupBy("a", "b").agg(F.max("height").alias("height"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.count("*").alias("c")).where("c = 2")
         found = materialize(mutual.select("a", "b", "na", "nb", "height", F.lit(turn).alias("round")), "merges")
-        if found.isEmpty():
+        count = found.count()
+        if not count:
             break
         made = found if made is None else made.unionByName(found)
         ends = found.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("partner")), F.struct(F.col("b").alias("x"), F.col("a").alias("partner")))).alias("e"), F.col("a").alias("into"), F.col("height").alias("h"))
-        merged = small(ends.select("e.x", "e.partner", "into", "h"))
+        merged = ends.select("e.x", "e.partner", "into", "h")
+        merged = F.broadcast(merged) if 2 * count <= BROADCAST_ROWS else merged
         rows = _updated(_both(upper), merged, "i", "j", method)
         upper = materialize(_updated(rows, merged, "j", "i", method).where("i < j").select("i", "j", "d", "ni", "nj"), "distances")
     every = materialize(made if made is not None else found, "all_merges")
