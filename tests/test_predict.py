@@ -197,3 +197,29 @@ def test_majority(spark):
     assert agreement.majority(last_null).first().majority is None
     with pytest.raises(ValueError):
         agreement.make_vmat(d.where("sampleAlg = 'random'"))
+
+
+@pytest.mark.parametrize("tile", [(1 << 17, 1 << 22), (30, 400)])
+def test_moments_are_sums_of_the_matrix(spark, monkeypatch, tile):
+    monkeypatch.setattr(predict, "TILE_TRIALS", tile[0]), monkeypatch.setattr(predict, "TILE_BYTES", tile[1])
+    emb, rows = random_study(5)
+    e, t = spark.createDataFrame(emb, EMBEDDINGS), spark.createDataFrame([x for x in rows if x[0] == "w2" or x[5] is not None and "i7" not in x[2:5] and ("i2" not in x[2:5] or x[0] in ("w0", "w3"))], TRIALS)
+    names = sorted({x[1] for x in emb} | {x[0] for x in rows} - {None})
+    cl = spark.createDataFrame([(w, (1, 2, None)[k % 3]) for k, w in enumerate(names[:-1])], "worker_id string, cluster int")
+    pred, plain, grouped = (x.localCheckpoint() for x in (predict.prediction_matrix(e, t), predict.prediction_moments(e, t), predict.prediction_moments(e, t, cl)))
+    key = lambda df: sorted((tuple(None if x is None else x if isinstance(x, (str, int)) else round(x, 9) for x in r) for r in df.collect()), key=repr)
+    for old, new in ((compare.z_pred_mat(pred), compare.z_of_moments(plain)), (compare.diag_offdiag(pred), compare.diag_offdiag_of_moments(plain)),
+                     (compare.pacc_samediff(pred, cl, False), compare.samediff_of_moments(grouped, cl, False)), (compare.pacc_by_cluster(pred, cl, False), compare.by_cluster_of_moments(grouped, cl, False))):
+        assert key(old) == key(new) and old.columns == new.columns
+    with pytest.raises(ValueError):
+        compare.samediff_of_moments(grouped, cl.where("worker_id <> 'w1'"))
+
+
+def test_no_query_on_judges_makes_or_broadcasts_the_matrix(spark):
+    """Neither the rows of the matrix nor a tile that is sent to many cells, whose estimate is far too low."""
+    emb, rows = random_study(4)
+    e, t = spark.createDataFrame(emb, EMBEDDINGS), spark.createDataFrame(rows, TRIALS)
+    for made in (predict.prediction_moments(e, t), predict.prediction_matrix(e, t)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [t#" in plan
+    assert "model_id" not in predict.prediction_moments(e, t)._jdf.queryExecution().executedPlan().toString()
