@@ -79,3 +79,12 @@ def test_axes_by_moments_of_groups_over_many_tasks(spark):
         own = [got[(c, i)] for i in range(len(want))]
         assert np.allclose(own, want, atol=1e-9)
     assert "FlatMapGroupsInPandas" not in geometry.rotated(df, 4)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_items_are_sent_once_a_cell_of_groups(spark, monkeypatch):
+    """Without clusters every item visits every block; it is sent for each group of blocks only."""
+    e = spark.range(512).select(F.concat(F.lit("i"), "id").alias("item"), F.transform(F.sequence(F.lit(1), F.lit(24)), lambda k: F.pmod(F.xxhash64("id", k), F.lit(1000)).cast("double")).alias("coords"))
+    sent = []
+    monkeypatch.setattr(type(e), "repartition", lambda self, *a, _f=type(e).repartition: (sent.append(self.count()) if "j" in a else None) or _f(self, *a))
+    got = geometry.nearest_k_blocks(e, 3, 16, 64, 256)
+    assert got.count() == 3 * 512 and sent[0] <= 512 * 4

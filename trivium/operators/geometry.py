@@ -14,12 +14,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trivium.operators.predict import squared_distance
 from trivium.schema import held, require, small
-from trivium.scratch import materialize
+from trivium.scratch import mark, materialize, release
 from trivium.shipping import ship
 
 #: Bytes of a tile of packed embeddings.
@@ -133,36 +134,79 @@ def nearest_visits(blocks: DataFrame, index: Index, k: int) -> DataFrame:
     return materialize(blocks.select("pivot", "part", "r").mapInArrow(visit, schema), "visits")
 
 
-def nearest_k_blocks(embedding: DataFrame, k: int = 5, block: int = 1024, pivots: int = 1024, queries: int = 4096) -> DataFrame:
+def _best(q: np.ndarray, r: np.ndarray, bound: np.ndarray, own: np.ndarray | None, other: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of q, rows of r, distances) of the k + 1 rows of r nearest to each row of q and about within its bound, ties by place in r.
+    Rows of an equal own and other don't count. Products tell roughly which are near enough; exact distances are taken of those only."""
+    square_q, square_r, kept = (q * q).sum(1), (r * r).sum(1), min(k, len(r) - 1)
+    rough = square_q[:, None] + square_r - 2 * (q @ r.T)
+    if own is not None:
+        rough[own[:, None] == other] = np.inf
+    most = np.minimum(np.partition(rough, kept, axis=1)[:, kept], bound * bound) + 1e-9 * (square_q + square_r.max())
+    row, near = np.nonzero((rough <= most[:, None]) & (rough < np.inf))
+    each = [((r[near[s : s + 65536]] - q[row[s : s + 65536]]) ** 2).sum(1) for s in range(0, len(row), 65536)]
+    dist = np.sqrt(np.concatenate(each)) if each else np.empty(0)
+    order = np.lexsort((near, dist, row))
+    row = row[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k + 1
+    return row[first], near[order][first], dist[order][first]
+
+
+def nearest_groups(index: Index, size: int) -> list[tuple[int, int, int]]:
+    """(pivot, part, grp) of all blocks: blocks of about so many items in all make a group, those of pivots as far from the first one together."""
+    order = np.argsort(((index.pivots - index.pivots[:1]) ** 2).sum(1), kind="stable")
+    blocks = [(int(p), part, index.counts[p] / index.parts[p]) for p in order for part in range(index.parts[p])]
+    return [(p, part, int(before // size)) for (p, part, n), before in zip(blocks, np.cumsum([0, *[n for _, _, n in blocks]]), strict=False)]
+
+
+def nearest_k_blocks(embedding: DataFrame, k: int = 5, block: int = 1024, pivots: int = 1024, queries: int = 16384) -> DataFrame:
     """nearest_k of the distances within one embedding(item, coords), without a row for each pair.
 
     Items are dealt to blocks by the nearest of a bounded number of pivots. An item's own block bounds the distance of its k-th
-    neighbour; by the triangle inequality it has to visit only pivots whose items may lie within that bound, and goes there in
-    packs of queries, which meet a block by its key. Each keeps the k + 1 best of each item. Exact for any data: without
-    clusters, all blocks are visited. Items' names are different.
+    neighbour; by the triangle inequality it has to visit only pivots whose items may lie within that bound. Blocks make groups of
+    about `queries` items, and two groups, one of which has to visit the other, meet in one cell of a grid: an item is sent once
+    for each such partner of its group, not for each block. A cell keeps the k + 1 best of each item. Exact for any data: without clusters, all
+    groups meet. Items' names are different.
     """
-    ship(embedding.sparkSession)
+    spark = embedding.sparkSession
+    ship(spark)
+    start = mark(spark)
     blocks, index = nearest_index(embedding, block, pivots)
     items = nearest_visits(blocks, index, k)
+    release(spark, start, mark(spark) - 1)  # the items have all that follows
     own = items.select(F.col("item").alias("item_a"), F.explode("near").alias("x")).select("item_a", "x.item_b", "x.dist")
-    parts = F.get(F.array(*[F.lit(int(x)) for x in index.parts]), F.col("to"))
-    packs = max(1, -(-int(index.counts.sum()) // queries))
-    sent = items.select("item", "coords", "bound", "pivot", "part", F.explode("visits").alias("to")).select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("to_part")).where("pivot <> to or part <> to_part")
-    packed = sent.groupBy(F.col("to").alias("pivot"), F.col("to_part").alias("part"), F.pmod(F.xxhash64("item"), F.lit(packs)).alias("pack")).agg(
-        F.collect_list(F.struct("item", "coords", "bound")).alias("q"))
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                q, r = (batch.column(c)[row].values for c in (0, 1))
-                names_a, names_b = q.field("item").to_pylist(), r.field("item").to_pylist()
-                found = _closest(names_a, _matrix(q.field("coords")), names_b, _matrix(r.field("coords")), q.field("bound").to_numpy(), k)
-                sizes = [len(d) for _, d in found]
-                yield pa.RecordBatch.from_arrays([q.field("item").take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array([n for x, _ in found for n in x], pa.string()),
-                                                  pa.array([d for _, x in found for d in x], pa.float64())], names=["item_a", "item_b", "dist"])
-
-    met = packed.join(blocks, ["pivot", "part"]).select("q", "r").repartition(embedding.sparkSession.sparkContext.defaultParallelism)
-    return nearest_k(own.unionByName(met.mapInArrow(nearest, "item_a string, item_b string, dist double")), k)
+    groups = F.broadcast(spark.createDataFrame(nearest_groups(index, queries), "pivot int, part int, grp int"))  # about a row a block
+    goes = items.select("pivot", "part", "visits").distinct().join(groups, ["pivot", "part"]).select("grp", F.explode("visits").alias("pivot")).distinct()
+    pairs = goes.join(groups.select("pivot", F.col("grp").alias("to")), "pivot").select(F.least("grp", "to").alias("i"), F.greatest("grp", "to").alias("j")).distinct()
+    pairs = held(pairs)
+    cells = pairs.count()
+    met = pairs.select(F.explode(F.array_distinct(F.array("i", "j"))).alias("grp"), "i", "j")
+    placed = items.select("item", "coords", "bound", "pivot", "part").join(groups, ["pivot", "part"])
+    sent = placed.join(met, "grp").select("i", "j", "grp", "pivot", "part", "item", "coords", "bound")
+    shared = spark.sparkContext.broadcast(index)
+
+    def nearest(cell: pa.Table) -> pa.Table:
+        cell = cell.take(pa.compute.sort_indices(cell.column("item")))  # ties go by name
+        i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+        grp, pivot, part, bound = (cell.column(c).to_numpy() for c in ("grp", "pivot", "part", "bound"))
+        x, at, out = np.concatenate([_matrix(c) for c in cell.column("coords").chunks]), (pivot.astype(np.int64) << 32) + part, []
+        for g, h in ((i, j), (j, i))[: 1 + (i != j)]:
+            q, r = np.flatnonzero(grp == g), np.flatnonzero(grp == h)
+            there = np.unique(pivot[r])
+            for s in range(0, len(q), 256):
+                a = q[s : s + 256]
+                far = np.sqrt(((x[a, None] - shared.value.pivots[there]) ** 2).sum(2))
+                radii = shared.value.radii[there]
+                may = far - radii - bound[a, None] <= 1e-9 * (far + radii + 1)
+                a, b = a[may.any(1)], r[np.isin(pivot[r], there[may.any(0)])]
+                if len(a) and len(b):
+                    row, near, dist = _best(x[a], x[b], bound[a], *((at[a], at[b]) if i == j else (None, None)), k)
+                    out.append((a[row], b[near], dist))
+        a, b, dist = (np.concatenate([o[c] for o in out]) if out else np.empty(0, np.int64 if c < 2 else float) for c in range(3))
+        return pa.table({"item_a": cell.column("item").take(pa.array(a)), "item_b": cell.column("item").take(pa.array(b)), "dist": pa.array(dist)})
+
+    # a number of its own: the cells would else be coalesced into a few tasks
+    dealt = sent.repartition(max(4 * spark.sparkContext.defaultParallelism, cells // 2), "i", "j")
+    return nearest_k(own.unionByName(dealt.groupBy("i", "j").applyInArrow(nearest, "item_a string, item_b string, dist double")), k)
 
 
 def nearest_to(dist: DataFrame, item: str, k: int = 5) -> DataFrame:
