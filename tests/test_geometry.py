@@ -186,3 +186,14 @@ def test_layout(spark):
         layout.plot_layout(p, pc=["a", "b"])
     with pytest.raises(ValueError):
         layout.plot_layout(p, pictures=spark.createDataFrame([("x",)], "name string"))
+
+
+def test_rep_dist_sends_packs_of_tiles_and_broadcasts_none(spark, monkeypatch):
+    """Tiles of two packs meet in one cell; the result doesn't depend on how many tiles are sent together."""
+    rows = [(w, f"w{w}", i, f"i{i}", [float((w * 7 + i * i) % 11), float((w * 3 + i * 5) % 13)]) for w in range(20) for i in range(5)]
+    e = spark.createDataFrame(rows, "worker_ix long, worker_id string, item_ix long, item string, coords array<double>")
+    one = sorted(map(tuple, geometry.rep_dist(e, dims=2, tile=1).collect()))
+    monkeypatch.setattr(geometry, "SIDE", 1)
+    made = geometry.rep_dist(e, dims=2, tile=1)
+    assert "SortMergeJoin [i#" in made._jdf.queryExecution().executedPlan().toString()
+    assert len(one) == 400 and one == sorted(map(tuple, made.collect()))

@@ -25,6 +25,8 @@ from trivium.shipping import ship
 
 #: Bytes of a tile of packed embeddings.
 TILE_BYTES = 1 << 22
+#: Tiles that are sent together.
+SIDE = 32
 
 
 def pairwise_dist(embeddings: DataFrame) -> DataFrame:
@@ -312,41 +314,45 @@ def rep_dist(embeddings: DataFrame, rootflag: bool = True, dims: int | None = No
     """(worker_a, worker_b, dist): symmetric Procrustes distances, both ways, 0 from oneself.
 
     rootflag: 1 - root of the explained share; else 1 - the share itself. All pairs are the result, so packed
-    embeddings are gathered in tiles of at most `tile` participants and TILE_BYTES, and tiles meet in cells of a grid of blocks:
-    a tile is sent once for each cell of its row and column, not for each partner.
+    embeddings are gathered in tiles of at most `tile` participants and TILE_BYTES, and tiles in packs of up to SIDE, which meet in the
+    cells of a grid: a pack is sent once for each partner. A cell gives its rows out by pairs of tiles.
     """
     dims = dims or dimensions(embeddings)
     p = materialize(packed(embeddings, dims, strict=False), "packed_embeddings")
     if strict:
         same_items(p)
     n, items = p.agg(F.count("*"), F.coalesce(F.max(F.size("items")), F.lit(1))).first()
-    count = max(1, -(-n // max(1, min(tile, TILE_BYTES // (8 * dims * max(1, items))))))
-    side = max(1, min(8, count // 8))
-    blocks, block = -(-count // side), F.expr(f"tile div {side}")
-    sent = _tiles(p, dims, count).select("*", block.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select(
-        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "tile", "ids", "xs")
+    each = 8 * dims * max(1, items)
+    many = max(1, min(tile, TILE_BYTES // each))
+    count = max(1, -(-n // many))
+    side = max(1, min(SIDE, count // 8, 4 * TILE_BYTES // (each * many)))
+    blocks = -(-count // side)
+    packs = _tiles(p, dims, count).groupBy(F.expr(f"tile div {side}").cast("int").alias("own")).agg(F.collect_list(F.struct("tile", "ids", "xs")).alias("tiles"))
+    # a number of its own: the few packs would else be coalesced into one task. Neither side is small, whatever its estimate says
+    tasks = max(4 * p.sparkSession.sparkContext.defaultParallelism, blocks * blocks // 8)
+    left = packs.select(F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.lit(blocks - 1))).alias("j"), F.col("tiles").alias("a")).repartition(tasks, "i", "j")
+    right = packs.select(F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("tiles").alias("b")).repartition(tasks, "i", "j")
+
+    def opened(tiles: pa.StructArray) -> list[tuple[int, pa.Array, np.ndarray]]:
+        return [(t.as_py(), ids.values, np.asarray(xs.values.flatten()).reshape(len(ids), -1)) for t, ids, xs in zip(*[tiles.field(c) for c in ("tile", "ids", "xs")], strict=True)]
 
-    def distances(cell: pa.Table) -> pa.Table:
-        i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
-        held = [(t, ids.values, np.asarray(xs.values.flatten()).reshape(len(ids), -1)) for t, ids, xs in zip(
-            cell.column("tile").to_pylist(), cell.column("ids"), cell.column("xs"), strict=True)]
-        out = []
-        for at, ids_a, xs_a in held:
-            for bt, ids_b, xs_b in held:
-                if (at > bt) if i == j else (at // side, bt // side) != (i, j):
-                    continue
-                t = _traces(xs_a, xs_b, dims)
-                d = (1 - t) if rootflag else (1 - t * t)
-                r, c = np.triu_indices(len(ids_a), 1) if at == bt else (x.ravel() for x in np.indices(d.shape))
-                a, b, v = ids_a.take(pa.array(r)), ids_b.take(pa.array(c)), pa.array(d[r, c])
-                out += [(a, b, v), (b, a, v)]
-                if at == bt:
-                    out.append((ids_a, ids_a, pa.array(np.zeros(len(ids_a)))))
-        return pa.table({name: pa.chunked_array([x[k] for x in out], kind) for k, (name, kind) in enumerate((("worker_a", pa.string()), ("worker_b", pa.string()), ("dist", pa.float64())))})
-
-    # a number of its own: the few packed tiles would else be coalesced into one task
-    tasks = 4 * p.sparkSession.sparkContext.defaultParallelism
-    return sent.repartition(max(tasks, blocks * blocks // 8), "i", "j").groupBy("i", "j").applyInArrow(distances, "worker_a string, worker_b string, dist double")
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                same, second = batch.column("same")[row].as_py(), opened(batch.column("b")[row].values)
+                for at, ids_a, xs_a in opened(batch.column("a")[row].values):
+                    for bt, ids_b, xs_b in second:
+                        if same and at > bt:
+                            continue
+                        t = _traces(xs_a, xs_b, dims)
+                        d = (1 - t) if rootflag else (1 - t * t)
+                        r, c = np.triu_indices(len(ids_a), 1) if at == bt else (x.ravel() for x in np.indices(d.shape))
+                        a, b, v = ids_a.take(pa.array(r)), ids_b.take(pa.array(c)), pa.array(d[r, c])
+                        for columns in ((a, b, v), (b, a, v), *([(ids_a, ids_a, pa.array(np.zeros(len(ids_a))))] if at == bt else [])):
+                            yield pa.RecordBatch.from_arrays(list(columns), names=["worker_a", "worker_b", "dist"])
+
+    met = left.hint("merge").join(right, ["i", "j"]).select((F.col("i") == F.col("j")).alias("same"), "a", "b")
+    return met.mapInArrow(distances, "worker_a string, worker_b string, dist double")
 
 
 def _summed(rows: DataFrame, keys: list[str], size: int, fan: int = 64) -> DataFrame:
