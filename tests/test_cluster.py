@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 
 from tests import plain_cluster
-from trivium.operators import cluster
+from trivium.operators import cluster, geometry
+from trivium.plans import fixtures as fx
+from trivium.plans.catalog import QUERIES
 
 DIST = "worker_a string, worker_b string, dist double"
 
@@ -50,3 +52,44 @@ def test_unknown_methods_and_no_items(spark):
         cluster.hclust_cut(frame(spark, np.zeros((2, 2))), 0)
     none = spark.createDataFrame([], DIST)
     assert cluster.hclust(none).count() == 0 and cluster.hclust_cut(none, 3).count() == 0 and cluster.tip_coords(none, "worker_a", "worker_b").count() == 0
+
+
+@pytest.mark.parametrize("method", ["ward.D", "complete"])
+def test_copies_join_first_and_need_no_distances(spark, method):
+    """The tree of all items, from the distances of different ones."""
+    kinds = np.array([2, 0, 1, 0, 3, 2, 0, 4, 2, 5])
+    d = random_distances(6, 3)[kinds][:, kinds]
+    first = [int(np.argmax(kinds == k)) for k in kinds]
+    keep = set(first)
+    far = [(f"i{a:02d}", f"i{b:02d}", float(d[a, b])) for a in keep for b in keep]
+    copies = spark.createDataFrame([(f"i{x:02d}", f"i{y:02d}") for x, y in enumerate(first)], "name string, first string")
+    want = plain_cluster.merges(d, method)
+    got = cluster.hclust(spark.createDataFrame(far, DIST), method=method, copies=copies).orderBy("step").collect()
+    assert [(r.left, r.right) for r in got] == [m[:2] for m in want] and [r.height for r in got] == pytest.approx([m[2] for m in want])
+    for k in (3, 8):
+        cut = {r.worker_id: r.cluster for r in cluster.hclust_cut(spark.createDataFrame(far, DIST), k, method=method, copies=copies).collect()}
+        assert [cut[f"i{x:02d}"] for x in range(10)] == plain_cluster.cut(want, k)
+
+
+def test_queries_take_distances_of_different_embeddings_only(spark, tmp_path, monkeypatch):
+    """Participants 4032 apart have the same embedding in the fixtures; each stands in the tree all the same."""
+    users = [0, 1, 2, 70, 4032, 4033, 8064]
+    events = [(k, u, "view", 1.0) for k, u in enumerate(users)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    vectors = [(v, [float((v * v * (k + 3) + 7 * k * v) % 101) for k in range(64)]) for v in range(36)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    seen, rep_dist = [], geometry.rep_dist
+    monkeypatch.setattr(geometry, "rep_dist", lambda e, *x, **y: seen.append({r.worker_id for r in e.select("worker_id").distinct().collect()}) or rep_dist(e, *x, **y))
+    rows = QUERIES["hclust_merges"](spark, str(tmp_path)).orderBy("step").collect()
+    assert seen == [{"0", "1", "2", "70"}]
+    # in name order: 0, 1, 2, 4032, 4033, 70, 8064
+    assert [(r.left, r.right, r.height) for r in rows[:3]] == [(-1, -4, 0.0), (-7, 1, 0.0), (-2, -5, 0.0)] and len(rows) == 6 and rows[3].height > 0
+    whole = cluster.hclust(rep_dist(fx.embeddings(spark, str(tmp_path)), dims=2)).orderBy("step").collect()
+    assert [r.height for r in rows] == pytest.approx([r.height for r in whole], abs=1e-6)
+
+
+def test_shapes_that_cannot_be_scaled_are_no_copies(spark):
+    at = {"a": [1.0, 2.0, 4.0], "b": [1.0, 2.0, 4.0], "c": [3.0, 3.0, 3.0], "d": [3.0, 3.0, 3.0], "e": [1.0, None, 4.0], "f": [1.0, None, 4.0]}
+    rows = [(0, w, i, f"i{i}", [x, 0.0]) for w, xs in at.items() for i, x in enumerate(xs)]
+    e = spark.createDataFrame(rows, "worker_ix long, worker_id string, item_ix long, item string, coords array<double>")
+    assert {r.name: r.first for r in geometry.same_shapes(e, 2).collect()} == {w: "a" if w == "b" else w for w in at}

@@ -24,63 +24,100 @@ def items_of(dist: DataFrame, a: str, b: str) -> DataFrame:
     return numbered(names, "name", "place").select("name", (F.col("place") - 1).cast("long").alias("ix"))
 
 
-def _both(upper: DataFrame) -> DataFrame:
-    return upper.unionByName(upper.select(F.col("j").alias("i"), F.col("i").alias("j"), "d", F.col("nj").alias("ni"), F.col("ni").alias("nj")))
+def _updated(upper: DataFrame, state: DataFrame, method: str) -> DataFrame:
+    """(i, j, d) after a round's merges; state(x, n, into, m, h): each cluster and its size before, the one that it went into and that one's
+    size, and the height of the merge, null where there was none.
 
-
-def _updated(rows: DataFrame, merged: DataFrame, side: str, other: str, method: str) -> DataFrame:
-    """Distances after the merges of one side; merged(x, into, partner, h) has both members of each pair."""
-    met = rows.join(merged, F.col(side) == F.col("x"), "left").where(f"partner is null or partner <> {other}")
-    own, far = F.col(f"n{side}"), F.col(f"n{other}")
-    each = met.groupBy(F.coalesce("into", side).alias("_to"), other).agg(
-        F.sum((own + far) * F.col("d")).alias("_s"), F.sum(own).alias("_n"), F.max(far).alias("_far"), F.max("h").alias("_h"), F.max("d").alias("_d"))
-    ward = (F.col("_s") - F.col("_far") * F.col("_h")) / (F.col("_n") + F.col("_far"))
-    new = F.when(F.col("_h").isNull(), F.col("_d")).otherwise(ward if method == "ward.D" else F.col("_d"))
-    return each.select(F.col("_to").alias(side), other, new.alias("d"), F.col("_n").alias(f"n{side}"), F.col("_far").alias(f"n{other}"))
-
-
-def agglomerate(dist: DataFrame, items: DataFrame, a: str, b: str, method: str) -> DataFrame:
+    Both ends are merged at once: a new distance comes from up to four, of the first or second member on either side.
+    """
+    of = lambda side: state.select(F.col("x").alias(side), *[F.col(c).alias(c + side) for c in ("n", "into", "m", "h")])
+    met = upper.join(of("i"), "i").join(of("j"), "j").where("intoi <> intoj")
+    straight = F.col("intoi") < F.col("intoj")
+    pick = lambda x, y, name: F.when(straight, x).otherwise(y).alias(name)
+    late, later = F.col("i") != F.col("intoi"), F.col("j") != F.col("intoj")
+    sides = met.select(pick(F.col("intoi"), F.col("intoj"), "i"), pick(F.col("intoj"), F.col("intoi"), "j"), pick(late, later, "p"), pick(later, late, "q"), "d", ((F.col("ni") + F.col("nj")) * F.col("d")).alias("s"),
+                       *[pick(F.col(f"{c}{x}"), F.col(f"{c}{y}"), f"{c}{x}") for c in ("m", "h") for x, y in ("ij", "ji")])
+    each = sides.groupBy("i", "j").agg(F.max("d").alias("d"), *[F.max(c).alias(c) for c in ("mi", "mj", "hi", "hj")], *[F.max(F.when(at, F.col("s"))).alias(f"s{k}") for k, at in enumerate((~F.col("p") & ~F.col("q"), ~F.col("p") & F.col("q"), F.col("p") & ~F.col("q"), F.col("p") & F.col("q")))])
+    s = [F.coalesce(f"s{k}", F.lit(0.0)) for k in range(4)]  # added in a fixed order, so that reruns agree
+    ward = ((s[0] + s[1]) + (s[2] + s[3]) - F.col("mj") * F.coalesce("hi", F.lit(0.0)) - F.col("mi") * F.coalesce("hj", F.lit(0.0))) / (F.col("mi") + F.col("mj"))
+    new = F.when(F.col("hi").isNull() & F.col("hj").isNull(), F.col("d")).otherwise(F.greatest(ward, "hi", "hj") if method == "ward.D" else F.col("d"))  # below a merge by rounding only
+    return each.select("i", "j", new.alias("d"))
+
+
+def agglomerate(dist: DataFrame, items: DataFrame, a: str, b: str, method: str, sizes: DataFrame | None = None) -> DataFrame:
     """(a, b, na, nb, height, round), stored: clusters go by their least item, and b's items join those of a. Of equal distances the
-    one to the least item counts as nearest; an item pair that is given twice counts with its greatest distance."""
+    one to the least item counts as nearest; an item pair that is given twice counts with its greatest distance, an unknown distance as
+    the farthest. sizes(x, n): clusters to begin with, of items at one place, by their least
+    item's number, if not every item is one; dist is that of two such items, and none is below 0 then."""
     if method not in METHODS:
         raise ValueError(f"unknown method: {method}")
     table = small(items)
     coded = dist.join(table.select(F.col("name").alias(a), F.col("ix").alias("i")), a).join(table.select(F.col("name").alias(b), F.col("ix").alias("j")), b).where("i <> j")
     start = mark(dist.sparkSession)
-    one = F.lit(1).cast("long")
-    upper = materialize(coded.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.max("dist").alias("d")).withColumns({"ni": one, "nj": one}), "distances")
-    made = None
+    far = F.max(F.coalesce("dist", F.lit(float("nan"))))
+    begun = coded.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(far.alias("d"))
+    if sizes is not None:  # what merging n items of one place with m of another makes of the distance of two
+        n, many = small(sizes), 2 * F.col("n") * F.col("m") / (F.col("n") + F.col("m"))
+        begun = begun.join(n.withColumnRenamed("x", "i"), "i").join(n.select(F.col("x").alias("j"), F.col("n").alias("m")), "j").select(
+            "i", "j", (F.greatest("d", F.lit(0.0)) * (many if method == "ward.D" else F.lit(1.0))).alias("d"))
+    upper = materialize(begun, "distances")
+    sizes = sizes if sizes is not None else items.select(F.col("ix").alias("x"), F.lit(1).cast("long").alias("n"))
+    left, made = sizes.count(), None
     for turn in range(1 << 30):
-        nearest = _both(upper).groupBy("i").agg(F.min(F.struct("d", "j", "ni", "nj")).alias("m"))
-        first = F.col("i") < F.col("m.j")
-        pairs = nearest.select(F.least("i", "m.j").alias("a"), F.greatest("i", "m.j").alias("b"), F.col("m.d").alias("height"),
-                               F.when(first, F.col("m.ni")).otherwise(F.col("m.nj")).alias("na"), F.when(first, F.col("m.nj")).otherwise(F.col("m.ni")).alias("nb"))
-        mutual = pairs.groupBy("a", "b").agg(F.max("height").alias("height"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.count("*").alias("c")).where("c = 2")
-        found = materialize(mutual.select("a", "b", "na", "nb", "height", F.lit(turn).alias("round")), "merges")
+        lookup = F.broadcast if left <= BROADCAST_ROWS else (lambda df: df)
+        both = upper.union(upper.select("j", "i", "d"))
+        nearest = both.join(lookup(both.groupBy("i").agg(F.min("d").alias("d"))), ["i", "d"]).groupBy("i").agg(F.min("j").alias("j"), F.min("d").alias("d"))
+        mutual = nearest.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.max("d").alias("height"), F.count("*").alias("c")).where("c = 2")
+        sized = lambda side: lookup(sizes.select(F.col("x").alias(side), F.col("n").alias(f"n{side}")))  # noqa: B023, E731
+        found = materialize(mutual.join(sized("a"), "a").join(sized("b"), "b").select("a", "b", "na", "nb", "height", F.lit(turn).alias("round")), "merges")
         count = found.count()
         if not count:
             break
-        made = found if made is None else made.unionByName(found)
-        ends = found.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("partner")), F.struct(F.col("b").alias("x"), F.col("a").alias("partner")))).alias("e"), F.col("a").alias("into"), F.col("height").alias("h"))
-        merged = ends.select("e.x", "e.partner", "into", "h")
-        merged = F.broadcast(merged) if 2 * count <= BROADCAST_ROWS else merged
-        rows = _updated(_both(upper), merged, "i", "j", method)
-        upper = materialize(_updated(rows, merged, "j", "i", method).where("i < j").select("i", "j", "d", "ni", "nj"), "distances")
+        made, left = found if made is None else made.unionByName(found), left - count
+        ends = found.select(F.explode(F.array("a", "b")).alias("x"), F.col("a").alias("into"), (F.col("na") + F.col("nb")).alias("m"), F.col("height").alias("h"))
+        state = materialize(sizes.join(ends, "x", "left").select("x", "n", F.coalesce("into", "x").alias("into"), F.coalesce("m", "n").alias("m"), "h"), "sizes")
+        sizes = state.where("x = into").select("x", F.col("m").alias("n"))
+        if left == 1:
+            break
+        upper = materialize(_updated(upper, lookup(state), method), "distances")
     every = materialize(made if made is not None else found, "all_merges")
     release(dist.sparkSession, start, mark(dist.sparkSession) - 1)
     return every
 
 
-def hclust(dist: DataFrame, a: str = "worker_a", b: str = "worker_b", method: str = "ward.D") -> DataFrame:
+def _copied(copies: DataFrame, items: DataFrame) -> DataFrame:
+    """(a, b, na, nb, height, round, step), stored: the merges of copies with the first of their kind, at height 0, which come before all others."""
+    table = small(items)
+    told = require(copies, "name", "first").join(table.select("name", F.col("ix").alias("b")), "name").join(table.select(F.col("name").alias("first"), F.col("ix").alias("a")), "first").where("a <> b")
+    placed = materialize(numbered(materialize(told.select("a", "b"), "copies"), "a", "step", then=("b",)), "placed")
+    one = F.lit(1).cast("long")
+    begun = placed.groupBy("a").agg(F.min("step").alias("begun"))
+    return materialize(placed.join(begun, "a").select("a", "b", (F.col("step") - F.col("begun") + 1).alias("na"), one.alias("nb"), F.lit(0.0).alias("height"), F.lit(-1).alias("round"), "step"), "merged_copies")
+
+
+def hclust(dist: DataFrame, a: str = "worker_a", b: str = "worker_b", method: str = "ward.D", copies: DataFrame | None = None) -> DataFrame:
     """(step, left, right, height) over the items of dist(a, b, dist): leaves are -1, -2, ... in name order, earlier merges 1, 2, ... by
-    height. Leaves stand before clusters, lower first."""
-    return _tree(require(dist, a, b, "dist"), a, b, method)[0].select(F.col("step").cast("int"), F.col("left").cast("int"), F.col("right").cast("int"), "height")
+    height. Leaves stand before clusters, lower first.
+
+    copies(name, first): all items, each beside the first in name order of those that are at distance 0 from it and equally far from any
+    other. dist then needs the first ones alone, and the tree is that of all items.
+    """
+    return _tree(require(dist, a, b, "dist"), a, b, method, copies)[0].select(F.col("step").cast("int"), F.col("left").cast("int"), F.col("right").cast("int"), "height")
 
 
-def _tree(dist: DataFrame, a: str, b: str, method: str) -> tuple[DataFrame, DataFrame]:
+def _tree(dist: DataFrame, a: str, b: str, method: str, copies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """((step, left, right, height, size_left), items), both stored."""
-    items = materialize(items_of(dist, a, b), "items")
-    steps = materialize(numbered(agglomerate(dist, items, a, b, method), "height", "step", then=("round", "a")), "steps")
+    items = materialize(items_of(dist, a, b) if copies is None else items_of(copies, "name", "first"), "items")
+    if copies is None:
+        steps = numbered(agglomerate(dist, items, a, b, method), "height", "step", then=("round", "a"))
+    else:
+        same = _copied(copies, items)
+        many = same.groupBy(F.col("a").alias("x")).agg((F.count("*") + 1).alias("n"))
+        first = items.select(F.col("ix").alias("x")).join(same.select(F.col("b").alias("x")), "x", "left_anti")
+        sizes = materialize(first.join(many, "x", "left").select("x", F.coalesce("n", F.lit(1).cast("long")).alias("n")), "sizes")
+        rest = numbered(agglomerate(dist, items, a, b, method, sizes), "height", "step", then=("round", "a"))
+        steps = same.unionByName(rest.withColumn("step", F.col("step") + same.count()))
+    steps = materialize(steps, "steps")
     # a cluster's last merge before is the one that its least item took part in
     before = F.coalesce(F.lag("step").over(Window.partitionBy("a").orderBy("step")), -F.col("a") - 1)
     last = steps.groupBy(F.col("a").alias("b")).agg(F.max("step").alias("last"))
@@ -115,11 +152,12 @@ def _nodes(tree: DataFrame, items: DataFrame, below: Column) -> DataFrame:
     return every.join(up, "node", "left").select("node", F.coalesce("up", "node").alias("up"), F.coalesce("off", zero).alias("off"))
 
 
-def hclust_cut(dist: DataFrame, k: int, a: str = "worker_a", b: str = "worker_b", method: str = "ward.D") -> DataFrame:
-    """(worker_id, cluster): the tree cut in k groups, numbered by their first item in name order; of fewer items each is a group."""
+def hclust_cut(dist: DataFrame, k: int, a: str = "worker_a", b: str = "worker_b", method: str = "ward.D", copies: DataFrame | None = None) -> DataFrame:
+    """(worker_id, cluster): the tree cut in k groups, numbered by their first item in name order; of fewer items each is a group.
+    copies: as in hclust."""
     if k < 1:
         raise ValueError("k must be 1 or more")
-    tree, items = _tree(require(dist, a, b, "dist"), a, b, method)
+    tree, items = _tree(require(dist, a, b, "dist"), a, b, method, copies)
     merged = items.count() - k
     root = _climbed(_nodes(tree, items, F.col("step") <= merged)).where("node < 0").select((-F.col("node") - 1).alias("ix"), "up")
     first = root.groupBy("up").agg(F.min("ix").alias("first"))

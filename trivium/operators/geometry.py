@@ -10,6 +10,7 @@ a pair.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -355,6 +356,18 @@ def rep_dist(embeddings: DataFrame, rootflag: bool = True, dims: int | None = No
     return met.mapInArrow(distances, "worker_a string, worker_b string, dist double")
 
 
+def same_shapes(embeddings: DataFrame, dims: int | None = None) -> DataFrame:
+    """(name, first), stored: each participant beside the first one by name whose embedding has the same items and, centred and scaled, the very
+    same coordinates, which is at distance 0 in rep_dist. One that can't be scaled or has unknown coordinates is only its own."""
+    dims = dims or dimensions(embeddings)
+    p = packed(embeddings, dims, strict=False)
+    known = reduce(lambda x, k: x & F.forall(f"c{k}", lambda v: v.isNotNull() & ~F.isnan(v)), range(dims), F.lit(True))
+    p = materialize(p.withColumn("alone", F.when(F.coalesce(known, F.lit(False)), "").otherwise(F.concat(F.lit("="), "worker_id"))), "shapes")
+    shape = ["h", "items", *[f"c{k}" for k in range(dims)], "alone"]
+    p = p.withColumn("h", F.xxhash64(*shape[1:]))
+    return materialize(p.join(p.groupBy(*shape).agg(F.min("worker_id").alias("first")), shape).select(F.col("worker_id").alias("name"), "first"), "same_shapes")
+
+
 def _summed(rows: DataFrame, keys: list[str], size: int, fan: int = 64) -> DataFrame:
     """(keys..., m): sums of the arrays m of so many numbers by key, in a tree: first of the rows of one bucket, then of the buckets."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys) + ", m array<double>"
