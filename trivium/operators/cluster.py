@@ -3,7 +3,8 @@
 Two clusters that are each other's nearest are merged sooner or later, whatever else is merged before (ward.D and complete have
 this property), so each round merges all such pairs at once and updates the table of distances by joins and sums. Rounds are about
 the logarithm of the number of items where merges are spread over the tree, and as many as merges for a chain. A round's
-tables are stored. What is said of merges, parents and offsets has a row an item, never the distances.
+tables are stored. What is said of merges, parents and offsets has a row an item, never the distances. Items at distance 0 from each
+other and equally far from all others (copies) need no distances of their own: they join first.
 """
 
 from __future__ import annotations
