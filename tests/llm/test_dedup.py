@@ -161,3 +161,24 @@ def test_pruning_loses_no_pair():
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     i, j = embedding.reachable(u, u, 0.93)
     assert set(zip(*np.nonzero(u @ u.T >= 0.93), strict=True)) <= set(zip(i, j, strict=True))
+
+
+def test_a_cells_pairs_do_not_ride_on_its_tiles(spark, monkeypatch):
+    """What meets the tiles is a cell's key and a tile's; beyond BROADCAST_ROWS of these they are exchanged whatever their file's size."""
+    for name, value in (("TILE", 32), ("BLOCK", 2)):
+        monkeypatch.setattr(embedding, name, value)
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(600, 24)), rng.normal(size=24) + rng.normal(scale=0.2, size=(100, 24))])
+    rows = [(k, 1, v.tolist()) for k, v in enumerate(x)]
+    sent, within = [], embedding.within
+    monkeypatch.setattr(embedding, "within", lambda keys: sent.append(keys) or within(keys))
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding.near_duplicates(df).collect()}
+    assert got == brute.embedding_links([(k, 1, np.float32(v).astype(float).tolist()) for k, _, v in rows])
+    assert sent[0].columns == ["dim", "i", "j", "part", "seq"] and sent[0].count() > 40
+    assert "ResolvedHint (strategy=merge)" in embedding.within(spark.range(300_000).toDF("part"))._jdf.queryExecution().analyzed().toString()
+
+
+def test_cells_grow_with_the_number_of_tiles():
+    assert [embedding.sides(n, 250 * n, 64) for n in (0, 1, 128, 300, 5000)] == [16, 16, 16, 37, 128]
+    assert [embedding.sides(5000, 5000 * 1024, d) for d in (64, 128, 1024)] == [64, 32, 16]

@@ -4,11 +4,13 @@ Equal vectors of one label count once, with their number. Unit vectors are turne
 of all vectors' second moments, sorted by label and nearest pivots over the cluster, and cut
 into tiles. Pivots are PIVOTS vectors, least by hash; like the axes, they steer the order of the work, never the result. A tile's summary (centre and radius in the leading axes, least and greatest suffix norm) rules out most
 tiles of its label before any vector moves; the salted join of summaries has no hot label. Open pairs of tiles
-meet in grid cells of BLOCK by BLOCK tiles, so a tile is sent once for each cell, not for each partner.
+meet in grid cells of BLOCK by BLOCK tiles, up to eight times as many along a side where tiles are many and small, so a tile is sent once for
+each cell, not for each partner. A cell's pairs meet its tiles there and don't ride on them.
 
 In a cell two tiles are compared by products of the leading STEP dimensions first; the rest is bounded by the product of the
 suffix norms (Cauchy-Schwarz), rows and columns that cannot reach the threshold any more are dropped, and the
-comparison stops when none is left. Pairs that remain are decided by the cosine of the original vectors in double precision.
+comparison stops when none is left. The bounds are taken in single precision, with room for its rounding. Pairs that remain are decided
+by the cosine of the original vectors in double precision.
 
 A pair of tiles gives each vector's number of links and a spanning forest of the links, never the pairs,
 so a label that holds a third of all vectors, or a group of near copies, gives rows in
@@ -32,11 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trivium.llm.components import components
-from trivium.llm.store import materialize
+from trivium.llm.store import materialize, settled
+from trivium.schema import small
 from trivium.shipping import ship
 
-#: Vectors and bytes of a tile, tiles along a side of a cell, dimensions of a step and of a summary, pivots.
-TILE, TILE_BYTES, BLOCK, STEP, LEAD, PIVOTS, SLACK = 1024, 1 << 22, 16, 16, 16, 256, 1e-9
+#: Vectors and bytes of a tile, tiles along a side of a cell of few tiles, bytes along one of many, dimensions of a step and of a summary, pivots.
+TILE, TILE_BYTES, BLOCK, BLOCK_BYTES, STEP, LEAD, PIVOTS, SLACK = 1024, 1 << 22, 16, 1 << 25, 16, 16, 256, 1e-9
 TILE_SCHEMA = "label long, dim int, part int, seq int, ids array<long>, nodes array<long>, weights array<long>, vectors binary, centre array<double>, radius double, least double, most double"
 FOUND = "id long, n long, a long, b long"
 
@@ -199,16 +202,22 @@ def open_pairs(cut: DataFrame, threshold: float) -> DataFrame:
     return own.join(every, ["label", "dim", "salt"]).where("ta <= tb").where(near).select("dim", "ta", "tb")
 
 
+def sides(tiles: int, vectors: int, dim: int) -> int:
+    """Tiles along a side of a cell: BLOCK, or up to eight times as many if there are enough tiles for many cells and a side stays about in BLOCK_BYTES."""
+    return max(BLOCK, min(8 * BLOCK, tiles // 8, BLOCK_BYTES * tiles // (8 * dim * max(1, vectors))))
+
+
 def reachable(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (i, j) of two blocks of turned unit vectors whose cosine can reach the threshold."""
+    """Rows (i, j) of two blocks of turned unit vectors whose cosine can reach the threshold, and maybe some that are a rounding below it."""
+    least = threshold - SLACK - 2 * a.shape[1] * float(np.finfo(a.dtype).eps)
     rest_a = np.sqrt(np.cumsum((a * a)[:, ::-1], 1)[:, ::-1])
     rest_b = np.sqrt(np.cumsum((b * b)[:, ::-1], 1)[:, ::-1])
-    rows, columns, total = np.arange(len(a)), np.arange(len(b)), np.zeros((len(a), len(b)))
+    rows, columns, total = np.arange(len(a)), np.arange(len(b)), 0
     for k in range(0, a.shape[1], STEP):
-        total += a[rows, k : k + STEP] @ b[columns, k : k + STEP].T
+        total = total + a[rows, k : k + STEP] @ b[columns, k : k + STEP].T
         end = k + STEP
         bound = total + np.outer(rest_a[rows, end], rest_b[columns, end]) if end < a.shape[1] else total
-        open_ = bound >= threshold - SLACK
+        open_ = bound >= least
         r, c = open_.any(1), open_.any(0)
         if not r.any():
             return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -237,15 +246,15 @@ class Forest:
 
 
 def compare(axes, threshold: float, single: bool):
-    """An applyInArrow function over a cell's tiles and its open pairs: rows (id, n) add n links to vector id, rows (a, b) link two nodes."""
+    """A cogrouped applyInArrow function over a cell's tiles and its open pairs: rows (id, n) add n links to vector id, rows (a, b) link two nodes."""
 
-    def found(table: pa.Table) -> pa.Table:
+    def found(table: pa.Table, cell: pa.Table) -> pa.Table:
         dim = table.column("dim")[0].as_py()
-        held, pairs = {}, table.column("pairs")[0].as_py()
+        held, pairs = {}, cell.column("pairs")[0].as_py()
         for k, (part, seq) in enumerate(zip(table.column("part").to_pylist(), table.column("seq").to_pylist(), strict=True)):
             take = lambda c, k=k: np.array(table.column(c)[k].as_py(), np.int64)
             u = _unit(np.frombuffer(table.column("vectors")[k].as_py(), np.float32 if single else float).reshape(-1, dim).astype(float))
-            held[part, seq] = u, u @ axes.value[dim], take("ids"), take("nodes"), take("weights")
+            held[part, seq] = u, (u @ axes.value[dim]).astype(np.float32), take("ids"), take("nodes"), take("weights")
         counts, links = [], []
         for p in pairs:
             ka, kb = ((p[x]["part"], p[x]["seq"]) for x in ("ta", "tb"))
@@ -274,6 +283,12 @@ def compare(axes, threshold: float, single: bool):
     return found
 
 
+def within(keys: DataFrame) -> DataFrame:
+    """keys with a hint for their join with tiles: broadcast up to BROADCAST_ROWS, else by exchange, as a compressed table's size tells little of its rows'."""
+    told = small(keys)
+    return told if told is not keys else keys.hint("merge")
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors."""
     ship(vectors.sparkSession)
@@ -282,15 +297,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "
     by = ("label", "h1", "h2")
     classes = materialize(keyed.groupBy(*by).agg(F.min(F.struct("vec_id", "v")).alias("m"), F.count("*").alias("weight")).select(
         F.monotonically_increasing_id().alias("id"), F.col("m.vec_id").alias("node"), *by, F.col("m.v").alias("v"), "weight"), "vector_classes")
+    settled(classes)
     axes = vectors.sparkSession.sparkContext.broadcast(principal_axes(classes))
-    cut = materialize(tiles(classes, axes), "tiles")
-    block = lambda t: F.struct(F.col(f"{t}.part").alias("part"), F.floor(F.col(f"{t}.seq") / BLOCK).alias("seq"))
+    cut = settled(materialize(tiles(classes, axes), "tiles"))
+    side = sum((F.when(F.col("dim") == r.dim, sides(r.n, r.vectors, r.dim)).otherwise(0) for r in cut.groupBy("dim").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("vectors")).collect()), F.lit(0))  # dimensions are few
+    block = lambda t: F.struct(F.col(f"{t}.part").alias("part"), F.floor(F.col(f"{t}.seq") / side).alias("seq"))
     cells = open_pairs(cut, threshold).groupBy("dim", block("ta").alias("i"), block("tb").alias("j")).agg(F.collect_list(F.struct("ta", "tb")).alias("pairs"))
     cells = materialize(cells, "cells")
-    wanted = cells.select("dim", "i", "j", "pairs", F.explode(F.array_distinct(F.flatten(F.transform("pairs", lambda p: F.array(p["ta"], p["tb"]))))).alias("t"))
-    sent = wanted.select("dim", "i", "j", "pairs", "t.part", "t.seq").join(cut.select("part", "seq", "ids", "nodes", "weights", "vectors"), ["part", "seq"])
+    # a cell's pairs meet its tiles once, in the cogroup, and don't ride on each of them
+    wanted = cells.select("dim", "i", "j", F.explode(F.array_distinct(F.flatten(F.transform("pairs", lambda p: F.array(p["ta"], p["tb"]))))).alias("t"))
+    sent = within(wanted.select("dim", "i", "j", "t.part", "t.seq")).join(cut.select("part", "seq", "ids", "nodes", "weights", "vectors"), ["part", "seq"])
     single = classes.schema["v"].dataType.elementType == T.FloatType()
-    found = materialize(sent.groupBy("dim", "i", "j").applyInArrow(compare(axes, threshold, single), FOUND), "found")
+    given = cells.select(*[F.col(c).alias(f"of_{c}") for c in ("dim", "i", "j")], "pairs").groupBy("of_dim", "of_i", "of_j")
+    found = materialize(sent.groupBy("dim", "i", "j").cogroup(given).applyInArrow(compare(axes, threshold, single), FOUND), "found")
     number = found.where("id is not null").groupBy("id").agg(F.sum("n").alias("n"))
     # a vec_id with several vectors makes one node of their classes
     several = keyed.select("vec_id", *by).distinct().groupBy("vec_id").count().where("count > 1").select("vec_id")
