@@ -197,3 +197,41 @@ def test_rep_dist_sends_packs_of_tiles_and_broadcasts_none(spark, monkeypatch):
     made = geometry.rep_dist(e, dims=2, tile=1)
     assert "SortMergeJoin [i#" in made._jdf.queryExecution().executedPlan().toString()
     assert len(one) == 400 and one == sorted(map(tuple, made.collect()))
+
+
+def test_rep_dist_compares_copies_once_and_gives_all_pairs(spark, monkeypatch):
+    """Of 41 participants 6 have different embeddings; one can't be scaled, one has an unknown coordinate, and a row holds four at most."""
+    rng, rows = np.random.default_rng(3), []
+    shapes = [rng.normal(size=(5, 2)) for _ in range(4)]
+    flat, unknown = np.ones((5, 2)), np.where(np.arange(10).reshape(5, 2) == 3, np.nan, shapes[0])
+    own = {f"w{w:02}": shapes[0 if w < 20 else w % 4] for w in range(37)} | {"x1": flat, "x2": unknown, "x3": flat, "x4": shapes[3]}
+    for w, (name, x) in enumerate(own.items()):
+        rows += [(w, name, i, f"i{i}", [float(v) for v in x[i]]) for i in range(5)]
+    e = spark.createDataFrame(rows, "worker_ix long, worker_id string, item_ix long, item string, coords array<double>")
+    sent, tiles = [], geometry._tiles
+    monkeypatch.setattr(geometry, "COPIES", 4)
+    monkeypatch.setattr(geometry, "_tiles", lambda p, *x: sent.append(p.count()) or tiles(p, *x))
+
+    def trace(a, b):
+        a, b = ((x - x.mean(0)) / np.linalg.norm(x - x.mean(0)) for x in (a, b))
+        return np.linalg.svd(a.T @ b, compute_uv=False).sum()
+
+    for root in (True, False):
+        for tile in (256, 2):
+            found = geometry.rep_dist(e, rootflag=root, dims=2, tile=tile, digits=6).collect()
+            got = {(r.worker_a, r.worker_b): r.dist for r in found}
+            assert len(found) == len(got) == 41 * 41
+            for (a, b), d in got.items():
+                odd = a != b and {a, b} & {"x1", "x2", "x3"}
+                want = np.nan if odd else 0.0 if a == b else 1 - trace(own[a], own[b]) ** (1 if root else 2)
+                assert (d != d) if odd else d == pytest.approx(want, abs=1e-6) and str(d) != "-0.0"
+    assert max(sent) < 30  # four shapes in rows of about four, and three alone
+
+
+def test_rep_dist_rounds_where_all_differ(spark):
+    rng = np.random.default_rng(4)
+    rows = [(w, f"w{w}", i, f"i{i}", rng.normal(size=2).tolist()) for w in range(9) for i in range(5)]
+    e = spark.createDataFrame(rows, "worker_ix long, worker_id string, item_ix long, item string, coords array<double>")
+    whole = {(r.worker_a, r.worker_b): r.dist for r in geometry.rep_dist(e, dims=2).collect()}
+    short = {(r.worker_a, r.worker_b): r.dist for r in geometry.rep_dist(e, dims=2, digits=3).collect()}
+    assert len(whole) == 81 and short == {k: pytest.approx(round(d, 3), abs=1e-12) for k, d in whole.items()}

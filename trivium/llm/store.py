@@ -1,20 +1,5 @@
 """Intermediate tables of the operators: the library's scratch folder."""
 
-import gc
-
-from pyspark.sql import DataFrame
-
-from trivium.scratch import mark, materialize, new_path, release, shared_dir
+from trivium.scratch import mark, materialize, new_path, release, settled, shared_dir
 
 __all__ = ["mark", "materialize", "new_path", "release", "settled", "shared_dir"]
-
-
-def settled(stored: DataFrame) -> DataFrame:
-    """A table that has just been stored, once Spark may delete the shuffle files it came from.
-
-    Spark does so when the driver's garbage collector finds that nobody needs them, which may be much later: long jobs would hold the
-    files of all their steps.
-    """
-    gc.collect()
-    stored.sparkSession.sparkContext._jvm.System.gc()
-    return stored

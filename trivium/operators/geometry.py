@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 
 from trivium.operators.predict import squared_distance
 from trivium.schema import held, require, small
-from trivium.scratch import mark, materialize, release
+from trivium.scratch import mark, materialize, release, settled
 from trivium.shipping import ship
 
 #: Bytes of a tile of packed embeddings.
 TILE_BYTES = 1 << 22
 #: Tiles that are sent together.
-SIDE = 32
+SIDE = 64
+#: Participants of the same embedding that share a row of a tile.
+COPIES = 64
 
 
 def pairwise_dist(embeddings: DataFrame) -> DataFrame:
@@ -292,6 +294,26 @@ def nuclear_norm(dims: int) -> Column:
     return values(*[F.col(f"m{i}{j}") for i in range(dims) for j in range(dims)])
 
 
+def _shape(p: DataFrame, dims: int) -> tuple[DataFrame, list[str]]:
+    """(packed p with columns that are equal just for the very same embedding, their names). One without a name, that can't be scaled or has
+    unknown coordinates is only its own: `alone` is not empty."""
+    known = reduce(lambda x, k: x & F.forall(f"c{k}", lambda v: v.isNotNull() & ~F.isnan(v)), range(dims), F.col("worker_id").isNotNull())
+    shape = ["items", *[f"c{k}" for k in range(dims)]]
+    own = F.when(F.coalesce(known, F.lit(False)), "").otherwise(F.concat(F.lit("="), F.coalesce("worker_id", F.lit(""))))
+    return p.withColumn("alone", own).withColumn("h", F.xxhash64(*shape, "alone")), ["h", *shape, "alone"]
+
+
+def _copies(p: DataFrame, dims: int) -> DataFrame:
+    """(worker_id array<string>, c0, c1, ...), stored: packed p with a row for up to about COPIES participants of the very same embedding."""
+    marked, shape = _shape(p, dims)
+    known, alone = marked.where("alone = ''"), marked.where("alone <> ''")
+    many = known.groupBy(*shape).agg(F.count("*").alias("n"))
+    bucket = F.pmod(F.xxhash64("worker_id"), F.ceil(F.col("n") / COPIES))
+    rows = known.join(many, shape).withColumn("bucket", bucket).groupBy(*shape, "bucket").agg(F.sort_array(F.collect_list("worker_id")).alias("worker_id"))
+    columns = [f"c{k}" for k in range(dims)]
+    return settled(materialize(rows.select("worker_id", *columns).unionByName(alone.select(F.array("worker_id").alias("worker_id"), *columns)), "different_embeddings"))
+
+
 def _tiles(p: DataFrame, dims: int, count: int) -> DataFrame:
     """(tile, ids, xs): packed embeddings dealt to so many tiles, each row flat by dimension and item."""
     flat = F.flatten(F.array(*[F.col(f"c{k}") for k in range(dims)]))
@@ -311,26 +333,32 @@ def _traces(a: np.ndarray, b: np.ndarray, dims: int) -> np.ndarray:
     return np.linalg.svd(m.reshape(*m.shape[:2], dims, dims), compute_uv=False).sum(-1)
 
 
-def rep_dist(embeddings: DataFrame, rootflag: bool = True, dims: int | None = None, strict: bool = True, tile: int = 256) -> DataFrame:
+def rep_dist(embeddings: DataFrame, rootflag: bool = True, dims: int | None = None, strict: bool = True, tile: int = 256, digits: int | None = None) -> DataFrame:
     """(worker_a, worker_b, dist): symmetric Procrustes distances, both ways, 0 from oneself.
 
-    rootflag: 1 - root of the explained share; else 1 - the share itself. All pairs are the result, so packed
-    embeddings are gathered in tiles of at most `tile` participants and TILE_BYTES, and tiles in packs of up to SIDE, which meet in the
-    cells of a grid: a pack is sent once for each partner. A cell gives its rows out by pairs of tiles.
+    rootflag: 1 - root of the explained share; else 1 - the share itself. digits: round to so many. All pairs are the result, so packed
+    embeddings are gathered in tiles of at most `tile` rows and TILE_BYTES, and tiles in packs of up to SIDE, which meet in the
+    cells of a grid: a pack is sent once for each partner. A cell gives its rows out by pairs of tiles. Participants with the very same
+    embedding, centred and scaled, share a row, are sent and compared once, and come apart only in the result.
     """
     dims = dims or dimensions(embeddings)
-    p = materialize(packed(embeddings, dims, strict=False), "packed_embeddings")
+    p = settled(materialize(packed(embeddings, dims, strict=False), "packed_embeddings"))
     if strict:
         same_items(p)
     n, items = p.agg(F.count("*"), F.coalesce(F.max(F.size("items")), F.lit(1))).first()
+    different = _copies(p, dims)
+    held = different.count()
+    shared = held < n
     each = 8 * dims * max(1, items)
     many = max(1, min(tile, TILE_BYTES // each))
-    count = max(1, -(-n // many))
-    side = max(1, min(SIDE, count // 8, 4 * TILE_BYTES // (each * many)))
+    # the fewer packs, the less is sent; small ones may be sent more often, for more tasks
+    least = 16 if held * each <= 4 * TILE_BYTES else 8
+    count = max(1, -(-held // many), min(held, least, n // 1024))
+    side = max(1, min(SIDE, count // least, 4 * TILE_BYTES // (each * many)))
     blocks = -(-count // side)
-    packs = _tiles(p, dims, count).groupBy(F.expr(f"tile div {side}").cast("int").alias("own")).agg(F.collect_list(F.struct("tile", "ids", "xs")).alias("tiles"))
+    packs = _tiles(different if shared else p, dims, count).groupBy(F.expr(f"tile div {side}").cast("int").alias("own")).agg(F.collect_list(F.struct("tile", "ids", "xs")).alias("tiles"))
     # a number of its own: the few packs would else be coalesced into one task. Neither side is small, whatever its estimate says
-    tasks = max(4 * p.sparkSession.sparkContext.defaultParallelism, blocks * blocks // 8)
+    tasks = max(4 * p.sparkSession.sparkContext.defaultParallelism, blocks * (blocks + 1) // 2)
     left = packs.select(F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.lit(blocks - 1))).alias("j"), F.col("tiles").alias("a")).repartition(tasks, "i", "j")
     right = packs.select(F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("tiles").alias("b")).repartition(tasks, "i", "j")
 
@@ -348,23 +376,30 @@ def rep_dist(embeddings: DataFrame, rootflag: bool = True, dims: int | None = No
                         t = _traces(xs_a, xs_b, dims)
                         d = (1 - t) if rootflag else (1 - t * t)
                         r, c = np.triu_indices(len(ids_a), 1) if at == bt else (x.ravel() for x in np.indices(d.shape))
-                        a, b, v = ids_a.take(pa.array(r)), ids_b.take(pa.array(c)), pa.array(d[r, c])
-                        for columns in ((a, b, v), (b, a, v), *([(ids_a, ids_a, pa.array(np.zeros(len(ids_a))))] if at == bt else [])):
-                            yield pa.RecordBatch.from_arrays(list(columns), names=["worker_a", "worker_b", "dist"])
+                        if at == bt:
+                            yield pa.RecordBatch.from_arrays([ids_a, ids_a, pa.array(np.zeros(len(ids_a)))], names=["worker_a", "worker_b", "dist"])
+                        for s in range(0, len(r), 16384):
+                            r_, c_ = r[s : s + 16384], c[s : s + 16384]
+                            a, b, v = ids_a.take(pa.array(r_)), ids_b.take(pa.array(c_)), pa.array(d[r_, c_])
+                            for x, y in ((a, b), (b, a)):
+                                yield pa.RecordBatch.from_arrays([x, y, v], names=["worker_a", "worker_b", "dist"])
 
     met = left.hint("merge").join(right, ["i", "j"]).select((F.col("i") == F.col("j")).alias("same"), "a", "b")
-    return met.mapInArrow(distances, "worker_a string, worker_b string, dist double")
+    name = "array<string>" if shared else "string"
+    found = met.mapInArrow(distances, f"worker_a {name}, worker_b {name}, dist double")
+    if digits is not None:
+        found = found.withColumn("dist", F.round("dist", digits) + 0.0)
+    if shared:
+        found = found.select(F.explode("worker_a").alias("worker_a"), "worker_b", "dist").select("worker_a", F.explode("worker_b").alias("worker_b"), "dist")
+    return found
 
 
 def same_shapes(embeddings: DataFrame, dims: int | None = None) -> DataFrame:
     """(name, first), stored: each participant beside the first one by name whose embedding has the same items and, centred and scaled, the very
     same coordinates, which is at distance 0 in rep_dist. One that can't be scaled or has unknown coordinates is only its own."""
     dims = dims or dimensions(embeddings)
-    p = packed(embeddings, dims, strict=False)
-    known = reduce(lambda x, k: x & F.forall(f"c{k}", lambda v: v.isNotNull() & ~F.isnan(v)), range(dims), F.lit(True))
-    p = materialize(p.withColumn("alone", F.when(F.coalesce(known, F.lit(False)), "").otherwise(F.concat(F.lit("="), "worker_id"))), "shapes")
-    shape = ["h", "items", *[f"c{k}" for k in range(dims)], "alone"]
-    p = p.withColumn("h", F.xxhash64(*shape[1:]))
+    p, shape = _shape(packed(embeddings, dims, strict=False), dims)
+    p = materialize(p, "shapes")
     return materialize(p.join(p.groupBy(*shape).agg(F.min("worker_id").alias("first")), shape).select(F.col("worker_id").alias("name"), "first"), "same_shapes")
 
 

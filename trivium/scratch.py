@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -57,3 +58,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(stored: DataFrame) -> DataFrame:
+    """A table that has just been stored, once Spark may delete the shuffle files it came from.
+
+    Spark does so when the driver's garbage collector finds that nobody needs them, which may be much later: long jobs would hold the
+    files of all their steps.
+    """
+    gc.collect()
+    stored.sparkSession.sparkContext._jvm.System.gc()
+    return stored
