@@ -6,6 +6,7 @@ import pytest
 from tests import plain_cluster
 from trivium.functions import stats
 from trivium.operators import cluster, geometry, layout
+from trivium.plans.catalog import QUERIES
 
 SCHEMA = "worker_ix long, worker_id string, item_ix long, item string, coords array<double>"
 
@@ -235,3 +236,18 @@ def test_rep_dist_rounds_where_all_differ(spark):
     whole = {(r.worker_a, r.worker_b): r.dist for r in geometry.rep_dist(e, dims=2).collect()}
     short = {(r.worker_a, r.worker_b): r.dist for r in geometry.rep_dist(e, dims=2, digits=3).collect()}
     assert len(whole) == 81 and short == {k: pytest.approx(round(d, 3), abs=1e-12) for k, d in whole.items()}
+
+
+@pytest.mark.parametrize("query", ["rep_dist", "rep_dist_ss"])
+def test_queries_send_different_embeddings_only_and_give_all_pairs(spark, tmp_path, monkeypatch, query):
+    """Participants 4032 apart have the same embedding in the fixtures."""
+    users = [0, 1, 2, 70, 4032, 4033, 8064]
+    spark.createDataFrame([(k, u, "view", 1.0) for k, u in enumerate(users)], "event_id long, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    vectors = [(v, [float((v * v * (k + 3) + 7 * k * v) % 101) for k in range(64)]) for v in range(36)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    sent, tiles = [], geometry._tiles
+    monkeypatch.setattr(geometry, "_tiles", lambda p, *x: sent.append(p.count()) or tiles(p, *x))
+    rows = QUERIES[query](spark, str(tmp_path)).collect()
+    got = {(int(r.worker_a), int(r.worker_b)): r.dist for r in rows}
+    assert sent == [4] and len(rows) == len(got) == 49
+    assert all((d == 0) == (a % 4032 == b % 4032) and d == got[b, a] == got[a % 4032, b % 4032] for (a, b), d in got.items())

@@ -311,7 +311,7 @@ def _copies(p: DataFrame, dims: int) -> DataFrame:
     bucket = F.pmod(F.xxhash64("worker_id"), F.ceil(F.col("n") / COPIES))
     rows = known.join(many, shape).withColumn("bucket", bucket).groupBy(*shape, "bucket").agg(F.sort_array(F.collect_list("worker_id")).alias("worker_id"))
     columns = [f"c{k}" for k in range(dims)]
-    return settled(materialize(rows.select("worker_id", *columns).unionByName(alone.select(F.array("worker_id").alias("worker_id"), *columns)), "different_embeddings"))
+    return materialize(rows.select("worker_id", *columns).unionByName(alone.select(F.array("worker_id").alias("worker_id"), *columns)), "different_embeddings")
 
 
 def _tiles(p: DataFrame, dims: int, count: int) -> DataFrame:
@@ -348,6 +348,7 @@ def rep_dist(embeddings: DataFrame, rootflag: bool = True, dims: int | None = No
     n, items = p.agg(F.count("*"), F.coalesce(F.max(F.size("items")), F.lit(1))).first()
     different = _copies(p, dims)
     held = different.count()
+    settled(different)  # after a job of its own: Spark still holds the last one's plan
     shared = held < n
     each = 8 * dims * max(1, items)
     many = max(1, min(tile, TILE_BYTES // each))
